@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, tokenfile
+from . import maxscore, mixing, packing, pstable, sharding, simhash, tokenfile
 
-QUERIES = {f.__name__: f for f in (tokenfile.op1_patched_frame_tokens, packing.op5_window_packing, sharding.op8_label_propagation_shards, mixing.op10_water_filling_mix)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        tokenfile.op1_patched_frame_tokens,
+        maxscore.op2_maxscore_top_k,
+        pstable.op4_multiprobe_neighbours,
+        packing.op5_window_packing,
+        sharding.op8_label_propagation_shards,
+        simhash.op9_simhash_components,
+        mixing.op10_water_filling_mix,
+    )
+}
 
 #: SQL cannot express the tokenizer, hashes or searches of the others.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_maxscore_top_k": maxscore.OP2_SQL}
