@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import maxscore, mixing, packing, pstable, sharding, simhash, tokenfile
+from . import maxscore, mixing, packing, pstable, quality, sharding, simhash, tokenfile
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         maxscore.op2_maxscore_top_k,
         pstable.op4_multiprobe_neighbours,
         packing.op5_window_packing,
+        quality.op6_kneser_ney_quality,
         sharding.op8_label_propagation_shards,
         simhash.op9_simhash_components,
         mixing.op10_water_filling_mix,
