@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import maxscore, mixing, packing, pstable, quality, sharding, simhash, tokenfile
+from . import lines, maxscore, mixing, packing, pstable, quality, sharding, simhash, tokenfile
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         pstable.op4_multiprobe_neighbours,
         packing.op5_window_packing,
         quality.op6_kneser_ney_quality,
+        lines.op7_segment_line_dedup,
         sharding.op8_label_propagation_shards,
         simhash.op9_simhash_components,
         mixing.op10_water_filling_mix,
