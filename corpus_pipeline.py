@@ -1,10 +1,69 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: from raw documents to packed training sequences, in five stages.
+
+Every stage takes (spark, docs, sf_dir) and returns a table, which is written
+as Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm.common import small, table, written
+from millrace.llm.lines import dedup_lines
+from millrace.llm.mixing import repeated
+from millrace.llm.packing import pack
+from millrace.llm.quality import BROADCAST_ROWS, classify
+from millrace.llm.simhash import near_duplicates
+
+#: Bits in which fingerprints of near copies may differ in this pipeline.
+RADIUS = 3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    verdicts = classify(docs, table(spark, sf_dir, "labels"))
+    rejected = small(written(verdicts.where("not keep").select(F.col("id").alias("_id"), F.col("x").alias("_x")), "rejected"), BROADCAST_ROWS)
+    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_x"))
+    return docs.join(rejected, here, "left_anti")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier one repeats go, exactly or within an edit."""
+    out = dedup_lines(docs)
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of smallest id stays, once."""
+    found = near_duplicates(docs, radius=RADIUS).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    copies = small(written(found, "copies"), BROADCAST_ROWS)
+    out = docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their targets; documents may come several times, or in part."""
+    return repeated(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, packed into sequences."""
+    return pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("simhash near-dedup", near_copies), ("mixing sources", mixture), ("packing", sequences)]
+
+#: SQL expresses neither the classifier nor the hashes and tokens.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage{k}")
+    return docs

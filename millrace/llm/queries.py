@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, maxscore, mixing, packing, pstable, quality, sharding, simhash, tokenfile
+from . import lines, maxscore, mixing, packing, pstable, quality, sharding, simhash, substrings, tokenfile
 
 QUERIES = {
     f.__name__: f
     for f in (
         tokenfile.op1_patched_frame_tokens,
         maxscore.op2_maxscore_top_k,
+        substrings.op3_column_sorted_repeats,
         pstable.op4_multiprobe_neighbours,
         packing.op5_window_packing,
         quality.op6_kneser_ney_quality,
