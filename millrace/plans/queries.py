@@ -1,4 +1,392 @@
-"""Every query over the given tables, by name, and the SQL it is held against."""
+"""Every operator as a query over the given tables, with the SQL it is held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..constants import STOP_WORDS
+from ..functions.gist import gist, shortened
+from ..functions.vector import cosine_distance, nearest
+from ..operators import changes, graph, memory, rank, views
+from ..operators.resolve import as_edges, file_keys, folders
+from ..sources.tree import guarded
+from ..streaming import watch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# Tables seen as the engine's own: foreign keys are imports, rows are files.
+
+
+def _node(kind: str, column: str):
+    return F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
+
+
+def fk_edges(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, relation): orders depend on customers, these and suppliers on nations, these on regions."""
+    pairs = [("nation", "n_nationkey", "region", "n_regionkey"), ("customer", "c_custkey", "nation", "c_nationkey"), ("supplier", "s_suppkey", "nation", "s_nationkey"), ("orders", "o_orderkey", "customer", "o_custkey")]
+    out = None
+    for table, key, to, ref in pairs:
+        e = _t(spark, d, table).select(_node(table, key).alias("src"), _node(to, ref).alias("dst"), F.lit("imports").alias("relation"))
+        out = e if out is None else out.unionAll(e)
+    return out
+
+
+FK = """fk AS (SELECT 'nation:' || n_nationkey AS src, 'region:' || n_regionkey AS dst FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'orders:' || o_orderkey, 'customer:' || o_custkey FROM orders)"""
+
+
+def _starts(spark: SparkSession, *nodes: str) -> DataFrame:
+    return spark.createDataFrame([(i, n) for i, n in enumerate(nodes)], "origin int, node string")
+
+
+def transitions(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, relation) from each user to the user of the event before, by the later event's type: full of cycles."""
+    e = _t(spark, d, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("u"))
+    a, b = e, e.select((F.col("event_id") + 1).alias("event_id"), F.col("u").alias("dst"))
+    return a.join(b, "event_id").where("u <> dst").select(F.col("u").alias("src"), "dst", relation_of().alias("relation")).distinct()
+
+
+def relation_of(column: str = "event_type"):
+    return F.when(F.col(column) == "signup", "imports:dynamic").when(F.col(column).isin("view", "error"), "imports:type").otherwise("imports")
+
+
+REL = "CASE WHEN event_type = 'signup' THEN 'imports:dynamic' WHEN event_type IN ('view', 'error') THEN 'imports:type' ELSE 'imports' END"
+TR = f"""tr AS (SELECT DISTINCT a.user_id::VARCHAR AS src, b.user_id::VARCHAR AS dst, {REL.replace('event_type', 'a.event_type')} AS relation
+  FROM events a JOIN events b ON a.event_id = b.event_id + 1 WHERE a.user_id <> b.user_id)"""
+
+
+@query("""SELECT doc_id, source, n_chars FROM documents WHERE n_chars <= 8000 AND source || '/' || lang || '.txt' NOT SIMILAR TO 'src1[0-9]*/.*' AND lang <> 'es'""")
+def scan_guard(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "source", "n_chars", F.concat("source", F.lit("/"), "lang", F.lit(".txt")).alias("path"), F.col("n_chars").alias("length"))
+    return guarded(docs, excludes=["src1*/**", "**/es.txt"], max_bytes=8000).select("doc_id", "source", "n_chars")
+
+
+@query("""WITH now AS (SELECT doc_id::VARCHAR AS path, md5(text) AS h FROM documents WHERE source <> 'src3'), old AS (SELECT doc_id::VARCHAR AS path, md5(CASE WHEN lang = 'de' THEN text || '.' ELSE text END) AS h, n_chars < 100 AS stale FROM documents WHERE source <> 'src5')
+SELECT coalesce(now.path, old.path) AS path, CASE WHEN now.path IS NULL THEN 'removed' WHEN old.path IS NULL THEN 'new' WHEN now.h <> old.h THEN 'changed' WHEN old.stale THEN 'retry' ELSE 'unchanged' END AS status FROM now FULL JOIN old ON now.path = old.path""")
+def content_hash_diff(spark, d):
+    docs = _t(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    now = docs.where("source <> 'src3'").select("path", F.md5("text").alias("content_hash"))
+    then = docs.where("source <> 'src5'").select("path", F.md5(F.when(F.col("lang") == "de", F.concat("text", F.lit("."))).otherwise(F.col("text"))).alias("content_hash"), (F.col("n_chars") < 100).alias("stale"), F.lit("x").alias("summary"))
+    return changes.changes(now, then)
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)")
+def purge_removed(spark, d):
+    gone = _t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("path")).distinct()
+    return changes.without(_t(spark, d, "documents").select("doc_id", "lang", "n_chars"), gone, ("doc_id",))
+
+
+def page_imports(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, pos, source) of the links of every page, as written."""
+    return _t(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("pos", "source"))
+
+
+@query("""SELECT page_id, (u.i - 1)::INTEGER AS pos, u.s AS source FROM (SELECT page_id, unnest([{'i': i, 's': l[i]} for i in range(1, len(l) + 1)]) AS u FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS l FROM pages))""")
+def import_extract_pages(spark, d):
+    return page_imports(spark, d)
+
+
+@query("""WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS s FROM pages)
+SELECT page_id, rtrim(s, '.,') AS source, CASE WHEN bool_or(s NOT LIKE '%,') THEN 'value' ELSE 'type' END AS type, bool_or(s LIKE '%.') AS dynamic, count(*) AS n FROM x GROUP BY 1, 2""")
+def import_merge(spark, d):
+    x = page_imports(spark, d)
+    return x.groupBy("page_id", F.rtrim("source", F.lit(".,")).alias("source")).agg(F.when(F.bool_or(~F.col("source").endswith(",")), "value").otherwise("type").alias("type"), F.bool_or(F.col("source").endswith(".")).alias("dynamic"), F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT p_partkey, replace(p_name, ' ', '/') || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '.ts' WHEN 2 THEN '.py' ELSE '/index.ts' END AS path FROM part),
+w AS (SELECT DISTINCT replace(p_name, ' ', '/') AS base FROM part),
+h AS (SELECT base, path, CASE WHEN path = base THEN 0 WHEN path = base || '.ts' THEN 6 WHEN path = base || '/index.ts' THEN 7 ELSE 30 END AS way FROM w JOIN (SELECT DISTINCT path FROM f) ON path IN (base, base || '.ts', base || '.py', base || '/index.ts'))
+SELECT base AS source, arg_min(path, way) AS target, min(way)::INTEGER AS way FROM h GROUP BY base""")
+def resolve_first_match(spark, d):
+    base = F.replace("p_name", F.lit(" "), F.lit("/"))
+    suffix = F.element_at(F.array(*map(F.lit, ["", ".ts", ".py", "/index.ts"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    part = _t(spark, d, "part")
+    files = part.select(F.concat(base, suffix).alias("path")).distinct()
+    wanted = part.select(base.alias("key")).distinct()
+    return wanted.join(file_keys(files), "key").groupBy(F.col("key").alias("source")).agg(F.min_by("target", "way").alias("target"), F.min("way").alias("way"))
+
+
+@query("""WITH u AS (SELECT DISTINCT string_split(regexp_replace(url, '^https?://([^?#]*).*$', '\\1'), '/') AS p FROM pages), l AS (SELECT p, unnest(range(1, len(p))) AS n FROM u) SELECT DISTINCT array_to_string(p[1:n], '/') AS key FROM l""")
+def ancestor_folders(spark, d):
+    return folders(_t(spark, d, "pages").select(F.regexp_replace("url", r"^https?://([^?#]*).*$", "$1").alias("path")).distinct())
+
+
+@query("""SELECT DISTINCT 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst, CASE WHEN l_returnflag = 'R' THEN 'imports:type' ELSE 'imports' END AS relation, CASE WHEN l_returnflag = 'R' THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS confidence, 'static_analysis' AS provenance FROM lineitem""")
+def edge_dedup(spark, d):
+    li = _t(spark, d, "lineitem")
+    return as_edges(li.select(_node("order", "l_orderkey").alias("src"), _node("part", "l_partkey").alias("dst"), F.when(F.col("l_returnflag") == "R", "imports:type").otherwise("imports").alias("relation")))
+
+
+@query(f"""SELECT DISTINCT 'u:' || user_id AS src, 'e:' || event_id AS dst, {REL} AS relation, CASE {REL} WHEN 'imports:dynamic' THEN 0.3::DOUBLE WHEN 'imports:type' THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS confidence, CASE {REL} WHEN 'imports:dynamic' THEN 'dynamic_analysis' ELSE 'static_analysis' END AS provenance FROM events""")
+def confidence_case(spark, d):
+    return as_edges(_t(spark, d, "events").select(_node("u", "user_id").alias("src"), _node("e", "event_id").alias("dst"), relation_of().alias("relation")))
+
+
+@query(f"WITH {FK} SELECT DISTINCT src AS path FROM fk WHERE dst = 'nation:3'")
+def direct_dependents(spark, d):
+    return graph.direct_dependents(fk_edges(spark, d), "nation:3")
+
+
+@query(f"WITH RECURSIVE {FK}, r AS (SELECT src FROM fk WHERE dst = 'region:1' UNION SELECT fk.src FROM fk JOIN r ON fk.dst = r.src) SELECT src AS path FROM r")
+def blast_radius_fk(spark, d):
+    return graph.blast_radius(fk_edges(spark, d), _starts(spark, "region:1")).where("not unresolvable").select("path")
+
+
+@query(f"WITH RECURSIVE {TR}, r AS (SELECT src FROM tr WHERE dst = '1' AND relation = 'imports' UNION SELECT tr.src FROM tr JOIN r ON tr.dst = r.src WHERE relation = 'imports') SELECT src AS path FROM r WHERE src <> '1'")
+def blast_radius_cyclic(spark, d):
+    return graph.blast_radius(transitions(spark, d), _starts(spark, "1")).where("not unresolvable").select("path")
+
+
+@query(f"WITH RECURSIVE {TR}, r AS (SELECT '1' AS src UNION SELECT tr.src FROM tr JOIN r ON tr.dst = r.src WHERE relation = 'imports') SELECT DISTINCT 'UNRESOLVABLE: ' || tr.src AS path FROM tr JOIN r ON tr.dst = r.src WHERE relation = 'imports:dynamic'")
+def dynamic_flagged(spark, d):
+    return graph.blast_radius(transitions(spark, d), _starts(spark, "1")).where("unresolvable").select(graph.shown().alias("path"))
+
+
+TESTED = "CASE WHEN o_orderpriority = '1-URGENT' THEN '.test.' ELSE '.' END"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT 'o' || o_orderkey || {TESTED} || 'ts' AS src, 'c' || o_custkey AS dst FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+r AS (SELECT src FROM e WHERE dst IN ('n3', 'n7') UNION SELECT e.src FROM e JOIN r ON e.dst = r.src) SELECT src AS path FROM r WHERE src LIKE '%.test.%'""")
+def related_tests(spark, d):
+    orders = _t(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey"), F.when(F.col("o_orderpriority") == "1-URGENT", ".test.").otherwise("."), F.lit("ts")).alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"))
+    customers = _t(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"))
+    return graph.related_tests(orders.unionAll(customers).withColumn("relation", F.lit("imports")), _starts(spark, "n3", "n7"))
+
+
+@query(f"WITH RECURSIVE {FK}, r AS (SELECT n_nationkey AS origin, 'nation:' || n_nationkey AS node, 0 AS depth FROM nation UNION SELECT r.origin, fk.src, depth + 1 FROM fk JOIN r ON fk.dst = r.node) SELECT origin, node, min(depth)::INTEGER AS depth FROM r GROUP BY ALL")
+def multi_source_closure(spark, d):
+    return graph.closure(fk_edges(spark, d), _t(spark, d, "nation").select(F.col("n_nationkey").alias("origin"), _node("nation", "n_nationkey").alias("node")))
+
+
+def _part_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suppliers as files, what they deliver as symbols by part size, links from customers' nations to suppliers'."""
+    files = _t(spark, d, "supplier").select(F.concat(F.lit("s/"), F.col("s_suppkey")).alias("path"), F.col("s_name").alias("summary"), (F.col("s_acctbal") < 0).alias("stale"))
+    kind = F.when(F.col("l_quantity") < 10, "function").when(F.col("l_quantity") < 20, "class").when(F.col("l_quantity") < 30, "const").otherwise("other")
+    symbols = _t(spark, d, "lineitem").select(F.concat(F.lit("s/"), F.col("l_suppkey")).alias("path"), kind.alias("type"))
+    s = _t(spark, d, "supplier")
+    edges = s.join(s.select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("to")), F.col("s_nationkey") + 1 == F.col("n")).select(F.concat(F.lit("s/"), "s_suppkey").alias("src"), F.concat(F.lit("s/"), "to").alias("dst"), F.lit("imports").alias("relation"))
+    return files, symbols, edges
+
+
+SUP = "e AS (SELECT 's/' || a.s_suppkey AS src, 's/' || b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_nationkey + 1 = b.s_nationkey)"
+
+
+@query(f"""WITH {SUP}, c AS (SELECT 's/' || l_suppkey AS path, count(*) AS n, count(*) FILTER (l_quantity < 10) AS f, count(*) FILTER (l_quantity >= 10 AND l_quantity < 20) AS k, count(*) FILTER (l_quantity >= 20 AND l_quantity < 30) AS v FROM lineitem GROUP BY 1)
+SELECT 's/' || s_suppkey AS id, s_suppkey::VARCHAR AS label, s_name AS summary, s_acctbal < 0 AS stale, coalesce(n, 0) AS "symbolCount", coalesce(f, 0) AS functions, coalesce(k, 0) AS classes, coalesce(v, 0) AS variables
+FROM supplier LEFT JOIN c ON path = 's/' || s_suppkey WHERE 's/' || s_suppkey IN (SELECT src FROM e UNION SELECT dst FROM e)""")
+def graph_nodes(spark, d):
+    files, symbols, edges = _part_files(spark, d)
+    return graph.graph_nodes(edges, files, symbols).select("id", "label", "summary", "stale", "symbolCount", "breakdown.*")
+
+
+@query(f"WITH {SUP} SELECT src AS source, dst AS target FROM e")
+def graph_links(spark, d):
+    return graph.graph_links(_part_files(spark, d)[2])
+
+
+@query(f"WITH {FK} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM fk UNION ALL SELECT dst FROM fk) GROUP BY node")
+def degree(spark, d):
+    return graph.degrees(fk_edges(spark, d))
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM documents WHERE n_chars < 500) AS stale, (SELECT count(*) FROM lineitem) AS symbols, (SELECT count(*) FROM orders) AS edges, (SELECT count(*) FROM events) AS tasks, (SELECT count(*) FROM part) AS rules")
+def stats(spark, d):
+    docs = _t(spark, d, "documents").select((F.col("n_chars") < 500).alias("stale"))
+    return views.stats(docs, *(_t(spark, d, t) for t in ("lineitem", "orders", "events", "part")))
+
+
+@query("""WITH f AS (SELECT 'c/' || lpad(c_custkey::VARCHAR, 9, '0') AS path, c_custkey, c_name FROM customer ORDER BY 1 LIMIT 50) SELECT path, c_name AS summary, count(o_orderkey) AS n, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS names FROM f LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
+def memory_graph(spark, d):
+    path = lambda c: F.concat(F.lit("c/"), F.lpad(F.col(c).cast("string"), 9, "0")).alias("path")
+    files = _t(spark, d, "customer").select(path("c_custkey"), F.col("c_name").alias("summary"))
+    symbols = _t(spark, d, "orders").select(path("o_custkey"), F.col("o_orderkey").cast("int").alias("start_line"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderstatus").alias("type"))
+    out = views.memory(files, symbols)
+    return out.select("path", "summary", F.size("symbols").cast("long").alias("n"), F.array_join("symbols.name", ",").alias("names"))
+
+
+STOP = "', '".join(STOP_WORDS)
+
+
+@query(f"""SELECT conv_id, turn, len(k)::INTEGER AS n, array_to_string(k, ' ') AS words FROM (SELECT conv_id, turn, [w for w in regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+') if length(w) > 2 AND w NOT IN ('{STOP}')] AS k FROM conversations)""")
+def keyword_tokenize(spark, d):
+    k = rank.keywords(F.col("text"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.size(k).alias("n"), F.array_join(k, " ").alias("words"))
+
+
+TASK = "fix the red widget and the blue bolt, RED ring zzz"
+KW = "kw AS (SELECT unnest(['red', 'widget', 'blue', 'bolt', 'red', 'ring', 'zzz']) AS kw)"
+IDF = f"{KW}, idf AS (SELECT kw, ln((SELECT greatest(count(*), 1) FROM part)::DOUBLE / (greatest(count(p_partkey), 1) + 1)) + 1 AS idf FROM (SELECT DISTINCT kw FROM kw) LEFT JOIN part ON p_name ILIKE '%' || kw || '%' GROUP BY kw)"
+SCORES = f"""{IDF}, w AS (SELECT kw, idf FROM kw JOIN idf USING (kw)), s AS (SELECT p_partkey AS path, 10 * idf AS score FROM part JOIN w ON p_name ILIKE '%' || kw || '%'
+  UNION ALL SELECT ps.p_partkey, 5 * idf FROM (SELECT p_partkey, 'ring ' || p_type AS name FROM part) ps JOIN w ON name ILIKE '%' || kw || '%' UNION ALL SELECT p_partkey, 2 * idf FROM part JOIN w ON p_brand || ' ' || p_name ILIKE '%' || kw || '%'),
+t AS (SELECT path, sum(score) AS score FROM s GROUP BY path)"""
+
+
+def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as files, scored by name; (key, path, summary), symbols (path, name), weighted words of TASK."""
+    part = _t(spark, d, "part")
+    files = part.select("p_partkey", F.col("p_name").alias("path"), F.concat_ws(" ", "p_brand", "p_name").alias("summary"))
+    kw = spark.createDataFrame([(w,) for w in rank.tokenize(TASK)], "kw string")
+    return files, part.select("p_partkey", F.concat(F.lit("ring "), "p_type").alias("name")), kw.join(rank.idf(files, kw), "kw")
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    files, symbols, w = _parts(spark, d)
+    like = lambda c: F.expr(f"{c} ilike concat('%', kw, '%')")
+    w = F.broadcast(w)
+    out = files.join(w, like("path")).select("p_partkey", (10 * F.col("idf")).alias("score"))
+    out = out.unionAll(symbols.join(w, like("name")).select("p_partkey", 5 * F.col("idf")))
+    return out.unionAll(files.join(w, like("summary")).select("p_partkey", 2 * F.col("idf"))).withColumnRenamed("p_partkey", "path")
+
+
+@query(f"WITH {IDF} SELECT kw, round(idf, 6) AS idf FROM idf")
+def keyword_idf(spark, d):
+    files = _t(spark, d, "part").select(F.col("p_name").alias("path"))
+    kw = spark.createDataFrame([(w,) for w in rank.tokenize(TASK)], "kw string")
+    return rank.idf(files, kw).select("kw", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {SCORES} SELECT path, round(score, 6) AS score FROM t")
+def keyword_score(spark, d):
+    return _scores(spark, d).groupBy("path").agg(F.round(F.sum("score"), 6).alias("score"))
+
+
+@query(f"WITH {SCORES}, u AS (SELECT path, round(score, 6) AS score FROM t) SELECT path, score FROM u WHERE score >= 0.4 * (SELECT max(score) FROM u) ORDER BY score DESC, path LIMIT 10")
+def relative_prune(spark, d):
+    rounded = _scores(spark, d).groupBy("path").agg(F.round(F.sum("score"), 6).alias("score"))
+    return rank.ranked(rounded)
+
+
+QV = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)"
+
+
+def _query_vector(spark: SparkSession, d: str) -> DataFrame:
+    return F.broadcast(_t(spark, d, "embeddings").where("vec_id = 7").select(F.col("embedding").alias("q")))  # one row
+
+
+def _hits(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
+    return nearest(_t(spark, d, "embeddings").crossJoin(_query_vector(spark, d)), F.col("q"), k, "vec_id")
+
+
+@query(f"SELECT vec_id, round(list_cosine_distance(embedding::DOUBLE[], {QV}), 6) AS distance FROM embeddings ORDER BY list_cosine_distance(embedding::DOUBLE[], {QV}), vec_id LIMIT 10")
+def semantic_topk(spark, d):
+    return _hits(spark, d).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT vec_id, round(greatest(0, 1 - list_cosine_distance(embedding::DOUBLE[], {QV})) * 15, 5) AS score FROM embeddings WHERE greatest(0, 1 - list_cosine_distance(embedding::DOUBLE[], {QV})) >= 0.25")
+def semantic_floor(spark, d):
+    near = _t(spark, d, "embeddings").crossJoin(_query_vector(spark, d)).select(F.col("vec_id").alias("path"), cosine_distance(F.col("embedding"), F.col("q")).alias("distance"))
+    return rank.semantic_contributions(near).select(F.col("path").alias("vec_id"), F.round("score", 5).alias("score"))
+
+
+@query(f"""WITH {SCORES}, h AS (SELECT vec_id AS path, 1 - list_cosine_distance(embedding::DOUBLE[], {QV}) AS sim FROM embeddings ORDER BY sim DESC, vec_id LIMIT 10),
+a AS (SELECT path, score FROM s UNION ALL SELECT path, 15 * greatest(0, sim) FROM h WHERE sim >= 0.25) SELECT path, round(sum(score), 5) AS score FROM a GROUP BY path""")
+def hybrid_score(spark, d):
+    semantic = rank.semantic_contributions(_hits(spark, d).withColumnRenamed("vec_id", "path"))
+    return _scores(spark, d).unionAll(semantic).groupBy("path").agg(F.round(F.sum("score"), 5).alias("score"))
+
+
+@query(f"WITH {KW} SELECT p_partkey AS id, p_name AS name, p_type AS description FROM part WHERE EXISTS (SELECT 1 FROM kw WHERE p_name ILIKE '%' || kw || '%' OR p_type ILIKE '%' || kw || '%')")
+def rules_match(spark, d):
+    rules = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"))
+    return rank.matching_rules(rules, spark.createDataFrame([(w,) for w in rank.tokenize(TASK)], "kw string"))
+
+
+@query("SELECT event_id AS id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def recent_tasks(spark, d):
+    events = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), "user_id", "event_type")
+    return memory.recent(events).select("id", "user_id", "event_type")
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS severity, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::INTEGER AS place FROM orders QUALIFY place <= 3")
+def top_rules(spark, d):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
+    return _t(spark, d, "orders").withColumn("place", F.row_number().over(w)).where("place <= 3").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("severity"), "place")
+
+
+WORDS = "b AS (SELECT source AS path, unnest(string_split(text, ' ')) AS name FROM documents WHERE lang = 'es'), a AS (SELECT source AS path, unnest(string_split(text, ' ')) AS name FROM documents WHERE lang = 'fr')"
+
+
+@query(f"WITH {WORDS} SELECT path, 'added' AS change, name FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.path = a.path AND b.name = a.name) UNION ALL SELECT DISTINCT path, 'removed', name FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.path = a.path AND b.name = a.name)")
+def symbol_diff(spark, d):
+    words = lambda lang: _t(spark, d, "documents").where(F.col("lang") == lang).select(F.col("source").alias("path"), F.explode(F.split("text", " ")).alias("name"))
+    return changes.symbol_diff(words("es"), words("fr"))
+
+
+@query("""WITH p AS (SELECT p_brand, p_partkey, p_name, p_type, row_number() OVER (PARTITION BY p_brand, p_size < 25 ORDER BY p_partkey) AS r FROM part WHERE TRUE),
+g AS (SELECT p_brand, string_agg(p_name, ', ' ORDER BY p_partkey) FILTER (p_size < 25) AS s, string_agg(p_name, ', ' ORDER BY p_partkey) FILTER (p_size >= 25 AND r <= 5) AS f, string_agg(p_type, ', ' ORDER BY p_partkey) FILTER (q <= 5) AS i
+  FROM (SELECT p.*, part.p_size, row_number() OVER (PARTITION BY p.p_brand ORDER BY p.p_partkey) AS q FROM p JOIN part USING (p_partkey)) GROUP BY p_brand),
+l AS (SELECT p_brand, concat_ws(' ', 'Core structures: ' || s || '.', 'Key logic: ' || f || '.', 'Integrates with: ' || i || '.') AS t FROM g) SELECT p_brand AS brand, CASE WHEN length(t) > 500 THEN t[1:497] || '...' ELSE t END AS gist FROM l""")
+def gist_by_brand(spark, d):
+    part = _t(spark, d, "part")
+    entry = F.struct("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_size") < 25, "class").otherwise("function").alias("type"), F.concat(F.lit("lib/"), "p_type").alias("source"))
+    rows = part.groupBy(F.col("p_brand").alias("brand")).agg(F.sort_array(F.collect_list(entry)).alias("s"))
+    return rows.select("brand", gist(F.col("s"), F.col("s")).alias("gist"))
+
+
+@query("""SELECT page_id, CASE WHEN n LIKE 'index.%' AND len(p) > 1 THEN p[-2] || '/' || n ELSE n END AS label FROM (SELECT page_id, string_split(u, '/') AS p, string_split(u, '/')[-1] AS n FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url || '/index.html' ELSE url END AS u FROM pages))""")
+def label_basename(spark, d):
+    pages = _t(spark, d, "pages").withColumn("path", F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("/index.html"))).otherwise(F.col("url")))
+    return pages.select("page_id", graph.graph_label(F.col("path")).alias("label"))
+
+
+@query("""WITH x AS (SELECT *, epoch_us(ts) AS us FROM events), g AS (SELECT *, CASE WHEN us - lag(us) OVER w <= 3600000000 THEN 0 ELSE 1 END AS fresh FROM x WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id) AS run FROM g) SELECT user_id::VARCHAR AS path, arg_max(event_type, us) AS event, max(us) AS last_us, count(*) AS n FROM s GROUP BY user_id, run""")
+def watch_debounce(spark, d):
+    events = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("event"), F.col("ts").cast("timestamp").alias("ts"))
+    return watch.debounced(events, 3_600_000).select("path", "event", F.unix_micros("ts").alias("last_us"), "n")
+
+
+@query("SELECT user_id::VARCHAR AS path, arg_max(event_type, ts) AS event, epoch_us(max(ts)) AS last_us FROM events GROUP BY user_id")
+def watch_last_event(spark, d):
+    events = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("event"), F.col("ts").cast("timestamp").alias("ts"))
+    return watch.last_events(events).select("path", "event", F.unix_micros("ts").alias("last_us"))
+
+
+@query("SELECT source, bool_or(quality = 0) AS warned, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def stale_warning(spark, d):
+    j = _t(spark, d, "documents").select("doc_id", "source").join(_t(spark, d, "labels"), "doc_id")
+    return j.groupBy("source").agg(F.bool_or(F.col("quality") == 0).alias("warned"), F.count("*").alias("n"))
+
+
+@query("SELECT round(avg(CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 6) AS percent FROM labels")
+def fixture_pass_rate(spark, d):
+    return views.pass_rate(_t(spark, d, "labels").select((F.col("quality") == 1).alias("passed"))).select(F.round("percent", 6).alias("percent"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 500 THEN text[1:497] || '...' ELSE text END AS summary FROM documents")
+def summary_cap(spark, d):
+    return _t(spark, d, "documents").select("doc_id", shortened(F.col("text")).alias("summary"))
+
+
+@query(f"""WITH RECURSIVE {FK}, {SCORES}, c AS (SELECT path, score FROM (SELECT path, round(score, 6) AS score FROM t) WHERE score >= 0.4 * (SELECT max(round(score, 6)) FROM t) ORDER BY score DESC, path LIMIT 10),
+k AS (SELECT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst FROM lineitem UNION SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey FROM supplier), r AS (SELECT path AS origin, 'part:' || path AS node FROM c UNION SELECT r.origin, k.src FROM k JOIN r ON k.dst = r.node)
+SELECT origin AS part, count(*) - 1 AS reached, max(c.score) AS score FROM r JOIN c ON c.path = r.origin GROUP BY origin""")
+def context_pack(spark, d):
+    """The best parts of a task, and how much their change reaches."""
+    top = relative_prune(spark, d)
+    supplied = _t(spark, d, "lineitem").select(_node("supplier", "l_suppkey").alias("src"), _node("part", "l_partkey").alias("dst")).distinct()
+    nations = _t(spark, d, "supplier").select(_node("nation", "s_nationkey"), _node("supplier", "s_suppkey"))
+    reached = graph.closure(supplied.unionAll(nations), top.select(F.col("path").alias("origin"), _node("part", "path").alias("node")))
+    counts = reached.groupBy(F.col("origin").alias("part")).agg((F.count("*") - 1).alias("reached"))
+    return counts.join(F.broadcast(top), counts["part"] == top["path"]).select("part", "reached", "score")
