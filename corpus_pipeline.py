@@ -24,14 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     verdicts = classify(docs, table(spark, sf_dir, "labels"))
     rejected = small(written(verdicts.where("not keep").select(F.col("id").alias("_id"), F.col("x").alias("_x")), "rejected"), BROADCAST_ROWS)
-    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_x"))
+    here = docs["doc_id"].cast("long").eqNullSafe(rejected["_id"]) & (F.xxhash64(docs["text"]) == rejected["_x"])
     return docs.join(rejected, here, "left_anti")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier one repeats go, exactly or within an edit."""
-    out = dedup_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return dedup_lines(docs).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

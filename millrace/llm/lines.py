@@ -209,7 +209,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without lines that an earlier one repeats; adds n_lines, n_removed, n_near.
+    """(row, n_lines, n_removed, n_near): rows of ``docs`` without lines that an earlier one repeats; n_chars follows the text.
 
     Lines are compared without the white space around them.  A line of
     MIN_CHARS characters or more goes if the same line, or one within the edit
@@ -218,15 +218,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines all go keeps an empty text.  Rows of one id are one document in this:
     repeated rows lose the same lines.
     """
-    gone = removals(docs, id_col, text_col)
-    out = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["d"]), "left").drop("d")
-    lines = F.split(F.col(text_col), "\n", -1)
+    gone = removals(docs, id_col, text_col).select(F.col("d").alias("_d"), "gone", "near")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.struct(*docs.columns).alias("row"))
+    out = rows.join(gone, F.col("_id").eqNullSafe(F.col("_d")), "left")
+    text = F.col("row").getField(text_col)
+    lines = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("gone", i)), "\n")
-    n = F.when(F.length(text_col) > 0, F.size(lines)).otherwise(0).cast("long")
-    out = out.withColumn("n_lines", n).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("n_near", F.coalesce("near", F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept)).drop("gone", "near")
+    row = F.when(F.col("gone").isNull(), F.col("row")).otherwise(F.col("row").withField(text_col, kept))
+    if "n_chars" in docs.columns:
+        row = F.when(F.col("gone").isNull(), F.col("row")).otherwise(row.withField("n_chars", F.length(kept).cast("long")))
+    n = F.when(F.length(text) > 0, F.size(lines)).otherwise(0).cast("long")
+    counts = {"n_lines": n, "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), "n_near": F.coalesce("near", F.lit(0)).cast("long")}
+    return out.select(row.alias("row"), *[c.alias(k) for k, c in counts.items()])
 
 
 def op7_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed", "n_near", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_crc32"))
+    return out.select("row.doc_id", "n_lines", "n_removed", "n_near", F.crc32(F.coalesce("row.text", F.lit("")).cast("binary")).alias("kept_crc32"))

@@ -42,8 +42,8 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """How many words of each row the mix takes; adds size, source_size, target, whole, part, taken.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS, seed: str = SEED, carry: bool = False) -> DataFrame:
+    """How many words of each row the mix takes: (id, source, size, source_size, target, whole, part, taken), and the whole row if ``carry``.
 
     Every document of a source is taken as many whole times as the target over
     the source's size allows; what is left of the target goes to documents in
@@ -52,16 +52,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     are its target rounded to whole words.  A null source is a source of its
     own.  Documents without words take nothing; repeated rows count one by one.
     """
-    sized = docs.withColumn("size", word_count(F.col(text_col)))
-    sources = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
+    facts = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("x")]
+    sized = docs.select(*facts, *([F.struct(*docs.columns).alias("row")] if carry else []))
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = water_fill(sources, max_epochs).withColumnRenamed("source", "_source")
-    plan = plan.withColumn("_goal", F.round("target").cast("long")).withColumn("whole", F.when(F.col("source_size") > 0, F.expr("_goal div source_size")).otherwise(F.lit(0)))
-    plan = plan.withColumn("_rest", F.col("_goal") - F.col("whole") * F.col("source_size"))
-    order = F.xxhash64(F.col(id_col), F.lit(seed))
-    ranked = running_sum(sized.withColumn("_x", F.xxhash64(F.col(text_col))), F.col("size"), order, [id_col, "size", "_x"], [source_col], "_before")
-    out = ranked.join(plan, ranked[source_col].eqNullSafe(plan["_source"])).drop("_source", "_x")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before")))
-    return out.withColumn("part", part).withColumn("taken", F.col("whole") * F.col("size") + F.col("part")).drop("_before", "_rest", "_goal")
+    plan = plan.withColumn("goal", F.round("target").cast("long")).withColumn("whole", F.when(F.col("source_size") > 0, F.expr("goal div nullif(source_size, 0)")).otherwise(F.lit(0)))
+    plan = plan.withColumn("rest", F.col("goal") - F.col("whole") * F.col("source_size"))
+    order = F.xxhash64("id", F.lit(seed))
+    ranked = running_sum(sized, F.col("size"), order, ["id", "size", "x"], ["source"], "before")
+    out = ranked.join(plan, ranked["source"].eqNullSafe(plan["_source"])).drop("_source", "x")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
+    return out.withColumn("part", part).withColumn("taken", F.col("whole") * F.col("size") + F.col("part")).drop("before", "rest", "goal")
 
 
 def repeated(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
@@ -69,20 +70,20 @@ def repeated(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
 
     Only a document cut short has its text changed: to its first words, as they stood.
     """
-    cols = docs.columns
-    m = mix(docs, text_col=text_col, **kw).where("taken > 0")
+    m = mix(docs, text_col=text_col, carry=True, **kw).where("taken > 0")
     cut = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>"))
     n = (F.col("whole") + (F.col("part") == F.col("size")).cast("long")).cast("int")
-    copies = F.concat(F.array_repeat(F.col("size"), n), cut)
-    m = m.select(*cols, "size", F.explode(copies).alias("_words"))
+    m = m.select("row", "size", F.explode(F.concat(F.array_repeat(F.col("size"), n), cut)).alias("words"))
+    short, text = F.col("words") < F.col("size"), F.col("row").getField(text_col)
     # The words and the gaps before them, as they stood.
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col("_words").cast("int")), "")
-    m = m.withColumn(text_col, F.when(F.col("_words") < F.col("size"), head).otherwise(F.col(text_col)))
-    if "n_chars" in cols:
-        m = m.withColumn("n_chars", F.when(F.col("_words") < F.col("size"), F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return m.select(*cols)
+    pieces = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    head = F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")
+    row = F.when(short, F.col("row").withField(text_col, head)).otherwise(F.col("row"))
+    if "n_chars" in docs.columns:
+        row = F.when(short, row.withField("n_chars", F.length(head).cast("long"))).otherwise(F.col("row"))
+    return m.select(row.alias("row")).select("row.*")
 
 
 def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
