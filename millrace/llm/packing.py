@@ -44,8 +44,17 @@ def cuts(ends: np.ndarray, costs: np.ndarray, length: int = LENGTH) -> list[int]
         p = pos[j]
         while queue[0][1] < p - length:
             queue.popleft()
-        value, _, back[j] = queue[0]
-        value = value + cost[j] + (length - p if j < n - 1 else -p)
+        if j < n - 1:
+            value, _, back[j] = queue[0]
+            value += cost[j] + length - p
+        else:  # no padding: the best alone counts, among the cuts that the last window can reach
+            value, back[j] = 0.0 if p <= length else float("inf"), -1
+            for i in range(j - 1, -1, -1):
+                if pos[i] < p - length:
+                    break
+                if best[i] < value:
+                    value, back[j] = best[i], i
+            value += cost[j]
         best[j] = value
         key = value + p
         while queue and queue[-1][0] >= key:
