@@ -18,13 +18,14 @@ def closure(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) ->
     drops out, so cycles end.  Every level is written to the shared folder, which
     cuts the lineage.
     """
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
+    # Written once: every level reads it, and where edges come from may be a long plan.
+    back = materialized(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct(), "edges")
     frontier = materialized(starts.select("origin", "node").distinct().withColumn("depth", F.lit(0)), "level")
     visited = frontier
     for depth in range(1, max_depth + 1):
         met = frontier.select("origin", "node").join(back, "node").select("origin", F.col("next").alias("node")).distinct()
         frontier = materialized(met.join(visited, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)), "level")
-        if not frontier.limit(1).count():
+        if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
     return visited
