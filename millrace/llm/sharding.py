@@ -18,7 +18,7 @@ def _capped(moves: DataFrame, room: DataFrame, by: str) -> DataFrame:
     return ranked.join(F.broadcast(room), by).where(F.col("_before") + F.col("n") <= F.col("room")).drop("_before", "room")
 
 
-def propagate(units: DataFrame, quota: int, rounds: int = ROUNDS) -> DataFrame:
+def propagate(units: DataFrame, quota: int, rounds: int = ROUNDS, shards: int = SHARDS) -> DataFrame:
     """Moves ``units`` (g, home, n, label) to their neighbours' shards; returns (g, home, n, label).
 
     A unit is the part of one group of linked documents that began on one
@@ -28,10 +28,10 @@ def propagate(units: DataFrame, quota: int, rounds: int = ROUNDS) -> DataFrame:
     unit moves.
     """
     spark = units.sparkSession
-    shards = spark.range(SHARDS).select(F.col("id").cast("int").alias("label"))
+    labels = spark.range(shards).select(F.col("id").cast("int").alias("label"))
     for _ in range(rounds):
         load = units.groupBy("label").agg(F.sum("n").alias("load"))
-        room = shards.join(load, "label", "left").select("label", (F.lit(quota) - F.coalesce("load", F.lit(0))).alias("room"))
+        room = labels.join(load, "label", "left").select("label", (F.lit(quota) - F.coalesce("load", F.lit(0))).alias("room"))
         held = units.groupBy("g", "label").agg(F.sum("n").alias("held"))
         open_ = held.join(F.broadcast(room), "label").where("room > 0")
         best = open_.groupBy("g").agg(F.max(F.struct("held", (-F.col("label")).alias("neg"))).alias("best")).select("g", F.col("best.held").alias("most"), (-F.col("best.neg")).alias("target"))
@@ -56,8 +56,6 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
 
     Returns (id, size, text_crc32, law, shard, slot, grown_shard).
     """
-    if shards != SHARDS:
-        raise ValueError(f"built for {SHARDS} shards")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -72,7 +70,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     linked = rows.where("g is not null").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     parts = rows.where("g is not null").groupBy("g", "home").agg(F.count("*").alias("n"))
     units = written(parts.join(linked, "g", "left_semi").withColumn("label", F.col("home")), "units")
-    units = propagate(units, quota, rounds)
+    units = propagate(units, quota, rounds, shards)
     # What a shard holds beyond its quota loses its place, so that counts come out even.
     room = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("label"), F.lit(quota).alias("room"))
     units = written(_capped(units, room, "label").select("g", "home", "label"), "placed")
