@@ -18,6 +18,8 @@ from millrace.llm.simhash import near_duplicates
 
 #: Bits in which fingerprints of near copies may differ in this pipeline.
 RADIUS = 3
+#: Words a Python worker remembers here, where workers of earlier stages live on.
+REMEMBERED = 250_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences."""
-    return pack(docs)
+    return pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("simhash near-dedup", near_copies), ("mixing sources", mixture), ("packing", sequences)]

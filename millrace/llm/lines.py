@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import short_batches, small, table, written
 
 #: Edits up to which lines are near; a line is split into one segment more.
 THRESHOLD = 1
@@ -198,6 +198,7 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, gone, near): per id the numbers of the lines to remove, and how many of them are near copies only."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     where = written(rows.mapInArrow(_occurrences, "d bigint, i int, h bigint"), "occurrences")
     first = where.groupBy("h").agg(F.min(F.struct("d", "i")).alias("o"), F.count("*").alias("n"))

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .tokens import encoder, tokenizer_path
+from .common import short_batches, table
+from .tokens import REMEMBERED, encoder, tokenizer_path
 
 LENGTH = 1024
 END = 0
@@ -85,11 +85,11 @@ def plan(ids: np.ndarray, lengths: list[int], sentence_end: np.ndarray, length:
     return at[cuts(at, cost, length)]
 
 
-def _pieces(path: str, end: int, length: int):
+def _pieces(path: str, end: int, length: int, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        e = encoder(path)
+        e = encoder(path, remembered)
         tail, sequence = int(end).to_bytes(4, "little"), TaskContext.get().partitionId() << 40
         # Documents of this plan: id, tokens in all, where in the document the held ids start, the held ids.
         held: list[tuple[int | None, int, int, np.ndarray]] = []
@@ -133,7 +133,7 @@ def _pieces(path: str, end: int, length: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END, length: int = LENGTH, remembered: int = REMEMBERED) -> DataFrame:
     """Packs all rows, in the order they are stored in, into sequences of ``length`` tokens at most.
 
     Every partition of the table is packed as it stands, without a shuffle, so
@@ -143,8 +143,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     text counts as empty and has the end id only; repeated rows are packed one
     by one; an empty table gives no pieces.  Returns one row per piece.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return rows.mapInArrow(_pieces(path or tokenizer_path(), end, length), PIECES).withColumnRenamed("doc_id", id_col)
+    return rows.mapInArrow(_pieces(path or tokenizer_path(), end, length, remembered), PIECES).withColumnRenamed("doc_id", id_col)
 
 
 def op5_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

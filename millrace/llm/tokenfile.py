@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, shared_folder, table
+from .common import partitions, shared_folder, short_batches, table
 from .tokens import encoder, tokenizer_path
 
 BLOCK = 1024
@@ -146,6 +146,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     A null text counts as empty and has the end id only; a null id comes first.
     Rows of equal id follow each other by text.  An empty table gives no chunks.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "d").sortWithinPartitions("d", "t")
     rows.mapInArrow(_chunks(path or tokenizer_path(), end, percentile), CHUNK_SCHEMA).write.parquet(folder)

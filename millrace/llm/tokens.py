@@ -33,8 +33,9 @@ class Encoder:
     before it has the same ids wherever it stands, and is encoded once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.remembered = remembered
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -69,7 +70,7 @@ class Encoder:
                     self.tails[tail] = self._whole([tail])[0]
                 out[w] = ids + self.tails[tail]
         out.update(zip(rest, self._whole([" " + w for w in rest])))
-        if len(known) < REMEMBERED:
+        if len(known) < self.remembered:
             known.update(out)
         return out
 
@@ -106,6 +107,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder for each Python worker, kept over its tasks."""
-    return Encoder(path)
+    return Encoder(path, remembered)
