@@ -12,6 +12,7 @@ from ..constants import DEBOUNCE_MS, WATCHED_EXTENSIONS
 from ..operators import changes as ch
 from ..schema import EVENTS
 from ..session import Index
+from ..sources.store import materialized
 from ..sources.tree import extension
 
 NAME = "millrace-watch"
@@ -46,8 +47,7 @@ def applied(index: Index, batch: DataFrame, report: Callable[[DataFrame, DataFra
     kept = last.where("event <> 'unlink'").select("path")
     if not kept.limit(1).count():
         return
-    before = index.table("symbols").join(kept, "path", "left_semi")
-    before = index.spark.createDataFrame(before.toArrow()) if report else before  # of the batch's files only
+    before = materialized(index.table("symbols").join(kept, "path", "left_semi"), "symbols") if report else None
     index.refresh(index.scan().join(kept, "path", "left_semi"), partial=True)
     if report:
         after = index.table("symbols").join(kept, "path", "left_semi")
