@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import short_batches, small, table, written
 
 LENGTH = 200
 #: Bytes of an anchor; a string of LENGTH bytes has LENGTH - GRAM + 1 of them to choose from.
 GRAM = 64
 #: Bytes looked at together.
 BUFFER = 1 << 19
+#: Rows of a batch taken as Python objects at once.
+ROWS = 256
 #: Passages sorted together, about, and the most that share an anchor; beyond, their strings are counted by hash.
 TOGETHER, MOST = 4096, 1 << 15
 BROADCAST_ROWS = 1_500_000
@@ -200,11 +202,17 @@ def _sorted(rows: pd.DataFrame) -> pd.DataFrame:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the passages wanted of each text."""
     for batch in batches:
-        for row in batch.to_pylist():
-            text, wanted = row["text"], row["wanted"]
-            cols = [[w[k] for w in wanted] for k in ("h", "g", "l", "n", "k")]
-            data = [text[w["s"] : w["s"] + w["n"] + LENGTH - 1] for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, data], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["h", "g", "l", "n", "k", "bytes"])
+        for lo in range(0, batch.num_rows, ROWS):
+            texts, lists = batch.column(0).slice(lo, ROWS), batch.column(1).slice(lo, ROWS)
+            flat = lists.flatten()  # arrays, as Python objects for every passage would take much more room
+            of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            s, n = flat.field("s").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False)
+            data, row, text = [], -1, b""
+            for i, a, b in zip(of.tolist(), s.tolist(), (s + n + LENGTH - 1).tolist()):
+                if i != row:
+                    row, text = i, texts[i].as_py()
+                data.append(text[a:b])
+            yield pa.RecordBatch.from_arrays([*(flat.field(k) for k in ("h", "g", "l", "n", "k")), pa.array(data, pa.binary())], names=["h", "g", "l", "n", "k", "bytes"])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +232,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     ``texts`` may have a text several times; a text that does is removed as a
     whole by the caller.
     """
-    spark = texts.sparkSession
+    short_batches(texts.sparkSession)
     counts = texts.mapInArrow(_anchor_hashes, "h bigint").groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     alive = small(written(counts, "anchors"), BROADCAST_ROWS)
     places = texts.mapInArrow(_passages, "h bigint, x bigint, c bigint, s bigint, n int, l int, g bigint")
@@ -250,44 +258,55 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return marked.where("m > 1 or runs is not null").select("x", "c", F.explode(spans).alias("span")).groupBy("x", "c").agg(F.collect_list("span").alias("spans"))
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.select(["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) for b in _removed(batches))
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, copied, spans in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            b = text.as_py() or b""
-            if copied and len(b) >= LENGTH:
-                spans = [{"lo": 0, "hi": len(b)}]
-            merged: list[list[int]] = []
-            for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
-                if merged and lo <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], hi)
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(start, ROWS)
+            out = []
+            for text, copied, spans in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
+                b = text.as_py() or b""
+                if copied and len(b) >= LENGTH:
+                    merged = [[0, len(b)]]
                 else:
-                    merged.append([lo, hi])
-            at, kept = 0, []
-            for lo, hi in merged:
-                kept.append(b[at:lo])
-                at = hi
-            kept = b"".join([*kept, b[at:]])
-            out.append((len(b), len(b) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
-        cols = list(zip(*out)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    merged = []
+                    inner = spans.values
+                    pairs = [] if inner is None else zip(inner.field("lo").to_pylist(), inner.field("hi").to_pylist())
+                    for lo, hi in sorted(pairs):
+                        if merged and lo <= merged[-1][1]:
+                            merged[-1][1] = max(merged[-1][1], hi)
+                        else:
+                            merged.append([lo, hi])
+                at, kept = 0, []
+                for lo, hi in merged:
+                    kept.append(b[at:lo])
+                    at = hi
+                kept = b"".join([*kept, b[at:]])
+                out.append((len(b), len(b) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
+            cols = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """Removes every byte of a string of LENGTH bytes that also starts anywhere else; one row per row of ``docs``.
 
     Texts are UTF-8 bytes, a null text is empty; strings do not cross texts.
     Of repeated rows and copies nothing is left if they have LENGTH bytes.  All
     strings are judged on the input.  Returns (id, n_bytes, n_removed, n_spans,
-    kept_sha256, kept), where ``kept`` has the bytes that stay.
+    kept_sha256, kept), where ``kept`` has the bytes that stay; it is left out if not ``keep``.
     """
     b = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(b).alias("x"), (F.crc32(b) + F.length(b) * (1 << 32)).alias("c"), b.alias("text"))
     spans = repeated_spans(rows.select("x", "c", "text"))
     copies = rows.groupBy("x", "c").agg(F.count("*").alias("m")).where("m > 1").select("x", "c", F.lit(True).alias("copied"))
     out = rows.join(copies, ["x", "c"], "left").join(spans, ["x", "c"], "left").select("id", "text", F.coalesce("copied", F.lit(False)), "spans")
-    return out.mapInArrow(_removed, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
+    shape = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    out = out.mapInArrow(_removed, f"{shape}, kept binary") if keep else out.mapInArrow(_digested, shape)
+    return out.withColumnRenamed("id", id_col)
 
 
 def op3_column_sorted_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), keep=False)
