@@ -252,10 +252,12 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         twice = strings.groupBy("h", "digest").agg(F.count("*").alias("m")).where("m > 1").select("h", "digest")
         single = strings.join(twice, ["h", "digest"]).groupBy("h", "g").agg(F.transform(F.collect_list("i"), lambda i: F.struct(i.alias("a"), i.alias("b"))).alias("runs"))
         runs = runs.unionByName(single)
-    marked = places.join(kinds.select("h", "g", "m"), ["h", "g"]).join(runs, ["h", "g"], "left")
+    # Written, so that Spark sees two plain sides and can split the places of a passage that is everywhere.
+    verdicts = written(kinds.select("h", "g", "m").join(runs, ["h", "g"], "left").where("m > 1 or runs is not null"), "verdicts")
+    marked = places.join(verdicts, ["h", "g"])
     starts = F.when(F.col("m") > 1, F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b")))).otherwise(F.col("runs"))
     spans = F.transform(starts, lambda r: F.struct((F.col("s") + r["a"]).alias("lo"), (F.col("s") + r["b"] + LENGTH).alias("hi")))
-    return marked.where("m > 1 or runs is not null").select("x", "c", F.explode(spans).alias("span")).groupBy("x", "c").agg(F.collect_list("span").alias("spans"))
+    return marked.select("x", "c", F.explode(spans).alias("span")).groupBy("x", "c").agg(F.collect_list("span").alias("spans"))
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
