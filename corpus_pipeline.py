@@ -9,15 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import shingles
 from millrace.llm.common import small, table, written
 from millrace.llm.lines import dedup_lines
 from millrace.llm.mixing import repeated
 from millrace.llm.packing import pack
 from millrace.llm.quality import BROADCAST_ROWS, classify
-from millrace.llm.simhash import near_duplicates
 
-#: Bits in which fingerprints of near copies may differ in this pipeline.
-RADIUS = 3
 #: Words a Python worker remembers here, where workers of earlier stages live on.
 REMEMBERED = 250_000
 
@@ -37,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of smallest id stays, once."""
-    found = near_duplicates(docs, radius=RADIUS).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    found = shingles.near_copies(docs).where("id <> least_id").select(F.col("id").alias("_id")).distinct()
     copies = small(written(found, "copies"), BROADCAST_ROWS)
     out = docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
@@ -55,7 +53,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, remembered=REMEMBERED)
 
 
-STAGES = [("quality classifier", quality), ("line dedup", lines), ("simhash near-dedup", near_copies), ("mixing sources", mixture), ("packing", sequences)]
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("near-dedup", near_copies), ("mixing sources", mixture), ("packing", sequences)]
 
 #: SQL expresses neither the classifier nor the hashes and tokens.
 ORACLE_SQL = None
