@@ -34,12 +34,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id stays, once."""
-    found = shingles.near_copies(docs).where("id <> least_id").select(F.col("id").alias("_id")).distinct()
-    copies = small(written(found, "copies"), BROADCAST_ROWS)
-    out = docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
+    """Of each group of near copies the document of smallest id and text hash stays, once."""
+    key = lambda d, x, a, b: d.eqNullSafe(a) & (x == b)
+    found = written(shingles.near_copies(docs), "near")
+    stays = key(F.col("id"), F.col("x"), F.col("least_id"), F.col("least_x"))
+    copies = small(written(found.where(~stays).select(F.col("id").alias("_id"), F.col("x").alias("_x")).distinct(), "copies"), BROADCAST_ROWS)
+    text = F.xxhash64(docs["text"])
+    out = docs.join(copies, key(docs["doc_id"].cast("long"), text, copies["_id"], copies["_x"]), "left_anti")
+    again = found.where(stays).groupBy("id", "x").count().where("count > 1")
+    if again.limit(1).count():
+        # Rows of one id and text: one of them stays.
+        again = small(written(again.select(F.col("id").alias("_id"), F.col("x").alias("_x")), "again"), BROADCAST_ROWS)
+        same = lambda d: key(d["doc_id"].cast("long"), F.xxhash64(d["text"]), again["_id"], again["_x"])
+        once = out.join(again, same(out), "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(again, same(out), "left_anti").unionByName(once)
     return out
 
 

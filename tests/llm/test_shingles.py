@@ -52,3 +52,14 @@ def test_every_pair_of_near_copies_is_found(spark):
     assert pairs > 100 and len(want) < len(texts) - 50
     got = corpus_pipeline.near_copies(spark, table(spark, texts), "").select("doc_id").collect()
     assert sorted(r["doc_id"] for r in got) == want
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    """Ids that repeat, and null ids, cost no other text; near copies of null ids go."""
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    a, b, c, d, e = (" ".join(rnd.choices(words, k=60)) for _ in range(5))
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    texts = [(1, a), (1, b), (1, a), (None, c), (None, d), (None, near(a)), (2, e), (3, near(b)), (3, near(e)), (3, "a text of its own")]
+    got = corpus_pipeline.near_copies(spark, table(spark, texts), "").select("doc_id", "text").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, a), (1, b), (None, c), (None, d), (2, e), (3, "a text of its own")]))
