@@ -13,7 +13,7 @@ from .common import short_batches, small, table, written
 
 #: Edits up to which lines are near; a line is split into one segment more.
 THRESHOLD = 1
-#: Shorter lines are left alone: too many differ in a letter and say something else.
+#: Shorter lines go only as exact copies: too many differ in a letter and say something else.
 MIN_CHARS = 20
 #: Groups of lines with a segment in common are compared pair by pair up to this size, and split further beyond.
 PAIRWISE = 64
@@ -73,7 +73,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
             for i, line in enumerate(split_lines(t.as_py())):
                 line = line.strip()
-                if len(line) >= MIN_CHARS:
+                if line:
                     ids.append(d)
                     at.append(i)
                     hashes.append(line_hash(line))
@@ -212,10 +212,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, n_lines, n_removed, n_near): rows of ``docs`` without lines that an earlier one repeats; n_chars follows the text.
 
-    Lines are compared without the white space around them.  A line of
-    MIN_CHARS characters or more goes if the same line, or one within the edit
+    Lines are compared without the white space around them.  A line goes if the
+    same line, or for lines of MIN_CHARS characters or more one within the edit
     threshold, stands earlier: in a document of smaller id, or above it.
-    Shorter lines stay.  A null or empty text stays as it is; a document whose
+    Blank lines part paragraphs and stay.  A null or empty text stays as it is; a document whose
     lines all go keeps an empty text.  Rows of one id are one document in this:
     repeated rows lose the same lines.
     """
