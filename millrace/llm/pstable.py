@@ -48,7 +48,9 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     Every row is in one bucket of each table.  A query visits buckets of all
     tables in the order of estimated success, the squared distances to the
     boundaries it crosses to get there, until it has met as many rows, with
-    repeats, as a ``share`` of all.  The distances of those rows are exact.
+    repeats, as a ``share`` of all.  The distances of those rows are exact.  A
+    query that meets fewer in all its buckets lies far from the rows, and is
+    held against every row.
     """
     n, dims = vectors.shape
     m = PROJECTIONS
@@ -87,13 +89,16 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
             scores, spans = np.concatenate(scores), np.concatenate(spans)
             order = np.argsort(scores, kind="stable")
             sizes = np.cumsum((spans[:, 1] - spans[:, 0])[order])
-            upto = min(int(np.searchsorted(sizes, max(8 * k, share * n))) + 1, len(order))
-            seen = np.zeros(n, bool)
+            enough = max(8 * k, share * n)
+            upto = min(int(np.searchsorted(sizes, enough)) + 1, len(order))
+            seen = np.full(n, sizes[-1] < enough)
             for p in order[:upto].tolist():
                 a, b = spans[p]
                 if b > a:
                     seen[tables[p // len(sets)][1][a:b]] = True
             rows = np.flatnonzero(seen & (ids != qid))
+            if len(rows) < k:
+                rows = np.flatnonzero(ids != qid)
         d2 = ((vectors[rows] - q) ** 2).sum(axis=1)
         if len(rows) > k:
             keep = d2 <= np.partition(d2, k - 1)[k - 1]
