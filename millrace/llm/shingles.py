@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ WORDS, SIMILARITY, SEED = 5, (4, 5), 42
 BANDS, ROWS = 24, 4
 #: Shingles hashed at once, so that what is held stays in the processor's cache.
 CHUNK = 512
+#: Sets of a band that are compared at once, two blocks at a time, and shingles whose products are taken at once.
+BLOCK, COLUMNS = 512, 4096
 BROADCAST_ROWS = 1_500_000
 
 
@@ -79,23 +82,51 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["s", "set"])
 
 
+def whole(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(s, set) of the distinct ``nodes`` (s); ``texts`` (s, t): texts of each set, all of them the same."""
+    of = texts.join(small(nodes, BROADCAST_ROWS), "s", "left_semi").groupBy("s").agg(F.first("t").alias("t"))
+    return written(of.mapInArrow(_sets, "s bigint, set array<bigint>"), "sets")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs`` (u, v) of sets whose similarity reaches the threshold; ``texts`` (s, t): texts of each set, all of them the same."""
-    nodes = small(pairs.select(F.explode(F.array("u", "v")).alias("s")).distinct(), BROADCAST_ROWS)
-    sets = written(texts.join(nodes, "s", "left_semi").groupBy("s").agg(F.first("t").alias("t")).mapInArrow(_sets, "s bigint, set array<bigint>"), "sets")
+    """The ``pairs`` (u, v) of sets whose similarity reaches the threshold."""
+    sets = whole(pairs.select(F.explode(F.array("u", "v")).alias("s")).distinct(), texts)
     out = pairs.join(sets.withColumnsRenamed({"s": "u", "set": "a"}), "u").join(sets.withColumnsRenamed({"s": "v", "set": "b"}), "v")
     both = F.size(F.array_intersect("a", "b"))
     return out.where(both * SIMILARITY[1] >= (F.size("a") + F.size("b") - both) * SIMILARITY[0]).select("u", "v")
 
 
+def _compared(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (u, v) of different roots whose similarity reaches the threshold, from the products of all sets of a block."""
+    s, root, sets = rows["s"].to_numpy(), rows["root"].to_numpy(), rows["set"].tolist()
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # A shingle of a single set is in no intersection.
+    number = np.cumsum(count > 1) - 1
+    shared = count[column] > 1
+    owner, column = owner[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        both += part @ part.T
+    good = both * SIMILARITY[1] >= (sizes[:, None] + sizes[None] - both) * SIMILARITY[0]
+    i, j = np.nonzero(np.triu(good & (root[:, None] != root[None]), 1))
+    return pd.DataFrame({"u": s[i], "v": s[j]})
+
+
 def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of the ``sets`` (s, n, bands) that chains of verified pairs connect.
 
     First each set is held against the least one of its band, which settles
     groups of close copies by as many pairs as they have members.  Where
     members of a band are not connected by that, all its pairs that lie in
-    different components are verified.  Pairs whose sizes rule out the
-    similarity are left out.
+    different components are verified, by blocks.  Pairs of the first step
+    whose sizes rule out the similarity are left out.
     """
     entries = sets.select("s", "n", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.min(F.struct("s", "n")).alias("least"), F.count("*").alias("m")).where("m > 1")
@@ -106,14 +137,14 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     roots = components(edges)
     rest = shared.join(roots, shared["s"] == roots["node"], "left").select("band", "key", "s", "n", F.coalesce("root", "s").alias("root"))
     rest = written(rest, "rooted")
-    open_ = rest.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "key")
+    open_ = rest.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("a <> b").select("band", "key", "blocks")
     rest = written(rest.join(open_, ["band", "key"]), "open")
-    one, two = rest.alias("one"), rest.alias("two")
-    apart = (F.col("one.s") < F.col("two.s")) & (F.col("one.root") != F.col("two.root")) & fits(F.col("one.n"), F.col("two.n"))
-    same = (F.col("one.band") == F.col("two.band")) & (F.col("one.key") == F.col("two.key"))
-    pairs = one.join(two, same & apart).select(F.col("one.s").alias("u"), F.col("two.s").alias("v")).distinct()
-    pairs = written(pairs.join(stars, ["u", "v"], "left_anti"), "pairs")
-    return components(edges.unionByName(verified(pairs, texts)))
+    sets = whole(rest.select("s").distinct(), texts)
+    # Every two blocks of a band meet in a group of their own.
+    mine, other = F.pmod(F.xxhash64("s"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = rest.select("band", "key", "s", "root", mine.alias("mine"), other).select("band", "key", "s", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    more = dealt.join(sets, "s").groupBy("band", "key", "i", "j").applyInPandas(_compared, "u bigint, v bigint")
+    return components(edges.unionByName(written(more.distinct(), "more")))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

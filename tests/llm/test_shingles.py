@@ -63,3 +63,23 @@ def test_rows_are_told_apart_by_id_and_text(spark):
     texts = [(1, a), (1, b), (1, a), (None, c), (None, d), (None, near(a)), (2, e), (3, near(b)), (3, near(e)), (3, "a text of its own")]
     got = corpus_pipeline.near_copies(spark, table(spark, texts), "").select("doc_id", "text").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, a), (1, b), (None, c), (None, d), (2, e), (3, "a text of its own")]))
+
+
+def test_blocks_of_a_band_meet(spark, monkeypatch):
+    """Bands of many texts on both sides of the threshold, in blocks of a few."""
+    from millrace.llm import shingles
+
+    monkeypatch.setattr(shingles, "BLOCK", 4)
+    monkeypatch.setattr(shingles, "COLUMNS", 16)
+    rnd = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        copy = list(base)
+        for p in rnd.sample(range(60), rnd.randint(1, 3)):
+            copy[p] = f"x{rnd.randrange(2)}"
+        texts.append((i, " ".join(copy)))
+    want, _ = survivors(texts)
+    assert 1 < len(want) < 60
+    got = corpus_pipeline.near_copies(spark, table(spark, texts), "").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == want
