@@ -1,8 +1,8 @@
-"""Quality classifier: interpolated modified Kneser-Ney trigrams of trusted text, by language."""
+"""Quality classifier: interpolated modified Kneser-Ney trigrams of tokens of trusted text, by language."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,138 +10,91 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import short_batches, small, table, written
+from .tokens import REMEMBERED, Encoder, encoder, tokenizer_path
 
 #: Share of trusted documents, by hash, that are kept from training to take the quantiles from.
 HELD_OUT = 10
-#: A document is rejected above this quantile of held-out trusted documents of its language and length,
-#: times the margin.
-QUANTILE, MARGIN = 0.99, 1.25
-#: Lengths are told apart by powers of so many words; a class needs so many held-out documents.
-LENGTH_BASE, LEAST = 4, 40
-#: In a text of so many words the threshold is doubled, in one of half as many tripled, and so on.
-FEW = 64
+#: A document is rejected above this quantile of the perplexity of held-out trusted text of its language and length.
+QUANTILE = 0.995
+#: Windows of held-out text have powers of so many tokens; a length needs so many windows for a quantile of its own.
+LENGTH_BASE, LEAST = 4, 100
 #: Rows up to which a side is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_500_000
+#: Entries of a model, of 12 bytes each, up to which every worker holds it; a larger one is joined by shuffles.
+MODEL_ROWS = 16_000_000
 #: Log probabilities are summed as whole millionths, so that sums do not depend on their order.
 UNIT = 1_000_000
-
-#: Repeats of a word are told apart up to so many.
-LONGEST_RUN = 8
-
-_MARKS = ".,;:!?"
-_WORDS: dict[str, int] = {}
-_REMEMBERED = 200_000
-
-
-def token(word: str) -> str:
-    """What the model sees of a word: the shortest as they are, others by case and length, a mark at the end, and an odd character.
-
-    So there are some hundreds of tokens to an alphabet however large the
-    corpus, and the model of a language stays small next to its text.
-    """
-    mark = word[-1] if word[-1] in _MARKS else ""
-    core = word[:-1] if mark else word
-    n = len(core)
-    if core.isalpha():
-        if n <= 2 and not mark and core.islower():
-            return core
-        case = "a" if core.islower() else "A" if core.isupper() and n > 1 else "Aa" if core[1:].islower() or n == 1 else "aA"
-        return f"<{case}{1 if n <= 3 else 4 if n <= 6 else 7 if n <= 10 else 11}>{mark}"
-    if core.isdigit():
-        return f"<9>{mark}"
-    odd = min((c for c in core if not c.isalnum()), default="")
-    return f"<#{'a' if any(map(str.isalpha, core)) else ''}{odd}>{mark}"
-
-
-def _hash(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-
-
-def token_codes(text: str | None) -> np.ndarray:
-    """Codes of a text's tokens after two of a start mark; a word that repeats those before is a token for how often it has."""
-    words = text.split() if text else []
-    get = _WORDS.get
-    codes = list(map(get, words))
-    if None in codes:
-        for i, c in enumerate(codes):
-            if c is None:
-                w = words[i]
-                c = get(w)
-                if c is None:
-                    c = _hash(token(w))
-                    if len(_WORDS) < _REMEMBERED:
-                        _WORDS[w] = c
-                codes[i] = c
-    out = np.empty(len(codes) + 2, np.uint64)
-    out[:2] = 1
-    out[2:] = codes
-    if len(words) > 1:
-        same = np.zeros(len(words), bool)
-        same[1:] = [a == b for a, b in zip(words, words[1:])]
-        if same.any():
-            at = np.arange(len(words))
-            run = at - np.maximum.accumulate(np.where(same, 0, at))
-            out[2:][same] = np.minimum(run[same], LONGEST_RUN) + 1
-    return out
-
-
-_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-
-
-def trigrams(text: str | None, lang: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct trigrams of a text: codes of the whole, rows (u, v, w), counts.  Codes differ between languages."""
-    t = token_codes(text)
-    if len(t) < 3:
-        return np.zeros(0, np.uint64), np.zeros((0, 3), np.uint64), np.zeros(0, np.int64)
-    code = np.full(len(t) - 2, _hash(f"lang {lang}"), np.uint64)
-    for i, odd in enumerate(_ODD):
-        code = (code ^ t[i : len(t) - 2 + i]) * odd
-        code ^= code >> np.uint64(29)
-    whole, first, count = np.unique(code, return_index=True, return_counts=True)
-    return whole, np.stack([t[first], t[first + 1], t[first + 2]], 1), count
-
-
-def _types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch and language: each trigram once, with its count in trusted documents."""
-    held: dict[tuple, list] = {}
-    size = 0
-
-    def closed() -> Iterator[pa.RecordBatch]:
-        for lang, parts in held.items():
-            code, at, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            order = np.argsort(code, kind="stable")
-            new = np.flatnonzero(np.diff(code[order], prepend=code[order[:1]] + np.uint64(1)))
-            total = np.add.reduceat(n[order], new)
-            rows = at[order[new]].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang[0]] * len(new), pa.string()), pa.array(code[order[new]].view(np.int64)), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)), pa.array(total)],
-                names=["lang", "code", "u", "v", "w", "c"],
-            )
-        held.clear()
-
-    for batch in batches:
-        for lang, text, trusted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            code, rows, n = trigrams(text.as_py(), lang)
-            if len(code):
-                held.setdefault((lang,), []).append((code, rows, n if trusted else n * 0))
-                size += len(code)
-            if size > 300_000:
-                yield from closed()
-                size = 0
-    yield from closed()
-
-
-def _document_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            found = [trigrams(t.as_py(), lang) for lang, t in zip(part.column(2).to_pylist(), part.column(3))]
-            sizes = [len(f[0]) for f in found]
-            take = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-            code, n = (np.concatenate([f[i] for f in found]) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], names=["id", "x", "code", "n"])
+#: Counted entries that a task holds before it gives them away.
+HELD = 3_000_000
+#: Texts taken together.
+TEXTS = 256
+
+#: Kinds of a model's entries: log probabilities of seen n-grams by their order, what their contexts leave to the order below, and what an unseen token has.
+TRIGRAM, BIGRAM, UNIGRAM, AFTER_TWO, AFTER_ONE, UNSEEN = 3, 2, 1, -2, -1, 0
+
+
+def bits(size: int) -> int:
+    """Bits of a token in a key of three; zero stands for the start of a text."""
+    n = int(size).bit_length()
+    if 3 * n > 63:
+        raise ValueError("the vocabulary is too large for keys of 64 bits")
+    return n
+
+
+def keys_of(texts: list[str | None], e: Encoder) -> tuple[np.ndarray, np.ndarray]:
+    """The trigram that ends at each token of the texts, one text after another, and the number of tokens of each."""
+    b, parts, sizes = bits(e.size), [], []
+    for data in e.encode(texts):
+        t = np.zeros(len(data) // 4 + 2, np.int64)
+        t[2:] = np.frombuffer(data, "<u4")
+        t[2:] += 1
+        parts.append(t[:-2] << 2 * b | t[1:-1] << b | t[2:])
+        sizes.append(len(t) - 2)
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(sizes, np.int64)
+
+
+def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[new], np.add.reduceat(counts[order], new)
+
+
+def _counts(path: str, remembered: int):
+    """Each trigram of a task's texts by language, counted as far as there is room."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path, remembered)
+        held: dict[str | None, list] = {}
+        size = 0
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            for lang, ((keys, n),) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "key", "c"])
+            held.clear()
+
+        def merge() -> int:
+            for lang, parts in held.items():
+                held[lang] = [_merged(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))]
+            return sum(len(parts[0][0]) for parts in held.values())
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                langs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for lang in set(langs):
+                    keys, _ = keys_of([t for t, x in zip(texts, langs) if x == lang], e)
+                    if len(keys):
+                        found = np.unique(keys, return_counts=True)
+                        held.setdefault(lang, []).append(found)
+                        size += len(found[0])
+                if size > HELD and (size := merge()) > HELD // 2:
+                    yield from closed()
+                    size = 0
+        merge()
+        yield from closed()
+
+    return run
 
 
 def _discounts(counts: DataFrame, c: str) -> DataFrame:
@@ -156,99 +109,253 @@ def _discounts(counts: DataFrame, c: str) -> DataFrame:
     return n.select(F.col("lang").alias("_lang"), *[d(k).alias(f"d{k}") for k in (1, 2, 3)])
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], *cols: Column, how: str = "inner") -> DataFrame:
+    """A join on ``keys`` of which the first, the language, may be null."""
+    right = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *cols)
+    same = F.lit(True)
+    for k in keys:
+        same &= left[k].eqNullSafe(right[f"_{k}"]) if k == "lang" else left[k] == right[f"_{k}"]
+    return left.join(right, same, how).drop(*[f"_{k}" for k in keys])
+
+
 def _level(counts: DataFrame, c: str, context: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Discounted probabilities of the entries of ``counts``, and the mass each context leaves to the level below."""
-    d = F.broadcast(_discounts(counts, c))  # one row for each language
-    by = counts.join(d, counts["lang"].eqNullSafe(d["_lang"])).drop("_lang")
+    """``counts`` with what is left of each count, and the sum and the mass taken of each context."""
+    d = small(_discounts(counts, c), BROADCAST_ROWS)  # one row for each language
+    by = _joined(counts, d.withColumnRenamed("_lang", "lang"), ["lang"], *map(F.col, ("d1", "d2", "d3")))
     off = F.when(F.col(c) == 1, F.col("d1")).when(F.col(c) == 2, F.col("d2")).otherwise(F.col("d3"))
     total = by.groupBy("lang", *context).agg(F.sum(c).alias("s"), (F.sum(off) / F.sum(c)).alias("g"))
-    return by.withColumn("a", F.col(c) - off), total
+    return by.withColumn("a", F.col(c) - off).drop("d1", "d2", "d3"), total
 
 
-def model(types: DataFrame) -> DataFrame:
-    """(code, lp) of every trigram of ``types`` (lang, code, u, v, w, c): its log probability in whole units.
+def model(counts: DataFrame, width: int, size: int) -> DataFrame:
+    """(lang, kind, key, lp): log probabilities in whole units of the n-grams in ``counts`` (lang, key, c), and of their contexts' remainders.
 
-    ``c`` counts it in the trusted text, and may be zero.  Lower orders count
-    in how many contexts an entry is seen; the lowest is interpolated with the
-    uniform distribution over the words seen and one unseen.
+    ``width`` is the bits of a token in a key, ``size`` the tokens there are.
+    Lower orders count in how many contexts an entry is seen; the lowest is
+    interpolated with the uniform distribution over all tokens.
     """
-    seen = types.where("c > 0")
-    two = seen.groupBy("lang", "v", "w").agg(F.count("*").alias("c"))
+    low = (1 << 2 * width) - 1
+    three = counts.select("lang", F.shiftright("key", width).alias("uv"), F.col("key").bitwiseAND(low).alias("vw"), "c")
+    two = written(three.groupBy("lang", "vw").agg(F.count("*").alias("c")), "bigrams")
+    two = two.select("lang", F.shiftright("vw", width).alias("v"), F.col("vw").bitwiseAND((1 << width) - 1).alias("w"), "vw", "c")
     one = two.groupBy("lang", "w").agg(F.count("*").alias("c"))
-    a3, g3 = _level(seen, "c", ["u", "v"])
-    a2, g2 = _level(two, "c", ["v"])
     a1, g1 = _level(one, "c", [])
-    uniform = one.groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p0"))
-
-    def joined(left: DataFrame, right: DataFrame, keys: list[str], *cols: Column) -> DataFrame:
-        right = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *cols)
-        same = F.lit(True)
-        for k in keys:
-            same &= left[k].eqNullSafe(right[f"_{k}"])
-        return left.join(right, same, "left").drop(*[f"_{k}" for k in keys])
-
-    t = types.select("lang", "code", "u", "v", "w")
-    t = joined(t, a3, ["lang", "u", "v", "w"], F.col("a").alias("a3"))
-    t = joined(t, g3, ["lang", "u", "v"], F.col("s").alias("s3"), F.col("g").alias("g3"))
-    t = joined(t, a2, ["lang", "v", "w"], F.col("a").alias("a2"))
-    t = joined(t, g2, ["lang", "v"], F.col("s").alias("s2"), F.col("g").alias("g2"))
-    t = joined(t, a1, ["lang", "w"], F.col("a").alias("a1"))
-    t = joined(t, F.broadcast(g1.join(uniform.withColumnRenamed("lang", "_l"), g1["lang"].eqNullSafe(F.col("_l"))).drop("_l")), ["lang"], F.col("s").alias("s1"), F.col("g").alias("g1"), F.col("p0"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    p1 = zero("a1") / F.col("s1") + F.col("g1") * F.col("p0")
-    p2 = F.when(F.col("s2").isNull(), p1).otherwise(zero("a2") / F.col("s2") + F.col("g2") * p1)
-    p3 = F.when(F.col("s3").isNull(), p2).otherwise(zero("a3") / F.col("s3") + F.col("g3") * p2)
-    return t.select("code", F.round(F.log(p3) * UNIT).cast("long").alias("lp")).where("lp is not null")
-
-
-def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = HELD_OUT) -> DataFrame:
-    """(id, x, lang, words, trusted, held_out, perplexity) of every distinct (id, hash x of the text).
-
-    Trusted are rows whose id is labelled of quality 1 and not toxic.  A text
-    without words, or in a language without trusted text, has no perplexity.
+    a2, g2 = _level(two, "c", ["v"])
+    a3, g3 = _level(three, "c", ["uv"])
+    g1 = small(g1.withColumn("floor", F.col("g") / size), BROADCAST_ROWS)  # one row for each language
+    p1 = _joined(a1, g1, ["lang"], F.col("s"), F.col("floor")).select("lang", "w", (F.col("a") / F.col("s") + F.col("floor")).alias("p"))
+    p1 = written(p1, "unigrams")
+    p2 = _joined(_joined(a2, g2, ["lang", "v"], F.col("s"), F.col("g")), small(p1, BROADCAST_ROWS), ["lang", "w"], F.col("p"))
+    p2 = written(p2.select("lang", "vw", (F.col("a") / F.col("s") + F.col("g") * F.col("p")).alias("p")), "bigrams")
+    p3 = _joined(_joined(a3, g3, ["lang", "uv"], F.col("s"), F.col("g")), small(p2, BROADCAST_ROWS), ["lang", "vw"], F.col("p"))
+    p3 = p3.select("lang", F.shiftleft("uv", width).bitwiseOR(F.col("vw").bitwiseAND((1 << width) - 1)).alias("key"), (F.col("a") / F.col("s") + F.col("g") * F.col("p")).alias("p"))
+
+    def entries(df: DataFrame, kind: int, key: Column, p: str) -> DataFrame:
+        return df.select("lang", F.lit(kind).cast("byte").alias("kind"), key.cast("long").alias("key"), F.round(F.log(p) * UNIT).cast("int").alias("lp"))
+
+    out = entries(p3, TRIGRAM, F.col("key"), "p")
+    for df, kind, key, p in ((p2, BIGRAM, F.col("vw"), "p"), (p1, UNIGRAM, F.col("w"), "p"), (g3, AFTER_TWO, F.col("uv"), "g"), (g2, AFTER_ONE, F.col("v"), "g"), (g1, UNSEEN, F.lit(0), "floor")):
+        out = out.unionAll(entries(df, kind, key, p))
+    return out
+
+
+Tables = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _looked_up(tables: Tables, kind: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is there, and its value, or zero."""
+    keys, values = tables[kind]
+    at = np.searchsorted(keys, asked)
+    at[at == len(keys)] = 0
+    there = keys[at] == asked
+    return there, np.where(there, values[at], 0).astype(np.int64)
+
+
+def log_probabilities(tables: Tables, keys: np.ndarray, width: int) -> np.ndarray:
+    """Log probability of the last token of each trigram, given the first two, in whole units."""
+    asked, back = np.unique(keys, return_inverse=True)
+    there, value = _looked_up(tables, TRIGRAM, asked)
+    rest = asked[~there]
+    there2, value2 = _looked_up(tables, BIGRAM, rest & (1 << 2 * width) - 1)
+    last = rest & (1 << width) - 1
+    there1, value1 = _looked_up(tables, UNIGRAM, last)
+    lower = np.where(there1, value1, tables[UNSEEN][1][0]) + _looked_up(tables, AFTER_ONE, rest >> width & (1 << width) - 1)[1]
+    value[~there] = np.where(there2, value2, lower) + _looked_up(tables, AFTER_TWO, rest >> width)[1]
+    return value[back]
+
+
+def windows(sizes: np.ndarray, rows: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length: its exponent, and row and first token of one window of each text that is long enough.
+
+    ``sizes`` are the tokens of texts that lie one after another, ``rows`` the
+    texts asked for; which window it is follows from the hashes ``x``.
     """
-    short_batches(docs.sparkSession)
+    begins = np.cumsum(sizes) - sizes
+    k, length = 1, LENGTH_BASE
+    while len(rows := rows[sizes[rows] >= length]):
+        yield k, rows, begins[rows] + x[rows] % (sizes[rows] // length) * length
+        k, length = k + 1, length * LENGTH_BASE
+
+
+UNITS = "id bigint, x bigint, lang string, k int, at bigint, n bigint"
+
+
+def _parts(batches: Iterator[pa.RecordBatch], e: Encoder) -> Iterator[tuple[str | None, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """By language: keys of its texts, sizes, and as ``k``, row and first token all that is scored: texts (k = 0) and windows of held-out ones."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(lo, TEXTS)
+            langs = np.array(part.column(2).to_pylist(), object)
+            texts, held = np.array(part.column(3).to_pylist(), object), np.array(part.column(4).to_pylist(), bool)
+            for lang in set(langs.tolist()):
+                own = np.flatnonzero(langs == lang)
+                keys, sizes = keys_of(texts[own].tolist(), e)
+                yield lang, keys, sizes, held[own], own, part
+
+
+def _units(part: pa.RecordBatch, lang: str | None, own: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array]]]:
+    """First tokens, numbers of tokens, and the columns of UNITS for the texts, and for the windows of each length."""
+    for k, rows, at in [(0, np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]), *windows(sizes, np.flatnonzero(held), part.column(1).to_numpy(zero_copy_only=False)[own])]:
+        n = sizes[rows] if k == 0 else np.full(len(rows), LENGTH_BASE**k)
+        take = pa.array(own[rows])
+        within = at - (np.cumsum(sizes) - sizes)[rows]
+        yield at, n, [part.column(0).take(take), part.column(1).take(take), pa.array([lang] * len(rows), pa.string()), pa.array(np.full(len(rows), k, np.int32)), pa.array(within), pa.array(n)]
+
+
+def _scored(path: str, remembered: int, tables: Callable[[], dict[str | None, Tables]]):
+    """UNITS and their log probability, by a model that every worker holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, of = encoder(path, remembered), tables()
+        for lang, keys, sizes, held, own, part in _parts(batches, e):
+            if lang not in of or not len(keys):
+                continue
+            ends = np.concatenate([[0], np.cumsum(log_probabilities(of[lang], keys, bits(e.size)))])
+            for at, n, cols in _units(part, lang, own, sizes, held):
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(ends[at + n] - ends[at])], names=["id", "x", "lang", "k", "at", "n", "lp"])
+
+    return run
+
+
+def _grams(path: str, remembered: int):
+    """UNITS by their distinct trigrams, each with how often it comes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path, remembered)
+        for lang, keys, sizes, held, own, part in _parts(batches, e):
+            for at, n, cols in _units(part, lang, own, sizes, held):
+                for i, (a, m) in enumerate(zip(at.tolist(), n.tolist())):
+                    key, times = np.unique(keys[a : a + m], return_counts=True)
+                    take = pa.array(np.full(len(key), i))
+                    yield pa.RecordBatch.from_arrays([*(c.take(take) for c in cols), pa.array(key), pa.array(times)], names=["id", "x", "lang", "k", "at", "n", "key", "times"])
+
+    return run
+
+
+def _by_joins(grams: DataFrame, entries: DataFrame, width: int) -> DataFrame:
+    """UNITS and log probability of ``grams`` by joins: each distinct trigram is looked up once."""
+    t = grams.select("lang", "key").distinct()
+    t = t.select("lang", "key", F.shiftright("key", width).alias("uv"), F.col("key").bitwiseAND((1 << 2 * width) - 1).alias("vw"), F.col("key").bitwiseAND((1 << width) - 1).alias("w"), F.shiftright("key", width).bitwiseAND((1 << width) - 1).alias("v"))
+    for kind, key in ((TRIGRAM, "key"), (BIGRAM, "vw"), (UNIGRAM, "w"), (AFTER_TWO, "uv"), (AFTER_ONE, "v")):
+        t = _joined(t, entries.where(F.col("kind") == kind).withColumnRenamed("key", key) if key != "key" else entries.where(F.col("kind") == kind), ["lang", key], F.col("lp").alias(f"lp{kind}"), how="left")
+    t = _joined(t, small(entries.where(F.col("kind") == UNSEEN), BROADCAST_ROWS), ["lang"], F.col("lp").alias("floor"))
+    zero = lambda k: F.coalesce(F.col(f"lp{k}"), F.lit(0))
+    lower = F.coalesce(f"lp{BIGRAM}", zero(AFTER_ONE) + F.coalesce(f"lp{UNIGRAM}", "floor")) + zero(AFTER_TWO)
+    t = t.select("lang", "key", F.coalesce(f"lp{TRIGRAM}", lower).cast("long").alias("lp"))
+    hits = _joined(grams, t, ["lang", "key"], F.col("lp"))
+    return hits.groupBy("id", "x", "lang", "k", "at", "n").agg(F.sum(F.col("lp") * F.col("times")).alias("lp"))
+
+
+def held_tables(entries: DataFrame) -> dict[str | None, Tables]:
+    """The ``entries`` of a model as sorted arrays, by language and kind."""
+    out: dict[str | None, Tables] = {}
+    for lang in [r[0] for r in entries.where(F.col("kind") == UNSEEN).select("lang").collect()]:  # one row for each language
+        found = entries.where(F.col("lang").eqNullSafe(F.lit(lang))).select("kind", "key", "lp").toArrow()
+        kind, key, lp = (found.column(i).to_numpy() for i in range(3))
+        del found
+        out[lang] = {}
+        for k in (TRIGRAM, BIGRAM, UNIGRAM, AFTER_TWO, AFTER_ONE, UNSEEN):
+            own = np.flatnonzero(kind == k)
+            own = own[np.argsort(key[own])]
+            out[lang][k] = (key[own], lp[own])
+    return out
+
+
+def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = HELD_OUT, path: str | None = None, remembered: int = REMEMBERED) -> tuple[DataFrame, DataFrame]:
+    """Texts (id, x, lang, tokens, trusted, held_out, perplexity), one for every distinct (id, hash x of the text, lang), and windows (lang, k, perplexity) of held-out ones.
+
+    Trusted are rows whose id is labelled of quality 1 and not toxic.  Of each
+    language one in ``held_out`` trusted documents, and at least one if there
+    are two, is kept from training.  A text without tokens, or in a language
+    without trusted text, has no perplexity.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+    path = path or tokenizer_path()
+    size = encoder(path, remembered).size
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("_id")).distinct()
     good = small(good, BROADCAST_ROWS).withColumn("_good", F.lit(True))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("x"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.join(good, rows["id"] == good["_id"], "left")
-    trusted, kept = F.coalesce("_good", F.lit(False)), F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(held_out)) == 0
-    types = rows.select("lang", "text", (trusted & ~kept).alias("trusted")).mapInArrow(_types, "lang string, code bigint, u bigint, v bigint, w bigint, c bigint")
-    types = written(types.groupBy("lang", "code", "u", "v", "w").agg(F.sum("c").alias("c")), "types")
-    lp = small(written(model(types), "model"), BROADCAST_ROWS)
-    grams = rows.select("id", "x", "lang", "text").mapInArrow(_document_types, "id bigint, x bigint, code bigint, n bigint")
-    scores = grams.join(lp, "code").groupBy("id", "x").agg(F.sum(F.col("lp") * F.col("n")).alias("lp"), F.sum("n").alias("words")).withColumnsRenamed({"id": "_i", "x": "_x"})
-    facts = rows.select("id", "x", "lang", trusted.alias("trusted"), kept.alias("held_out")).distinct()
-    out = facts.join(scores, facts["id"].eqNullSafe(scores["_i"]) & (facts["x"] == scores["_x"]), "left")
-    return out.select("id", "x", "lang", F.coalesce("words", F.lit(0)).alias("words"), "trusted", "held_out", F.exp(-F.try_divide("lp", "words") / UNIT).alias("perplexity"))
-
-
-def classified(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``scored`` with threshold and keep: the quantile of held-out trusted rows of the language and length, or of the language where those are few."""
-    length = F.floor(F.log(F.greatest("words", F.lit(1))) / F.log(F.lit(LENGTH_BASE)) + 1e-9).cast("int")
-    held = scored.where("trusted and held_out and perplexity is not null").withColumn("length", length)
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * margin
-    by_length = held.groupBy("lang", "length").agg(at.alias("fine"), F.count("*").alias("n")).where(F.col("n") >= LEAST).select(F.col("lang").alias("_l"), F.col("length").alias("_n"), "fine")
-    by_lang = held.groupBy("lang").agg(at.alias("coarse"), (F.max("perplexity") * margin).alias("most"), F.count("*").alias("_c")).select(F.col("lang").alias("_g"), F.when(F.col("_c") >= LEAST, F.col("coarse")).otherwise(F.col("most")).alias("coarse"))
-    out = scored.withColumn("length", length)
-    # A row for each language, or language and power of a length.
-    out = out.join(F.broadcast(by_lang), out["lang"].eqNullSafe(F.col("_g")), "left")
-    out = out.join(F.broadcast(by_length), out["lang"].eqNullSafe(F.col("_l")) & (F.col("length") == F.col("_n")), "left")
-    # A mean over few words strays far from what the text is drawn from.
-    threshold = F.coalesce("fine", "coarse") * (1 + F.lit(FEW) / F.greatest("words", F.lit(1)))
-    return out.withColumn("threshold", threshold).withColumn("keep", F.coalesce(F.col("perplexity") <= threshold, F.lit(True))).drop("_g", "_l", "_n", "coarse", "fine", "length")
+    rows = rows.join(good, rows["id"] == good["_id"], "left").withColumn("fold", F.xxhash64("id", F.lit("fold")))
+    trusted = F.coalesce("_good", F.lit(False))
+    # The least of a language is held out whatever its hash, unless it is the only one.
+    ends = written(rows.where("_good").groupBy("lang").agg(F.min("fold").alias("least"), F.max("fold").alias("most")), "folds")
+    ends = ends.where("least < most").select(F.col("lang").alias("_lang"), "least")
+    rows = rows.join(small(ends, BROADCAST_ROWS), rows["lang"].eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    held = trusted & ((F.pmod("fold", F.lit(held_out)) == 0) | (F.col("fold") == F.col("least"))) & F.col("least").isNotNull()
+    rows = rows.select("id", "x", "lang", "text", F.coalesce(held, F.lit(False)).alias("held"), trusted.alias("trusted"))
+    counts = rows.where("trusted and not held").select("lang", "text").mapInArrow(_counts(path, remembered), "lang string, key bigint, c bigint")
+    counts = written(counts.groupBy("lang", "key").agg(F.sum("c").alias("c")), "counts")
+    entries = written(model(counts, bits(size), size), "model")
+    asked = rows.select("id", "x", "lang", "text", "held")
+    if entries.count() <= MODEL_ROWS:
+        tables = spark.sparkContext.broadcast(held_tables(entries))
+        units = asked.mapInArrow(_scored(path, remembered, lambda: tables.value), f"{UNITS}, lp bigint")
+    else:
+        units = _by_joins(written(asked.mapInArrow(_grams(path, remembered), f"{UNITS}, key bigint, times bigint").distinct(), "grams"), entries, bits(size))
+    units = written(units.withColumn("perplexity", F.exp(-F.col("lp") / F.col("n") / UNIT)), "units")
+    facts = rows.select("id", "x", "lang", "trusted", F.col("held").alias("held_out")).distinct()
+    texts = units.where("k = 0").groupBy(F.col("id").alias("_i"), F.col("x").alias("_x"), F.col("lang").alias("_l")).agg(F.max("n").alias("tokens"), F.max("perplexity").alias("perplexity"))
+    same = facts["id"].eqNullSafe(texts["_i"]) & (facts["x"] == texts["_x"]) & facts["lang"].eqNullSafe(texts["_l"])
+    texts = facts.join(texts, same, "left").select("id", "x", "lang", F.coalesce("tokens", F.lit(0)).alias("tokens"), "trusted", "held_out", "perplexity")
+    return texts, units.where("k > 0").select("lang", "k", "perplexity")
+
+
+def thresholds(held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(lang, bounds): the quantile for each length k of the windows ``held`` (lang, k, perplexity) that has enough of them, and for the least."""
+    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
+    by = held.groupBy("lang", "k").agg(at.alias("threshold"), F.count("*").alias("n"))
+    entry = F.when((F.col("n") >= LEAST) | (F.col("k") == 1), F.struct("k", "threshold"))
+    return by.groupBy("lang").agg(F.sort_array(F.collect_list(entry)).alias("bounds"))
+
+
+def classified(texts: DataFrame, held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """``texts`` with threshold and keep: whether the perplexity is at most the quantile of its language for windows of its length, or of the next smaller one there is."""
+    k = F.floor(F.log(F.greatest("tokens", F.lit(LENGTH_BASE))) / F.log(F.lit(float(LENGTH_BASE))) + 1e-9)
+    bounds = small(written(thresholds(held, quantile), "thresholds").withColumnRenamed("lang", "_l"), BROADCAST_ROWS)
+    out = texts.join(bounds, texts["lang"].eqNullSafe(bounds["_l"]), "left").drop("_l")
+    own = F.try_element_at(F.filter("bounds", lambda b: b["k"] <= k), F.lit(-1))
+    out = out.withColumn("threshold", own["threshold"]).drop("bounds")
+    return out.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **cols) -> DataFrame:
-    """(id, x, lang, words, trusted, held_out, perplexity, threshold, keep) of every distinct (id, x).
-
-    Rows without words, and rows of languages that have no trusted text to
-    measure against, are kept: there is no evidence against them.  A null
-    language is a language of its own.  Repeated rows are judged once.
+    """(id, x, lang, tokens, trusted, held_out, perplexity, threshold, keep) of every distinct (id, x, lang).
+
+    Rows without tokens (null and empty texts), and rows of languages that have
+    no two trusted documents, are kept: there is no evidence against them.  A
+    null language is a language of its own.  Repeated rows are judged once;
+    whole texts are read however long they are; other columns, whatever they
+    are called, are not looked at; an empty table gives no rows, and without
+    trusted labels all are kept.
     """
-    return classified(written(perplexities(docs, labels, **cols), "perplexities"))
+    return classified(*perplexities(docs, labels, **cols))
 
 
 def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for every document: its perplexity under the model of its language, the quantile it is held against, and the verdict.
+
+    Nulls, empty and long texts, repeated rows and empty tables as in ``classify``.
+    """
     out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select(F.col("id").alias("doc_id"), "lang", "words", "perplexity", "threshold", "keep")
+    return out.select(F.col("id").alias("doc_id"), "lang", "tokens", "perplexity", "threshold", "keep")

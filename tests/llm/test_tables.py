@@ -9,7 +9,7 @@ from oracle import connect, differences
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import blocks, common, maxscore, mixing, pstable, quality, sharding
+from millrace.llm import blocks, common, maxscore, mixing, pstable, sharding
 from millrace.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -140,61 +140,6 @@ def test_running_sum(spark):
             total += r["v"]
 
 
-def plain_kneser_ney(counts, types):
-    """Log probabilities of ``types`` by the textbook, from counts of trigrams."""
-    two, one = Counter((v, w) for _, v, w in counts), None
-    one = Counter(w for _, w in two)
-
-    def discount(c):
-        n = [sum(1 for x in c.values() if x == k) for k in range(5)]
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-        d = [0.0] + [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0 for k in (1, 2, 3)] if len(n) > 4 else []
-        return [0.0] + [x if 0 < x < k else 0.5 * k for k, x in zip((1, 2, 3), d[1:])]
-
-    d3, d2, d1 = discount(counts), discount(two), discount(one)
-    n1, uniform = sum(one.values()), 1 / (len(one) + 1)
-    g1 = sum(d1[min(c, 3)] for c in one.values()) / n1
-
-    def p1(w):
-        return (one[w] - d1[min(one[w], 3)]) / n1 + g1 * uniform if w in one else g1 * uniform
-
-    def back(table, d, entry, context, lower):
-        inside = [c for k, c in table.items() if k[:-1] == context]
-        if not inside:
-            return lower
-        c = table.get(entry, 0)
-        return ((c - d[min(c, 3)]) if c else 0) / sum(inside) + sum(d[min(x, 3)] for x in inside) / sum(inside) * lower
-
-    return {t: np.log(back(counts, d3, t, t[:2], back(two, d2, t[1:], t[1:2], p1(t[2])))) for t in types}
-
-
-def test_kneser_ney(spark):
-    rnd = np.random.default_rng(3)
-    stream = rnd.zipf(1.6, 1500) % 12
-    counts = Counter(zip(stream.tolist(), stream[1:].tolist(), stream[2:].tolist()))
-    types = [*counts, (1, 1, 99), (98, 97, 1), (98, 1, 2), (2, 3, 11)]
-    rows = [(None, i, *t, counts.get(t, 0)) for i, t in enumerate(types)]
-    got = {r["code"]: r["lp"] for r in quality.model(spark.createDataFrame(rows, "lang string, code long, u long, v long, w long, c long")).collect()}
-    want = plain_kneser_ney(counts, types)
-    assert all(abs(got[i] / quality.UNIT - want[t]) < 1e-5 for i, t in enumerate(types))
-
-
-def test_classifier(spark):
-    """Held-out accuracy against the labels."""
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = quality.classify(docs, labels).toPandas().merge(labels.toPandas(), left_on="id", right_on="doc_id")
-    good, bad = got[got.quality == 1], got[got.quality == 0]
-    assert good.keep.mean() > 0.97 and bad.keep.mean() < 0.1
-
-
-@pytest.mark.parametrize("name", ["edges", "clashing", "nothing"])
-def test_classifier_over_awkward_rows(spark, request, name):
-    labels = spark.createDataFrame([(1, 1, 0), (5, 1, None), (8, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    got = quality.classify(request.getfixturevalue(name), labels).collect()
-    assert len(got) == (0 if name == "nothing" else 11)
-    assert all(r["keep"] for r in got if r["words"] == 0)
-
-
 @pytest.mark.parametrize("name", ["edges", "nothing"])
 def test_pipeline_stages_over_awkward_rows(spark, request, name):
     docs = request.getfixturevalue(name)
