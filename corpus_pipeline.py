@@ -22,7 +22,7 @@ REMEMBERED = 250_000
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    verdicts = classify(docs, table(spark, sf_dir, "labels"))
+    verdicts = classify(docs, table(spark, sf_dir, "labels"), remembered=REMEMBERED)
     rejected = small(written(verdicts.where("not keep").select(F.col("id").alias("_id"), F.col("x").alias("_x")), "rejected"), BROADCAST_ROWS)
     here = docs["doc_id"].cast("long").eqNullSafe(rejected["_id"]) & (F.xxhash64(docs["text"]) == rejected["_x"])
     return docs.join(rejected, here, "left_anti")
