@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a shard and queries of a block, about; a shard of 64 float64 components is 4 MB.
-SHARD_ROWS, BLOCK_ROWS = 8192, 8192
+#: Rows of a shard and queries of a block, about; a shard of 64 float64 components is 4 MB, a block 16 MB.
+SHARD_ROWS, BLOCK_ROWS = 8192, 32_768
 
 
 def matrix(column: pd.Series) -> np.ndarray:

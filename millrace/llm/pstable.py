@@ -14,9 +14,9 @@ from .common import table
 K = 10
 QUERY_STEP = 100
 #: Tables, projections of each, their width in units of the vectors' mean distance.
-TABLES, PROJECTIONS, WIDTH = 10, 6, 1.1
-#: Perturbed buckets of a table, and rows met, with repeats, in units of a shard's rows.
-PROBES, SHARE = 256, 1.25
+TABLES, PROJECTIONS, WIDTH = 32, 4, 0.8
+#: Perturbed buckets of a table, rows met with repeats and rows whose distance is taken, in units of a shard's rows.
+PROBES, MET, SHARE = 80, 8, 0.25
 SEED = 20
 #: Rows of a shard from which the mean distance is taken.
 SAMPLE = 256
@@ -42,63 +42,83 @@ def perturbations(count: int, m: int = PROJECTIONS) -> list[list[int]]:
     return out
 
 
-def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Buckets:
+    """The buckets of all tables of a shard's vectors, every row in one bucket of each table."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.n, dims = vectors.shape
+        m = PROJECTIONS
+        rng = np.random.default_rng(SEED)
+        sample = vectors[np.linspace(0, self.n - 1, min(self.n, SAMPLE)).astype(int)]
+        self.width = WIDTH * (np.sqrt(2 * np.var(sample, axis=0).sum()) or 1.0)
+        # As far as there are dimensions, no projection repeats what others tell.
+        turns = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] * np.sqrt(dims) for _ in range(-(-TABLES * m // dims))]
+        self.axes = np.concatenate(turns, axis=1)[:, : TABLES * m]
+        self.shift = rng.random(TABLES * m)
+        self.odd = rng.integers(1, 2**62, m) * 2 + 1  # a bucket's code; rows of two buckets of one code are both met
+        self.of_table = rng.integers(1, 2**62, (TABLES, 1)) * 2 + 1
+        codes = (self._cells(vectors).astype(np.int64) @ self.odd + self.of_table.T).T.ravel()
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.starts, self.sizes = np.unique(codes[order], return_index=True, return_counts=True)
+        self.rows = order % self.n
+        sets = perturbations(PROBES, m)
+        self.crossed = np.zeros((len(sets), 2 * m))
+        for i, a in enumerate(sets):
+            self.crossed[i, a] = 1
+        self.crossed_int = self.crossed.astype(np.int64)
+
+    def _places(self, vectors: np.ndarray) -> np.ndarray:
+        return (vectors @ self.axes / self.width + self.shift).reshape(-1, TABLES, PROJECTIONS)
+
+    def _cells(self, vectors: np.ndarray) -> np.ndarray:
+        return np.floor(self._places(vectors))
+
+    def candidates(self, query: np.ndarray, least: int) -> np.ndarray | None:
+        """The rows to be compared with a query, a SHARE of all or ``least``; None if it meets too few to tell.
+
+        Buckets of all tables are visited in the order of estimated success,
+        by the squared distances to the boundaries that are crossed to get
+        there, until MET times all rows were met.  What tables say of a row
+        is added up: it weighs more the nearer the buckets that it was met in.
+        """
+        at = self._places(query[None])[0]
+        base = np.floor(at)
+        reach = np.concatenate([at - base, 1 - at + base], axis=1)
+        near = np.argsort(reach, axis=1, kind="stable")
+        scores = (np.take_along_axis(reach, near, 1) ** 2 @ self.crossed.T).ravel()
+        steps = np.concatenate([-self.odd, self.odd])[near]
+        keys = (base.astype(np.int64) @ self.odd[:, None] + self.of_table + steps @ self.crossed_int.T).ravel()
+        found = np.minimum(np.searchsorted(self.codes, keys), len(self.codes) - 1)
+        there = np.flatnonzero(self.codes[found] == keys)
+        there = there[np.argsort(scores[there], kind="stable")]
+        found, scores = found[there], scores[there]
+        met = np.cumsum(self.sizes[found])
+        if not len(met) or met[-1] < MET * self.n / 2:
+            return None
+        upto = int(np.searchsorted(met, MET * self.n)) + 1
+        found, sizes = found[:upto], self.sizes[found[:upto]]
+        rows = self.rows[np.repeat(self.starts[found] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        weight = np.bincount(rows, np.repeat(np.exp(-scores[:upto] * WIDTH**2), sizes), self.n)
+        share = max(int(SHARE * self.n), least)
+        best = np.argpartition(-weight, share)[:share] if share < self.n else np.arange(self.n)
+        return best[weight[best] > 0]
+
+
+def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` nearest rows found for each query, its own id left out; ``ids`` ascend.
 
-    Every row is in one bucket of each table.  A query visits buckets of all
-    tables in the order of estimated success, the squared distances to the
-    boundaries it crosses to get there, until it has met as many rows, with
-    repeats, as a ``share`` of all.  The distances of those rows are exact.  A
-    query that meets fewer in all its buckets lies far from the rows, and is
-    held against every row.
+    The distances of a query's candidates are exact.  A query that meets too few
+    rows in all its buckets lies far from them, and is held against every row,
+    as is every query of a shard of few rows.
     """
-    n, dims = vectors.shape
-    m = PROJECTIONS
-    rng = np.random.default_rng(SEED)
-    sample = vectors[np.linspace(0, n - 1, min(n, SAMPLE)).astype(int)]
-    width = WIDTH * (np.sqrt(2 * np.var(sample, axis=0).sum()) or 1.0)
-    axes = rng.standard_normal((TABLES, dims, m))
-    shift = rng.random((TABLES, m))
-    odd = rng.integers(1, 2**62, m) * 2 + 1  # a bucket's code; rows of two buckets of one code are both met
-    tables = []
-    for t in range(TABLES):
-        codes = np.floor(vectors @ axes[t] / width + shift[t]).astype(np.int64) @ odd
-        order = np.argsort(codes, kind="stable")
-        tables.append((codes[order], order))
-    sets = perturbations(PROBES, m)
-    crossed = np.zeros((len(sets), 2 * m))
-    for i, a in enumerate(sets):
-        crossed[i, a] = 1
-    crossed_int = crossed.astype(np.int64)
-    few = n <= 8 * k
+    n = len(ids)
+    buckets = Buckets(vectors) if n > 16 * k else None
     out_q, out_d, out_s = [], [], []
     for qid, q in zip(query_ids.tolist(), queries):
-        if few:
+        rows = buckets.candidates(q, 8 * k) if buckets else None
+        rows = np.flatnonzero(ids != qid) if rows is None else rows[ids[rows] != qid]
+        if len(rows) < k:
             rows = np.flatnonzero(ids != qid)
-        else:
-            scores, spans = [], []
-            for t, (codes, _) in enumerate(tables):
-                at = q @ axes[t] / width + shift[t]
-                base = np.floor(at)
-                reach = np.concatenate([at - base, 1 - at + base])
-                near = np.argsort(reach, kind="stable")
-                steps = np.concatenate([-odd, odd])[near]
-                scores.append(crossed @ reach[near] ** 2)
-                keys = base.astype(np.int64) @ odd + crossed_int @ steps
-                spans.append(np.stack([np.searchsorted(codes, keys), np.searchsorted(codes, keys, "right")], 1))
-            scores, spans = np.concatenate(scores), np.concatenate(spans)
-            order = np.argsort(scores, kind="stable")
-            sizes = np.cumsum((spans[:, 1] - spans[:, 0])[order])
-            enough = max(8 * k, share * n)
-            upto = min(int(np.searchsorted(sizes, enough)) + 1, len(order))
-            seen = np.full(n, sizes[-1] < enough)
-            for p in order[:upto].tolist():
-                a, b = spans[p]
-                if b > a:
-                    seen[tables[p // len(sets)][1][a:b]] = True
-            rows = np.flatnonzero(seen & (ids != qid))
-            if len(rows) < k:
-                rows = np.flatnonzero(ids != qid)
         d2 = ((vectors[rows] - q) ** 2).sum(axis=1)
         if len(rows) > k:
             keep = d2 <= np.partition(d2, k - 1)[k - 1]
@@ -115,11 +135,14 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, **siz
 
     Zero vectors, nulls and vectors with null or non-finite components must be
     left out before.  Rows of equal id are rows of their own, but none is found
-    for a query of its id.  Without rows or queries the result is empty.
+    for a query of its id.  Of equal distances the smaller id comes first, also
+    if vectors are repeated.  Other columns must not be there (``finite`` leaves
+    them out).  Without rows or queries the result is empty.
     """
     return search(vectors, queries, lambda a, b, c, d: nearest(a, b, c, d, k), k, "double", False, "pstable", **sizes)
 
 
 def op4_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rows near every hundredth row; rows without a vector that can be measured take no part, whatever else they hold."""
     vectors = finite(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").where(F.exists("v", lambda x: x != 0))
     return nearest_neighbours(vectors, vectors.where(F.pmod("vec_id", F.lit(QUERY_STEP)) == 0))
