@@ -5,13 +5,21 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import sys
+import time
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .constants import SHOWN_AFFECTED, SHOWN_SYMBOLS
 from .functions.vector import hashed_embedder
+from .operators.views import match_percent, shown
 from .session import Index
+from .sources.store import materialized
 from .sources.tree import default_excludes
+from .streaming.watch import poll, polled, start
 
 
 def workspace_root(folder: str) -> str:
@@ -39,11 +47,17 @@ def main(argv: list[str] | None = None) -> None:
     sub = parser.add_subparsers(dest="command", required=True)
     for name in ("init", "index", "stats", "graph", "files", "memory", "tasks", "rules"):
         sub.add_parser(name)
-    for name, arg in (("context", "task"), ("search", "query"), ("blast-radius", "file")):
+    for name, arg in (("context", "task"), ("search", "query"), ("blast-radius", "file"), ("dependents", "file"), ("symbols", "file")):
         sub.add_parser(name).add_argument(arg)
     sub.choices["context"].add_argument("-f", "--format", choices=["json", "markdown"], default="markdown")
     tests = sub.add_parser("tests")
     tests.add_argument("files", nargs="+")
+    tests.add_argument("-r", "--run", action="store_true", help="print the tests as one line of arguments for a test runner")
+    for name in ("remove-rule", "remove-task"):
+        sub.add_parser(name).add_argument("id", type=int)
+    watch = sub.add_parser("watch")
+    watch.add_argument("--every", type=float, default=1.0, help="seconds between two looks at the tree")
+    watch.add_argument("--rounds", type=int, default=None, help="looks after which to end; without it, never")
     rule = sub.add_parser("record-rule")
     rule.add_argument("name")
     rule.add_argument("description")
@@ -59,12 +73,11 @@ def main(argv: list[str] | None = None) -> None:
     root = a.root or workspace_root(os.getcwd())
     index = Index(spark, root, embedder=hashed_embedder())
     index.init()
-    show = lambda df: print(json.dumps([json.loads(x) for x in df.toJSON().take(1000)], indent=2))
     match a.command:
         case "init":
             write_defaults(root)
         case "index":
-            print(json.dumps(index.index()))
+            print(json.dumps(index.index(lambda percent, what: print(f"{percent:3d}% {what}", file=sys.stderr))))
         case "stats" | "files" | "memory" | "tasks" | "rules":
             show(getattr(index, a.command)())
         case "graph":
@@ -74,16 +87,61 @@ def main(argv: list[str] | None = None) -> None:
             pack = index.context_pack(a.task)
             print(json.dumps(pack, indent=2) if a.format == "json" else markdown(pack))
         case "search":
-            for r in index.semantic_search(a.query).collect():
-                print(f"{max(0, round((1 - r['distance']) * 100))}% {r['path']}")
+            for r in index.semantic_search(a.query).select(match_percent(F.col("distance")).alias("percent"), "path").collect():
+                print(f"{r['percent']}% {r['path']}")
         case "blast-radius":
-            print(json.dumps({"file": a.file, "blast_radius": [r["path"] for r in index.blast_radius(a.file).take(10_000)]}, indent=2))
+            print(json.dumps({"file": a.file, "blast_radius": [r["path"] for r in index.blast_radius(a.file).toLocalIterator()]}, indent=2))
+        case "dependents":
+            show(index.direct_dependents(a.file))
+        case "symbols":
+            show(index.symbols_of(a.file))
         case "tests":
-            show(index.related_tests(*a.files))
+            found = index.related_tests(*a.files)
+            print(" ".join(sorted(r["path"] for r in found.toLocalIterator()))) if a.run else show(found)
         case "record-rule":
             index.add_rule(a.name, a.description, a.scope, a.value)
         case "record-task":
             index.record_task(a.description, a.type, a.outcome, a.notes)
+        case "remove-rule":
+            index.remove_rule(a.id)
+        case "remove-task":
+            index.remove_task(a.id)
+        case "watch":
+            follow(index, a.every, a.rounds)
+
+
+def show(df: DataFrame) -> None:
+    """All rows as a list of JSON, one partition at a time."""
+    print("[" + ",".join("\n  " + x for x in df.toJSON().toLocalIterator()) + "\n]")
+
+
+def told(diff: DataFrame, dependents: DataFrame) -> None:
+    """What a batch of changes means, as people read it; long lists end with how many more there are."""
+    for change, mark in (("added", "+"), ("removed", "-")):
+        rows, more = shown(diff.where(F.col("change") == change), SHOWN_SYMBOLS, ["path", "name"])
+        for r in rows:
+            print(f"{mark} {r['path']}: {r['name']}")
+        if more:
+            print(f"{mark} and {more} more")
+    rows, more = shown(dependents.select("src").distinct(), SHOWN_AFFECTED, ["src"])
+    for r in rows:
+        print(f"! {r['src']}")
+    if more:
+        print(f"! and {more} more")
+
+
+def follow(index: Index, every: float, rounds: int | None) -> None:
+    """Looks at the tree again and again, and keeps the tables fresh by the stream of what changed."""
+    folder = f"{index.root}/.millrace/events-{uuid.uuid4().hex}"
+    seen = materialized(polled(index), "polled")
+    Path(folder).mkdir(parents=True)
+    query = None
+    while rounds is None or rounds > 0:
+        time.sleep(every)
+        seen = poll(index, folder, seen)
+        query = start(index, folder, f"{folder}-checkpoint", told, once=True)
+        query.awaitTermination()
+        rounds = None if rounds is None else rounds - 1
 
 
 def markdown(pack: dict) -> str:

@@ -40,5 +40,7 @@ RADIUS_CAP, TESTS_CAP = 10, 5
 CONFIDENCE = {"imports": 0.8, "imports:type": 0.5, "imports:dynamic": 0.3}
 GIST_FUNCTIONS, GIST_DEPENDENCIES, GIST_DOC, GIST_CHARS = 5, 5, 50, 500
 RECENT, FILES_SHOWN = 50, 100
+#: Rows of a list that people read before it says how many more there are.
+SHOWN_AFFECTED, SHOWN_SYMBOLS = 5, 20
 DEBOUNCE_MS = 250
 UNRESOLVABLE = "UNRESOLVABLE: "

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.tree import extension
-from pyspark.sql import functions as F
 
 Q, NQ = "[\"'`]", "[^\"'`]"
 
@@ -54,16 +54,18 @@ PATTERNS: dict[str, list[tuple[str, re.Pattern]]] = {
     **dict.fromkeys((".v", ".sv"), [("value", _quoted(r"^\s*`include\s+"))]),
     ".html": [],
 }
+#: A constant string, and a hole for one in a template.
 _CONSTANT = _p(r"\bconst\s+([A-Za-z_$][\w$]*)\s*=\s*(['\"])([^'\"\\]*(?:\\.[^'\"\\]*)*)\2")
 _HOLE = _p(r"\$\{\s*([A-Za-z_$][\w$]*)\s*\}")
 _AS = re.compile(r"\s+as\s+", re.I)
 
 NAME = r"([A-Za-z_$][\w$]*)"
+#: A pattern for each kind of symbol.
 _SCRIPT_SYMBOLS = [
     ("function", _p(rf"\bfunction\s+{NAME}\s*\(")),
     ("class", _p(rf"\bclass\s+{NAME}\b")),
     ("method", _p(rf"\n\s*{NAME}\s*\([^)]*\)\s*\{{")),
-    ("variable", _p(rf"\b(?:const|let|var)\s+{NAME}\s*=\s*(?:async\s*)?(?:\([^)]*\)|{NAME.replace('(', '(?:', 1)})\s*=>")),
+    ("variable", _p(rf"\b(?:const|let|var)\s+{NAME}\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>")),
 ]
 #: Approximations by line for languages that a grammar would parse.
 SYMBOLS: dict[str, list[tuple[str, re.Pattern]]] = {
@@ -151,6 +153,31 @@ def imports_of(ext: str, text: str, parity: bool = False) -> list[tuple[str, str
     return [(s, *e) for s, e in found.items()]
 
 
+#: Extensions whose symbols are also looked for in the comment above them.
+DOCUMENTED = [e for e in SYMBOLS if e not in (".ts", ".tsx", ".js", ".jsx")]
+_LINE_COMMENT = re.compile(r"\s*(//|#(?!\[|include|import|define|if|end|pragma)|--)")
+
+
+def docstring(lines: list[str], line: int) -> str | None:
+    """The comment that stands above a line, blank lines aside, without its marks: the last one of several of one line each."""
+    at = line - 2
+    while at >= 0 and not lines[at].strip():
+        at -= 1
+    if at < 0:
+        return None
+    text = lines[at].strip()
+    if text.endswith("*/"):
+        first = at
+        while first > 0 and "/*" not in lines[first]:
+            first -= 1
+        text = "\n".join(lines[first : at + 1]).strip()
+        if not text.startswith("/*"):
+            return None
+    elif not _LINE_COMMENT.match(text):
+        return None
+    return re.sub(r"\*/$", "", re.sub(r"^(/\*\*?|//|\*)\s*", "", text)).strip()
+
+
 def symbols_of(ext: str, text: str, parity: bool = False) -> list[tuple[str, str, int]]:
     """(name, type, line) of a file, each once."""
     found: dict[tuple[str, str, int], None] = {}
@@ -161,21 +188,38 @@ def symbols_of(ext: str, text: str, parity: bool = False) -> list[tuple[str, str
     return list(found)
 
 
-def extracted(files: DataFrame, parity: bool = False) -> DataFrame:
-    """(path, ext, imports, symbols, error) of ``files`` (path, content); one broken file does not stop the others."""
+Extractor = Callable[[str, str], tuple[list[tuple[str, str, int, str | None]], list[tuple[str, str, bool]]] | None]
+
+
+def extracted(files: DataFrame, parity: bool = False, extractor: Extractor | None = None) -> DataFrame:
+    """(path, ext, imports, symbols, error) of ``files`` (path, content); one broken file does not stop the others.
+
+    ``extractor(ext, text)`` is a second pass, as by a grammar: its symbols
+    (name, type, line, docstring) and imports (source, type, dynamic) come after
+    those of the patterns, and only names and sources that are new.  None
+    stands for a language it doesn't know.
+    """
+
+    def parsed(ext: str, text: str) -> tuple[list[dict], list[dict]]:
+        lines = text.split("\n") if ext in DOCUMENTED else []
+        symbols = [(n, t, at, docstring(lines, at) if lines else None) for n, t, at in symbols_of(ext, text, parity)]
+        imports = imports_of(ext, text, parity)
+        more = extractor(ext, text) if extractor else None
+        if more is not None:
+            names, sources = {x[0] for x in symbols}, {x[0] for x in imports}
+            symbols += list({x[0]: x for x in reversed(more[0]) if x[0] not in names}.values())[::-1]
+            imports += list({x[0]: x for x in reversed(more[1]) if x[0] not in sources}.values())[::-1]
+        return [dict(zip(("source", "type", "dynamic"), x), pos=i) for i, x in enumerate(imports)], [dict(zip(("name", "type", "line", "docstring"), x), pos=i) for i, x in enumerate(symbols)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, ext, text in zip(batch["path"], batch["ext"], batch["content"]):
                 try:
-                    text = (text or "").removeprefix("\ufeff")
-                    imports = [{"pos": i, "source": s, "type": t, "dynamic": d} for i, (s, t, d) in enumerate(imports_of(ext, text, parity))]
-                    symbols = [{"pos": i, "name": n, "type": t, "line": at} for i, (n, t, at) in enumerate(symbols_of(ext, text, parity))]
-                    rows.append((path, ext, imports, symbols, None))
+                    rows.append((path, ext, *parsed(ext, (text or "").removeprefix("\ufeff")), None))
                 except Exception as e:
                     rows.append((path, ext, [], [], str(e)[:500]))
             yield pd.DataFrame(rows, columns=["path", "ext", "imports", "symbols", "error"])
 
-    shape = "path string, ext string, imports array<struct<pos:int,source:string,type:string,dynamic:boolean>>, symbols array<struct<pos:int,name:string,type:string,line:int>>, error string"
+    shape = "path string, ext string, imports array<struct<pos:int,source:string,type:string,dynamic:boolean>>, symbols array<struct<pos:int,name:string,type:string,line:int,docstring:string>>, error string"
     return files.select("path", extension(F.col("path")).alias("ext"), "content").mapInPandas(run, shape)

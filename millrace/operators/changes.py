@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def changes(scanned: DataFrame, stored: DataFrame) -> DataFrame:
+def changes(scanned: DataFrame, stored: DataFrame, embeds: bool = False) -> DataFrame:
     """(path, status): new, changed, retry, unchanged or removed, by content hash.
 
-    A stored file that is stale, or has no summary, is tried again.
+    A stored file that is stale or has no summary, or no embedding if ``embeds``, is tried again.
     """
-    a, b = scanned.select("path", F.col("content_hash").alias("now")), stored.select("path", F.col("content_hash").alias("then"), "stale", "summary")
+    a, b = scanned.select("path", F.col("content_hash").alias("now")), stored.select("path", F.col("content_hash").alias("then"), "stale", "summary", *(["embedding"] if embeds else []))
     both = a.join(b, "path", "full_outer")
     retry = F.coalesce("stale", F.lit(False)) | (F.coalesce("summary", F.lit("")) == "")
+    if embeds:
+        retry |= F.col("embedding").isNull()
     status = F.when(F.col("now").isNull(), "removed").when(F.col("then").isNull(), "new").when(F.col("now") != F.col("then"), "changed").when(retry, "retry").otherwise("unchanged")
     return both.select("path", status.alias("status"))
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..constants import UNRESOLVABLE
 from ..sources.store import materialized
 
-MAX_DEPTH = 10_000
+MAX_DEPTH = 100_000
+#: Levels after which what was visited is written as one table, so that its plan stays short.
+COMPACT = 8
 
 
 def closure(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -16,19 +18,22 @@ def closure(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) ->
 
     One round a level: the frontier meets the edges, and what was met before
     drops out, so cycles end.  Every level is written to the shared folder, which
-    cuts the lineage.
+    cuts the lineage, and every few levels they are written as one.  A graph
+    deeper than ``max_depth`` is an error.
     """
     # Written once: every level reads it, and where edges come from may be a long plan.
     back = materialized(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct(), "edges")
     frontier = materialized(starts.select("origin", "node").distinct().withColumn("depth", F.lit(0)), "level")
     visited = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, max_depth + 2):
         met = frontier.select("origin", "node").join(back, "node").select("origin", F.col("next").alias("node")).distinct()
         frontier = materialized(met.join(visited, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)), "level")
         if frontier.isEmpty():
-            break
+            return visited
         visited = visited.unionByName(frontier)
-    return visited
+        if depth % COMPACT == 0:
+            visited = materialized(visited, "visited")
+    raise RuntimeError(f"the graph is deeper than {max_depth} levels")
 
 
 def blast_radius(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -50,14 +55,19 @@ def shown(path: str = "path") -> Column:
 
 
 def direct_dependents(edges: DataFrame, path: str | Column) -> DataFrame:
-    """(path) of the files one hop away, over any relation."""
-    return edges.where(F.col("dst") == path).select(F.col("src").alias("path")).distinct()
+    """(path) of the files one hop away, over any relation; the case of ``path`` does not count."""
+    return edges.where(F.lower("dst") == F.lower(F.lit(path) if isinstance(path, str) else path)).select(F.col("src").alias("path")).distinct()
 
 
 def is_test(path: Column) -> Column:
     return path.contains(".test.") | path.contains(".spec.")
 
 
+def radius_size(found: DataFrame) -> DataFrame:
+    """(origin, size): how many files each start's blast radius has, flagged ones included."""
+    return found.groupBy("origin").agg(F.count_distinct("path").alias("size"))
+
+
 def related_tests(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(path) of the tests in the blast radius of any of ``starts``."""
     return blast_radius(edges, starts).where(is_test(F.col("path"))).select("path").distinct()

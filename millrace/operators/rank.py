@@ -41,12 +41,12 @@ def idf(files: DataFrame, words: DataFrame, text: str = "path") -> DataFrame:
     return words.join(counts, "kw", "left").crossJoin(F.broadcast(total)).select("kw", (F.log(F.col("total").cast("double") / (n + 1)) + 1).alias("idf"))
 
 
-def contributions(files: DataFrame, symbols: DataFrame, weighted: DataFrame) -> DataFrame:
-    """(path, score) for every match of ``weighted`` words (kw, idf), one row for each word of the task."""
-    w = F.broadcast(weighted)
-    by_path = files.join(w, _like("path", "kw")).select("path", (PATH_WEIGHT * F.col("idf")).alias("score"))
-    by_symbol = symbols.join(w, _like("name", "kw")).select("path", (SYMBOL_WEIGHT * F.col("idf")).alias("score"))
-    by_summary = files.join(w, _like("summary", "kw")).select("path", (SUMMARY_WEIGHT * F.col("idf")).alias("score"))
+def contributions(files: DataFrame, symbols: DataFrame, weighted: DataFrame, key: str = "path") -> DataFrame:
+    """(key, score) for every match of ``weighted`` words (kw, idf) in the path, a symbol's name or the summary, one row for each word of the task."""
+    w = F.broadcast(weighted)  # the words of one task
+    by_path = files.join(w, _like("path", "kw")).select(key, (PATH_WEIGHT * F.col("idf")).alias("score"))
+    by_symbol = symbols.join(w, _like("name", "kw")).select(key, (SYMBOL_WEIGHT * F.col("idf")).alias("score"))
+    by_summary = files.join(w, _like("summary", "kw")).select(key, (SUMMARY_WEIGHT * F.col("idf")).alias("score"))
     return by_path.unionAll(by_symbol).unionAll(by_summary)
 
 
@@ -87,7 +87,7 @@ def context_pack(spark: SparkSession, task: str, files: DataFrame, symbols: Data
     followed = spark.createDataFrame([(i, r["path"]) for i, r in enumerate(top)], "origin int, node string").where(F.lower(extension(F.col("node"))).isin(PACK_EXTENSIONS))
     radius = blast_radius(edges, followed)
     first = lambda df, text, n: [r[0] for r in df.groupBy(text.alias("p")).agg(F.min(F.struct("origin", "depth")).alias("o")).orderBy("o", "p").limit(n).collect()]
-    found = matching_rules(rules, kw).orderBy("id").limit(1000).collect()
+    found = matching_rules(rules, kw).orderBy("id").toLocalIterator()  # all rules, as the pack lists them all
     return empty | {
         "strategy": f"Context centered on {top[0]['path'].rsplit('/', 1)[-1]}",
         "read_first": [{"path": r["path"], "summary": r["summary"] or "No summary"} for r in top],

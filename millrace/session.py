@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .constants import SEMANTIC_K
-from .functions.extract import extracted
+from .functions.extract import Extractor, extracted
 from .functions.gist import gist
 from .functions.vector import Embedder, embedded, nearest
 from .operators import changes as ch
 from .operators import graph, memory, rank, views
-from .operators.resolve import resolved
+from .operators.resolve import candidates, file_keys, folders, matched
 from .sources import tree
 from .sources.store import Store, materialized
 
 
+Progress = Callable[[int, str], None]
+
+
 class Index:
     """Snapshots of files, symbols, imports, edges, tasks and rules of the tree under ``root``.
 
     ``parity`` keeps known quirks of import resolution; ``keep_removed`` keeps
-    files that are gone.  Without an ``embedder`` nothing is searched by vector.
+    files that are gone.  Without an ``embedder`` nothing is searched by vector;
+    an ``extractor`` is a second pass over sources besides the patterns.
     """
 
-    def __init__(self, spark: SparkSession, root: str, store: str | None = None, embedder: Embedder | None = None, parity: bool = False, keep_removed: bool = False):
+    def __init__(self, spark: SparkSession, root: str, store: str | None = None, embedder: Embedder | None = None, parity: bool = False, keep_removed: bool = False, extractor: Extractor | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.store = Store(spark, store or f"{self.root}/.millrace/tables")
-        self.embedder, self.parity, self.keep_removed = embedder, parity, keep_removed
+        self.embedder, self.parity, self.keep_removed, self.extractor = embedder, parity, keep_removed, extractor
 
     def init(self) -> None:
         self.store.ensure()
@@ -34,45 +40,82 @@ class Index:
     def table(self, name: str) -> DataFrame:
         return self.store.read(name)
 
-    def scan(self) -> DataFrame:
+    def scan(self, paths: DataFrame | None = None) -> DataFrame:
         settings = tree.config(self.spark, self.root).get("indexing", {})
-        return tree.scan(self.spark, self.root, settings.get("include"), settings.get("exclude", []))
+        return tree.scan(self.spark, self.root, settings.get("include"), settings.get("exclude", []), paths=paths)
 
-    def index(self) -> dict[str, int]:
+    def index(self, progress: Progress | None = None) -> dict[str, int]:
         """Brings the tables up to date with the tree; returns counts."""
         self.init()
-        return self.refresh(self.scan())
+        return self.refresh(self.scan(), progress=progress)
 
-    def refresh(self, scanned: DataFrame, partial: bool = False) -> dict[str, int]:
-        """Brings the tables up to date with ``scanned`` (path, content, content_hash); if ``partial``, files not in it stay.
+    def refresh(self, scanned: DataFrame, partial: bool = False, progress: Progress | None = None) -> dict[str, int]:
+        """Brings the tables up to date with ``scanned`` (path, content, content_hash, error); if ``partial``, files not in it stay.
 
-        Only new and changed contents are parsed.  Edges follow from all imports and all
-        files, so that a new file is found by imports that were there before.
+        Only new and changed contents are parsed.  Of the edges those are
+        resolved again whose file changed, and those of imports that may mean a
+        file that came or went; so a new file is found by imports that were
+        there before.  A change of the module, a package or a crate resolves all.
+        ``progress`` is told percents and what is being done.
         """
+        tell = progress or (lambda percent, what: None)
+        tell(0, "Comparing")
         stored = self.table("files")
-        status = materialized(ch.changes(scanned, stored), "changes")
+        status = materialized(ch.changes(scanned, stored, self.embedder is not None), "changes")
         work = status.where(F.col("status").isin("new", "changed", "retry")).select("path")
         gone = status.where("status = 'removed'").select("path")
         if partial or self.keep_removed:
             gone = gone.limit(0)
-        parsed = materialized(extracted(scanned.join(work, "path", "left_semi"), self.parity), "parsed")
-        fresh = parsed.join(scanned.select("path", "content_hash"), "path").select("path", "content_hash", gist(F.col("symbols"), F.col("imports")).alias("summary"), F.col("error").isNotNull().alias("stale"), F.current_timestamp().alias("last_indexed"))
+        tell(30, f"Parsing {work.count()} files")
+        texts = scanned.join(work, "path", "left_semi")
+        parsed = materialized(extracted(texts, self.parity, self.extractor), "parsed")
+        fresh = parsed.join(scanned.select("path", "content_hash", F.col("error").alias("unread")), "path")
+        fresh = fresh.select("path", "content_hash", gist(F.col("symbols"), F.col("imports")).alias("summary"), F.col("error").isNotNull().alias("stale"), F.current_timestamp().alias("last_indexed"), F.coalesce("error", "unread").alias("error"))
         fresh = embedded(fresh, "summary", self.embedder)
         touched = work.union(gone)
         files = materialized(ch.replaced(stored, touched, fresh), "files")
-        symbols = parsed.select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.type", F.col("s.line").alias("start_line"), F.col("s.line").alias("end_line"))
+        symbols = parsed.select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.type", F.col("s.line").alias("start_line"), F.col("s.line").alias("end_line"), "s.docstring")
         imports = parsed.select("path", "ext", F.explode("imports").alias("i")).select("path", "ext", "i.pos", "i.source", "i.type", "i.dynamic")
         imports = materialized(ch.replaced(self.table("imports"), touched, imports), "imports")
-        modules = scanned.where("path = 'go.mod'")
-        module = (tree.go_module(modules).first() or [None])[0]
-        edges = resolved(imports, files.select("path"), tree.packages(scanned.where(F.col("path").endswith("package.json"))), module, self.parity)
-        self.store.write(files=files, symbols=ch.replaced(self.table("symbols"), touched, symbols), imports=imports, edges=edges)
-        return {t: self.table(t).count() for t in ("files", "symbols", "edges")}
-
-    def remove(self, paths: list[str]) -> None:
-        """Files go, with their symbols and edges."""
-        gone = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        self.store.write(files=ch.without(self.table("files"), gone), symbols=ch.without(self.table("symbols"), gone), imports=ch.without(self.table("imports"), gone), edges=ch.without(self.table("edges"), gone, ("src", "dst")))
+        tell(70, "Resolving imports")
+        before = self.table("workspace")
+        workspace = materialized(ch.replaced(before, touched, tree.workspace(texts)), "workspace")
+        wanted, edges = self._resolved(files, imports, touched, status.where(F.col("status") == "new").select("path").union(gone), workspace, before.exceptAll(workspace).union(workspace.exceptAll(before)).isEmpty())
+        self.store.write(files=files, symbols=ch.replaced(self.table("symbols"), touched, symbols), imports=imports, candidates=wanted, workspace=workspace, edges=edges)
+        tell(100, "Indexed")
+        return {t: self.table(t).count() for t in ("files", "symbols", "edges")} | {"errors": self.table("files").where("error is not null").count()}
+
+    def _resolved(self, files: DataFrame, imports: DataFrame, touched: DataFrame, moved: DataFrame, workspace: DataFrame, settled: bool) -> tuple[DataFrame, DataFrame]:
+        """Candidates and edges, where only what ``touched`` files and those that were ``moved`` in or out have to do with is new.
+
+        Unless the workspace is ``settled``, all is.
+        """
+        paths = files.select("path")
+        facts = tree.packages(workspace), tree.go_module(workspace), tree.crates(workspace), self.parity
+        if not settled:
+            wanted = materialized(candidates(imports, paths, *facts), "candidates")
+            return wanted, matched(wanted, paths)
+        again = touched.select("path")
+        if not moved.isEmpty():  # where a crate begins may depend on what folders there are
+            again = again.union(imports.where("ext = '.rs'").select("path")).distinct()
+        again = materialized(again, "again")
+        kept = ch.without(self.table("candidates"), again, ("src",))
+        wanted = materialized(kept.unionByName(candidates(imports.join(again, "path", "left_semi"), paths, *facts)), "candidates")
+        keys = file_keys(moved).select(F.lower("key").alias("lc")).union(folders(moved).select(F.lower("key"))).distinct()
+        met = wanted.withColumn("lc", F.lower("key")).join(keys, "lc", "left_semi").select("src")
+        affected = materialized(met.union(again).distinct(), "affected")
+        edges = ch.without(self.table("edges"), affected.withColumnRenamed("src", "path"), ("src",))
+        return wanted, edges.unionByName(matched(wanted.join(affected, "src", "left_semi"), paths))
+
+    def remove(self, paths: list[str] | DataFrame) -> None:
+        """Files go, with their symbols, imports and edges; what imported them is resolved to what is left."""
+        gone = paths if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], "path string")
+        files = materialized(ch.without(self.table("files"), gone), "files")
+        imports = materialized(ch.without(self.table("imports"), gone), "imports")
+        before = self.table("workspace")
+        workspace = materialized(ch.without(before, gone), "workspace")
+        wanted, edges = self._resolved(files, imports, gone, gone, workspace, before.count() == workspace.count())
+        self.store.write(files=files, symbols=ch.without(self.table("symbols"), gone), imports=imports, candidates=wanted, workspace=workspace, edges=edges)
 
     def _starts(self, paths: list[str]) -> DataFrame:
         """The stored spelling of ``paths``, whatever their case."""
@@ -87,6 +130,11 @@ class Index:
     def direct_dependents(self, path: str) -> DataFrame:
         return graph.direct_dependents(self.table("edges"), path)
 
+    def radius_size(self, path: str) -> int:
+        """How many files a change of ``path`` may break."""
+        row = graph.radius_size(graph.blast_radius(self.table("edges"), self._starts([path]))).first()
+        return row["size"] if row else 0
+
     def related_tests(self, *paths: str) -> DataFrame:
         return graph.related_tests(self.table("edges"), self._starts(list(paths)))
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import TABLES
@@ -16,6 +18,8 @@ def materialized(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
@@ -24,26 +28,36 @@ def materialized(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 class Store:
-    """Tables as folders of Parquet; a pointer row names the folder of each, and is replaced last.
+    """Tables as folders of Parquet; numbered pointers name the folder of each, and the highest number counts.
 
     A snapshot never overwrites what is being read: every write goes to a new
     folder, and the pointers of all tables written together change at once.
+    Who writes first claims the next number; another who wants it waits, and
+    then builds on what the first has written, so no update is lost.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, patience: float = 60.0):
+        self.spark, self.folder, self.patience = spark, folder.rstrip("/"), patience
 
     def _path(self, name: str):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def pointers(self) -> dict[str, str]:
-        fs, path = self._path("current")
-        if not fs.exists(path):
+    def _latest(self) -> int:
+        """The highest number of a pointer, or -1."""
+        fs, path = self._path("pointers")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return max((int(n) for n in names if n.isdigit()), default=-1)
+
+    def _tables(self, number: int) -> dict[str, str]:
+        if number < 0:
             return {}
-        rows = self.spark.read.text(f"{self.folder}/current").collect()  # one line
-        return json.loads(rows[0][0]) if rows else {}
+        rows = self.spark.read.text(f"{self.folder}/pointers/{number}", wholetext=True).collect()  # one small file
+        return json.loads(rows[0][0])
+
+    def pointers(self) -> dict[str, str]:
+        return self._tables(self._latest())
 
     def read(self, table: str) -> DataFrame:
         """The table's last snapshot, or no rows."""
@@ -52,22 +66,38 @@ class Store:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.folder}/{where}")
 
+    def _claim(self) -> int:
+        """The next number, for this writer alone."""
+        until = time.monotonic() + self.patience
+        while True:
+            number = self._latest() + 1
+            fs, path = self._path(f"claims/{number}")
+            try:
+                fs.create(path, False).close()
+                return number
+            except Py4JJavaError as e:
+                if "AlreadyExists" not in str(e.java_exception.toString()):
+                    raise
+            if time.monotonic() > until:
+                raise TimeoutError(f"another writer holds {path.toString()}; remove it if that writer is gone")
+            time.sleep(0.2)
+
     def write(self, **tables: DataFrame) -> None:
         """New snapshots of ``tables``, seen together."""
-        pointers = self.pointers()
+        fresh = {}
         for name, df in tables.items():
             where = f"{name}/{uuid.uuid4().hex}"
             columns = [c.split(" ")[0] for c in TABLES[name].split(", ")]
             df.select(*columns).write.parquet(f"{self.folder}/{where}")
-            pointers[name] = where
-        fresh = f"pointer-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(json.dumps(pointers),)], "value string").coalesce(1).write.text(f"{self.folder}/{fresh}")
-        fs, path = self._path("current")
-        _, new = self._path(fresh)
-        if fs.exists(path):
-            _, old = self._path(f"old-{uuid.uuid4().hex}")
-            fs.rename(path, old)
-        fs.rename(new, path)
+            fresh[name] = where
+        number = self._claim()
+        fs, new = self._path(f"fresh-{uuid.uuid4().hex}")
+        out = fs.create(new, False)
+        out.write(json.dumps(self._tables(number - 1) | fresh).encode())
+        out.close()
+        fs.mkdirs(self._path("pointers")[1])
+        if not fs.rename(new, self._path(f"pointers/{number}")[1]):
+            raise OSError(f"pointer {number} could not be put in place")
 
     def ensure(self) -> None:
         """Creates the tables that are not there; the others stay."""

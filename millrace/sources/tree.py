@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import BINARY, EXCLUDED, GENERATED, MARKED_EXCLUDED, MAX_BYTES, PROJECT_EXCLUDED
+from .store import materialized
 
 
 def glob_regex(glob: str) -> str:
@@ -68,27 +70,119 @@ def content_hash(content: Column, length: Column | None = None, modified: Column
     return h if length is None else F.when(length > max_bytes, F.concat(F.lit("large-file-"), modified.cast("string"))).otherwise(h)
 
 
-def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] = (), max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, content, length, modified, content_hash) of the files under ``root`` that are to be indexed.
+_STATUS = re.compile(r"path=([^{}]*?); isDirectory=(true|false);(?: length=(\d+);)?[^{}]*?modification_time=(\d+)")
+#: Bytes of files that are read one by one before they are written.
+TOGETHER = 1 << 25
 
-    Size is filtered in the scan, so contents beyond the limit are not read.
+
+def _hadoop(spark: SparkSession, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _bytes(fs, path) -> bytes:
+    stream = fs.open(path)
+    content = bytes(stream.readAllBytes())
+    stream.close()
+    return content
+
+
+def underscored(spark: SparkSession, root: str) -> tuple[list[tuple[str, int, float]], list[str]]:
+    """Files (path, length, seconds) and folders whose names begin with an underscore, by patterns of every depth.
+
+    Spark takes such names for its own and leaves them out of every read.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
-    files = raw.withColumn("path", relative(F.col("path"), root))
-    files = guarded(files, include, excluded_globs(list(exclude), ignore_lines(spark, root)), max_bytes)
-    # A mark of byte order is no part of the text.
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\\uFEFF", "")
-    return files.select("path", text.alias("content"), "length", F.col("modificationTime").alias("modified"), content_hash(F.col("content")).alias("content_hash"))
+    fs, _ = _hadoop(spark, root)
+    java, gateway = spark.sparkContext._jvm.java, spark.sparkContext._gateway
+
+    def text(found) -> str:
+        """All of an array as one string, as every look at an entry is a call of its own."""
+        copy = gateway.new_array(java.lang.Object, len(found))
+        java.lang.System.arraycopy(found, 0, copy, 0, len(found))
+        return java.util.Arrays.toString(copy)
+
+    path = lambda pattern: _hadoop(spark, re.sub(r"([\[\]{}*?\\])", r"\\\1", root) + pattern)[1]
+    files, folders, depth = [], [], 0
+    while True:
+        for name, folder, length, modified in _STATUS.findall(text(fs.globStatus(path("/*" * depth + "/_*")))):
+            if folder == "true":
+                folders.append(name)
+            else:
+                files.append((name, int(length or 0), int(modified) / 1000))
+        depth += 1
+        if not fs.globStatus(path("/*" * depth)):
+            return files, folders
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, modified) of all files under ``root``, without a look at contents.
+
+    Spark leaves files of no bytes out of every read, so these are told from
+    its list of all files.
+    """
+    files, folders = underscored(spark, root)
+    shape = "path string, length long, seconds double"
+    out = spark.createDataFrame(files, shape).select(relative(F.col("path"), root).alias("path"), "length", F.timestamp_seconds("seconds").alias("modified"))
+    for top in (root, *folders):
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top)
+        some = raw.select(relative(F.col("path"), root).alias("path"), "length", F.col("modificationTime").alias("modified"))
+        names = spark.createDataFrame([(unquote(f),) for f in raw.inputFiles()], "path string")  # Spark lists files on the driver in any case
+        empty = names.select(relative(F.col("path"), root).alias("path")).join(some, "path", "left_anti")
+        out = out.unionByName(some).unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified")))
+    return out.dropDuplicates(["path"])
+
+
+def _read_one_by_one(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """(path, content, length, modified) of ``files`` that Spark does not read itself, a few at a time."""
+    shape = "path string, content binary, length long, modified timestamp"
+    out, held, size = spark.createDataFrame([], shape), [], 0
+
+    def written() -> DataFrame:
+        return out.unionByName(materialized(spark.createDataFrame(held, shape), "read"))
+
+    for r in files.toLocalIterator():
+        fs, path = _hadoop(spark, f"{root}/{r['path']}")
+        content = _bytes(fs, path)
+        held.append((r["path"], bytearray(content), r["length"], r["modified"]))
+        size += len(content)
+        if size > TOGETHER:
+            out, held, size = written(), [], 0
+    return written() if held else out
+
+
+def text_of(content: Column) -> Column:
+    """Bytes as text without a mark of byte order; bytes that are no UTF-8 become marks of replacement."""
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\\uFEFF", "")
+
+
+def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] = (), max_bytes: int = MAX_BYTES, paths: DataFrame | None = None) -> DataFrame:
+    """(path, content, length, modified, content_hash, error) of the files under ``root`` that are to be indexed, or of those among ``paths`` (path).
+
+    Paths and sizes are filtered before any content is read, and only
+    directories that hold a file to be indexed are read.  ``error`` says
+    whether a file isn't plain UTF-8.
+    """
+    files = guarded(listed(spark, root), include, excluded_globs(list(exclude), ignore_lines(spark, root)), max_bytes)
+    if paths is not None:
+        files = files.join(paths, "path", "left_semi")
+    files = materialized(files, "listed")
+    some = files.where("length > 0")
+    hidden = F.col("path").rlike("(^|/)_[^/]*$")
+    folders = [r[0] for r in some.where(~hidden).select(F.regexp_replace("path", "/?[^/]*$", "").alias("d")).distinct().collect()]  # of one tree
+    raw = _read_one_by_one(spark, root, some.where(hidden))
+    if folders:
+        read = spark.read.format("binaryFile").load([f"{root}/{d}" if d else root for d in folders]).where(F.col("length") <= max_bytes)
+        read = read.select(relative(F.col("path"), root).alias("path"), "content", "length", F.col("modificationTime").alias("modified"))
+        raw = raw.unionByName(read.join(files.select("path"), "path", "left_semi"))
+    raw = raw.unionByName(files.where("length = 0").select("path", F.lit("").cast("binary").alias("content"), "length", "modified"))
+    error = F.when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8")
+    return raw.select("path", text_of(F.col("content")).alias("content"), "length", "modified", content_hash(F.col("content")).alias("content_hash"), error.alias("error"))
 
 
 def _lines(spark: SparkSession, path: str) -> list[str]:
-    """Lines of a small configuration file; none if it isn't there."""
-    try:
-        return [r[0] for r in spark.read.text(path).limit(10_000).collect()]
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return []
-        raise
+    """Lines of a configuration file, whatever its name begins with; none if it isn't there."""
+    fs, path = _hadoop(spark, path)
+    return _bytes(fs, path).decode("utf-8", "replace").splitlines() if fs.exists(path) else []
 
 
 def ignore_lines(spark: SparkSession, root: str) -> list[str]:
@@ -106,18 +200,32 @@ def config(spark: SparkSession, root: str) -> dict:
     return {}
 
 
-def go_module(files: DataFrame) -> DataFrame:
-    """(module) of the root's go.mod."""
-    return files.where("path = 'go.mod'").select(F.regexp_extract("content", r"(?m)^module\s+(.+)$", 1).alias("module")).where("module <> ''")
+def workspace(files: DataFrame) -> DataFrame:
+    """(path, kind, name, dir) of what ``files`` (path, content) say of modules, packages and crates.
+
+    The root's go.mod names the module, packages/*/package.json and the root's
+    the packages, and every Cargo.toml a crate by its name and with underscores
+    for hyphens.  A Cargo.toml without a name marks a crate's root all the same.
+    """
+    path, content = F.col("path"), F.col("content")
+    module = F.struct(F.lit("module").alias("kind"), F.trim(F.regexp_extract(content, r"(?m)^module\s+(.+)$", 1)).alias("name"))
+    package = F.struct(F.lit("package").alias("kind"), F.get_json_object(content, "$.name").alias("name"))
+    crate = F.regexp_extract(content, r"""(?m)^name\s*=\s*["'](.+?)["']""", 1)
+    crates = F.array_distinct(F.array(*[F.struct(F.lit("crate").alias("kind"), c.alias("name")) for c in (crate, F.translate(crate, "-", "_"))]))
+    found = F.when(path == "go.mod", F.array(module)).when(path.rlike(r"^(packages/[^/]+/)?package\.json$"), F.array(package)).when(path.rlike(r"(^|/)Cargo\.toml$"), crates)
+    rows = files.select("path", F.explode(found).alias("f"), F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"))
+    return rows.select("path", "f.kind", "f.name", "dir").where("name is not null and (kind = 'crate' or name <> '')")
+
+
+def go_module(workspace: DataFrame) -> str | None:
+    return (workspace.where("kind = 'module'").select("name").first() or [None])[0]
 
 
-def packages(files: DataFrame) -> DataFrame:
-    """(name, dir) of the packages of a workspace: packages/*/package.json and the root's."""
-    found = files.where(F.col("path").rlike(r"^(packages/[^/]+/)?package\.json$"))
-    return found.select(F.get_json_object("content", "$.name").alias("name"), F.regexp_replace("path", r"/?package\.json$", "").alias("dir")).where("name is not null")
+def packages(workspace: DataFrame) -> DataFrame:
+    """(name, dir) of the packages; of two of one name the root's counts."""
+    return workspace.where("kind = 'package'").groupBy("name").agg(F.min("dir").alias("dir"))
 
 
-def crates(files: DataFrame) -> DataFrame:
-    """(name, dir) of the crates, by their name and with underscores for hyphens."""
-    found = files.where(F.col("path").rlike(r"(^|/)Cargo\.toml$")).select(F.regexp_extract("content", r'name\s*=\s*"([^"]+)"', 1).alias("name"), F.regexp_replace("path", r"/?Cargo\.toml$", "").alias("dir")).where("name <> ''")
-    return found.select(F.explode(F.array_distinct(F.array("name", F.translate("name", "-", "_")))).alias("name"), "dir")
+def crates(workspace: DataFrame) -> DataFrame:
+    """(name, dir) of the crates."""
+    return workspace.where("kind = 'crate'").select("name", "dir").distinct()

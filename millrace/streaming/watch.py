@@ -12,6 +12,7 @@ from ..constants import DEBOUNCE_MS, WATCHED_EXTENSIONS
 from ..operators import changes as ch
 from ..schema import EVENTS
 from ..session import Index
+from ..sources import tree
 from ..sources.store import materialized
 from ..sources.tree import extension
 
@@ -39,28 +40,43 @@ def last_events(events: DataFrame) -> DataFrame:
 
 
 def applied(index: Index, batch: DataFrame, report: Callable[[DataFrame, DataFrame], None] | None = None) -> None:
-    """Brings ``index`` up to date with a batch of events, and reports symbols that changed and files that depend on theirs."""
-    last = last_events(watched(batch))
-    gone = [r["path"] for r in last.where("event = 'unlink'").select("path").collect()]  # one batch of a watcher
-    if gone:
+    """Brings ``index`` up to date with a batch of events, and reports symbols that changed and files that depend on theirs.
+
+    Only the files that the batch names are read.  A file that is not there any
+    more goes, whatever its last event says.
+    """
+    last = materialized(last_events(watched(batch)), "events")
+    if last.isEmpty():
+        return
+    scanned = materialized(index.scan(last.where("event <> 'unlink'").select("path")), "scanned")
+    gone = last.join(scanned, "path", "left_anti").select("path")
+    gone = materialized(gone.join(index.table("files"), "path", "left_semi"), "gone")
+    if not gone.isEmpty():
         index.remove(gone)
-    kept = last.where("event <> 'unlink'").select("path")
-    if not kept.limit(1).count():
+    if scanned.isEmpty():
         return
+    kept = scanned.select("path")
     before = materialized(index.table("symbols").join(kept, "path", "left_semi"), "symbols") if report else None
-    index.refresh(index.scan().join(kept, "path", "left_semi"), partial=True)
+    index.refresh(scanned, partial=True)
     if report:
         after = index.table("symbols").join(kept, "path", "left_semi")
         diff = ch.symbol_diff(before, after)
         report(diff, index.table("edges").join(kept.withColumnRenamed("path", "dst"), "dst", "left_semi").select("dst", "src").distinct())
 
 
-def start(index: Index, events_folder: str, checkpoint: str, report: Callable[[DataFrame, DataFrame], None] | None = None, once: bool = False) -> StreamingQuery:
-    """Follows a folder of event rows (path, event, ts); there is one watcher in a session."""
+def start(index: Index, events_folder: str, checkpoint: str, report: Callable[[DataFrame, DataFrame], None] | None = None, once: bool = False, gap_ms: int | None = DEBOUNCE_MS) -> StreamingQuery:
+    """Follows a folder of event rows (path, event, ts); there is one watcher in a session.
+
+    A file's events are taken together until there are none for ``gap_ms``; as
+    time is told by events, the last run of the last file waits for a later
+    event.  Without a gap, or ``once``, every batch takes what there is.
+    """
     for q in index.spark.streams.active:
         if q.name == NAME:
             return q
     stream = index.spark.readStream.schema(EVENTS).json(events_folder)
+    if gap_ms is not None and not once:
+        stream = debounced(watched(stream).withWatermark("ts", f"{gap_ms} milliseconds"), gap_ms).drop("n")
     writer = stream.writeStream.queryName(NAME).option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: applied(index, df, report))
     return (writer.trigger(availableNow=True) if once else writer).start()
 
@@ -68,4 +84,23 @@ def start(index: Index, events_folder: str, checkpoint: str, report: Callable[[D
 def events_of(scanned: DataFrame, stored: DataFrame) -> DataFrame:
     """The events (path, event, ts) that a scan means for the stored files."""
     kind = F.when(F.col("status") == "removed", "unlink").when(F.col("status") == "new", "add").otherwise("change")
-    return ch.changes(scanned, stored).where(F.col("status") != "unchanged").select("path", kind.alias("event"), F.current_timestamp().alias("ts"))
+    return ch.changes(scanned, stored).where(~F.col("status").isin("unchanged", "retry")).select("path", kind.alias("event"), F.current_timestamp().alias("ts"))
+
+
+def poll(index: Index, events_folder: str, seen: DataFrame) -> DataFrame:
+    """Writes the events since the scan ``seen`` to the folder that ``start`` follows; returns the scan to go on from.
+
+    A scan here is (path, content_hash) by size and time of change, so that
+    contents are not read to find out that nothing happened.
+    """
+    now = materialized(polled(index), "polled")
+    events = events_of(now, seen.withColumn("stale", F.lit(False)).withColumn("summary", F.lit("-")))
+    if not events.isEmpty():
+        events.write.mode("append").json(events_folder)
+    return now
+
+
+def polled(index: Index) -> DataFrame:
+    """(path, content_hash) of the tree's files, where the hash is of their size and time of change."""
+    files = tree.guarded(tree.listed(index.spark, index.root), excludes=tree.excluded_globs(ignore_lines=tree.ignore_lines(index.spark, index.root)))
+    return files.select("path", F.concat_ws("-", "length", F.unix_micros("modified")).alias("content_hash"))

@@ -13,7 +13,8 @@ def edges(spark, files, module=None, parity=False):
     df = spark.createDataFrame(list(files.items()), "path string, content string")
     parsed = extracted(df, parity)
     imports = parsed.select("path", "ext", F.explode("imports").alias("i")).select("path", "ext", "i.source", "i.type", "i.dynamic")
-    return resolved(imports, df.select("path"), tree.packages(df), module, parity)
+    held = tree.workspace(df)
+    return resolved(imports, df.select("path"), tree.packages(held), module or tree.go_module(held), tree.crates(held), parity)
 
 
 def radius(spark, e, *starts):
@@ -91,6 +92,24 @@ def test_script_graph(spark):
     assert rel["loader.ts"] == ("imports:dynamic", 0.3, "dynamic_analysis")
 
 
+def test_crates_begin_at_the_nearest_manifest_or_source_folder(spark):
+    files = {"c/Cargo.toml": '[package]\nname = "my-crate"', "c/src/main.rs": "use crate::util::x;", "c/src/util.rs": "", "src/util.rs": "", "d/src/deep/a.rs": "use crate::deep::b::T;\nuse super::deep::b;", "d/src/deep/b.rs": ""}
+    assert {(r["src"], r["dst"]) for r in edges(spark, files).collect()} == {("c/src/main.rs", "c/src/util.rs"), ("d/src/deep/a.rs", "d/src/deep/b.rs")}
+
+
+def test_case_counts_only_where_there_is_a_choice(spark):
+    e = edges(spark, {"a.ts": "import './Util'\nimport './B'", "util.ts": "", "b.ts": "", "B.ts": ""})
+    assert {(r["src"], r["dst"]) for r in e.collect()} == {("a.ts", "util.ts"), ("a.ts", "B.ts")}
+
+
+def test_paths_are_normalized(spark):
+    from millrace.operators.resolve import normalized
+
+    rows = [("a/b/../c", "a/c"), ("./a//b/.", "a/b"), ("../a", None), ("a/../../b", None), ("", ""), ("..", None), ("a/..", "")]
+    got = spark.createDataFrame(rows, "p string, want string").select("want", normalized(F.split("p", "/")).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got)
+
+
 def test_parity_strips_a_missing_file(spark):
     files = {"a/missing.ts": "import './nothing'", "a/index.ts": ""}
     assert edges(spark, files).count() == 0
@@ -109,6 +128,41 @@ def test_symbols():
     assert symbols_of(".py", "class A:\n  def f(self): pass\n") == [("f", "function", 2), ("A", "class", 1)]
 
 
+def test_docstrings_and_a_second_extractor(spark):
+    text = "# Adds two numbers, and says so at some length that is more than fifty characters\ndef add(a, b):\n    pass\n\n/** Block\n * more */\ndef sub(): pass\nx = 1\ndef bare(): pass\n"
+    df = spark.createDataFrame([("a.py", text), ("b.ts", "/** doc */\nfunction f() {}"), ("c.vue", "<script>import x from './b'</script>")], "path string, content string")
+
+    def grammar(ext, text):
+        return ([("f", "function", 1, "again"), ("Comp", "class", 1, "A component")], [("./b", "value", False), ("./new", "type", False)]) if ext == ".vue" else None
+
+    got = {r["path"]: r for r in extracted(df, extractor=grammar).collect()}
+    assert [(s["name"], s["docstring"]) for s in got["a.py"]["symbols"]] == [("add", "# Adds two numbers, and says so at some length that is more than fifty characters"), ("sub", "Block\n * more"), ("bare", None)]
+    assert [(s["name"], s["docstring"]) for s in got["b.ts"]["symbols"]] == [("f", None)]
+    assert [s["name"] for s in got["c.vue"]["symbols"]] == ["f", "Comp"] and [i["source"] for i in got["c.vue"]["imports"]] == ["./b", "./new"]
+    from millrace.functions.gist import gist
+
+    summary = extracted(df, extractor=grammar).where("path = 'a.py'").select(gist(F.col("symbols"), F.col("imports"))).first()[0]
+    assert summary == "Key logic: add (# Adds two numbers, and says so at some length tha), sub (Block), bare."
+
+
+def test_fixture_sets(spark):
+    from millrace.operators import views
+
+    rows = [("one", ["A.ts", "b.ts"], [], ["c.ts"], ["a.ts", "d.ts"]), ("two", ["a.ts"], ["UNRESOLVABLE: x"], ["B.ts"], ["a.ts", "unresolvable: X", "b.ts"]), ("three", [], None, [], [])]
+    df = spark.createDataFrame(rows, "fixture string, expected array<string>, unresolvable array<string>, banned array<string>, actual array<string>")
+    got = {r["fixture"]: tuple(r)[1:] for r in views.fixture_sets(df).collect()}
+    assert got == {"one": (["b.ts"], ["d.ts"], [], False), "two": ([], ["b.ts"], ["b.ts"], False), "three": ([], [], [], True)}
+    assert views.pass_rate(views.fixture_sets(df)).first()[0] == pytest.approx(100 / 3)
+
+
+def test_too_deep_a_graph_is_an_error(spark):
+    chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(12)], "src string, dst string")
+    starts = spark.createDataFrame([(0, "12")], "origin int, node string")
+    assert graph.closure(chain, starts).agg(F.max("depth"), F.count("*")).first() == (12, 13)
+    with pytest.raises(RuntimeError):
+        graph.closure(chain, starts, max_depth=5)
+
+
 def test_closure_matches_plain_search(spark):
     import random
 

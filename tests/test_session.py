@@ -53,6 +53,137 @@ def test_index_and_refresh(spark, tmp_path):
     assert index.rules().count() == 0
 
 
+def same_as_fresh(spark, index, folder):
+    """Whether the tables are what an index of the whole tree makes."""
+    fresh = Index(spark, index.root, str(folder), index.embedder)
+    fresh.index()
+    for t in ("symbols", "edges", "imports", "candidates", "workspace"):
+        assert sorted(map(repr, index.table(t).collect())) == sorted(map(repr, fresh.table(t).collect())), t
+    assert rows(index.table("files").select("path", "content_hash", "summary", "stale")) == rows(fresh.table("files").select("path", "content_hash", "summary", "stale"))
+
+
+def test_partial_refreshes_equal_a_full_index(spark, tmp_path):
+    """Modules, packages and crates that did not change still count; files that come or go are found or missed by old imports."""
+    root = tmp_path / "tree"
+    files = {
+        "go.mod": "module ex.org/m\n", "main.go": 'import "ex.org/m/pkg"', "pkg/a.go": "package pkg", "other.ts": "import './later'\nimport {x} from '@x/core'", "packages/core/package.json": '{"name": "@x/core"}', "packages/core/src/index.ts": "export const x = () => 1",
+        "k/Cargo.toml": '[package]\nname = "k"', "k/src/main.rs": "use crate::util;", "k/src/util.rs": "", "py/__init__.py": "", "py/m.py": "from .n import q", "use.py": "import py",
+    }
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    index = Index(spark, str(root), str(tmp_path / "store"))
+    told = []
+    index.index(lambda percent, what: told.append(percent))
+    assert told[0] == 0 and told[-1] == 100 and told == sorted(told)
+    pairs = {(r["src"], r["dst"]) for r in index.table("edges").collect()}
+    assert {("main.go", "pkg/a.go"), ("other.ts", "packages/core/src/index.ts"), ("k/src/main.rs", "k/src/util.rs"), ("use.py", "py/__init__.py")} <= pairs
+
+    def refreshed(n, **changes):
+        for name, text in changes.items():
+            name = name.replace("__", "/").replace("_DOT_", ".")
+            (root / name).unlink() if text is None else (root / name).write_text(text)
+        events = spark.createDataFrame([(k.replace("__", "/").replace("_DOT_", "."), "unlink" if v is None else "change", i) for i, (k, v) in enumerate(changes.items())], "path string, event string, ts long").withColumn("ts", F.timestamp_seconds("ts"))
+        watch.applied(index, events)
+        same_as_fresh(spark, index, tmp_path / f"fresh{n}")
+
+    refreshed(1, use_DOT_py="import py\nimport other")
+    assert ("main.go", "pkg/a.go") in {(r["src"], r["dst"]) for r in index.table("edges").collect()}
+    refreshed(2, later_DOT_ts="export class L {}", pkg__b_DOT_go="package pkg")
+    refreshed(3, pkg__a_DOT_go=None, k__src__util_DOT_rs=None)
+    (root / "go.mod").write_text("module ex.org/other\n")
+    index.refresh(index.scan(spark.createDataFrame([("go.mod",)], "path string")), partial=True)
+    same_as_fresh(spark, index, tmp_path / "fresh4")
+
+
+def test_retry_without_an_embedding(spark, tmp_path):
+    root = tmp_path / "tree"
+    tree(root, a_ts="export function alpha() {}")
+    Index(spark, str(root), str(tmp_path / "store")).index()
+    again = Index(spark, str(root), str(tmp_path / "store"), hashed_embedder())
+    again.index()
+    assert again.semantic_search("alpha").count() == 1
+
+
+def test_polled_events_are_followed(spark, tmp_path, capsys):
+    """The command that watches: a poll writes events, the stream reads them, people are told."""
+    from millrace import cli
+
+    root = tmp_path / "tree"
+    tree(root, a_ts="export function one() {}", b_ts="import './a'")
+    index = Index(spark, str(root), str(tmp_path / "store"))
+    index.index()
+    seen = watch.materialized(watch.polled(index), "polled")
+    events = tmp_path / "events"
+    events.mkdir()
+    assert watch.poll(index, str(events), seen).count() == 2 and not list(events.glob("*.json"))
+    (root / "a.ts").write_text("export function three() {}")
+    (root / "c.ts").write_text("export class C {}")
+    watch.poll(index, str(events), seen)
+    watch.start(index, str(events), str(tmp_path / "cp"), cli.told, once=True).awaitTermination()
+    out = capsys.readouterr().out
+    assert "+ a.ts: three" in out and "- a.ts: one" in out and "+ c.ts: C" in out and "! b.ts" in out
+    assert index.radius_size("a.ts") == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from millrace import cli
+
+    root = tmp_path / "tree"
+    tree(root, a_ts="export function alpha() {}", b_ts="import './a'")
+    (root / "b.test.ts").write_text("import './b'")
+
+    def run(*args):
+        cli.main(["--root", str(root), *args])
+        return capsys.readouterr().out
+
+    assert json.loads(run("index")) == {"files": 3, "symbols": 1, "edges": 2, "errors": 0}
+    assert json.loads(run("blast-radius", "A.ts"))["blast_radius"] == ["b.ts", "b.test.ts"]
+    assert json.loads(run("dependents", "A.TS")) == [{"path": "b.ts"}]
+    assert [s["name"] for s in json.loads(run("symbols", "a.ts"))] == ["alpha"]
+    assert run("tests", "a.ts", "-r").strip() == "b.test.ts"
+    run("record-rule", "style", "alpha stays")
+    run("record-task", "did it", "success")
+    assert "style: alpha stays" in run("context", "where is alpha")
+    assert json.loads(run("rules"))[0]["name"] == "style" and json.loads(run("tasks"))[0]["outcome"] == "success"
+    run("remove-rule", "1")
+    run("remove-task", "1")
+    assert json.loads(run("rules")) == json.loads(run("tasks")) == []
+    assert run("search", "alpha").splitlines()[0].endswith("% a.ts")
+    assert json.loads(run("stats"))[0]["files"] == 3
+
+
+def test_shown_lists_say_what_is_left_out(spark, capsys):
+    from millrace import cli
+
+    cli.told(spark.createDataFrame([("a.ts", "added", f"n{i:02d}") for i in range(25)], "path string, change string, name string"), spark.createDataFrame([("a.ts", f"d{i}.ts") for i in range(8)], "dst string, src string"))
+    out = capsys.readouterr().out.splitlines()
+    assert out[20] == "+ and 5 more" and out[-1] == "! and 3 more" and len(out) == 27
+
+
+def test_debounced_stream(spark, tmp_path):
+    """With a gap, a file's events wait for a pause and come as one."""
+    root, events = tmp_path / "tree", tmp_path / "events"
+    tree(root, a_ts="export function one() {}")
+    events.mkdir()
+    index = Index(spark, str(root), str(tmp_path / "store"))
+    index.index()
+    (root / "a.ts").write_text("export function two() {}")
+    stamp = lambda s: f"2024-01-01T00:00:{s}Z"
+    write = lambda n, rows: (events / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("path", "event", "ts"), r))) for r in rows))
+    seen = []
+    query = watch.start(index, str(events), str(tmp_path / "cp"), lambda diff, dependents: seen.extend(rows(diff)))
+    write(1, [("a.ts", "change", stamp("01.000")), ("a.ts", "change", stamp("01.100"))])
+    query.processAllAvailable()
+    assert seen == []
+    write(2, [("z.ts", "change", stamp("05.000"))])
+    query.processAllAvailable()
+    write(3, [("z.ts", "change", stamp("09.000"))])
+    query.processAllAvailable()
+    query.stop()
+    assert seen == [("a.ts", "added", "two"), ("a.ts", "removed", "one")]
+
+
 def test_watch(spark, tmp_path):
     root, events = tmp_path / "tree", tmp_path / "events"
     tree(root, a_ts="export function one() {}", b_ts="import './a'")

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from millrace.cli import markdown, workspace_root, write_defaults
+from millrace.schema import TABLES
 from millrace.sources import tree
 from millrace.sources.store import Store
 
@@ -31,10 +32,28 @@ def test_guards(spark):
 
 
 def test_workspace_maps(spark):
-    files = spark.createDataFrame([("packages/x/package.json", '{"name": "@a/x"}'), ("package.json", '{"name": "top"}'), ("deep/packages/y/package.json", '{"name": "no"}'), ("go.mod", "module m.org/z\n\ngo 1.2"), ("c/Cargo.toml", '[package]\nname = "my-crate"')], "path string, content string")
-    assert {tuple(r) for r in tree.packages(files).collect()} == {("@a/x", "packages/x"), ("top", "")}
-    assert tree.go_module(files).first()[0] == "m.org/z"
-    assert {tuple(r) for r in tree.crates(files).collect()} == {("my-crate", "c"), ("my_crate", "c")}
+    files = spark.createDataFrame([("packages/x/package.json", '{"name": "@a/x"}'), ("package.json", '{"name": "top"}'), ("deep/packages/y/package.json", '{"name": "no"}'), ("go.mod", "module m.org/z\n\ngo 1.2"), ("c/Cargo.toml", '[package]\nname = "my-crate"'), ("w/Cargo.toml", "[workspace]")], "path string, content string")
+    held = tree.workspace(files)
+    assert {tuple(r) for r in tree.packages(held).collect()} == {("@a/x", "packages/x"), ("top", "")}
+    assert tree.go_module(held) == "m.org/z"
+    assert {tuple(r) for r in tree.crates(held).collect()} == {("my-crate", "c"), ("my_crate", "c"), ("", "w")}
+
+
+def test_scan_reads_awkward_files(spark, tmp_path):
+    """Files of no bytes, of other encodings, with spaces and other letters in their names, and none of what is excluded."""
+    for name, data in {"a.ts": b"x", "pkg/__init__.py": b"", "_lib/deep/_x.py": b"import os", "_lib/deep/y.py": b"z", "empty.ts": b"", "latin.py": "caf\u00e9".encode("latin-1"), "bom.ts": b"\xef\xbb\xbfimport './a'", "with space/\u00e9 %.ts": b"y", "node_modules/m/index.js": b"\xff", "node_modules/none.js": b"", "big.bin": b"1"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"]: r for r in tree.scan(spark, str(tmp_path)).collect()}
+    assert {p: r["content"] for p, r in got.items()} == {"a.ts": "x", "pkg/__init__.py": "", "_lib/deep/_x.py": "import os", "_lib/deep/y.py": "z", "empty.ts": "", "latin.py": "caf\ufffd", "bom.ts": "import './a'", "with space/\u00e9 %.ts": "y"}
+    assert {p for p, r in got.items() if r["error"]} == {"latin.py"}
+    only = tree.scan(spark, str(tmp_path), paths=spark.createDataFrame([("a.ts",), ("gone.ts",), ("empty.ts",)], "path string"))
+    assert {r["path"] for r in only.collect()} == {"a.ts", "empty.ts"}
+
+
+def test_ignore_file_of_many_lines(spark, tmp_path):
+    (tmp_path / ".millraceignore").write_text("\n".join(f"x{i}/**" for i in range(12_000)))
+    assert len(tree.ignore_lines(spark, str(tmp_path))) == 12_000
 
 
 def test_configuration(spark, tmp_path):
@@ -59,7 +78,22 @@ def test_snapshots(spark, tmp_path):
     old = store.read("rules")
     store.write(rules=spark.createDataFrame([(1, "n", "d", "global", "", "info", None)], "id long, name string, description string, scope_type string, scope_value string, severity string, created_at timestamp"))
     assert store.read("rules").count() == 1 and old.count() == 0
-    assert json.loads(spark.read.text(f"file://{tmp_path}/store/current").first()[0]) == store.pointers()
+    number = store._latest()
+    assert json.loads((tmp_path / "store" / "pointers" / str(number)).read_text()) == store.pointers()
+
+
+def test_two_writers_lose_no_update(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", patience=0.5)
+    store.ensure()
+    row = lambda i: spark.createDataFrame([(i, "n", "d", "global", "", "info", None)], TABLES["rules"])
+    # Another writer has claimed the next number and not yet written it.
+    number = store._claim()
+    with pytest.raises(TimeoutError):
+        store.write(rules=row(1))
+    assert store.read("rules").count() == 0
+    (tmp_path / "store" / "pointers" / str(number)).write_text(json.dumps(store.pointers() | {"tasks": "elsewhere"}))
+    store.write(rules=row(2))
+    assert store.pointers()["tasks"] == "elsewhere" and store.read("rules").first()["id"] == 2
 
 
 def test_markdown():
