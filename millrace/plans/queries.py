@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import STOP_WORDS
+from ..functions.extract import extracted
 from ..functions.gist import gist, shortened
 from ..functions.vector import cosine_distance, nearest
 from ..operators import changes, graph, memory, rank, views
-from ..operators.resolve import as_edges, file_keys, folders
+from ..operators.resolve import as_edges, folders, normalized, resolved
+from ..sources import tree
+from ..sources.store import materialized
 from ..sources.tree import guarded
 from ..streaming import watch
 
@@ -84,8 +87,9 @@ def scan_guard(spark, d):
 SELECT coalesce(now.path, old.path) AS path, CASE WHEN now.path IS NULL THEN 'removed' WHEN old.path IS NULL THEN 'new' WHEN now.h <> old.h THEN 'changed' WHEN old.stale THEN 'retry' ELSE 'unchanged' END AS status FROM now FULL JOIN old ON now.path = old.path""")
 def content_hash_diff(spark, d):
     docs = _t(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
-    now = docs.where("source <> 'src3'").select("path", F.md5("text").alias("content_hash"))
-    then = docs.where("source <> 'src5'").select("path", F.md5(F.when(F.col("lang") == "de", F.concat("text", F.lit("."))).otherwise(F.col("text"))).alias("content_hash"), (F.col("n_chars") < 100).alias("stale"), F.lit("x").alias("summary"))
+    hashed = lambda text: tree.content_hash(text.cast("binary")).alias("content_hash")
+    now = docs.where("source <> 'src3'").select("path", hashed(F.col("text")))
+    then = docs.where("source <> 'src5'").select("path", hashed(F.when(F.col("lang") == "de", F.concat("text", F.lit("."))).otherwise(F.col("text"))), (F.col("n_chars") < 100).alias("stale"), F.lit("x").alias("summary"))
     return changes.changes(now, then)
 
 
@@ -105,24 +109,128 @@ def import_extract_pages(spark, d):
     return page_imports(spark, d)
 
 
-@query("""WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS s FROM pages)
-SELECT page_id, rtrim(s, '.,') AS source, CASE WHEN bool_or(s NOT LIKE '%,') THEN 'value' ELSE 'type' END AS type, bool_or(s LIKE '%.') AS dynamic, count(*) AS n FROM x GROUP BY 1, 2""")
+def source_files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): a script for every brand, which imports the types of its parts, some as types only, some as templates, and defines a function for each size."""
+    kind = F.col("p_partkey") % 5
+    source = F.replace("p_type", F.lit(" "), F.lit("-"))
+    line = F.when(kind == 0, F.concat(F.lit("import type {T} from './"), source, F.lit("'"))).when(kind == 1, F.concat(F.lit("const t"), "p_partkey", F.lit(" = '"), source, F.lit("';\nimport(`./${t"), "p_partkey", F.lit("}`)"))).otherwise(F.concat(F.lit("import x from './"), source, F.lit("'")))
+    defined = F.concat(F.lit("function f"), "p_size", F.lit("() {}"))
+    rows = _t(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", F.concat(line, F.lit("\n"), defined).alias("text")))).alias("lines"))
+    return rows.select(F.concat("p_brand", F.lit(".ts")).alias("path"), F.array_join("lines.text", "\n").alias("content"))
+
+
+@query("""WITH x AS (SELECT p_brand, './' || replace(p_type, ' ', '-') AS source, p_partkey % 5 AS k FROM part)
+SELECT p_brand || '.ts' AS path, source, CASE WHEN bool_and(k = 0) THEN 'type' ELSE 'value' END AS type, bool_or(k = 1) AS dynamic FROM x GROUP BY ALL""")
 def import_merge(spark, d):
-    x = page_imports(spark, d)
-    return x.groupBy("page_id", F.rtrim("source", F.lit(".,")).alias("source")).agg(F.when(F.bool_or(~F.col("source").endswith(",")), "value").otherwise("type").alias("type"), F.bool_or(F.col("source").endswith(".")).alias("dynamic"), F.count("*").alias("n"))
+    return extracted(source_files(spark, d)).select("path", F.explode("imports").alias("i")).select("path", "i.source", "i.type", "i.dynamic")
+
+
+@query("""WITH x AS (SELECT p_brand || '.ts' AS path, 'f' || p_size AS name, 1 + sum(CASE WHEN p_partkey % 5 = 1 THEN 3 ELSE 2 END) OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS line FROM part) SELECT path, name, 'function' AS type, line::INTEGER AS line FROM x""")
+def extract_symbols(spark, d):
+    return extracted(source_files(spark, d)).select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.type", "s.line")
+
+
+#: For each extension a way to write an import, and what it means; {} is a number.
+SPELLINGS = [
+    (".ts", "import {{ a }} from './u{}'", "./u{}"), (".tsx", "export {{ a }} from './u{}'", "./u{}"), (".js", "const a = require('./u{}')", "./u{}"), (".jsx", "import './u{}'", "./u{}"), (".vue", "import a from './u{}'", "./u{}"), (".svelte", "export * from './u{}'", "./u{}"),
+    (".py", "from ..pkg import u{} as v", "../pkg/u{}"), (".rs", "pub use crate::u{}::T;", "crate::u{}::T"), (".go", 'import x "ex.org/u{}"', "ex.org/u{}"), (".java", "import static org.x.u{};", "org.x.u{}"), (".kt", "import org.x.u{}", "org.x.u{}"), (".scala", "import org.x.u{}", "org.x.u{}"),
+    (".rb", "require_relative 'u{}'", "u{}"), (".php", "use App\\\\u{};", "App/u{}"), (".c", "#include <u{}.h>", "u{}.h"), (".cpp", '#include "u{}.h"', "u{}.h"), (".m", '#import "u{}.h"', "u{}.h"), (".cs", "using X.u{};", "X.u{}"), (".swift", "import X_u{}", "X/u{}"), (".lua", 'local a = require "x.u{}"', "x/u{}"),
+    (".dart", "import 'u{}.dart';", "u{}.dart"), (".ex", "alias X.U{}", "x/u{}"), (".zig", 'const a = @import("u{}.zig");', "u{}.zig"), (".sh", "source u{}.sh", "u{}.sh"), (".ps1", ". ./u{}.ps1", "./u{}.ps1"), (".jl", 'include("u{}.jl")', "u{}.jl"), (".v", '`include "u{}.v"', "u{}.v"), (".sv", '`include "u{}.sv"', "u{}.sv"),
+]
+_SPELLED = ", ".join("'" + want.format("{}") + "'" for _, _, want in SPELLINGS)
+_EXTENSIONS = ", ".join(f"'{ext}'" for ext, _, _ in SPELLINGS)
+
+
+@query(f"SELECT 'f' || l_orderkey || '-' || l_linenumber || ([{_EXTENSIONS}])[l_partkey % {len(SPELLINGS)} + 1] AS path, replace(([{_SPELLED}])[l_partkey % {len(SPELLINGS)} + 1], '{{}}', l_suppkey::VARCHAR) AS source FROM lineitem")
+def extract_each_language(spark, d):
+    """Every line item as a source file of one of the languages."""
+    of = lambda items: F.element_at(F.array(*map(F.lit, items)), (F.col("l_partkey") % len(SPELLINGS) + 1).cast("int"))
+    number = F.col("l_suppkey").cast("string")
+    path = F.concat(F.lit("f"), "l_orderkey", F.lit("-"), "l_linenumber", of([ext for ext, _, _ in SPELLINGS]))
+    text = F.replace(of([text.replace("\\\\", "\\").format("{}") for _, text, _ in SPELLINGS]), F.lit("{}"), number)
+    files = _t(spark, d, "lineitem").select(path.alias("path"), text.alias("content"))
+    return extracted(files).select("path", F.explode("imports.source").alias("source"))
 
 
 @query("""WITH f AS (SELECT p_partkey, replace(p_name, ' ', '/') || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '.ts' WHEN 2 THEN '.py' ELSE '/index.ts' END AS path FROM part),
-w AS (SELECT DISTINCT replace(p_name, ' ', '/') AS base FROM part),
-h AS (SELECT base, path, CASE WHEN path = base THEN 0 WHEN path = base || '.ts' THEN 6 WHEN path = base || '/index.ts' THEN 7 ELSE 30 END AS way FROM w JOIN (SELECT DISTINCT path FROM f) ON path IN (base, base || '.ts', base || '.py', base || '/index.ts'))
-SELECT base AS source, arg_min(path, way) AS target, min(way)::INTEGER AS way FROM h GROUP BY base""")
+w AS (SELECT DISTINCT replace(p_name, ' ', '/') AS base, p_size FROM part),
+h AS (SELECT base, p_size, path, CASE WHEN path = base THEN 0 WHEN path = base || '.ts' THEN 6 WHEN path = base || '/index.ts' THEN 7 ELSE 30 END AS way FROM w JOIN (SELECT DISTINCT path FROM f) ON path IN (base, base || '.ts', base || '.py', base || '/index.ts'))
+SELECT DISTINCT 'main' || p_size || '.ts' AS src, arg_min(path, way) AS dst FROM h GROUP BY base, p_size""")
 def resolve_first_match(spark, d):
     base = F.replace("p_name", F.lit(" "), F.lit("/"))
     suffix = F.element_at(F.array(*map(F.lit, ["", ".ts", ".py", "/index.ts"])), (F.col("p_partkey") % 4 + 1).cast("int"))
     part = _t(spark, d, "part")
     files = part.select(F.concat(base, suffix).alias("path")).distinct()
-    wanted = part.select(base.alias("key")).distinct()
-    return wanted.join(file_keys(files), "key").groupBy(F.col("key").alias("source")).agg(F.min_by("target", "way").alias("target"), F.min("way").alias("way"))
+    return _resolved(part.select(F.concat(F.lit("main"), "p_size", F.lit(".ts")).alias("path"), F.concat(F.lit("./"), base).alias("source")).distinct(), files)
+
+
+def _resolved(imports: DataFrame, files: DataFrame, **kw) -> DataFrame:
+    """(src, dst) of plain imports (path, source)."""
+    imports = imports.withColumn("ext", tree.extension(F.col("path"))).withColumn("type", F.lit("value")).withColumn("dynamic", F.lit(False))
+    return resolved(imports, files, **kw).select("src", "dst")
+
+
+def _suppliers(spark: SparkSession, d: str) -> DataFrame:
+    """(n, s): nation and number of each supplier, as text."""
+    return _t(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("n"), F.col("s_suppkey").cast("string").alias("s"))
+
+
+def _path(*parts: str):
+    """Text in which $n and $s stand for the columns n and s."""
+    return F.concat(*[F.col(p[1:]) if p in ("$n", "$s") else F.lit(p) for p in parts])
+
+
+N_S = "WITH x AS (SELECT s_nationkey::VARCHAR AS n, s_suppkey::VARCHAR AS s FROM supplier)"
+
+
+@query(f"{N_S} SELECT 'app.ts' AS src, 'packages/n' || n || '/src/s' || s || '.ts' AS dst FROM x UNION SELECT 'app.ts', 'packages/n' || n || '/src/index.ts' FROM x")
+def resolve_packages(spark, d):
+    """Packages of a workspace by name, with a path inside and without one."""
+    x = _suppliers(spark, d)
+    files = x.select(_path("packages/n", "$n", "/src/s", "$s", ".ts").alias("path")).union(x.select(_path("packages/n", "$n", "/src/index.ts")).distinct())
+    imports = x.select(F.lit("app.ts").alias("path"), _path("@w/n", "$n", "/src/s", "$s", ".js").alias("source")).union(x.select(F.lit("app.ts"), _path("@w/n", "$n")).distinct())
+    return _resolved(imports, files, packages=x.select(_path("@w/n", "$n").alias("name"), _path("packages/n", "$n").alias("dir")).distinct())
+
+
+@query(f"{N_S} SELECT 'pkg/n' || n || '/use.py' AS src, 'pkg/n' || n || '/m' || s || '.py' AS dst FROM x UNION SELECT 'pkg/n' || n || '/use.py', 'pkg/n' || n || '/__init__.py' FROM x UNION SELECT 'pkg/n' || n || '/use.py', 'top' || s || '/__init__.py' FROM x")
+def resolve_python(spark, d):
+    """Modules beside the importing one, the package itself, and packages from the root on."""
+    x = _suppliers(spark, d)
+    use = _path("pkg/n", "$n", "/use.py").alias("path")
+    files = x.select(_path("pkg/n", "$n", "/m", "$s", ".py").alias("path")).union(x.select(_path("top", "$s", "/__init__.py"))).union(x.select(_path("pkg/n", "$n", "/__init__.py")).distinct())
+    imports = x.select(use, _path("./m", "$s", "/Name").alias("source")).union(x.select(use, F.lit("../n").alias("a")).select("path", F.regexp_replace("path", "^pkg/(n[0-9]+)/.*$", "../$1")).distinct()).union(x.select(use, _path("top", "$s")))
+    return _resolved(imports, files)
+
+
+@query(f"{N_S} SELECT 'c' || n || '/src/deep/a.rs' AS src, 'c' || n || '/src/s' || s || '.rs' AS dst FROM x UNION SELECT 'c' || n || '/src/deep/a.rs', 'c' || n || '/src/deep/t' || s || '/mod.rs' FROM x")
+def resolve_rust(spark, d):
+    """From a crate's root on, without the names inside a module, and from the module above."""
+    x = _suppliers(spark, d)
+    use = _path("c", "$n", "/src/deep/a.rs").alias("path")
+    files = x.select(_path("c", "$n", "/src/s", "$s", ".rs").alias("path")).union(x.select(_path("c", "$n", "/src/deep/t", "$s", "/mod.rs")))
+    imports = x.select(use, _path("crate::s", "$s", "::T").alias("source")).union(x.select(use, _path("self::t", "$s", "::inner::T")))
+    return _resolved(imports, files, crates=x.select(_path("crate", "$n").alias("name"), _path("c", "$n").alias("dir")).distinct())
+
+
+@query(f"{N_S} SELECT 'cmd/m' || b.s || '.go' AS src, 'n' || a.n || '/s' || a.s || '.go' AS dst FROM x a JOIN x b ON a.n = b.n")
+def resolve_go(spark, d):
+    """A package of the module is all files of its directory."""
+    x = _suppliers(spark, d)
+    return _resolved(x.select(_path("cmd/m", "$s", ".go").alias("path"), _path("ex.org/m/n", "$n").alias("source")), x.select(_path("n", "$n", "/s", "$s", ".go").alias("path")), module="ex.org/m")
+
+
+@query(f"{N_S} SELECT 'use.java' AS src, 'org/n' || n || '/s' || s || '.java' AS dst FROM x UNION SELECT 'deep/x.lua', 'lib/s' || s || '.lua' FROM x")
+def resolve_dotted(spark, d):
+    """Dots for slashes, names inside a file left off, and the root where nothing is beside the importing file."""
+    x = _suppliers(spark, d)
+    files = x.select(_path("org/n", "$n", "/s", "$s", ".java").alias("path")).union(x.select(_path("lib/s", "$s", ".lua")))
+    return _resolved(x.select(F.lit("use.java").alias("path"), _path("org.n", "$n", ".s", "$s", ".member").alias("source")).union(x.select(F.lit("deep/x.lua"), _path("lib/s", "$s"))), files)
+
+
+@query("""WITH p AS (SELECT 'a/' || p_brand || '/./../' || replace(p_name, ' ', '/') || '//x/..' AS raw, 'a/' || replace(p_name, ' ', '/') AS path FROM part) SELECT DISTINCT raw, path FROM p""")
+def path_normalize(spark, d):
+    raw = F.concat(F.lit("a/"), "p_brand", F.lit("/./../"), F.replace("p_name", F.lit(" "), F.lit("/")), F.lit("//x/.."))
+    return _t(spark, d, "part").select(raw.alias("raw"), normalized(F.split(raw, "/")).alias("path")).distinct()
 
 
 @query("""WITH u AS (SELECT DISTINCT string_split(regexp_replace(url, '^https?://([^?#]*).*$', '\\1'), '/') AS p FROM pages), l AS (SELECT p, unnest(range(1, len(p))) AS n FROM u) SELECT DISTINCT array_to_string(p[1:n], '/') AS key FROM l""")
@@ -250,11 +358,7 @@ def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     files, symbols, w = _parts(spark, d)
-    like = lambda c: F.expr(f"{c} ilike concat('%', kw, '%')")
-    w = F.broadcast(w)
-    out = files.join(w, like("path")).select("p_partkey", (10 * F.col("idf")).alias("score"))
-    out = out.unionAll(symbols.join(w, like("name")).select("p_partkey", 5 * F.col("idf")))
-    return out.unionAll(files.join(w, like("summary")).select("p_partkey", 2 * F.col("idf"))).withColumnRenamed("p_partkey", "path")
+    return rank.contributions(files, symbols, w, "p_partkey").withColumnRenamed("p_partkey", "path")
 
 
 @query(f"WITH {IDF} SELECT kw, round(idf, 6) AS idf FROM idf")
@@ -334,12 +438,12 @@ def symbol_diff(spark, d):
 
 
 @query("""WITH p AS (SELECT p_brand, p_partkey, p_name, p_type, row_number() OVER (PARTITION BY p_brand, p_size < 25 ORDER BY p_partkey) AS r FROM part WHERE TRUE),
-g AS (SELECT p_brand, string_agg(p_name, ', ' ORDER BY p_partkey) FILTER (p_size < 25) AS s, string_agg(p_name, ', ' ORDER BY p_partkey) FILTER (p_size >= 25 AND r <= 5) AS f, string_agg(p_type, ', ' ORDER BY p_partkey) FILTER (q <= 5) AS i
+g AS (SELECT p_brand, string_agg(p_name, ', ' ORDER BY p_partkey) FILTER (p_size < 25) AS s, string_agg(p_name || CASE WHEN p_partkey % 3 = 0 THEN ' (' || (p_name || ' ' || p_name || ' ' || p_type)[1:50] || ')' ELSE '' END, ', ' ORDER BY p_partkey) FILTER (p_size >= 25 AND r <= 5) AS f, string_agg(p_type, ', ' ORDER BY p_partkey) FILTER (q <= 5) AS i
   FROM (SELECT p.*, part.p_size, row_number() OVER (PARTITION BY p.p_brand ORDER BY p.p_partkey) AS q FROM p JOIN part USING (p_partkey)) GROUP BY p_brand),
 l AS (SELECT p_brand, concat_ws(' ', 'Core structures: ' || s || '.', 'Key logic: ' || f || '.', 'Integrates with: ' || i || '.') AS t FROM g) SELECT p_brand AS brand, CASE WHEN length(t) > 500 THEN t[1:497] || '...' ELSE t END AS gist FROM l""")
 def gist_by_brand(spark, d):
     part = _t(spark, d, "part")
-    entry = F.struct("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_size") < 25, "class").otherwise("function").alias("type"), F.concat(F.lit("lib/"), "p_type").alias("source"))
+    entry = F.struct("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_size") < 25, "class").otherwise("function").alias("type"), F.concat(F.lit("lib/"), "p_type").alias("source"), F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", "p_name", "p_name", F.concat("p_type", F.lit("\nmore")))).alias("docstring"))
     rows = part.groupBy(F.col("p_brand").alias("brand")).agg(F.sort_array(F.collect_list(entry)).alias("s"))
     return rows.select("brand", gist(F.col("s"), F.col("s")).alias("gist"))
 
@@ -366,7 +470,7 @@ def watch_last_event(spark, d):
 @query("SELECT source, bool_or(quality = 0) AS warned, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def stale_warning(spark, d):
     j = _t(spark, d, "documents").select("doc_id", "source").join(_t(spark, d, "labels"), "doc_id")
-    return j.groupBy("source").agg(F.bool_or(F.col("quality") == 0).alias("warned"), F.count("*").alias("n"))
+    return views.warned(j.select("source", (F.col("quality") == 0).alias("stale")), "source")
 
 
 @query("SELECT round(avg(CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 6) AS percent FROM labels")
@@ -382,11 +486,133 @@ def summary_cap(spark, d):
 @query(f"""WITH RECURSIVE {FK}, {SCORES}, c AS (SELECT path, score FROM (SELECT path, round(score, 6) AS score FROM t) WHERE score >= 0.4 * (SELECT max(round(score, 6)) FROM t) ORDER BY score DESC, path LIMIT 10),
 k AS (SELECT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst FROM lineitem UNION SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey FROM supplier), r AS (SELECT path AS origin, 'part:' || path AS node FROM c UNION SELECT r.origin, k.src FROM k JOIN r ON k.dst = r.node)
 SELECT origin AS part, count(*) - 1 AS reached, max(c.score) AS score FROM r JOIN c ON c.path = r.origin GROUP BY origin""")
-def context_pack(spark, d):
+def context_pack_reach(spark, d):
     """The best parts of a task, and how much their change reaches."""
-    top = relative_prune(spark, d)
+    top = materialized(relative_prune(spark, d), "top")  # planned once, used twice
     supplied = _t(spark, d, "lineitem").select(_node("supplier", "l_suppkey").alias("src"), _node("part", "l_partkey").alias("dst")).distinct()
     nations = _t(spark, d, "supplier").select(_node("nation", "s_nationkey"), _node("supplier", "s_suppkey"))
     reached = graph.closure(supplied.unionAll(nations), top.select(F.col("path").alias("origin"), _node("part", "path").alias("node")))
     counts = reached.groupBy(F.col("origin").alias("part")).agg((F.count("*") - 1).alias("reached"))
     return counts.join(F.broadcast(top), counts["part"] == top["path"]).select("part", "reached", "score")
+
+
+PACK = f"""{KW}, f AS (SELECT 'p' || p_partkey || '/' || replace(p_name, ' ', '/') || '.ts' AS path, p_partkey, p_brand || ' ' || p_name AS summary, p_size > 48 AS stale FROM part),
+idf AS (SELECT kw, ln((SELECT greatest(count(*), 1) FROM f)::DOUBLE / (greatest(count(path), 1) + 1)) + 1 AS idf FROM (SELECT DISTINCT kw FROM kw) LEFT JOIN f ON path ILIKE '%' || kw || '%' GROUP BY kw),
+w AS (SELECT kw, idf FROM kw JOIN idf USING (kw)), s AS (SELECT path, 10 * idf AS score FROM f JOIN w ON path ILIKE '%' || kw || '%' UNION ALL SELECT path, 5 * idf FROM (SELECT path, 'ring ' || p_type AS name FROM f JOIN part USING (p_partkey)) JOIN w ON name ILIKE '%' || kw || '%' UNION ALL SELECT path, 2 * idf FROM f JOIN w ON summary ILIKE '%' || kw || '%'),
+t AS (SELECT path, round(sum(score), 9) AS score FROM s GROUP BY path), c AS (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS origin FROM t WHERE score >= 0.4 * (SELECT max(score) FROM t) - 1e-9 ORDER BY score DESC, path LIMIT 10),
+e AS (SELECT DISTINCT 's' || l_suppkey || CASE WHEN l_suppkey % 3 = 0 THEN '.test.ts' ELSE '.ts' END AS src, path AS dst FROM lineitem JOIN f ON l_partkey = p_partkey),
+r AS (SELECT src, min(origin) AS o FROM e JOIN c ON dst = path GROUP BY src)"""
+
+
+@query(f"""WITH {PACK} SELECT 'read_first' AS section, path AS value FROM c UNION ALL (SELECT 'blast_radius', src FROM r ORDER BY o, src LIMIT 10) UNION ALL (SELECT 'tests_to_run', src FROM r WHERE src LIKE '%.test.%' ORDER BY o, src LIMIT 5)
+UNION ALL SELECT 'rules', s_name || ': ' || s_address FROM (SELECT n_name AS s_name, n_name || ' red' AS s_address FROM nation) UNION ALL SELECT 'warnings', 'Some files changed since they were indexed.' WHERE (SELECT bool_or(stale) FROM c JOIN f USING (path))""")
+def context_pack(spark, d):
+    """All sections of a context pack over parts as files, suppliers as what imports them, nations as rules."""
+    part = _t(spark, d, "part")
+    path = F.concat(F.lit("p"), "p_partkey", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("/")), F.lit(".ts"))
+    files = part.select("p_partkey", path.alias("path"), F.concat_ws(" ", "p_brand", "p_name").alias("summary"), (F.col("p_size") > 48).alias("stale"))
+    symbols = part.select(path.alias("path"), F.concat(F.lit("ring "), "p_type").alias("name"))
+    src = F.concat(F.lit("s"), "l_suppkey", F.when(F.col("l_suppkey") % 3 == 0, ".test.ts").otherwise(".ts"))
+    edges = _t(spark, d, "lineitem").join(files, F.col("l_partkey") == F.col("p_partkey")).select(src.alias("src"), F.col("path").alias("dst"), F.lit("imports").alias("relation")).distinct()
+    rules = _t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.concat("n_name", F.lit(" red")).alias("description"))
+    pack = rank.context_pack(spark, TASK, files.drop("p_partkey"), symbols, edges, rules)
+    rows = [("read_first", r["path"]) for r in pack["read_first"]] + [(k, v) for k in ("blast_radius", "tests_to_run", "rules", "warnings") for v in pack[k]]
+    return spark.createDataFrame(rows, "section string, value string")
+
+
+@query("SELECT event_id AS id, user_id FROM events")
+def rules_by_date(spark, d):
+    return memory.recent(_t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), "user_id"), None).select("id", "user_id")
+
+
+@query("SELECT doc_id::VARCHAR AS path, source AS summary, n_chars < 100 AS stale FROM documents ORDER BY 1 LIMIT 100")
+def files_page(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("source").alias("summary"), (F.col("n_chars") < 100).alias("stale"), F.lit(None).cast("timestamp").alias("last_indexed"))
+    return views.file_list(docs).drop("last_indexed")
+
+
+@query("SELECT * FROM (SELECT n_nationkey::BIGINT AS id, n_name AS name, n_regionkey::BIGINT AS region FROM nation UNION ALL SELECT (max(n_nationkey) + 1)::BIGINT, 'new', 3::BIGINT FROM nation) WHERE id <> 7")
+def append_and_delete(spark, d):
+    nation = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("region"))
+    return memory.removed(memory.appended(nation, name="new", region=3), 7)
+
+
+@query("SELECT l_orderkey::VARCHAR AS path, l_partkey AS name FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT o_orderkey::VARCHAR, o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def replace_symbols(spark, d):
+    done = _t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("name"))
+    return changes.replaced(_t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), F.col("l_partkey").alias("name")), done.select("path"), done)
+
+
+@query("""WITH x AS (SELECT doc_id::VARCHAR AS path, n_chars FROM documents) SELECT path, CASE WHEN n_chars < 200 OR n_chars % 7 = 0 THEN 'retry' ELSE 'unchanged' END AS status FROM x""")
+def retry_unembedded(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("h").alias("content_hash"), (F.col("n_chars") < 200).alias("stale"), F.lit("s").alias("summary"), F.when(F.col("n_chars") % 7 != 0, F.array(F.lit(1.0))).alias("embedding"))
+    return changes.changes(docs, docs, embeds=True)
+
+
+TREES = "'src/' || p_brand || CASE p_size % 8 WHEN 0 THEN '/node_modules/x.js' WHEN 1 THEN '/dist/y.js' WHEN 2 THEN '/z.min.js' WHEN 3 THEN '/.env.local' WHEN 4 THEN '/yarn.lock' WHEN 5 THEN '/p.PNG' WHEN 6 THEN '/a.b/c.ts' ELSE '/_d.py' END"
+
+
+@query(f"SELECT p_partkey, {TREES} AS path FROM part WHERE p_size % 8 > 5")
+def scan_exclusions(spark, d):
+    """Built-in lists, machine-made files, hidden ones and binary extensions."""
+    path = F.expr(TREES.replace("::VARCHAR", ""))
+    return guarded(_t(spark, d, "part").select("p_partkey", path.alias("path"), F.lit(1).alias("length"))).select("p_partkey", "path")
+
+
+@query(f"SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN '.js' WHEN 1 THEN '.js' WHEN 2 THEN '.js' WHEN 3 THEN '.local' WHEN 4 THEN '.lock' WHEN 5 THEN '.PNG' WHEN 6 THEN '.ts' ELSE '.py' END AS ext FROM part")
+def path_extension(spark, d):
+    return _t(spark, d, "part").select("p_partkey", tree.extension(F.expr(TREES)).alias("ext"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def text_decode(spark, d):
+    """Texts as bytes with a mark of byte order, and back."""
+    return _t(spark, d, "documents").select("doc_id", tree.text_of(F.concat(F.unhex(F.lit("EFBBBF")), F.col("text").cast("binary"))).alias("text"))
+
+
+@query("SELECT count(DISTINCT text) AS texts FROM documents")
+def content_hashes(spark, d):
+    return _t(spark, d, "documents").select(F.count_distinct(tree.content_hash(F.col("text").cast("binary"))).alias("texts"))
+
+
+@query("""SELECT 'packages/s' || s_suppkey || '/package.json' AS path, 'package' AS kind, '@s/' || s_name AS name, 'packages/s' || s_suppkey AS dir FROM supplier UNION ALL SELECT 'c' || n_nationkey || '/Cargo.toml', 'crate', u, 'c' || n_nationkey FROM (SELECT n_nationkey, unnest(list_distinct([n, replace(n, '-', '_')])) AS u FROM (SELECT n_nationkey, 'a-' || replace(n_name, ' ', '-') AS n FROM nation)) UNION ALL SELECT 'go.mod', 'module', 'ex.org/' || r_name, '' FROM region WHERE r_regionkey = 1""")
+def workspace_map(spark, d):
+    """Packages, crates and the module of a workspace, from the files that name them."""
+    packages = _t(spark, d, "supplier").select(F.concat(F.lit("packages/s"), "s_suppkey", F.lit("/package.json")).alias("path"), F.concat(F.lit('{"name": "@s/'), "s_name", F.lit('"}')).alias("content"))
+    crates = _t(spark, d, "nation").select(F.concat(F.lit("c"), "n_nationkey", F.lit("/Cargo.toml")), F.concat(F.lit('[package]\nname = "a-'), F.replace("n_name", F.lit(" "), F.lit("-")), F.lit('"')))
+    module = _t(spark, d, "region").where("r_regionkey = 1").select(F.lit("go.mod"), F.concat(F.lit("module ex.org/"), "r_name", F.lit("\n\ngo 1.2")))
+    return tree.workspace(packages.union(crates).union(module))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'unlink' ELSE 'change' END AS event FROM events WHERE user_id % 5 <> 0 AND (event_type = 'click' OR user_id % 3 > 0)")
+def watch_filter(spark, d):
+    """Events of files that matter: some lie in node_modules, some have other extensions."""
+    path = F.concat(F.when(F.col("user_id") % 5 == 0, "node_modules/").otherwise("src/"), F.lit("f"), F.when(F.col("user_id") % 3 == 0, ".md").when(F.col("user_id") % 3 == 1, ".TS").otherwise(".py"))
+    events = _t(spark, d, "events").select("event_id", path.alias("path"), F.when(F.col("event_type") == "click", "unlink").otherwise("change").alias("event"))
+    return watch.watched(events).select("event_id", "event")
+
+
+@query(f"WITH RECURSIVE {FK}, r AS (SELECT r_regionkey AS origin, 'region:' || r_regionkey AS node FROM region UNION SELECT r.origin, fk.src FROM fk JOIN r ON fk.dst = r.node) SELECT origin::INTEGER AS origin, count(*) - 1 AS size FROM r GROUP BY origin HAVING count(*) > 1")
+def radius_sizes(spark, d):
+    starts = _t(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("origin"), _node("region", "r_regionkey").alias("node"))
+    return graph.radius_size(graph.blast_radius(fk_edges(spark, d), starts))
+
+
+@query(f"SELECT vec_id, greatest(0, floor((1 - round(list_cosine_distance(embedding::DOUBLE[], {QV}), 6)) * 100 + 0.5))::INTEGER AS percent FROM embeddings")
+def match_percents(spark, d):
+    near = _t(spark, d, "embeddings").crossJoin(_query_vector(spark, d)).select("vec_id", F.round(cosine_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))
+    return near.select("vec_id", views.match_percent(F.col("distance")).alias("percent"))
+
+
+@query(f"SELECT e.vec_id, d.source, d.lang FROM (SELECT vec_id FROM embeddings ORDER BY list_cosine_distance(embedding::DOUBLE[], {QV}), vec_id LIMIT 10) e JOIN documents d ON d.doc_id = e.vec_id")
+def hits_with_files(spark, d):
+    return _hits(spark, d).join(_t(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select("vec_id", "source", "lang")
+
+
+@query("""WITH x AS (SELECT o_custkey AS fixture, list(DISTINCT lower(o_orderpriority)) FILTER (o_orderstatus = 'F') AS e, list(DISTINCT lower(o_orderpriority)) FILTER (o_orderstatus = 'O') AS a, list(DISTINCT lower(o_orderpriority)) FILTER (o_orderstatus = 'P') AS b FROM orders GROUP BY 1),
+y AS (SELECT fixture, coalesce(e, []) AS e, coalesce(a, []) AS a, coalesce(b, []) AS b FROM x) SELECT fixture, list_filter(e, lambda i: NOT list_contains(a, i)).len() AS missing, list_filter(a, lambda i: NOT list_contains(e, i)).len() AS extra, list_filter(b, lambda i: list_contains(a, i)).len() AS forbidden FROM y""")
+def fixture_sets(spark, d):
+    """Expected, forbidden and found sets: a customer's priorities by the status of the orders."""
+    of = lambda status: F.collect_set(F.when(F.col("o_orderstatus") == status, F.col("o_orderpriority")))
+    cases = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("fixture")).agg(of("F").alias("expected"), of("O").alias("actual"), of("P").alias("banned")).withColumn("unresolvable", F.lit(None).cast("array<string>"))
+    return views.fixture_sets(cases).select("fixture", *[F.size(c).cast("long").alias(c) for c in ("missing", "extra", "forbidden")])
