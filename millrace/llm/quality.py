@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import short_batches, small, table, written
-from .tokens import REMEMBERED, Encoder, encoder, tokenizer_path
+from .tokens import Encoder, encoder, tokenizer_path
 
 #: Share of trusted documents, by hash, that are kept from training to take the quantiles from.
 HELD_OUT = 10
@@ -24,8 +24,8 @@ BROADCAST_ROWS = 1_500_000
 MODEL_ROWS = 16_000_000
 #: Log probabilities are summed as whole millionths, so that sums do not depend on their order.
 UNIT = 1_000_000
-#: Counted entries that a task holds before it gives them away.
-HELD = 3_000_000
+#: Counted entries that a task holds before it gives them away, and words that a worker remembers.
+HELD, REMEMBERED = 1_500_000, 250_000
 #: Texts taken together.
 TEXTS = 256
 
