@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -35,9 +38,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Seconds after which what is no longer referred to is cleared away.
+TIDY_SECONDS = 5
+_tidied = [0.0]
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Has Spark drop broadcast tables and shuffle files of jobs that are over.
+
+    It does when the driver collects its garbage, which by itself may be half an
+    hour apart, while each small table that was broadcast takes 16 MB of every executor.
+    """
+    if time.monotonic() - _tidied[0] > TIDY_SECONDS:
+        spark.sparkContext._jvm.System.gc()
+        _tidied[0] = time.monotonic()
+
+
 #: Rows of a batch that texts are handed to Python in.
 BATCH_ROWS = 1000
 

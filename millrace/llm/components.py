@@ -29,9 +29,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = written(edges, "edges")
-    mark = None
+    mark = (0, None)  # of no edges
     for _ in range(rounds):
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark:
             break
         mark = now

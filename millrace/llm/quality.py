@@ -308,12 +308,15 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     counts = written(counts.groupBy("lang", "key").agg(F.sum("c").alias("c")), "counts")
     entries = written(model(counts, bits(size), size), "model")
     asked = rows.select("id", "x", "lang", "text", "held")
+    tables = None
     if entries.count() <= MODEL_ROWS:
         tables = spark.sparkContext.broadcast(held_tables(entries))
         units = asked.mapInArrow(_scored(path, remembered, lambda: tables.value), f"{UNITS}, lp bigint")
     else:
         units = _by_joins(written(asked.mapInArrow(_grams(path, remembered), f"{UNITS}, key bigint, times bigint").distinct(), "grams"), entries, bits(size))
     units = written(units.withColumn("perplexity", F.exp(-F.col("lp") / F.col("n") / UNIT)), "units")
+    if tables is not None:
+        tables.unpersist()
     facts = rows.select("id", "x", "lang", "trusted", F.col("held").alias("held_out")).distinct()
     texts = units.where("k = 0").groupBy(F.col("id").alias("_i"), F.col("x").alias("_x"), F.col("lang").alias("_l")).agg(F.max("n").alias("tokens"), F.max("perplexity").alias("perplexity"))
     same = facts["id"].eqNullSafe(texts["_i"]) & (facts["x"] == texts["_x"]) & facts["lang"].eqNullSafe(texts["_l"])

@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles: MinHash bands propose pairs, whole sets decide."""
+"""Near copies by exact Jaccard similarity of word shingles: a tree over fingerprints and MinHash bands propose pairs, whole sets decide."""
 
 from __future__ import annotations
 
@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import short_batches, small, written
 from .components import components
+from .simhash import majority
 
 #: Words of a shingle, and the similarity from which texts are near copies, as a fraction.
 WORDS, SIMILARITY, SEED = 5, (4, 5), 42
@@ -63,15 +65,16 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        sets, sizes, keys = [], [], []
+        sets, sizes, keys, prints = [], [], [], []
         for t in batch.column(2):
             x = shingles(t.as_py())
             sets.append(xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63))
             sizes.append(len(x))
             keys.append(bands(x))
+            prints.append(majority(x))
         flat = pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["id", "x", "s", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(np.array(prints, np.uint64).view(np.int64))], names=["id", "x", "s", "n", "bands", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +122,21 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": s[i], "v": s[j]})
 
 
+def tree_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``sets`` (s, fp) that a vantage-point tree over their fingerprints proposes: sets of one fingerprint, and of linked ones."""
+    least = written(sets.groupBy("fp").agg(F.min("s").alias("u"), F.count("*").alias("m")), "fingerprints")
+    same = sets.join(least.where("m > 1"), "fp").where("s <> u").select("u", F.col("s").alias("v"))
+    near = simhash.links(least.select("fp")).withColumnsRenamed({"u": "a", "v": "b"})
+    of = lambda end, name: least.select(F.col("fp").alias(end), F.col("u").alias(name))
+    return same.unionByName(near.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v"))
+
+
 def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of the ``sets`` (s, n, bands) that chains of verified pairs connect.
+    """(node, root) of the ``sets`` (s, n, bands, fp) that chains of verified pairs connect.
 
-    First each set is held against the least one of its band, which settles
+    The tree's pairs come first.  Fingerprints alone cannot be held to the
+    similarity, so bands of minima propose the others.
+    Each set is held against the least one of its band, which settles
     groups of close copies by as many pairs as they have members.  Where
     members of a band are not connected by that, all its pairs that lie in
     different components are verified, by blocks.  Pairs of the first step
@@ -132,7 +146,9 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     shared = entries.groupBy("band", "key").agg(F.min(F.struct("s", "n")).alias("least"), F.count("*").alias("m")).where("m > 1")
     shared = written(entries.join(shared.select("band", "key", "least"), ["band", "key"]), "bands")
     fits = lambda a, b: F.least(a, b) * SIMILARITY[1] >= F.greatest(a, b) * SIMILARITY[0]
-    stars = written(shared.where((F.col("s") != F.col("least.s")) & fits(F.col("n"), F.col("least.n"))).select(F.col("least.s").alias("u"), F.col("s").alias("v")).distinct(), "stars")
+    stars = shared.where((F.col("s") != F.col("least.s")) & fits(F.col("n"), F.col("least.n"))).select(F.col("least.s").alias("u"), F.col("s").alias("v"))
+    pairs = stars.unionByName(tree_pairs(sets.select("s", "fp")))
+    stars = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
     edges = written(verified(stars, texts), "links")
     roots = components(edges)
     rest = shared.join(roots, shared["s"] == roots["node"], "left").select("band", "key", "s", "n", F.coalesce("root", "s").alias("root"))
@@ -157,12 +173,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("t"))
-    sketches = written(rows.mapInArrow(_sketches, "id bigint, x bigint, s bigint, n bigint, bands array<bigint>"), "sketches")
+    sketches = written(rows.mapInArrow(_sketches, "id bigint, x bigint, s bigint, n bigint, bands array<bigint>, fp bigint"), "sketches")
     key = F.struct(F.col("id").isNull().alias("none"), "id", "x")
-    sets = written(sketches.groupBy("s").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(key).alias("least"), F.min(F.struct(F.col("x"))).alias("one")), "distinct")
+    sets = written(sketches.groupBy("s").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.min(key).alias("least"), F.min(F.struct(F.col("x"))).alias("one")), "distinct")
     # One text of each set, found by its hash.
     texts = rows.select("x", "t").join(small(sets.select(F.col("one.x").alias("x"), "s"), BROADCAST_ROWS), "x").select("s", "t")
-    roots = links(sets.select("s", "n", "bands"), texts)
+    roots = links(sets.select("s", "n", "bands", "fp"), texts)
     grouped = sets.join(roots, sets["s"] == roots["node"], "left").select("s", "least", F.coalesce("root", "s").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("least"))
     of = written(grouped.select("s", "root").join(least, "root").select("s", "least"), "least")

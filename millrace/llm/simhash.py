@@ -12,15 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, table, written
+from .common import short_batches, small, table, written
 from .components import components
 
 WORDS, RADIUS, SEED = 3, 2, 42
 BITS = 64
 #: Fingerprints among which vantage points are chosen.
 SAMPLE = 256
-#: Levels of the tree that deal fingerprints into shards: by their number, so that a shard stays in the thousands.
+#: Levels of the tree that deal fingerprints into shards, by their number; rows of a shard beyond which it is split.
 LEVELS = ((1 << 21, 2), (1 << 29, 4), (1 << 63, 8))
+SHARD_ROWS = 4096
 #: Levels below, within a shard.
 INNER = 4
 
@@ -39,8 +40,14 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
         starts = (ends - np.fromiter(map(len, w), np.int64, len(w)) - 1).tolist()
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
-    h = np.array(hashes, "<u8")
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for lo in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
@@ -156,7 +163,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     The top of the tree deals fingerprints into shards by their distances to
     vantage points.  A fingerprint whose ball of the radius reaches over a
     boundary is also sent to the shard beyond, if that comes later in order, so
-    that every pair meets in one shard.
+    that every pair meets in one shard.  A shard of many rows is split: each of
+    its fingerprints is at home in one part, and asked for in all.
     """
     spark = fps.sparkSession
     count = fps.count()
@@ -171,6 +179,11 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     at = distances(F.col("fp"), points)
     shards = F.filter(F.array(*[F.struct(F.lit(s == zero).alias("home"), F.array(*[(d + x).cast("int") for d, x in zip(at, s)]).alias("shard")) for s in reach]), lambda c: F.forall(c["shard"], lambda d: (d >= 0) & (d <= width)))
     dealt = fps.select("fp", F.explode(shards).alias("c")).select("fp", "c.home", "c.shard")
+    large = dealt.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("parts")).where("parts > 1")
+    dealt = dealt.join(small(written(large, "large"), count // SHARD_ROWS * len(reach) + 1), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts"))
+    dealt = dealt.select("fp", "shard", "home", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    dealt = dealt.select("fp", "shard", "part", (F.col("home") & (F.col("own") == F.col("part"))).alias("home"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
@@ -179,7 +192,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         u, v = _forest(u, v) if len(u) else (u, v)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return dealt.groupBy("shard").applyInPandas(run, "u bigint, v bigint")
+    return dealt.groupBy("shard", "part").applyInPandas(run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -188,8 +201,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows are linked if their fingerprints differ in ``radius`` bits at most;
     a row's component is the smallest id it reaches over links, its own
     included.  A null or empty text, or one without words, has fingerprint zero.
-    Texts of fewer words than a shingle are one shingle.  Repeated rows get one
-    row each; an empty table gives none.
+    Texts of fewer words than a shingle are one shingle, whole texts are read
+    however long.  Repeated rows get one row each; a null id is smaller than none
+    and counts where nothing else is reached; other columns are not looked at,
+    whatever they are called; an empty table gives no rows.
     """
     prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
@@ -203,4 +218,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; awkward rows as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
