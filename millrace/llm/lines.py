@@ -1,42 +1,83 @@
-"""Line dedup: exact copies, and a segment-partition join of lines one edit apart."""
+"""Line dedup: exact copies, and a segment-partition join of lines a few edits apart."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import short_batches, small, table, written
 
-#: Edits up to which lines are near; a line is split into one segment more.
-THRESHOLD = 1
-#: Shorter lines go only as exact copies: too many differ in a letter and say something else.
-MIN_CHARS = 20
-#: Groups of lines with a segment in common are compared pair by pair up to this size, and split further beyond.
-PAIRWISE = 64
-BROADCAST_ROWS = 1_500_000
 
-SAME, SHORTER, LONGER = 2, 0, 1
+
+class Rule(NamedTuple):
+    """Which lines are near: up to ``most`` edits, of which the shorter line allows one for every ``chars`` characters.
+
+    Lines shorter than ``least`` go only as exact copies: too many differ in a
+    letter and say something else.
+    """
+
+    most: int = 2
+    chars: int = 20
+    least: int = 20
+
+    def edits(self, length: int) -> int:
+        """Edits up to which a line of ``length`` and one that is no shorter are near; it is split into one segment more."""
+        return min(self.most, length // self.chars) if length >= self.least else 0
+
+
+RULE = Rule()
+#: Groups of lines with segments in common are compared pair by pair up to this size, and split further beyond; rows compared in one call, about.
+PAIRWISE, TOGETHER = 64, 4096
+BROADCAST_ROWS = 500_000
+#: Keys, of 8 bytes each, up to which every worker holds those that are shared.
+SHARED_KEYS = 4_000_000
+
+#: Roles of a line in a group: as the shorter of a pair, or of two of one length the one that stays in place; as the other; as either.
+SHORTER, LONGER, SAME = 0, 1, 2
+
+
+@cache
+def segments(length: int, most: int) -> list[tuple[int, int]]:
+    """First character and length of each of the ``most`` + 1 segments; the last ones are longer."""
+    short, more = divmod(length, most + 1)
+    sizes = [short + (i > most - more) for i in range(most + 1)]
+    return [(sum(sizes[:i]), n) for i, n in enumerate(sizes)]
+
+
+@cache
+def shifts(i: int, most: int, longer: int) -> range:
+    """How far segment ``i`` may have moved in a line ``longer`` characters longer.
+
+    Of the segments that two near lines have in common, one has at most ``i``
+    edits before it and ``most - i`` behind it, and moves by no more than these.
+    """
+    return range(max(-i, longer - (most - i)), min(i, longer + (most - i)) + 1)
 
 
 def split_lines(text: str | None) -> list[str]:
     return text.split("\n") if text else []
 
 
-def line_hash(line: str) -> int:
+def line_hash(line: str) -> tuple[int, int]:
+    """128 bits as two signed numbers."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+    h = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
-def within(a: str, b: str, most: int = THRESHOLD) -> bool:
-    """Whether the edit distance of ``a`` and ``b`` is at most ``most``: Myers' bit vectors over the band that matters.
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance of ``a`` and ``b`` is at most ``most``: bit vectors over the band of 2 * ``most`` + 1 diagonals.
 
-    Common ends are cut off first; the scan stops when what is left cannot
-    bring the distance back down.
+    Common ends are cut off first.  Bit t of a vector is row j - most + t of
+    column j, so that from column to column the vectors move down by a row.
     """
     if abs(len(a) - len(b)) > most:
         return False
@@ -47,23 +88,26 @@ def within(a: str, b: str, most: int = THRESHOLD) -> bool:
     while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    if not a or not b:
-        return max(len(a), len(b)) <= most
+    m = len(a)
+    if not a or not b or not most:
+        return max(m, len(b)) <= most
     peq: dict[str, int] = {}
     for i, c in enumerate(a):
         peq[c] = peq.get(c, 0) | 1 << i
-    mask, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    pv, mv, score = mask, 0, len(a)
-    for j, c in enumerate(b):
-        eq = peq.get(c, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | ~(xh | pv) & mask, pv & xh
-        score += bool(ph & last) - bool(mh & last)
-        ph, mh = (ph << 1 | 1) & mask, mh << 1 & mask
-        pv, mv = mh | ~(xv | ph) & mask, ph & xv
-        if score - (len(b) - 1 - j) > most:
-            return False
+    width = 2 * most + 1
+    mask, last = (1 << width) - 1, 1 << width - 1
+    vp, vn, score = (1 << width) - (1 << most), 0, min(most, m)
+    for j, c in enumerate(b, 1):
+        at = j - most - 1
+        eq = (peq.get(c, 0) >> at if at >= 0 else peq.get(c, 0) << -at) & mask
+        d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & mask
+        hp, hn = (vn | ~(d0 | vp)) & mask, d0 & vp
+        if j <= m - most:  # along the lowest diagonal
+            score += not d0 & last
+        else:  # along the last row
+            row = 1 << m - j + most
+            score += bool(hp & row) - bool(hn & row)
+        vp, vn = (hn | ~(d0 >> 1 | hp)) & mask, d0 >> 1 & hp
     return score <= most
 
 
@@ -77,149 +121,298 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.append(d)
                     at.append(i)
                     hashes.append(line_hash(line))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(hashes, pa.int64())], names=["d", "i", "h"])
+        h, g = zip(*hashes) if hashes else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int64())], names=["d", "i", "h", "g"])
 
 
-def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, str]]:
+def _distinct_lines(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, tuple[int, int]]]:
     for batch in batches:
-        found = {}
+        found: dict[str, tuple[int, int]] = {}
         for t in batch.column(0):
             for line in split_lines(t.as_py()):
                 line = line.strip()
-                if len(line) >= MIN_CHARS:
-                    found[line_hash(line)] = line
+                if len(line) >= rule.least and line not in found:
+                    found[line] = line_hash(line)
         yield found
 
 
-def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for found in _distinct_lines(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.string())], names=["h", "rest"])
+def _line_texts(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _distinct_lines(rule, batches):
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in found.values()], pa.int64()) for k in (0, 1)), pa.array(found.keys(), pa.string())], names=["h", "g", "line"])
 
+    return run
+
+
+@cache
+def looks(rule: Rule, length: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """(first character, last, seed of a hash, part) of all segments a line is found by and looks for, its own first; and how many are its own.
+
+    A part tells how much shorter the line looked for is, the segment's number,
+    and how far it has moved.
+    """
+    out = []
+    for longer in range(rule.most + 1):
+        shorter = length - longer
+        most = rule.edits(shorter)
+        if not most or longer > most:
+            continue
+        for i, (p, n) in enumerate(segments(shorter, most)):
+            for s in shifts(i, most, longer):
+                if (longer or s) and 0 <= p + s <= length - n:
+                    out.append((p + s, p + s + n, shorter << 8 | i, part_of(longer, i, s)))
+    own = [(p, p + n, length << 8 | i, part_of(0, i, 0)) for i, (p, n) in enumerate(segments(length, rule.edits(length))) if rule.edits(length)]
+    return own + out, len(own)
+
+
+def part_of(longer: int, i: int, shift: int) -> int:
+    return (longer << 8 | i) << 8 | shift + 128
+
+
+def _keys(rule: Rule, shared: np.ndarray | None = None, whole: bool = False):
+    """Keys (key, h, part) of all lines, with the second half g of their hashes if ``whole``, and only ``shared`` ones if given."""
+    import xxhash
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The two halves of every line as index entries, and what a line one character longer would be found by."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for found in _distinct_lines(rule, batches):
+            keys: list[int] = []
+            parts: list[int] = []
+            sizes = []
+            for line in found:
+                asked, _ = looks(rule, len(line))
+                data = line.encode("utf-8", "surrogatepass")
+                if len(data) == len(line):
+                    keys += [digest(data[a:b], seed) for a, b, seed, _ in asked]
+                else:
+                    keys += [digest(line[a:b].encode("utf-8", "surrogatepass"), seed) for a, b, seed, _ in asked]
+                parts += [p for *_, p in asked]
+                sizes.append(len(asked))
+            key = np.array(keys, np.uint64).view(np.int64)
+            of = np.repeat(np.arange(len(sizes)), np.array(sizes, np.int64))
+            part = np.array(parts, np.int32)
+            hashes = np.array(list(found.values()), np.int64).reshape(-1, 2)
+            if shared is not None:
+                at = np.minimum(np.searchsorted(shared, key), max(0, len(shared) - 1))
+                there = shared[at] == key if len(shared) else np.zeros(len(key), bool)
+                key, of, part = key[there], of[there], part[there]
+            cols = [pa.array(key), pa.array(hashes[of, 0]), *([pa.array(hashes[of, 1])] if whole else []), pa.array(part)]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "h", *(["g"] if whole else []), "part"])
+
+    return run
+
+
+Piece = tuple[str, int, int]  # what is left of a line on one side, edits it may have, and how much longer the other line's is
+STATE = "key bigint, h bigint, g bigint, d bigint, i int, role int, pieces array<struct<t:string,e:int,s:int>>"
+
+
+def _next(key: int, *what: int | str) -> int:
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
-    for found in _distinct_lines(batches):
-        keys, hashes = [], []
-        for h, line in found.items():
-            n = len(line)
-            p, q = n // 2, (n - 1) // 2
-            # Entry by half, for lines of this length and of one more; probes for lines of one less.
-            for half, part, length in ((0, line[:p], n), (1, line[p:], n), (0, line[:q], n - 1), (1, line[q + 1 :], n - 1)):
-                keys.append(digest(f"{half} {length} {part}".encode("utf-8", "surrogatepass")) - (1 << 63))
-                hashes.append(h)
-        n = len(keys) // 4
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array([0, 1, 2, 3] * n, pa.int8())], names=["key", "h", "part"])
+    x = xxhash.xxh64(seed=key & (1 << 64) - 1)
+    for w in what:
+        x.update(str(w).encode("utf-8", "surrogatepass") + b"\0")
+    return x.intdigest() - (1 << 63)
+
+
+def _folded(key: int, pieces: list[Piece]) -> tuple[int, list[Piece]] | None:
+    """Pieces that may have no edits are the same in all lines of a group, so they go into its key; None where they cannot be."""
+    left = []
+    for t, e, s in pieces:
+        if e:
+            left.append((t, e, s))
+        elif s:
+            return None
+        else:
+            key = _next(key, t)
+    return key, left
+
+
+def _cut(piece: Piece, i: int, p: int, n: int, shift: int, role: int) -> tuple[str, list[Piece]]:
+    """The segment of a piece and what is left beside it."""
+    t, e, s = piece
+    at = p + shift if role == LONGER else p
+    return t[at : at + n], [(t[:at], i, shift), (t[at + n :], e - i, s - shift)]
+
+
+def opened(rule: Rule, key: int, part: int, line: str) -> Iterator[tuple[int, int, list[Piece]]]:
+    """Groups (key, role, pieces) of a line that was found under ``key`` by ``part``: one for each length and move of the lines it may be near to."""
+    longer, i, shift = part >> 16, part >> 8 & 255, (part & 255) - 128
+    if longer or shift:
+        most = rule.edits(len(line) - longer)
+        asked = [(longer, shift, LONGER)]
+    else:
+        most = rule.edits(len(line))
+        asked = [(x, s, SHORTER if x or s else SAME) for x in range(most + 1) for s in shifts(i, most, x)]
+    for x, s, role in asked:
+        p, n = segments(len(line) - (x if role == LONGER else 0), most)[i]
+        _, pieces = _cut((line, most, x), i, p, n, s, role)
+        if (found := _folded(_next(key, x, s), pieces)) is not None:
+            yield found[0], role, found[1]
+
+
+def shorter_of(piece: Piece, role: int) -> int:
+    return len(piece[0]) - (piece[2] if role == LONGER else 0)
 
 
-def _alive(groups: DataFrame) -> DataFrame:
-    """Keys whose rows (role, h) can hold a pair, with the number of rows."""
-    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b"), F.min("role").alias("r"), F.max("role").alias("s"))
-    pairs = ((F.col("r") == SAME) & (F.col("a") != F.col("b"))) | ((F.col("r") == SHORTER) & (F.col("s") == LONGER))
-    return sizes.where(pairs).select("key", "n")
+def settled(pieces: list[Piece], role: int) -> bool:
+    """Whether lines of a group are near whatever their pieces are."""
+    return all(max(shorter_of(p, role), shorter_of(p, role) + p[2]) <= p[1] for p in pieces)
 
 
-def _left() -> Column:
-    """Characters of the shorter line that are still to be compared."""
-    return F.length("rest") - (F.col("role") == LONGER).cast("int")
+def divided(key: int, role: int, pieces: list[Piece]) -> list[tuple[int, int, list[Piece]]] | None:
+    """The groups that a line's longest piece puts it into by one more segment; None if the pieces are too short for that."""
+    size = [shorter_of(p, role) for p in pieces]
+    k = max(range(len(pieces)), key=lambda k: (size[k] > pieces[k][1], size[k], -k))
+    t, e, s = pieces[k]
+    if size[k] <= e:
+        return None
+    out = []
+    for i, (p, n) in enumerate(segments(size[k], e)):
+        for shift in shifts(i, e, s):
+            if not 0 <= p + shift <= size[k] + s - n:
+                continue
+            for own in (SHORTER, LONGER) if role == SAME and shift else (role,):
+                same, left = _cut((t, e, s), i, p, n, shift, own)
+                found = _folded(_next(key, i, shift, same), [*pieces[:k], *left, *pieces[k + 1 :]])
+                if found is not None:
+                    out.append((found[0], own, found[1]))
+    return out
 
 
-def _settled() -> Column:
-    """Whether lines of one group are all within one edit, whatever is left of them."""
-    return _left() <= F.when(F.col("role") == SAME, 1).otherwise(0)
+def _state(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * 7
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.struct([("t", pa.string()), ("e", pa.int32()), ("s", pa.int32())]))]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "h", "g", "d", "i", "role", "pieces"])
 
 
-def _halves(state: DataFrame) -> DataFrame:
-    """Every row twice, once for each half of its rest as the segment that is the same."""
-    r, n = _left(), F.length("rest")
-    more = n - r
-    # A single character may be the one before or the one after what is inserted.
-    p0, p1 = F.when(r == 1, 1).otherwise(F.floor(r / 2).cast("int")), F.floor(r / 2).cast("int")
-    cut = lambda start, count: F.substr(F.col("rest"), start, count)
-    left = F.struct(F.lit(0).alias("half"), cut(F.lit(1), p0).alias("same"), cut(p0 + 1, n).alias("rest"))
-    right = F.struct(F.lit(1).alias("half"), cut(p1 + more + 1, n).alias("same"), cut(F.lit(1), p1 + more).alias("rest"))
-    out = state.select("key", "h", "o", "role", F.explode(F.array(left, right)).alias("c"))
-    return out.select(F.xxhash64("key", "c.half", "c.same").alias("key"), "h", "o", "role", F.col("c.rest").alias("rest"))
+def _named(pieces: list[Piece]) -> list[dict]:
+    return [{"t": t, "e": e, "s": s} for t, e, s in pieces]
+
+
+def _opened(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _state([(key, h, g, d, i, role, _named(pieces)) for at, h, g, d, i, part, line in zip(*(c.to_pylist() for c in batch.columns)) for key, role, pieces in opened(rule, at, part, line)])
+
+    return run
+
+
+def _divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for at, h, g, d, i, role, pieces in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, own, left in divided(at, role, [(p["t"], p["e"], p["s"]) for p in pieces]) or []:
+                rows.append((key, h, g, d, i, own, _named(left)))
+        yield _state(rows)
+
+
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """With ``way``: 1 where a group's lines are all near, 2 where they must be compared as they are, else 0."""
+    for batch in batches:
+        way = []
+        for role, pieces in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist()):
+            held = [(p["t"], p["e"], p["s"]) for p in pieces]
+            way.append(1 if settled(held, role) else 0 if any(shorter_of(p, role) > p[1] for p in held) else 2)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(way, pa.int32())], names=[*batch.schema.names, "way"])
 
 
 def _compared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows of a small group that have an earlier one within the threshold."""
-    items = sorted(zip(rows["d"], rows["i"], rows["h"], rows["role"], rows["rest"]))
-    late = []
-    for k, (_, _, h, role, rest) in enumerate(items):
-        if any(r != h and (role == SAME or s != role) and within(x, rest) for _, _, r, s, x in items[:k]):
-            late.append(h)
-    return pd.DataFrame({"h": pd.Series(late, dtype="int64")})
-
-
-def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(h) of the lines that have an earlier line within the threshold; ``first`` (h, o): where each line is first.
-
-    Two lines one edit apart have the same length or lengths one apart, and one
-    of their halves is the same.  Lines are grouped by half and length; a line in no group
-    with another is done.  In groups beyond a few lines what is left of the
-    line is halved again, and the group splits by the next segment that is the
-    same, until it is small or nothing is left to differ in.
+    """Lines that have an earlier one in their group whose pieces are all near."""
+    late = set()
+    rows = rows.sort_values(["key", "d", "i", "h", "g"], kind="stable")
+    items = list(zip(rows["key"].tolist(), rows["h"].tolist(), rows["g"].tolist(), rows["role"].tolist(), rows["pieces"].tolist()))
+    begin = 0
+    for k, (key, h, g, role, pieces) in enumerate(items):
+        if items[begin][0] != key:
+            begin = k
+        if (h, g) in late:
+            continue
+        for _, h2, g2, role2, pieces2 in items[begin:k]:
+            if (h, g) != (h2, g2) and (role == role2 == SAME or role != role2) and all(within(p["t"], q["t"], p["e"]) for p, q in zip(pieces, pieces2)):
+                late.add((h, g))
+                break
+    return pd.DataFrame(list(late), columns=["h", "g"]).astype("int64")
+
+
+def near_lines(docs: DataFrame, first: DataFrame, rule: Rule = RULE) -> DataFrame:
+    """(h, g) of the lines that have an earlier line within the threshold; ``first`` (h, g, d, i): where each line is first.
+
+    Two near lines have one of the shorter's segments in common, at most as far
+    from its place as the edits beside it allow; lines are grouped by these.  A
+    line in no group with another is done.  Groups of a few lines are compared:
+    what is left on each side of the segment must be within the edits left for
+    it.  In larger groups what is left is split into segments again, and the
+    group divides by the next one in common, until it is small, or nothing is
+    left to differ in.
     """
-    parts = docs.mapInArrow(_segments, "key bigint, h bigint, part tinyint")
-    # An entry (0, 1) meets entries of its length, and probes (2, 3) of lines one longer.
-    roles = lambda c: F.when(c < 2, F.array(F.struct(F.lit(SAME).alias("role")), F.struct(F.lit(SHORTER).alias("role")))).otherwise(F.array(F.struct(F.lit(LONGER).alias("role"))))
-    kinds = parts.groupBy("key").agg(*[F.min(F.when(F.col("part") < 2, F.col("h"))).alias("a"), F.max(F.when(F.col("part") < 2, F.col("h"))).alias("b"), F.max(F.col("part") > 1).alias("probed")])
-    keys = small(written(kinds.where("a is not null and (a <> b or probed)").select("key"), "keys"), BROADCAST_ROWS)
-    parts = written(parts.join(keys, "key").distinct(), "parts")
-    lines = small(parts.select("h").distinct(), BROADCAST_ROWS)
-    texts = docs.mapInArrow(_line_texts, "h bigint, rest string").join(lines, "h", "left_semi").groupBy("h").agg(F.first("rest").alias("rest"))
-    state = parts.join(texts, "h").join(first, "h").select("key", "h", "o", "part", "rest", F.explode(roles(F.col("part"))).alias("c"))
-    n = F.length("rest")
-    p = F.floor((n - (F.col("part") > 1).cast("int")) / 2).cast("int")
-    rest = F.when(F.col("part") == 0, F.substr("rest", p + 1, n)).when(F.col("part") == 1, F.substr("rest", F.lit(1), p)).when(F.col("part") == 2, F.substr("rest", p + 1, n)).otherwise(F.substr("rest", F.lit(1), p + 1))
-    state = state.select(F.xxhash64("key", (F.col("c.role") == SAME)).alias("key"), "h", "o", F.col("c.role").alias("role"), rest.alias("rest"))
+    spark = docs.sparkSession
+    keys = docs.mapInArrow(_keys(rule), "key bigint, h bigint, part int")
+    own = F.col("part").bitwiseAND(0xFF00FF) == 128
+    kinds = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.max(own.cast("int")).alias("own"))
+    shared = written(kinds.where("a <> b and own = 1").select("key"), "shared")
+    if shared.count() <= SHARED_KEYS:
+        held = np.sort(shared.toArrow().column(0).to_numpy()) if shared.limit(1).count() else np.zeros(0, np.int64)
+        box = spark.sparkContext.broadcast(held)
+        parts = docs.mapInArrow(lambda batches: _keys(rule, box.value, True)(batches), "key bigint, h bigint, g bigint, part int")
+    else:
+        parts = docs.mapInArrow(_keys(rule, whole=True), "key bigint, h bigint, g bigint, part int").join(shared, "key")
+    parts = written(parts.distinct(), "parts")
+    lines = small(parts.select("h", "g").distinct(), BROADCAST_ROWS)
+    texts = docs.mapInArrow(_line_texts(rule), "h bigint, g bigint, line string").join(lines, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("line").alias("line"))
+    state = parts.join(texts, ["h", "g"]).join(first, ["h", "g"]).select("key", "h", "g", "d", "i", "part", "line").mapInArrow(_opened(rule), STATE)
     found = []
-    for _ in range(40):
-        sizes = _alive(state)
-        state = written(state.join(sizes, "key"), "state")
-        little = state.where((F.col("n") <= PAIRWISE) & ~_settled())
-        done = state.where(_settled())
-        found.append(little.select("key", "o.d", "o.i", "h", "role", "rest").groupBy("key").applyInPandas(_compared, "h bigint"))
-        ends = done.groupBy("key").agg(F.min(F.when(F.col("role") != LONGER, F.col("o"))).alias("short"), F.min(F.when(F.col("role") == LONGER, F.col("o"))).alias("long"))
-        late = F.when(F.col("role") == SHORTER, F.col("long")).otherwise(F.col("short")) < F.col("o")
-        found.append(done.join(ends, "key").where(late).select("h"))
-        state = state.where((F.col("n") > PAIRWISE) & ~_settled())
-        if not state.limit(1).count():
+    for _ in range(60):
+        state = written(state.distinct().mapInArrow(_kinds, f"{STATE}, way int"), "state")
+        o = F.struct("d", "i")
+        sizes = state.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("h", "g")).alias("a"), F.max(F.struct("h", "g")).alias("b"), F.min("role").alias("r"), F.max("role").alias("s"), F.min(F.when(F.col("role") != LONGER, o)).alias("short"), F.min(F.when(F.col("role") != SHORTER, o)).alias("long"))
+        pairs = F.col("a") != F.col("b")
+        pairs &= ((F.col("r") == SAME) & (F.col("s") == SAME)) | ((F.col("r") == SHORTER) & (F.col("s") == LONGER))
+        state = written(state.join(sizes.where(pairs).select("key", "n", "short", "long"), "key"), "groups")
+        late = F.when(F.col("role") == SHORTER, F.col("long")).otherwise(F.col("short")) < o
+        found.append(state.where(F.col("way") == 1).where(late).select("h", "g"))
+        little = state.where((F.col("way") == 2) | ((F.col("way") == 0) & (F.col("n") <= PAIRWISE))).select("key", "h", "g", "d", "i", "role", "pieces")
+        number = max(1, little.count() // TOGETHER)
+        found.append(little.groupBy(F.pmod(F.xxhash64("key"), F.lit(number)).alias("b")).applyInPandas(_compared, "h bigint, g bigint"))
+        more = state.where((F.col("way") == 0) & (F.col("n") > PAIRWISE)).select("key", "h", "g", "d", "i", "role", "pieces")
+        if more.isEmpty():
             break
-        state = _halves(state.drop("n"))
+        state = more.mapInArrow(_divided, STATE)
+    else:
+        raise RuntimeError("groups of lines did not come to an end")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out.distinct()
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE) -> DataFrame:
     """(d, gone, near): per id the numbers of the lines to remove, and how many of them are near copies only."""
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    where = written(rows.mapInArrow(_occurrences, "d bigint, i int, h bigint"), "occurrences")
-    first = where.groupBy("h").agg(F.min(F.struct("d", "i")).alias("o"), F.count("*").alias("n"))
-    near = near_lines(rows.select("t"), first.select("h", "o"))
-    marked = first.join(near.withColumn("near", F.lit(True)), "h", "left").where("n > 1 or near").select("h", "o", F.coalesce("near", F.lit(False)).alias("near"))
+    where = written(rows.mapInArrow(_occurrences, "d bigint, i int, h bigint, g bigint"), "occurrences")
+    first = where.groupBy("h", "g").agg(F.min(F.struct("d", "i")).alias("o"), F.count("*").alias("n"))
+    near = near_lines(rows.select("t"), first.select("h", "g", "o.d", "o.i"), rule)
+    marked = first.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where("n > 1 or near").select("h", "g", "o", F.coalesce("near", F.lit(False)).alias("near"))
     marked = small(written(marked, "marked"), BROADCAST_ROWS)
-    hits = where.join(marked, "h").where(F.col("near") | (F.struct("d", "i") != F.col("o")))
+    hits = where.join(marked, ["h", "g"]).where(F.col("near") | (F.struct("d", "i") != F.col("o")))
     return hits.groupBy("d").agg(F.collect_set("i").alias("gone"), F.count_if(F.col("near") & (F.struct("d", "i") == F.col("o"))).alias("near"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE) -> DataFrame:
     """(row, n_lines, n_removed, n_near): rows of ``docs`` without lines that an earlier one repeats; n_chars follows the text.
 
     Lines are compared without the white space around them.  A line goes if the
-    same line, or for lines of MIN_CHARS characters or more one within the edit
-    threshold, stands earlier: in a document of smaller id, or above it.
+    same line, or one that is near to it by the ``rule``, stands earlier: in a
+    document of smaller id, or above it.  Equal are lines
+    of one hash of 128 bits.
     Blank lines part paragraphs and stay.  A null or empty text stays as it is; a document whose
     lines all go keeps an empty text.  Rows of one id are one document in this:
-    repeated rows lose the same lines.
+    repeated rows lose the same lines, and so do rows of a null id, which comes
+    before all others.  Texts are read whole however long; other columns are
+    carried along, whatever they are called; an empty table gives no rows.
     """
-    gone = removals(docs, id_col, text_col).select(F.col("d").alias("_d"), "gone", "near")
+    gone = removals(docs, id_col, text_col, rule).select(F.col("d").alias("_d"), "gone", "near")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.struct(*docs.columns).alias("row"))
     out = rows.join(gone, F.col("_id").eqNullSafe(F.col("_d")), "left")
     text = F.col("row").getField(text_col)
@@ -234,5 +427,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op7_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines every document loses, and a checksum of what is left; awkward rows as in ``dedup_lines``."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "n_removed", "n_near", F.crc32(F.coalesce("row.text", F.lit("")).cast("binary")).alias("kept_crc32"))

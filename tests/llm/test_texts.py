@@ -156,25 +156,25 @@ def distance(a, b):
 
 def test_bit_vectors():
     rnd = random.Random(1)
-    for _ in range(3000):
-        a, b = ("".join(rnd.choices("ab", k=rnd.randint(0, 7))) for _ in range(2))
-        for most in (0, 1, 2):
+    for _ in range(4000):
+        a, b = ("".join(rnd.choices("abc"[: rnd.randint(1, 3)], k=rnd.randint(0, 9))) for _ in range(2))
+        for most in (0, 1, 2, 3, 5):
             assert lines.within(a, b, most) == (distance(a, b) <= most)
 
 
-def check_lines(df):
+def check_lines(df, rule=lines.RULE):
     docs = sorted({(d, t) for d, t in rows(df) if t})
-    place = sorted({(d, i, x.strip()) for d, t in docs for i, x in enumerate(t.split("\n")) if len(x.strip()) >= lines.MIN_CHARS})
+    place = sorted({(d, i, x.strip()) for d, t in docs for i, x in enumerate(t.split("\n")) if len(x.strip()) >= rule.least})
     gone, near, seen = {}, Counter(), []
     for d, i, x in place:
         if x in seen:
             gone.setdefault(d, set()).add(i)
             continue
-        if any(abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1 for y in seen):
+        if any(distance(x, y) <= rule.edits(min(len(x), len(y))) for y in seen if abs(len(x) - len(y)) <= rule.most):
             gone.setdefault(d, set()).add(i)
             near[d] += 1
         seen.append(x)
-    got = lines.dedup_lines(df).select("row.doc_id", "row.text", "n_removed", "n_near").collect()
+    got = lines.dedup_lines(df, rule=rule).select("row.doc_id", "row.text", "n_removed", "n_near").collect()
     want = [(d, t and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())), len(gone.get(d, ())), near[d]) for d, t in rows(df)]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
@@ -184,20 +184,64 @@ def test_lines(request, name):
     check_lines(request.getfixturevalue(name))
 
 
-def test_lines_in_large_groups(spark, monkeypatch):
-    """Groups of more lines than are compared in pairs."""
-    monkeypatch.setattr(lines, "PAIRWISE", 3)
+@pytest.mark.parametrize(("pairwise", "most"), [(64, 1), (64, 3), (3, 1), (3, 2), (2, 3)])
+def test_lines_up_to_a_threshold(spark, monkeypatch, pairwise, most):
+    """For several thresholds, also with groups of more lines than are compared in pairs."""
+    monkeypatch.setattr(lines, "PAIRWISE", pairwise)
     rnd = random.Random(1)
-    base = ["".join(rnd.choices("abcdef", k=rnd.randint(20, 28))) for _ in range(4)]
+    base = ["".join(rnd.choices("abcdef", k=rnd.choice([20, 23, 26, 36, 41]))) for _ in range(4)]
 
     def edited(s):
         s = list(s)
-        for _ in range(rnd.randint(0, 2)):
+        for _ in range(rnd.randint(0, most + 1)):
             p = rnd.randrange(len(s))
             s[p : p + rnd.randint(0, 1)] = rnd.choice(["", "a", "b"])
         return "".join(s)
 
-    check_lines(spark.createDataFrame([(i, "\n".join(edited(rnd.choice(base)) for _ in range(rnd.randint(0, 6)))) for i in range(40)], "doc_id long, text string"))
+    check_lines(spark.createDataFrame([(i, "\n".join(edited(rnd.choice(base)) for _ in range(rnd.randint(0, 6)))) for i in range(40)], "doc_id long, text string"), lines.Rule(most, 12, 20))
+
+
+def test_segments_of_near_lines_meet():
+    """Every pair within the threshold is in one group whose pieces are near, and lines of numbers divide until all is settled."""
+    rule = lines.Rule(3, 8, 20)
+    rnd = random.Random(3)
+
+    def groups(line):
+        data = {}
+        for a, b, seed, part in lines.looks(rule, len(line))[0]:
+            key = hash((line[a:b], seed)) >> 1
+            for k, role, pieces in lines.opened(rule, key, part, line):
+                data.setdefault(k, []).append((role, pieces))
+        return data
+
+    near = 0
+    for _ in range(600):
+        a = "".join(rnd.choices("ab", k=rnd.randint(20, 34)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 4)):
+            p = rnd.randrange(len(b))
+            b[p : p + rnd.randint(0, 1)] = rnd.choice(["", "a", "b", "c"])
+        b = "".join(b)
+        if len(b) < 20:
+            continue
+        x, y = groups(a), groups(b)
+        met = any(all(lines.within(p[0], q[0], p[1]) for p, q in zip(ps, qs)) for k in x.keys() & y.keys() for r, ps in x[k] for s, qs in y[k] if r == s == lines.SAME or {r, s} == {lines.SHORTER, lines.LONGER})
+        assert met == (distance(a, b) <= rule.edits(min(len(a), len(b))))
+        near += met
+    assert near > 200
+
+
+def test_a_hot_template_divides(spark):
+    """Thousands of lines that differ in a number only are not paired off."""
+    docs = [(i, f"The number of the page that you have asked for is {i:05d}, thank you.") for i in range(0, 4500, 3)]
+    seen = []
+    got = {r["doc_id"]: r["n_near"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("row.doc_id", "n_near").collect()}
+    texts = {}
+    for d, t in docs:
+        number = f"{d:05d}"
+        seen.append(number)
+        texts[d] = any(sum(a != b for a, b in zip(number, x)) <= 2 or distance(number, x) <= 2 for x in seen[:-1])
+    assert got == {d: int(x) for d, x in texts.items()}
 
 
 def test_fingerprints(docs):
