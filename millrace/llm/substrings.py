@@ -150,7 +150,8 @@ def repeated_starts(group: np.ndarray, before: np.ndarray, starts: np.ndarray, p
     """For each passage and start, whether the string of ``length`` bytes there is in another passage of its group, at the same distance from the anchor.
 
     Columns are taken from the last to the first.  A round puts one symbol of
-    each passage before its suffix: the new order is that of symbols, stable in
+    each passage before its suffix: these symbols, in the order so far, are the
+    round's column of the passages' Burrows-Wheeler transform.  The new order is that of symbols, stable in
     the order so far, and two neighbours' common prefix is one more than the
     least between their old places, or nothing if their symbols differ.
     """
@@ -165,7 +166,7 @@ def repeated_starts(group: np.ndarray, before: np.ndarray, starts: np.ndarray, p
     first = left - before
     base = group.astype(np.int64) * 257 + 1
     for j in range(width - 1, -1, -1):
-        s = symbols[j, order]
+        s = symbols[j, order]  # the transform's column
         key = base[order] + s
         step = np.argsort(key, kind="stable")
         order, key, s = order[step], key[step], s[step]
@@ -297,18 +298,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes, a null text is empty; strings do not cross texts.
     Of repeated rows and copies nothing is left if they have LENGTH bytes.  All
-    strings are judged on the input.  Returns (id, n_bytes, n_removed, n_spans,
+    strings are judged on the input, whole texts however long they are; other
+    columns are not looked at, whatever they are called; an empty table gives no
+    rows.  Returns (id, n_bytes, n_removed, n_spans,
     kept_sha256, kept), where ``kept`` has the bytes that stay; it is left out if not ``keep``.
     """
     b = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(b).alias("x"), (F.crc32(b) + F.length(b) * (1 << 32)).alias("c"), b.alias("text"))
     spans = repeated_spans(rows.select("x", "c", "text"))
     copies = rows.groupBy("x", "c").agg(F.count("*").alias("m")).where("m > 1").select("x", "c", F.lit(True).alias("copied"))
-    out = rows.join(copies, ["x", "c"], "left").join(spans, ["x", "c"], "left").select("id", "text", F.coalesce("copied", F.lit(False)), "spans")
+    # One written table, so that Spark can split the rows of a text that is everywhere.
+    marks = written(copies.join(spans, ["x", "c"], "full_outer"), "marks")
+    out = rows.join(marks, ["x", "c"], "left").select("id", "text", F.coalesce("copied", F.lit(False)), "spans")
     shape = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     out = out.mapInArrow(_removed, f"{shape}, kept binary") if keep else out.mapInArrow(_digested, shape)
     return out.withColumnRenamed("id", id_col)
 
 
 def op3_column_sorted_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, removed bytes, removed runs and a checksum of what is left of every document; awkward rows as in ``remove_repeats``."""
     return remove_repeats(table(spark, sf_dir, "documents"), keep=False)

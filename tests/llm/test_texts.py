@@ -144,6 +144,50 @@ def test_repeats_of_passages(spark, monkeypatch, most):
     assert got == brute_repeats([(d, t.encode()) for d, t in table])
 
 
+def test_repeats_of_very_long_texts(spark):
+    """Texts beyond the positions that a buffer counts: passages within one, across the bounds of its parts, and in another text."""
+    rnd = np.random.default_rng(6)
+    size, passage = (1 << 24) + 300_000, rnd.integers(97, 123, 300, np.uint8)
+    big = rnd.integers(97, 123, size, np.uint8)
+    places = [1000, (1 << 23) - 150, 2 * (1 << 23) - 50, size - 300]
+    for k, a in enumerate(places):
+        big[a : a + 300] = passage
+        if a > 0:
+            big[a - 1] = 48 + k  # what stands beside it differs
+        if a + 300 < size:
+            big[a + 300] = 48 + k
+    other = np.concatenate([[57], passage[20:240], [56]]).astype(np.uint8)
+    docs = [(1, big.tobytes().decode()), (2, other.tobytes().decode()), (3, "short")]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), keep=False).collect()}
+    gone = np.zeros(size, bool)
+    for a in places:
+        gone[a : a + 300] = True
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {1: (size, 1200, 4, digest(big[~gone].tobytes())), 2: (222, 220, 1, digest(b"98")), 3: (5, 0, 0, digest(b"short"))}
+
+
+def test_plans_and_chunks_of_long_texts(spark, monkeypatch, encoder, tmp_path):
+    """Texts of more tokens than a chunk of the file or a plan of the packing holds."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 7))) for _ in range(500)]
+    docs = spark.createDataFrame([(1, "one"), (2, ". ".join(rnd.choices(words, k=450_000))), (3, None), (4, " ".join(rnd.choices(words, k=90_000)))], "doc_id long, text string").coalesce(1)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = {d: ids_of(encoder, t, 2) for d, t in texts.items()}
+    assert len(ids[2]) > packing.PLAN and len(ids[4]) > 2 * tokenfile.CHUNK
+    tokenfile.write_tokens(docs, f"file://{tmp_path}/t")
+    got = sorted(map(tuple, tokenfile.digests(spark, f"file://{tmp_path}/t").collect()))
+    starts = np.cumsum([0] + [len(ids[d]) for d in (1, 2, 3, 4)])
+    assert got == [(d, int(starts[d - 1]), len(ids[d]), zlib.crc32(ids[d].tobytes())) for d in (1, 2, 3, 4)]
+    pieces = packing.pack(docs).collect()
+    sizes = Counter()
+    for d in texts:
+        own = sorted((p["start"], p["length"]) for p in pieces if p["doc_id"] == d)
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(n for _, n in own) == len(ids[d])
+    for p in pieces:
+        sizes[p["sequence_id"]] += p["length"]
+    assert max(sizes.values()) <= 1024 and sum(sizes.values()) > 0.97 * 1024 * len(sizes)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, c in enumerate(a, 1):
