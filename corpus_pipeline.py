@@ -21,20 +21,41 @@ REMEMBERED = 250_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts, and texts of languages without trusted text, stay.
+    Rows that repeat an id, a text and a language share their verdict; rows that
+    share an id only, or have none, are judged by their texts.  Long texts are
+    read whole, columns are carried along whatever they are called, and an empty
+    table stays empty.
+    """
     verdicts = classify(docs, table(spark, sf_dir, "labels"), remembered=REMEMBERED)
-    rejected = small(written(verdicts.where("not keep").select(F.col("id").alias("_id"), F.col("x").alias("_x")), "rejected"), BROADCAST_ROWS)
-    here = docs["doc_id"].cast("long").eqNullSafe(rejected["_id"]) & (F.xxhash64(docs["text"]) == rejected["_x"])
+    rejected = written(verdicts.where("not keep").select(F.col("id").alias("_id"), F.col("x").alias("_x"), F.col("lang").alias("_lang")), "rejected")
+    rejected = small(rejected, BROADCAST_ROWS)
+    here = docs["doc_id"].cast("long").eqNullSafe(rejected["_id"]) & (F.xxhash64(docs["text"]) == rejected["_x"]) & docs["lang"].eqNullSafe(rejected["_lang"])
     return docs.join(rejected, here, "left_anti")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier one repeats go, exactly or within an edit."""
+    """Lines that an earlier one repeats go, exactly or within a few edits.
+
+    Documents stay, if with an empty text; null and empty texts stay as they
+    are.  Ties are broken by id, then by place; rows of one id, null ones
+    included, lose the same lines.  Long texts are read whole, columns are
+    carried along whatever they are called, and an empty table stays empty.
+    """
     return dedup_lines(docs).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id and text hash stays, once."""
+    """Of each group of near copies one row stays: that of the smallest id, then of the smallest hash of its text.
+
+    A row is told by its id and its text, so rows that share an id, or have
+    none, are documents of their own if their texts differ; repeated rows come
+    down to one.  Ids come before nulls.  Texts without words, null and empty
+    ones, are copies of each other.  Long texts are read whole, columns are
+    carried along whatever they are called, and an empty table stays empty.
+    """
     key = lambda d, x, a, b: d.eqNullSafe(a) & (x == b)
     found = written(shingles.near_copies(docs), "near")
     stays = key(F.col("id"), F.col("x"), F.col("least_id"), F.col("least_x"))
@@ -52,16 +73,26 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their targets; documents may come several times, or in part."""
+    """Sources are brought to their targets; documents may come several times, the last time perhaps in part.
+
+    Documents without words (null and empty texts) take part in no mix and go.
+    A null source is a source of its own; repeated rows count one by one; ties
+    of the seeded order go by id, size and text.  Columns are carried along
+    whatever they are called, and an empty table stays empty.
+    """
     return repeated(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, packed into sequences."""
+    """Pieces of documents, packed into sequences.
+
+    A null or empty text has its end mark only; repeated rows are packed one by
+    one; long texts are cut, other columns not looked at; an empty table gives no pieces.
+    """
     return pack(docs, remembered=REMEMBERED)
 
 
-STAGES = [("quality classifier", quality), ("line dedup", lines), ("near-dedup", near_copies), ("mixing sources", mixture), ("packing", sequences)]
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("simhash near-dedup", near_copies), ("mixing sources", mixture), ("packing", sequences)]
 
 #: SQL expresses neither the classifier nor the hashes and tokens.
 ORACLE_SQL = None
