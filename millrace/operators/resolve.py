@@ -38,7 +38,7 @@ def package_name(source: Column) -> Column:
     return F.array_join(F.slice(parts, 1, F.when(source.startswith("@"), 2).otherwise(1)), "/")
 
 
-def attempts(path: Column, ext: Column, source: Column, module: str | None, package_dir: Column, crate_dir: Column) -> Column:
+def attempts(path: Column, ext: Column, source: Column, module: str | None, package_dir: Column, crate_dir: Column, parity: bool = False) -> Column:
     """Array of (part, base, rest): where to look for an import, best first within each part; each part gives a target of its own."""
     here, root = folder_of(path), F.lit("")
 
@@ -50,7 +50,11 @@ def attempts(path: Column, ext: Column, source: Column, module: str | None, pack
     inner = F.array_join(F.slice(F.split(bare, "/"), size + 1, F.size(F.split(bare, "/"))), "/")
     script = F.array(attempt(here, bare), attempt(here, source), attempt(package_dir, F.when(inner == "", "src").otherwise(inner)), attempt(root, bare))
     slashed = F.replace(source, F.lit("::"), F.lit("/"))
-    crate = F.array(attempt(crate_dir, F.regexp_replace(slashed, "^crate", "src")), attempt(here, F.regexp_replace(slashed, "^crate/?", ""), 1))
+    inside = F.regexp_replace(slashed, "^crate/?", "")
+    crate = F.array(attempt(crate_dir, F.regexp_replace(slashed, "^crate", "src")), attempt(here, inside, 1))
+    if not parity:  # without a crate's root, any directory above may be it
+        above = F.transform(F.sequence(F.size(F.split(here, "/")) - 1, F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(F.split(here, "/"), F.lit(1), n), "/"))
+        crate = F.concat(crate, F.when(crate_dir.isNull(), F.transform(above, lambda d: attempt(d, inside, 1))).otherwise(F.array().cast("array<struct<part:int,base:string,rest:string>>")))
     rust = (
         F.when(source.startswith("crate"), crate)
         .when(source.startswith("super"), F.array(attempt(here, F.regexp_replace(slashed, "^super", ".."))))
@@ -83,7 +87,7 @@ def candidates(imports: DataFrame, files: DataFrame, packages: DataFrame | None
         rows = rows.join(packages.select("name", F.col("dir").alias("package_dir")), "name", "left")
     roots = crate_roots(rows.where("ext = '.rs' and source like 'crate%'").select("path").distinct(), files, crates)
     rows = rows.join(roots, "path", "left")
-    tried = attempts(F.col("path"), F.col("ext"), F.col("source"), module, F.col("package_dir"), F.col("crate_dir"))
+    tried = attempts(F.col("path"), F.col("ext"), F.col("source"), module, F.col("package_dir"), F.col("crate_dir"), parity)
     rows = rows.select(F.col("path").alias("src"), "ext", "source", "relation", F.posexplode(tried).alias("a", "t")).where("t.base is not null and t.rest <> ''")
     base, rest = F.col("t.base"), F.col("t.rest")
     # A name without slashes has dots for them, as of Java or Python.

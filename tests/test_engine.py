@@ -54,6 +54,32 @@ CANARIES = [
 ]
 
 
+#: Trees of one language each: files, what of them is reached from core/utils, and what more without known quirks.
+CLOSURES = [
+    ("ts", {"b1.ts": 'import { u } from "./barrel";', "b2.ts": 'import { u } from "./barrel";', "barrel/index.ts": 'export * from "../core/utils";', "core/utils.ts": "", "d1.ts": 'import { u } from "./core/utils";', "dynamic.ts": 'const load = async () => { await import("./core/utils"); };', "t1.ts": 'import { u } from "./b1";', "t2.ts": 'import { u } from "./t1";', "typeOnly.ts": 'import type { U } from "./core/utils";'},
+     {"d1", "barrel/index", "b1", "b2", "t1", "t2", "dynamic"}, set()),
+    ("py", {"b1.py": "from .barrel import u", "b2.py": "from .barrel import u", "barrel/__init__.py": "from ..core.utils import *", "core/utils.py": "", "d1.py": "from .core import utils", "d2.py": "from .core.utils import u", "dynamic.py": 'import importlib\nmod = importlib.import_module(".core.utils", package=__package__)', "t1.py": "from .b1 import u", "t2.py": "from .t1 import u", "typeOnly.py": "from typing import TYPE_CHECKING\nif TYPE_CHECKING:\n    from .core.utils import u"},
+     {"d1", "d2", "barrel/__init__", "b1", "b2", "t1", "t2", "typeOnly"}, set()),
+    ("go", {"b1.go": 'import "x/go/barrel"', "b2.go": 'import "x/go/barrel"', "barrel/barrel.go": 'import "x/go/core"', "core/utils.go": "", "d1.go": 'import "./core"', "d2.go": 'package c\nimport "x/go/core"', "t1.go": "func T1() { B1() }", "t2.go": "func T2() { T1() }"},
+     {"d1", "d2", "barrel/barrel", "b1", "b2"}, set()),
+    ("rs", {"b1.rs": "use crate::barrel::u;", "b2.rs": "use crate::barrel::u;", "barrel/mod.rs": "pub use crate::core::utils::u;", "core/utils.rs": "", "d1.rs": "mod core {}\nuse crate::core::utils;", "d2.rs": "use crate::core::utils::u;", "t1.rs": "use crate::b1;", "t2.rs": "use crate::t1;"},
+     {"d1", "d2"}, {"barrel/mod", "b1", "b2", "t1", "t2"}),
+]
+
+
+def test_whole_closures(spark):
+    """Through directories' entry files, re-exports and chains; type imports and calls of an import function at run time are left out."""
+    files = {f"x/{lang}/{name}": "\ufeff" + text for lang, tree_, _, _ in CLOSURES for name, text in tree_.items()}
+    for parity in (True, False):
+        e = edges(spark, files, parity=parity).cache()
+        starts = spark.createDataFrame([(i, f"x/{lang}/core/utils.{lang}") for i, (lang, *_) in enumerate(CLOSURES)], "origin int, node string")
+        got = {}
+        for r in graph.blast_radius(e, starts).where("not unresolvable").collect():
+            got.setdefault(r["origin"], set()).add(r["path"])
+        for i, (lang, _, plain, more) in enumerate(CLOSURES):
+            assert got[i] == {f"x/{lang}/{p}.{lang}" for p in plain | (set() if parity else more)}, (lang, parity)
+
+
 def test_each_language(spark):
     files = {}
     for name, text, target in CANARIES:
