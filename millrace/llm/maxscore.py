@@ -86,13 +86,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     Components become floor(scale * x).  Vectors that are null, empty, or hold
     null or non-finite components must be left out before (``finite``); with no
     rows or no queries the result is empty.  Rows of equal id are rows of their
-    own, but none is compared with a query of its id.  Scores beyond 64 bits are an error.
+    own, but none is compared with a query of its id.  Of equal scores the smaller id comes
+    first.  Other columns must not be there (``finite`` leaves them out, whatever
+    they are called).  Scores beyond 64 bits are an error.
     """
     whole = lambda df: df.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
     return search(whole(vectors), whole(queries), lambda a, b, c, d: maxscore(a, b, c, d, k), k, "bigint", True, "maxscore", **sizes)
 
 
 def op2_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every fiftieth row; rows without a finite vector take no part."""
     vectors = finite(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(QUERY_STEP)) == 0))
 

@@ -50,7 +50,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the order of a seeded hash, each once more, and the document in which the
     target is reached gives its first words only.  So a source's taken words
     are its target rounded to whole words.  A null source is a source of its
-    own.  Documents without words take nothing; repeated rows count one by one.
+    own.  Documents without words (null and empty texts) take nothing; repeated
+    rows count one by one; rows without an id take part like others; ties of the
+    seeded hash go by id, size and text.  Long texts are counted whole; other
+    columns are carried or left out, whatever they are called; an empty table
+    gives no rows.
     """
     facts = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("x")]
     sized = docs.select(*facts, *([F.struct(*docs.columns).alias("row")] if carry else []))
@@ -85,5 +89,6 @@ def repeated(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
 
 
 def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes; awkward rows as in ``mix``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")

@@ -141,7 +141,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     cut at sentence ends where that saves padding, and elsewhere only where it
     has no sentence end for long.  Each id lies in exactly one piece.  A null
     text counts as empty and has the end id only; repeated rows are packed one
-    by one; an empty table gives no pieces.  Returns one row per piece.
+    by one, and so are rows without an id; texts are packed whole however long,
+    over several plans if need be; other columns are not looked at, whatever they
+    are called; an empty table gives no pieces.  Returns one row per piece.
     """
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
@@ -149,4 +151,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 
 def op5_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens, one row for every piece; awkward rows as in ``pack``."""
     return pack(table(spark, sf_dir, "documents"))

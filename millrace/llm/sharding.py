@@ -51,8 +51,10 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     id puts them, and move to the shard of their group by label propagation
     under quotas; a group larger than a shard spreads over several.  Documents
     without links fill the shards to equal counts.  A null text has no links,
-    size 8 and checksum 0; an empty text is a text.  Repeated rows are placed
-    one by one.  An empty table gives no rows.
+    size 8 and checksum 0; an empty text is a text.  A null id has a place like
+    any other; repeated rows are placed one by one, in any order among
+    themselves.  Long texts count by their bytes only; other columns are not
+    looked at, whatever they are called.  An empty table gives no rows.
 
     Returns (id, size, text_crc32, law, shard, slot, grown_shard).
     """
@@ -91,4 +93,5 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
 
 
 def op8_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 24 shards by the law ``rows``; awkward rows as in ``balanced_shards``."""
     return balanced_shards(table(spark, sf_dir, "documents"))

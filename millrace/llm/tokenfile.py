@@ -144,7 +144,10 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     """Writes the ids of all texts to ``folder``, in ascending order of their ids.
 
     A null text counts as empty and has the end id only; a null id comes first.
-    Rows of equal id follow each other by text.  An empty table gives no chunks.
+    Rows of equal id follow each other by text, repeated ones each for itself.
+    Texts are encoded whole however long, and may fill several chunks' worth in
+    one; other columns are not looked at, whatever they are called.  An empty
+    table gives no chunks.
     """
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
@@ -183,6 +186,7 @@ def digests(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFra
 
 
 def op1_patched_frame_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the token file of all documents and reads it back: one digest for every row, awkward ones as in ``write_tokens``."""
     import uuid
 
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"

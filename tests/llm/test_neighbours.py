@@ -61,6 +61,15 @@ def test_ties_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").select("*", *[F.lit(1).alias(c) for c in ("v", "s", "b", "task", "rank", "score", "query_id")])
     rows = blocks.finite(df, "vec_id", "embedding").where(F.exists("v", lambda x: x != 0))
     got = pstable.nearest_neighbours(rows, rows.where("vec_id % 100 = 0"), shard_rows=30, block_rows=1).collect()
+    from millrace.llm import maxscore
+
+    every = blocks.finite(df, "vec_id", "embedding")
+    best = maxscore.top_k(every, every.where("vec_id % 50 = 0"), shard_rows=30, block_rows=1).collect()
+    whole = [(i, [256 * int(y) for y in x]) for i, x in data if i is not None and x]
+    for q in (0, 50, 100):
+        own = [256 * int(y) for y in base[q % 40]]
+        ranked = sorted((-sum(a * b for a, b in zip(own, x)), i) for i, x in whole if i != q)[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in best if r["query_id"] == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(ranked)]
     kept = [(i, x) for i, x in data if i is not None and x and any(x)]
     for q in (0, 100):
         d = sorted((float(np.sqrt(((np.array(x) - base[q % 40]) ** 2).sum())), i) for i, x in kept if i != q)[:10]
