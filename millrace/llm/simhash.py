@@ -12,16 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, small, table, written
+from .common import short_batches, table, written
 from .components import components
 
 WORDS, RADIUS, SEED = 3, 2, 42
 BITS = 64
 #: Fingerprints among which vantage points are chosen.
 SAMPLE = 256
-#: Levels of the tree that deal fingerprints into shards, by their number; rows of a shard beyond which it is split.
-LEVELS = ((1 << 21, 2), (1 << 29, 4), (1 << 63, 8))
-SHARD_ROWS = 4096
+#: Levels of the tree that deal fingerprints into shards, by their number.  The fullest shard has 2, 0.5, 0.15, 0.02 or
+#: 0.003 % of random ones, so that it stays in the tens of thousands, and each is sent to 7, 13, 21, 43 or 73 shards.
+LEVELS = ((1 << 19, 2), (1 << 22, 3), (1 << 25, 4), (1 << 28, 6), (1 << 63, 8))
 #: Levels below, within a shard.
 INNER = 4
 
@@ -163,8 +163,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     The top of the tree deals fingerprints into shards by their distances to
     vantage points.  A fingerprint whose ball of the radius reaches over a
     boundary is also sent to the shard beyond, if that comes later in order, so
-    that every pair meets in one shard.  A shard of many rows is split: each of
-    its fingerprints is at home in one part, and asked for in all.
+    that every pair meets in one shard.
     """
     spark = fps.sparkSession
     count = fps.count()
@@ -179,11 +178,6 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     at = distances(F.col("fp"), points)
     shards = F.filter(F.array(*[F.struct(F.lit(s == zero).alias("home"), F.array(*[(d + x).cast("int") for d, x in zip(at, s)]).alias("shard")) for s in reach]), lambda c: F.forall(c["shard"], lambda d: (d >= 0) & (d <= width)))
     dealt = fps.select("fp", F.explode(shards).alias("c")).select("fp", "c.home", "c.shard")
-    large = dealt.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("parts")).where("parts > 1")
-    dealt = dealt.join(small(written(large, "large"), count // SHARD_ROWS * len(reach) + 1), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts"))
-    dealt = dealt.select("fp", "shard", "home", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    dealt = dealt.select("fp", "shard", "part", (F.col("home") & (F.col("own") == F.col("part"))).alias("home"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
@@ -192,7 +186,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         u, v = _forest(u, v) if len(u) else (u, v)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return dealt.groupBy("shard", "part").applyInPandas(run, "u bigint, v bigint")
+    return dealt.groupBy("shard").applyInPandas(run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
