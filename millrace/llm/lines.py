@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -43,7 +43,7 @@ SHARED_KEYS = 4_000_000
 SHORTER, LONGER, SAME = 0, 1, 2
 
 
-@cache
+@lru_cache(1 << 14)
 def segments(length: int, most: int) -> list[tuple[int, int]]:
     """First character and length of each of the ``most`` + 1 segments; the last ones are longer."""
     short, more = divmod(length, most + 1)
@@ -51,7 +51,7 @@ def segments(length: int, most: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), n) for i, n in enumerate(sizes)]
 
 
-@cache
+@lru_cache(1 << 14)
 def shifts(i: int, most: int, longer: int) -> range:
     """How far segment ``i`` may have moved in a line ``longer`` characters longer.
 
@@ -144,7 +144,7 @@ def _line_texts(rule: Rule):
     return run
 
 
-@cache
+@lru_cache(1 << 14)
 def looks(rule: Rule, length: int) -> tuple[list[tuple[int, int, int, int]], int]:
     """(first character, last, seed of a hash, part) of all segments a line is found by and looks for, its own first; and how many are its own.
 

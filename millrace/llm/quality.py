@@ -267,17 +267,18 @@ def _by_joins(grams: DataFrame, entries: DataFrame, width: int) -> DataFrame:
 
 
 def held_tables(entries: DataFrame) -> dict[str | None, Tables]:
-    """The ``entries`` of a model as sorted arrays, by language and kind."""
+    """The ``entries`` of a model as sorted arrays, by language and kind; one kind of one language is fetched at a time."""
     out: dict[str | None, Tables] = {}
     for lang in [r[0] for r in entries.where(F.col("kind") == UNSEEN).select("lang").collect()]:  # one row for each language
-        found = entries.where(F.col("lang").eqNullSafe(F.lit(lang))).select("kind", "key", "lp").toArrow()
-        kind, key, lp = (found.column(i).to_numpy() for i in range(3))
-        del found
+        own = entries.where(F.col("lang").eqNullSafe(F.lit(lang)))
         out[lang] = {}
         for k in (TRIGRAM, BIGRAM, UNIGRAM, AFTER_TWO, AFTER_ONE, UNSEEN):
-            own = np.flatnonzero(kind == k)
-            own = own[np.argsort(key[own])]
-            out[lang][k] = (key[own], lp[own])
+            found = own.where(F.col("kind") == k).select("key", "lp").toArrow()
+            key, lp = (found.column(i).to_numpy() for i in (0, 1))
+            del found
+            order = np.argsort(key)
+            out[lang][k] = (key[order], lp[order])
+        pa.default_memory_pool().release_unused()
     return out
 
 
