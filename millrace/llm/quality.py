@@ -15,9 +15,9 @@ from .tokens import Encoder, encoder, tokenizer_path
 #: Share of trusted documents, by hash, that are kept from training to take the quantiles from.
 HELD_OUT = 10
 #: A document is rejected above this quantile of the perplexity of held-out trusted text of its language and length.
-QUANTILE = 0.995
+QUANTILE = 0.998
 #: Windows of held-out text have powers of so many tokens; a length needs so many windows for a quantile of its own.
-LENGTH_BASE, LEAST = 4, 100
+LENGTH_BASE, LEAST = 4, 30
 #: Rows up to which a side is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_500_000
 #: Entries of a model, of 12 bytes each, up to which every worker holds it; a larger one is joined by shuffles.
