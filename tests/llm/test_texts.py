@@ -228,7 +228,7 @@ def test_lines(request, name):
     check_lines(request.getfixturevalue(name))
 
 
-@pytest.mark.parametrize(("pairwise", "most"), [(64, 1), (64, 3), (3, 1), (3, 2), (2, 3)])
+@pytest.mark.parametrize(("pairwise", "most"), [(64, 3), (3, 1), (2, 2)])
 def test_lines_up_to_a_threshold(spark, monkeypatch, pairwise, most):
     """For several thresholds, also with groups of more lines than are compared in pairs."""
     monkeypatch.setattr(lines, "PAIRWISE", pairwise)
@@ -310,7 +310,7 @@ def test_fingerprints(docs):
     assert got == {(d, f"{prints[d]:016x}"): least[d] for d in ids}
 
 
-@pytest.mark.parametrize("levels", [2, 3, 4, 6, 8])
+@pytest.mark.parametrize("levels", [2, 3, 6])
 def test_tree_finds_every_near_pair(spark, monkeypatch, levels):
     monkeypatch.setattr(simhash, "LEVELS", ((1 << 63, levels),))
     rnd = random.Random(9)
