@@ -113,16 +113,17 @@ def within(a: str, b: str, most: int) -> bool:
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, at, hashes = [], [], []
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+        of, at, hashes = [], [], []
+        for k, t in enumerate(batch.column(3)):
             for i, line in enumerate(split_lines(t.as_py())):
                 line = line.strip()
                 if line:
-                    ids.append(d)
+                    of.append(k)
                     at.append(i)
                     hashes.append(line_hash(line))
         h, g = zip(*hashes) if hashes else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int64())], names=["d", "i", "h", "g"])
+        rows = pa.array(of, pa.int32())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(3)), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int64())], names=["d", "x", "y", "i", "h", "g"])
 
 
 def _distinct_lines(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, tuple[int, int]]]:
@@ -203,7 +204,7 @@ def _keys(rule: Rule, shared: np.ndarray | None = None, whole: bool = False):
 
 
 Piece = tuple[str, int, int]  # what is left of a line on one side, edits it may have, and how much longer the other line's is
-STATE = "key bigint, h bigint, g bigint, d bigint, i int, role int, pieces array<struct<t:string,e:int,s:int>>"
+STATE = "key bigint, h bigint, g bigint, d bigint, x bigint, i int, role int, pieces array<struct<t:string,e:int,s:int>>"
 
 
 def _next(key: int, *what: int | str) -> int:
@@ -281,9 +282,9 @@ def divided(key: int, role: int, pieces: list[Piece]) -> list[tuple[int, int, li
 
 
 def _state(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * 7
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.struct([("t", pa.string()), ("e", pa.int32()), ("s", pa.int32())]))]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "h", "g", "d", "i", "role", "pieces"])
+    cols = list(zip(*rows)) if rows else [()] * 8
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.list_(pa.struct([("t", pa.string()), ("e", pa.int32()), ("s", pa.int32())]))]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "h", "g", "d", "x", "i", "role", "pieces"])
 
 
 def _named(pieces: list[Piece]) -> list[dict]:
@@ -293,7 +294,7 @@ def _named(pieces: list[Piece]) -> list[dict]:
 def _opened(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _state([(key, h, g, d, i, role, _named(pieces)) for at, h, g, d, i, part, line in zip(*(c.to_pylist() for c in batch.columns)) for key, role, pieces in opened(rule, at, part, line)])
+            yield _state([(key, h, g, d, x, i, role, _named(pieces)) for at, h, g, d, x, i, part, line in zip(*(c.to_pylist() for c in batch.columns)) for key, role, pieces in opened(rule, at, part, line)])
 
     return run
 
@@ -301,9 +302,9 @@ def _opened(rule: Rule):
 def _divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for at, h, g, d, i, role, pieces in zip(*(c.to_pylist() for c in batch.columns)):
+        for at, h, g, d, x, i, role, pieces in zip(*(c.to_pylist() for c in batch.columns)):
             for key, own, left in divided(at, role, [(p["t"], p["e"], p["s"]) for p in pieces]) or []:
-                rows.append((key, h, g, d, i, own, _named(left)))
+                rows.append((key, h, g, d, x, i, own, _named(left)))
         yield _state(rows)
 
 
@@ -311,7 +312,7 @@ def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """With ``way``: 1 where a group's lines are all near, 2 where they must be compared as they are, else 0."""
     for batch in batches:
         way = []
-        for role, pieces in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist()):
+        for role, pieces in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist()):
             held = [(p["t"], p["e"], p["s"]) for p in pieces]
             way.append(1 if settled(held, role) else 0 if any(shorter_of(p, role) > p[1] for p in held) else 2)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(way, pa.int32())], names=[*batch.schema.names, "way"])
@@ -320,7 +321,7 @@ def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compared(rows: pd.DataFrame) -> pd.DataFrame:
     """Lines that have an earlier one in their group whose pieces are all near."""
     late = set()
-    rows = rows.sort_values(["key", "d", "i", "h", "g"], kind="stable")
+    rows = rows.sort_values(["key", "d", "x", "i", "h", "g"], kind="stable")
     items = list(zip(rows["key"].tolist(), rows["h"].tolist(), rows["g"].tolist(), rows["role"].tolist(), rows["pieces"].tolist()))
     begin = 0
     for k, (key, h, g, role, pieces) in enumerate(items):
@@ -336,7 +337,7 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def near_lines(docs: DataFrame, first: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """(h, g) of the lines that have an earlier line within the threshold; ``first`` (h, g, d, i): where each line is first.
+    """(h, g) of the lines that have an earlier line within the threshold; ``first`` (h, g, d, x, i): where each line is first.
 
     Two near lines have one of the shorter's segments in common, at most as far
     from its place as the edits beside it allow; lines are grouped by these.  A
@@ -360,21 +361,21 @@ def near_lines(docs: DataFrame, first: DataFrame, rule: Rule = RULE) -> DataFram
     parts = written(parts.distinct(), "parts")
     lines = small(parts.select("h", "g").distinct(), BROADCAST_ROWS)
     texts = docs.mapInArrow(_line_texts(rule), "h bigint, g bigint, line string").join(lines, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("line").alias("line"))
-    state = parts.join(texts, ["h", "g"]).join(first, ["h", "g"]).select("key", "h", "g", "d", "i", "part", "line").mapInArrow(_opened(rule), STATE)
+    state = parts.join(texts, ["h", "g"]).join(first, ["h", "g"]).select("key", "h", "g", "d", "x", "i", "part", "line").mapInArrow(_opened(rule), STATE)
     found = []
     for _ in range(60):
         state = written(state.distinct().mapInArrow(_kinds, f"{STATE}, way int"), "state")
-        o = F.struct("d", "i")
+        o = F.struct("d", "x", "i", "h", "g")
         sizes = state.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("h", "g")).alias("a"), F.max(F.struct("h", "g")).alias("b"), F.min("role").alias("r"), F.max("role").alias("s"), F.min(F.when(F.col("role") != LONGER, o)).alias("short"), F.min(F.when(F.col("role") != SHORTER, o)).alias("long"))
         pairs = F.col("a") != F.col("b")
         pairs &= ((F.col("r") == SAME) & (F.col("s") == SAME)) | ((F.col("r") == SHORTER) & (F.col("s") == LONGER))
         state = written(state.join(sizes.where(pairs).select("key", "n", "short", "long"), "key"), "groups")
         late = F.when(F.col("role") == SHORTER, F.col("long")).otherwise(F.col("short")) < o
         found.append(state.where(F.col("way") == 1).where(late).select("h", "g"))
-        little = state.where((F.col("way") == 2) | ((F.col("way") == 0) & (F.col("n") <= PAIRWISE))).select("key", "h", "g", "d", "i", "role", "pieces")
+        little = state.where((F.col("way") == 2) | ((F.col("way") == 0) & (F.col("n") <= PAIRWISE))).select("key", "h", "g", "d", "x", "i", "role", "pieces")
         number = max(1, little.count() // TOGETHER)
         found.append(little.groupBy(F.pmod(F.xxhash64("key"), F.lit(number)).alias("b")).applyInPandas(_compared, "h bigint, g bigint"))
-        more = state.where((F.col("way") == 0) & (F.col("n") > PAIRWISE)).select("key", "h", "g", "d", "i", "role", "pieces")
+        more = state.where((F.col("way") == 0) & (F.col("n") > PAIRWISE)).select("key", "h", "g", "d", "x", "i", "role", "pieces")
         if more.isEmpty():
             break
         state = more.mapInArrow(_divided, STATE)
@@ -386,17 +387,24 @@ def near_lines(docs: DataFrame, first: DataFrame, rule: Rule = RULE) -> DataFram
     return out.distinct()
 
 
+def _row_key(id_col: str, text_col: str) -> list:
+    """(d, x, y) of a row: its id, and its text by 128 bits."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text_col).alias("x"), F.xxhash64(F.lit(1), text_col).alias("y")]
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE) -> DataFrame:
-    """(d, gone, near): per id the numbers of the lines to remove, and how many of them are near copies only."""
+    """(d, x, y, gone, near): per id and text the numbers of the lines to remove, and how many of them are near copies only."""
     short_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    where = written(rows.mapInArrow(_occurrences, "d bigint, i int, h bigint, g bigint"), "occurrences")
-    first = where.groupBy("h", "g").agg(F.min(F.struct("d", "i")).alias("o"), F.count("*").alias("n"))
-    near = near_lines(rows.select("t"), first.select("h", "g", "o.d", "o.i"), rule)
+    rows = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("t"))
+    where = written(rows.mapInArrow(_occurrences, "d bigint, x bigint, y bigint, i int, h bigint, g bigint"), "occurrences")
+    place = F.struct("d", "x", "y", "i")
+    first = where.groupBy("h", "g").agg(F.min(place).alias("o"), F.count("*").alias("n"))
+    near = near_lines(rows.select("t"), first.select("h", "g", "o.d", "o.x", "o.i"), rule)
     marked = first.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where("n > 1 or near").select("h", "g", "o", F.coalesce("near", F.lit(False)).alias("near"))
     marked = small(written(marked, "marked"), BROADCAST_ROWS)
-    hits = where.join(marked, ["h", "g"]).where(F.col("near") | (F.struct("d", "i") != F.col("o")))
-    return hits.groupBy("d").agg(F.collect_set("i").alias("gone"), F.count_if(F.col("near") & (F.struct("d", "i") == F.col("o"))).alias("near"))
+    hits = where.join(marked, ["h", "g"]).where(F.col("near") | (place != F.col("o")))
+    alone = F.when(F.col("near") & (place == F.col("o")), F.col("i"))
+    return hits.groupBy("d", "x", "y").agg(F.collect_set("i").alias("gone"), F.count_distinct(alone).alias("near"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE) -> DataFrame:
@@ -407,14 +415,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document of smaller id, or above it.  Equal are lines
     of one hash of 128 bits.
     Blank lines part paragraphs and stay.  A null or empty text stays as it is; a document whose
-    lines all go keeps an empty text.  Rows of one id are one document in this:
-    repeated rows lose the same lines, and so do rows of a null id, which comes
-    before all others.  Texts are read whole however long; other columns are
-    carried along, whatever they are called; an empty table gives no rows.
+    lines all go keeps an empty text.  A document is a row's id and text: texts
+    that share an id, or have none, are documents of their own, in the order of
+    their hashes, a null id before all others.  Rows that repeat both are one
+    document and lose the same lines.  Texts are read whole however long; other
+    columns are carried along, whatever they are called; an empty table gives no rows.
     """
-    gone = removals(docs, id_col, text_col, rule).select(F.col("d").alias("_d"), "gone", "near")
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.struct(*docs.columns).alias("row"))
-    out = rows.join(gone, F.col("_id").eqNullSafe(F.col("_d")), "left")
+    gone = removals(docs, id_col, text_col, rule).withColumnsRenamed({"d": "_d", "x": "_x", "y": "_y"})
+    rows = docs.select(*_row_key(id_col, text_col), F.struct(*docs.columns).alias("row"))
+    out = rows.join(gone, (F.col("d") == F.col("_d")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left")
     text = F.col("row").getField(text_col)
     lines = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("gone", i)), "\n")

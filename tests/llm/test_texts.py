@@ -207,28 +207,41 @@ def test_bit_vectors():
 
 
 def check_lines(df, rule=lines.RULE):
-    docs = sorted({(d, t) for d, t in rows(df) if t})
-    place = sorted({(d, i, x.strip()) for d, t in docs for i, x in enumerate(t.split("\n")) if len(x.strip()) >= rule.least})
+    keyed = [tuple(r) for r in df.selectExpr("doc_id", "text", "xxhash64(text) x").collect()]
+    order = lambda d: -(1 << 63) if d is None else d
+    docs = {(d, t, x) for d, t, x in keyed if t}
+    place = sorted({(order(d), x, i, line.strip(), d, t) for d, t, x in docs for i, line in enumerate(t.split("\n")) if line.strip()}, key=lambda p: p[:3])
     gone, near, seen = {}, Counter(), []
-    for d, i, x in place:
-        if x in seen:
-            gone.setdefault(d, set()).add(i)
+    for *_, i, line, d, t in place:
+        if line in seen:
+            gone.setdefault((d, t), set()).add(i)
             continue
-        if any(distance(x, y) <= rule.edits(min(len(x), len(y))) for y in seen if abs(len(x) - len(y)) <= rule.most):
-            gone.setdefault(d, set()).add(i)
-            near[d] += 1
-        seen.append(x)
+        if len(line) >= rule.least and any(distance(line, y) <= rule.edits(min(len(line), len(y))) for y in seen if min(len(line), len(y)) >= rule.least and abs(len(line) - len(y)) <= rule.most):
+            gone.setdefault((d, t), set()).add(i)
+            near[d, t] += 1
+        seen.append(line)
     got = lines.dedup_lines(df, rule=rule).select("row.doc_id", "row.text", "n_removed", "n_near").collect()
-    want = [(d, t and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())), len(gone.get(d, ())), near[d]) for d, t in rows(df)]
+    want = [(d, t and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((d, t), ())), len(gone.get((d, t), ())), near[d, t]) for d, t, _ in keyed]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_lines_of_texts_that_share_an_id_or_have_none(spark):
+    """A line's number in one text says nothing of other texts of the id, and texts without an id are each their own."""
+    common = "This line stands in many of the documents here"
+    texts = [(None, f"{common}\nNobody else has these particular closing words at all"), (None, f"Another opening that nobody else has at all\n{common}"), (None, f"This line of the third document is its own and unique\n{common} \nshort"),
+             (7, f"{common}!\nSecond text of seven, a line that is only here"), (7, f"A text of seven whose first line is its own\n{common}"), (7, f"A text of seven whose first line is its own\n{common}"), (8, f"short\n{common}"), (None, None), (7, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    check_lines(df)
+    left = "\n".join(r["text"] or "" for r in lines.dedup_lines(df).select("row.text").collect())
+    assert all(x in left for _, t in texts for x in (t or "").split("\n") if common not in x)
+
+
 @pytest.mark.parametrize("name", ["edges", "clashing", "nothing"])
 def test_lines(request, name):
     check_lines(request.getfixturevalue(name))
 
 
-@pytest.mark.parametrize(("pairwise", "most"), [(64, 3), (3, 1), (2, 2)])
+@pytest.mark.parametrize(("pairwise", "most"), [(64, 1), (64, 3), (3, 1), (3, 2), (2, 2), (2, 3)])
 def test_lines_up_to_a_threshold(spark, monkeypatch, pairwise, most):
     """For several thresholds, also with groups of more lines than are compared in pairs."""
     monkeypatch.setattr(lines, "PAIRWISE", pairwise)
@@ -310,7 +323,7 @@ def test_fingerprints(docs):
     assert got == {(d, f"{prints[d]:016x}"): least[d] for d in ids}
 
 
-@pytest.mark.parametrize("levels", [2, 3, 6])
+@pytest.mark.parametrize("levels", [2, 3, 4, 6, 8])
 def test_tree_finds_every_near_pair(spark, monkeypatch, levels):
     monkeypatch.setattr(simhash, "LEVELS", ((1 << 63, levels),))
     rnd = random.Random(9)
