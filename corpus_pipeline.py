@@ -40,9 +40,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier one repeats go, exactly or within a few edits.
 
     Documents stay, if with an empty text; null and empty texts stay as they
-    are.  Ties are broken by id, then by place; rows of one id, null ones
-    included, lose the same lines.  Long texts are read whole, columns are
-    carried along whatever they are called, and an empty table stays empty.
+    are.  Ties are broken by id, null first, then by the hash of the text, then
+    by place; only rows that repeat id and text lose the same lines.  Long texts
+    are read whole, columns are carried along whatever they are called, and an
+    empty table stays empty.
     """
     return dedup_lines(docs).select("row.*")
 
