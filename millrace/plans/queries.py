@@ -13,7 +13,7 @@ from ..functions.gist import gist, shortened
 from ..functions.vector import cosine_distance, nearest
 from ..operators import changes, graph, memory, rank, views
 from ..operators.resolve import as_edges, folders, normalized, resolved
-from ..sources import tree
+from ..sources import ignore, tree
 from ..sources.store import materialized
 from ..sources.tree import guarded
 from ..streaming import watch
@@ -559,6 +559,20 @@ def scan_exclusions(spark, d):
     return guarded(_t(spark, d, "part").select("p_partkey", path.alias("path"), F.lit(1).alias("length"))).select("p_partkey", "path")
 
 
+PLACES = "'src/' || p_brand || CASE p_size % 5 WHEN 0 THEN '/keep/' WHEN 1 THEN '/log/' WHEN 2 THEN '/gen/' WHEN 3 THEN '/deep/gen/' ELSE '/tmp/x/' END || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.log' ELSE '.min.js' END"
+
+
+@query(f"""SELECT {PLACES} AS path FROM part WHERE p_size % 5 <> 4 AND p_size % 5 <> 2
+AND (p_partkey % 3 = 0 OR p_partkey % 3 = 1 AND (p_brand LIKE '%5' OR p_brand = 'Brand#11' AND p_size % 5 = 0) OR p_partkey % 3 = 2 AND p_size % 5 <> 0)""")
+def ignore_rules(spark, d):
+    """Files that rules of the root and of each brand's directory leave: deeper ones count for more, nothing comes back out of a directory that is left out."""
+    parts = _t(spark, d, "part")
+    root = ["# of the root", "*.log", "tmp/", "!src/Brand#11/keep/*.log", "src/**/keep/*.min.js", ""]
+    brands = parts.select("p_brand").distinct().select(F.concat(F.lit("src/"), "p_brand").alias("dir"), F.posexplode(F.array(F.lit("/gen"), F.when(F.col("p_brand").endswith("5"), "!*.log").otherwise("# none"), F.lit("!tmp/x/*.ts"))).alias("line", "text"))
+    top = spark.createDataFrame([("", i, x) for i, x in enumerate(root)], "dir string, line int, text string")
+    return ignore.without_ignored(parts.select(F.expr(PLACES).alias("path")), ignore.rules(top.unionByName(brands)))
+
+
 @query(f"SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN '.js' WHEN 1 THEN '.js' WHEN 2 THEN '.js' WHEN 3 THEN '.local' WHEN 4 THEN '.lock' WHEN 5 THEN '.PNG' WHEN 6 THEN '.ts' ELSE '.py' END AS ext FROM part")
 def path_extension(spark, d):
     return _t(spark, d, "part").select("p_partkey", tree.extension(F.expr(TREES)).alias("ext"))

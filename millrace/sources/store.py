@@ -9,6 +9,7 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import TABLES
 
@@ -27,6 +28,27 @@ def materialized(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hadoop(spark: SparkSession, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def read_bytes(fs, path) -> bytes:
+    stream = fs.open(path)
+    content = bytes(stream.readAllBytes())
+    stream.close()
+    return content
+
+
+#: Rows up to which a table is sent to all executors.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, which are counted first; a larger side is left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 class Store:
     """Tables as folders of Parquet; numbered pointers name the folder of each, and the highest number counts.
 

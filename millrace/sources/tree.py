@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import BINARY, EXCLUDED, GENERATED, MARKED_EXCLUDED, MAX_BYTES, PROJECT_EXCLUDED
-from .store import materialized
+from .ignore import tree_rules, without_ignored
+from .store import hadoop, materialized, read_bytes
 
 
 def glob_regex(glob: str) -> str:
@@ -75,24 +76,12 @@ _STATUS = re.compile(r"path=([^{}]*?); isDirectory=(true|false);(?: length=(\d+)
 TOGETHER = 1 << 25
 
 
-def _hadoop(spark: SparkSession, path: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def _bytes(fs, path) -> bytes:
-    stream = fs.open(path)
-    content = bytes(stream.readAllBytes())
-    stream.close()
-    return content
-
-
 def underscored(spark: SparkSession, root: str) -> tuple[list[tuple[str, int, float]], list[str]]:
     """Files (path, length, seconds) and folders whose names begin with an underscore, by patterns of every depth.
 
     Spark takes such names for its own and leaves them out of every read.
     """
-    fs, _ = _hadoop(spark, root)
+    fs, _ = hadoop(spark, root)
     java, gateway = spark.sparkContext._jvm.java, spark.sparkContext._gateway
 
     def text(found) -> str:
@@ -101,7 +90,7 @@ def underscored(spark: SparkSession, root: str) -> tuple[list[tuple[str, int, fl
         java.lang.System.arraycopy(found, 0, copy, 0, len(found))
         return java.util.Arrays.toString(copy)
 
-    path = lambda pattern: _hadoop(spark, re.sub(r"([\[\]{}*?\\])", r"\\\1", root) + pattern)[1]
+    path = lambda pattern: hadoop(spark, re.sub(r"([\[\]{}*?\\])", r"\\\1", root) + pattern)[1]
     files, folders, depth = [], [], 0
     while True:
         for name, folder, length, modified in _STATUS.findall(text(fs.globStatus(path("/*" * depth + "/_*")))):
@@ -141,8 +130,8 @@ def _read_one_by_one(spark: SparkSession, root: str, files: DataFrame) -> DataFr
         return out.unionByName(materialized(spark.createDataFrame(held, shape), "read"))
 
     for r in files.toLocalIterator():
-        fs, path = _hadoop(spark, f"{root}/{r['path']}")
-        content = _bytes(fs, path)
+        fs, path = hadoop(spark, f"{root}/{r['path']}")
+        content = read_bytes(fs, path)
         held.append((r["path"], bytearray(content), r["length"], r["modified"]))
         size += len(content)
         if size > TOGETHER:
@@ -158,14 +147,15 @@ def text_of(content: Column) -> Column:
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] = (), max_bytes: int = MAX_BYTES, paths: DataFrame | None = None) -> DataFrame:
     """(path, content, length, modified, content_hash, error) of the files under ``root`` that are to be indexed, or of those among ``paths`` (path).
 
-    Paths and sizes are filtered before any content is read, and only
+    Paths and sizes are filtered before any content is read, those that a
+    directory's ignore rules leave out are, too, and only
     directories that hold a file to be indexed are read.  ``error`` says
     whether a file isn't plain UTF-8.
     """
     files = guarded(listed(spark, root), include, excluded_globs(list(exclude), ignore_lines(spark, root)), max_bytes)
     if paths is not None:
         files = files.join(paths, "path", "left_semi")
-    files = materialized(files, "listed")
+    files = materialized(without_ignored(files, tree_rules(spark, root)), "listed")
     some = files.where("length > 0")
     hidden = F.col("path").rlike("(^|/)_[^/]*$")
     folders = [r[0] for r in some.where(~hidden).select(F.regexp_replace("path", "/?[^/]*$", "").alias("d")).distinct().collect()]  # of one tree
@@ -181,8 +171,8 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
 
 def _lines(spark: SparkSession, path: str) -> list[str]:
     """Lines of a configuration file, whatever its name begins with; none if it isn't there."""
-    fs, path = _hadoop(spark, path)
-    return _bytes(fs, path).decode("utf-8", "replace").splitlines() if fs.exists(path) else []
+    fs, path = hadoop(spark, path)
+    return read_bytes(fs, path).decode("utf-8", "replace").splitlines() if fs.exists(path) else []
 
 
 def ignore_lines(spark: SparkSession, root: str) -> list[str]:

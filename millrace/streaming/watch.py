@@ -13,6 +13,7 @@ from ..operators import changes as ch
 from ..schema import EVENTS
 from ..session import Index
 from ..sources import tree
+from ..sources.ignore import tree_rules, without_ignored
 from ..sources.store import materialized
 from ..sources.tree import extension
 
@@ -103,4 +104,5 @@ def poll(index: Index, events_folder: str, seen: DataFrame) -> DataFrame:
 def polled(index: Index) -> DataFrame:
     """(path, content_hash) of the tree's files, where the hash is of their size and time of change."""
     files = tree.guarded(tree.listed(index.spark, index.root), excludes=tree.excluded_globs(ignore_lines=tree.ignore_lines(index.spark, index.root)))
+    files = without_ignored(files, tree_rules(index.spark, index.root))
     return files.select("path", F.concat_ws("-", "length", F.unix_micros("modified")).alias("content_hash"))
