@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ from .tokens import Encoder, encoder, tokenizer_path
 HELD_OUT = 10
 #: A document is rejected above this quantile of the perplexity of held-out trusted text of its language and length.
 QUANTILE = 0.998
-#: Windows of held-out text have powers of so many tokens; a length needs so many windows for a quantile of its own.
-LENGTH_BASE, LEAST = 4, 30
+#: Windows of held-out text have powers of so many tokens.  A length needs MANY windows for a quantile of its own, and SOME for a curve fitted to them.
+LENGTH_BASE, MANY, SOME = 4, 500, 30
 #: Rows up to which a side is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_500_000
 #: Entries of a model, of 12 bytes each, up to which every worker holds it; a larger one is joined by shuffles.
@@ -184,16 +185,17 @@ def log_probabilities(tables: Tables, keys: np.ndarray, width: int) -> np.ndarra
     return value[back]
 
 
-def windows(sizes: np.ndarray, rows: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length: its exponent, and row and first token of one window of each text that is long enough.
+def windows(sizes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length: its exponent, and row and first token of all windows, side by side, of each text that is long enough.
 
-    ``sizes`` are the tokens of texts that lie one after another, ``rows`` the
-    texts asked for; which window it is follows from the hashes ``x``.
+    ``sizes`` are the tokens of texts that lie one after another, ``rows`` the texts asked for.
     """
     begins = np.cumsum(sizes) - sizes
     k, length = 1, LENGTH_BASE
     while len(rows := rows[sizes[rows] >= length]):
-        yield k, rows, begins[rows] + x[rows] % (sizes[rows] // length) * length
+        n = sizes[rows] // length
+        each = np.repeat(rows, n)
+        yield k, each, begins[each] + (np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)) * length
         k, length = k + 1, length * LENGTH_BASE
 
 
@@ -215,7 +217,7 @@ def _parts(batches: Iterator[pa.RecordBatch], e: Encoder) -> Iterator[tuple[str
 
 def _units(part: pa.RecordBatch, lang: str | None, own: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array]]]:
     """First tokens, numbers of tokens, and the columns of UNITS for the texts, and for the windows of each length."""
-    for k, rows, at in [(0, np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]), *windows(sizes, np.flatnonzero(held), part.column(1).to_numpy(zero_copy_only=False)[own])]:
+    for k, rows, at in [(0, np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]), *windows(sizes, np.flatnonzero(held))]:
         n = sizes[rows] if k == 0 else np.full(len(rows), LENGTH_BASE**k)
         take = pa.array(own[rows])
         within = at - (np.cumsum(sizes) - sizes)[rows]
@@ -322,19 +324,30 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     texts = units.where("k = 0").groupBy(F.col("id").alias("_i"), F.col("x").alias("_x"), F.col("lang").alias("_l")).agg(F.max("n").alias("tokens"), F.max("perplexity").alias("perplexity"))
     same = facts["id"].eqNullSafe(texts["_i"]) & (facts["x"] == texts["_x"]) & facts["lang"].eqNullSafe(texts["_l"])
     texts = facts.join(texts, same, "left").select("id", "x", "lang", F.coalesce("tokens", F.lit(0)).alias("tokens"), "trusted", "held_out", "perplexity")
-    return texts, units.where("k > 0").select("lang", "k", "perplexity")
+    return texts, units.where("k > 0").dropDuplicates(["id", "x", "lang", "k", "at"]).select("lang", "k", "perplexity")
 
 
 def thresholds(held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(lang, bounds): the quantile for each length k of the windows ``held`` (lang, k, perplexity) that has enough of them, and for the least."""
+    """(lang, bounds): for the lengths k of the windows ``held`` (lang, k, perplexity) the largest perplexity to keep.
+
+    Of MANY windows it is their quantile.  Of SOME it is that of the normal
+    curve with the mean and spread of their logarithms, as a quantile of few
+    is only their largest.  Lengths with fewer windows have no bound, but the
+    shortest always has its windows' quantile.  Longer texts vary less, so no bound is
+    above that of a shorter length.
+    """
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
-    by = held.groupBy("lang", "k").agg(at.alias("threshold"), F.count("*").alias("n"))
-    entry = F.when((F.col("n") >= LEAST) | (F.col("k") == 1), F.struct("k", "threshold"))
-    return by.groupBy("lang").agg(F.sort_array(F.collect_list(entry)).alias("bounds"))
+    log = F.log("perplexity")
+    fitted = F.exp(F.avg(log) + NormalDist().inv_cdf(quantile) * F.stddev_pop(log))
+    by = held.groupBy("lang", "k").agg(at.alias("own"), fitted.alias("fitted"), F.count("*").alias("n")).where((F.col("n") >= SOME) | (F.col("k") == 1))
+    entries = F.sort_array(F.collect_list(F.struct("k", "own", "fitted", "n")))
+    bound = lambda done, e: F.least(F.when((e["n"] >= MANY) | (e["k"] == 1), e["own"]).otherwise(e["fitted"]), F.try_element_at(done, F.lit(-1))["threshold"])
+    step = lambda done, e: F.array_append(done, F.struct(e["k"].alias("k"), bound(done, e).alias("threshold")))
+    return by.groupBy("lang").agg(entries.alias("e")).select("lang", F.aggregate("e", F.array().cast("array<struct<k:int,threshold:double>>"), step).alias("bounds"))
 
 
 def classified(texts: DataFrame, held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """``texts`` with threshold and keep: whether the perplexity is at most the quantile of its language for windows of its length, or of the next smaller one there is."""
+    """``texts`` with threshold and keep: whether the perplexity is at most the quantile of its language for windows of its length, or of the next smaller one that has a bound."""
     k = F.floor(F.log(F.greatest("tokens", F.lit(LENGTH_BASE))) / F.log(F.lit(float(LENGTH_BASE))) + 1e-9)
     bounds = small(written(thresholds(held, quantile), "thresholds").withColumnRenamed("lang", "_l"), BROADCAST_ROWS)
     out = texts.join(bounds, texts["lang"].eqNullSafe(bounds["_l"]), "left").drop("_l")

@@ -73,30 +73,41 @@ def corpus():
 def test_classifier_equals_a_plain_one(spark, monkeypatch, corpus, most):
     """Whether the model is held by every worker or joined by shuffles."""
     monkeypatch.setattr(quality, "MODEL_ROWS", most)
-    monkeypatch.setattr(quality, "LEAST", 3)
+    monkeypatch.setattr(quality, "MANY", 60)
+    monkeypatch.setattr(quality, "SOME", 5)
     docs, labels = corpus
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
-    out = quality.classify(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), held_out=4).collect()
+    out = quality.classified(*quality.perplexities(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), held_out=4), quantile=0.9).collect()
     e = Encoder(tokenizer_path())
     good = {i for i, q, t in labels if q == 1 and not t}
     assert {r["id"] for r in out if r["trusted"]} == good & {d[0] for d in docs}
     assert all(not r["held_out"] or r["trusted"] for r in out)
     text = {(d, lang): t for d, t, lang in docs}
-    hash_of = {(r["id"], r["lang"]): r["x"] for r in out}
     counts, checked, verdicts = {}, 0, Counter()
     for lang in {r["lang"] for r in out if r["trusted"] and not r["held_out"]}:
         counts[lang] = Counter(g for r in out if r["lang"] == lang and r["trusted"] and not r["held_out"] for g in trigrams(e, text[r["id"], lang]))
     model = {lang: plain_model(c, e.size) for lang, c in counts.items()}
-    # Every held-out text gives one window of each length.
+    # Every held-out text gives all its windows of each length.
     held = {}
     for r in out:
         if r["held_out"] and r["lang"] in model:
             g = trigrams(e, text[r["id"], r["lang"]])
             k = 1
             while 4**k <= len(g):
-                at = hash_of[r["id"], r["lang"]] % (len(g) // 4**k) * 4**k
-                held.setdefault((r["lang"], k), []).append(np.exp(-np.mean([model[r["lang"]](*x) for x in g[at : at + 4**k]])))
+                for at in range(0, len(g) - 4**k + 1, 4**k):
+                    held.setdefault((r["lang"], k), []).append(np.exp(-np.mean([model[r["lang"]](*x) for x in g[at : at + 4**k]])))
                 k += 1
+    bounds, ways = {}, Counter()
+    for (lang, k), v in sorted(held.items(), key=repr):
+        if len(v) >= 60 or k == 1:
+            own = sorted(v)[int(np.ceil(0.9 * len(v))) - 1]
+        elif len(v) >= 5:
+            own = np.exp(np.mean(np.log(v)) + 1.2815515655446004 * np.std(np.log(v)))
+        else:
+            continue
+        ways[len(v) >= 60] += 1
+        bounds[lang, k] = min(own, bounds.get((lang, k - 1), own))
+    assert ways[True] >= 3 and ways[False] >= 2, ways
     for r in out:
         g = trigrams(e, text[r["id"], r["lang"]])
         assert r["tokens"] == (len(g) if r["lang"] in model else 0) or r["tokens"] == 0 and not g
@@ -105,13 +116,11 @@ def test_classifier_equals_a_plain_one(spark, monkeypatch, corpus, most):
             continue
         want = np.exp(-np.mean([model[r["lang"]](*x) for x in g]))
         assert abs(r["perplexity"] / want - 1) < 1e-4
-        usable = [k for (lang, k), v in held.items() if lang == r["lang"] and (len(v) >= 3 or k == 1) and 4**k <= max(4, len(g))]
+        usable = [k for lang, k in bounds if lang == r["lang"] and 4**k <= max(4, len(g))]
         if not usable:
             assert r["threshold"] is None and r["keep"]
             continue
-        bound = sorted(held[r["lang"], max(usable)])
-        # The quantile of few windows is the largest.
-        assert abs(r["threshold"] / bound[-1] - 1) < 1e-4
+        assert abs(r["threshold"] / bounds[r["lang"], max(usable)] - 1) < 1e-4
         assert r["keep"] == (r["perplexity"] <= r["threshold"])
         verdicts[r["keep"], r["id"] is not None and r["id"] < 150 and r["id"] % 5 > 0] += 1
         checked += 1
