@@ -113,19 +113,33 @@ def marginals(windows: DataFrame, keys: list[str], least: int) -> DataFrame:
     """(keys, m, w12, w3, w4, a) of all phrases of m = 2 to 4 words with ``least`` occurrences, from ``windows`` (keys, w12, w3, w4, f).
 
     A phrase is the beginning of one window for each of its occurrences, so
-    ROLLUP over a window's columns sums it up.  The sums of two words are taken
-    first: a window whose first two words are too rare begins with no phrase
-    that is frequent enough, and so takes no part in the sums of longer ones.
+    sums over the beginnings of windows count it.  Two words are summed
+    first: a window then ends where two words follow each other that are too
+    rare, as no longer phrase that holds them is frequent enough.  ROLLUP sums what
+    is left of the windows up to four and to three words.
     """
+    numbers = dict(windows.dtypes)["w3"] == "int"
+    nothing = F.lit(0) if numbers else F.lit("")
     pairs = written(windows.groupBy(*keys, "w12").agg(F.sum("f").alias("a")).where(F.col("a") >= least), "pairs")
-    frequent = windows.join(small(pairs.select(*keys, "w12"), BROADCAST_ROWS), [*keys, "w12"], "left_semi")
-    nothing = F.lit(0) if dict(windows.dtypes)["w3"] == "int" else F.lit("")
-    level = F.grouping_id()
-    sums = frequent.rollup(*keys, "w12", "w3", "w4").agg(F.sum("f").alias("a"), level.alias("level"))
-    # A grouping id of 3, 1, 0: two, three and four words.  Sums that end with a pad are not of a phrase of that length.
-    whole = (F.col("level") == 3) | ((F.col("level") == 1) & (F.col("w3") != nothing)) | ((F.col("level") == 0) & (F.col("w4") != nothing))
-    m = F.when(F.col("level") == 3, 2).when(F.col("level") == 1, 3).otherwise(4)
-    return sums.where(whole & (F.col("a") >= least)).select(*keys, m.alias("m"), "w12", "w3", "w4", "a")
+    known = small(pairs.select(*keys, F.col("w12").alias("pair")), BROADCAST_ROWS).withColumn("there", F.lit(True))
+
+    def follows(df: DataFrame, first: Column, second: str, name: str) -> DataFrame:
+        """With ``name``: whether the two words are a frequent pair."""
+        pair = F.shiftleft(first.cast("long"), 32).bitwiseOR(F.col(second).cast("long")) if numbers else F.concat_ws(" ", first, second)
+        # A pad is in no pair, and needs no look.
+        return df.withColumn("pair", F.when(F.col(second) != nothing, pair)).join(known, [*keys, "pair"], "left").withColumn(name, F.coalesce("there", F.lit(False))).drop("pair", "there")
+
+    second = F.col("w12").bitwiseAND(0xFFFFFFFF) if numbers else F.element_at(F.split("w12", " "), -1)
+    longer = windows.where(F.col("w3") != nothing).join(known.select(*keys, F.col("pair").alias("w12")), [*keys, "w12"], "left_semi")
+    longer = follows(longer, second, "w3", "third").where("third")
+    longer = follows(longer, F.col("w3"), "w4", "fourth").select(*keys, "w12", "w3", F.when(F.col("fourth"), F.col("w4")).otherwise(nothing).alias("w4"), "f")
+    by = ", ".join([*keys, "w12", "w3"])
+    sums = windows.sparkSession.sql(f"SELECT {by}, w4, sum(f) AS a, grouping_id() AS level FROM {{longer}} GROUP BY {by}, ROLLUP (w4)", longer=longer)
+    # Sums that end with a pad are not of a phrase of four words.
+    whole = (F.col("level") == 1) | (F.col("w4") != nothing)
+    sums = sums.where(whole & (F.col("a") >= least)).select(*keys, F.when(F.col("level") == 1, 3).otherwise(4).alias("m"), "w12", "w3", "w4", "a")
+    none = F.lit(None).cast("int" if numbers else "string")
+    return sums.unionByName(pairs.select(*keys, F.lit(2).alias("m"), "w12", none.alias("w3"), none.alias("w4"), "a"))
 
 
 def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, numbered: int = NUMBERED) -> tuple[DataFrame, DataFrame]:
