@@ -30,6 +30,9 @@ ENTRIES = ["index", "__init__", "mod", "lib", "main"]
 PACK_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".py", ".rs", ".go", ".java", ".kt", ".cpp", ".h", ".cs"]
 WATCHED_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs", ".java", ".rb", ".c", ".cpp", ".php", ".cs", ".swift", ".lua"]
 
+#: Languages whose symbols are looked for in full even where patterns have found some.
+FORCED_DEEP = [".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs", ".rb", ".c", ".cpp", ".h", ".hpp", ".java", ".cs", ".php", ".swift", ".kt", ".scala", ".lua", ".dart", ".ex", ".zig"]
+
 #: Words of a task that say nothing about where to look.
 STOP_WORDS = ["implement", "create", "update", "delete", "change", "fix", "add", "remove", "the", "and", "for", "with", "from", "this", "that", "should", "would", "could", "want", "need", "task", "description", "issue", "bug", "feature"]
 

@@ -1,57 +1,89 @@
-"""Imports and symbols of source files, by tables of patterns."""
+"""Imports and symbols of source files, by tables of patterns and by the lexer."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import FORCED_DEEP
 from ..sources.tree import extension
+from .lexer import declarations
 
 Q, NQ = "[\"'`]", "[^\"'`]"
+#: What must stand somewhere behind a pattern's beginning for it to match at all.
+_ENDS: dict[re.Pattern, re.Pattern | str] = {}
 
 
-def _p(pattern: str, flags: int = 0) -> re.Pattern:
-    return re.compile(pattern, re.M | re.A | flags)
+def _p(pattern: str, flags: int = 0, ends: str | re.Pattern = "") -> re.Pattern:
+    """A pattern; it matches only before the last of the characters ``ends``, or before the last match of that pattern.
+
+    Where a pattern runs on until its end, each beginning without one would be
+    followed to the end of the text, and the time would grow with the square of its length.
+    """
+    out = re.compile(pattern, re.M | re.A | flags)
+    if ends:
+        _ENDS[out] = ends
+    return out
+
+
+def _matches(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    ends = _ENDS.get(pattern)
+    stop = len(text)
+    if isinstance(ends, str):
+        stop = 1 + max(text.rfind(c) for c in ends)
+    elif ends is not None:
+        last = deque(ends.finditer(text), 1)
+        stop = last[0].end() if last else 0
+    yield from pattern.finditer(text, 0, stop)
+    if pattern in _SHORTER:
+        yield from _SHORTER[pattern].finditer(text, stop)
 
 
 def _quoted(before: str, after: str = "") -> re.Pattern:
     return _p(f"{before}{Q}({NQ}+){Q}{after}")
 
 
+_FROM, _BRACE_FROM = _quoted(r"\bfrom\s*"), _quoted(r"\}\s+from\s*")
+_EXPORT = _p(rf"\bexport\s+(type\s+)?(?:\*|\{{[\s\S]*?\}})\s+from\s*{Q}({NQ}+){Q}", ends=_BRACE_FROM)
+#: What a pattern still matches behind its last end.
+_SHORTER = {_EXPORT: _p(rf"\bexport\s+(type\s+)?\*\s+from\s*{Q}({NQ}+){Q}")}
 #: A pattern for each way to write an import, with the kind of its one group.
 SCRIPT = [
-    ("type", _p(rf"\bimport\s+type\b[\s\S]*?\bfrom\s*{Q}({NQ}+){Q}")),
-    ("value", _p(rf"\bimport\s+(?!type\b)[\s\S]*?\bfrom\s*{Q}({NQ}+){Q}")),
+    ("type", _p(rf"\bimport\s+type\b[\s\S]*?\bfrom\s*{Q}({NQ}+){Q}", ends=_FROM)),
+    ("value", _p(rf"\bimport\s+(?!type\b)[\s\S]*?\bfrom\s*{Q}({NQ}+){Q}", ends=_FROM)),
     ("value", _quoted(r"\bimport\s*")),
-    ("type", _quoted(r"\bexport\s+type\s+(?:\*|\{[\s\S]*?\})\s+from\s*")),
-    ("value", _quoted(r"\bexport\s+(?:\*|\{[\s\S]*?\})\s+from\s*")),
+    ("export", _EXPORT),
     ("value", _p(rf"(?:^|[^\w])import\(\s*{Q}([^\"'`$]+){Q}\s*\)")),
-    ("template", _p(r"(?:^|[^\w])import\(\s*`([^`$]*(?:\$\{[^}]+\}[^`$]*)+)`\s*\)")),
+    ("template", _p(r"(?:^|[^\w])import\(\s*`([^`$]*(?:\$\{[^}`]+\}[^`$]*)+)`\s*\)")),
     ("value", _p(rf"(?:^|[^\w])require\(\s*{Q}([^\"'`$]+){Q}\s*\)")),
 ]
+#: A line's beginning; no more than its own blanks, as a run of empty lines would be gone over once for each.
+_L = r"^[^\S\n]*"
 PATTERNS: dict[str, list[tuple[str, re.Pattern]]] = {
     **dict.fromkeys((".ts", ".tsx", ".js", ".jsx", ".vue", ".svelte"), SCRIPT),
-    ".py": [("modules", _p(r"^\s*import\s+([^\n#]+)")), ("names", _p(r"^\s*from\s+(\S+\s+import\s+[^\n#]+)"))],
-    ".go": [("value", _quoted(r"^\s*import\s+(?:[\w.]+\s+)?")), ("block", _p(r"^\s*import\s*\(([\s\S]*?)\)"))],
-    ".rs": [("value", _p(r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);"))],
-    **dict.fromkeys((".java", ".kt", ".scala"), [("value", _p(r"^\s*import\s+(?:static\s+)?([^;\n]+);?"))]),
+    ".py": [("modules", _p(_L + r"import\s+([^\n#]+)")), ("names", _p(_L + r"from\s+(\S+\s+import\s+[^\n#]+)"))],
+    ".go": [("value", _quoted(_L + r"import\s+(?:[\w.]+\s+)?")), ("block", _p(_L + r"import\s*\(([\s\S]*?)\)", ends=")"))],
+    ".rs": [("value", _p(_L + r"(?:pub(?:\([^)\n]*\))?\s+)?use\s+([^;]+);", ends=";"))],
+    **dict.fromkeys((".java", ".kt", ".scala"), [("value", _p(_L + r"import\s+(?:static\s+)?([^;\n]+);?"))]),
     ".rb": [("value", _quoted(r"\brequire_relative\s+")), ("value", _quoted(r"\brequire\s+(?:\(\s*)?"))],
-    ".php": [("uses", _p(r"^\s*use\s+([^;]+);"))],
-    **dict.fromkeys((".c", ".cpp", ".m"), [("value", _p(r'^\s*#(?:include|import)\s*[<"]([^>"]+)[>"]'))]),
-    ".cs": [("value", _p(r"^\s*using\s+([^;]+);"))],
-    ".swift": [("value", _p(r"^\s*import\s+([A-Za-z_][\w.]*)"))],
+    ".php": [("uses", _p(_L + r"use\s+([^;]+);", ends=";"))],
+    **dict.fromkeys((".c", ".cpp", ".m"), [("value", _p(_L + r'#(?:include|import)\s*[<"]([^>"]+)[>"]', ends='>"'))]),
+    ".cs": [("value", _p(_L + r"using\s+([^;]+);", ends=";"))],
+    ".swift": [("value", _p(_L + r"import\s+([A-Za-z_][\w.]*)"))],
     ".lua": [("value", _quoted(r"\brequire\s*\(\s*", r"\s*\)")), ("value", _quoted(r"\brequire\s+"))],
     ".dart": [("value", _quoted(r"\bimport\s+"))],
-    ".ex": [("value", _p(r"^\s*(?:alias|import|use)\s+([A-Za-z_][\w.]*)"))],
+    ".ex": [("value", _p(_L + r"(?:alias|import|use)\s+([A-Za-z_][\w.]*)"))],
     ".zig": [("value", _quoted(r"@import\(\s*", r"\s*\)"))],
-    ".sh": [("value", _p(r"^\s*(?:source|\.)\s+([^\s#;]+)"))],
-    ".ps1": [("value", _p(r"^\s*\.\s+([^\s#;]+)")), ("value", _p(r"^\s*Import-Module\s+([^\s#;]+)", re.I))],
-    ".jl": [("value", _quoted(r"\binclude\(\s*", r"\s*\)")), ("value", _p(r"^\s*(?:using|import)\s+([^\n]+)"))],
-    **dict.fromkeys((".v", ".sv"), [("value", _quoted(r"^\s*`include\s+"))]),
+    ".sh": [("value", _p(_L + r"(?:source|\.)\s+([^\s#;]+)"))],
+    ".ps1": [("value", _p(_L + r"\.\s+([^\s#;]+)")), ("value", _p(_L + r"Import-Module\s+([^\s#;]+)", re.I))],
+    ".jl": [("value", _quoted(r"\binclude\(\s*", r"\s*\)")), ("value", _p(_L + r"(?:using|import)\s+([^\n]+)"))],
+    **dict.fromkeys((".v", ".sv"), [("value", _quoted(_L + r"`include\s+"))]),
     ".html": [],
 }
 #: A constant string, and a hole for one in a template.
@@ -60,38 +92,14 @@ _HOLE = _p(r"\$\{\s*([A-Za-z_$][\w$]*)\s*\}")
 _AS = re.compile(r"\s+as\s+", re.I)
 
 NAME = r"([A-Za-z_$][\w$]*)"
-#: A pattern for each kind of symbol.
+#: A pattern for each kind of symbol; of those that hold brackets what comes before and after these.
 _SCRIPT_SYMBOLS = [
-    ("function", _p(rf"\bfunction\s+{NAME}\s*\(")),
-    ("class", _p(rf"\bclass\s+{NAME}\b")),
-    ("method", _p(rf"\n\s*{NAME}\s*\([^)]*\)\s*\{{")),
-    ("variable", _p(rf"\b(?:const|let|var)\s+{NAME}\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>")),
+    ("function", _p(rf"\bfunction\s+{NAME}\s*\("), None),
+    ("class", _p(rf"\bclass\s+{NAME}\b"), None),
+    ("method", _p(rf"\n[^\S\n]*{NAME}\s*\("), _p(r"\s*\{")),
+    ("variable", _p(rf"\b(?:const|let|var)\s+{NAME}\s*=\s*(?:async\s*)?(?:(\()|[A-Za-z_$][\w$]*\s*=>)"), _p(r"\s*=>")),
 ]
-#: Approximations by line for languages that a grammar would parse.
-SYMBOLS: dict[str, list[tuple[str, re.Pattern]]] = {
-    **dict.fromkeys((".ts", ".tsx", ".js", ".jsx"), _SCRIPT_SYMBOLS),
-    ".py": [("function", _p(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)")), ("class", _p(r"^[ \t]*class[ \t]+(\w+)"))],
-    ".rs": [("function", _p(r"\bfn[ \t]+(\w+)")), ("struct", _p(r"\bstruct[ \t]+(\w+)")), ("class", _p(r"\benum[ \t]+(\w+)")), ("interface", _p(r"\btrait[ \t]+(\w+)"))],
-    ".go": [("function", _p(r"^func[ \t]+(\w+)")), ("method", _p(r"^func[ \t]*\([^)]*\)[ \t]*(\w+)")), ("class", _p(r"^type[ \t]+(\w+)"))],
-    ".java": [("class", _p(r"\b(?:class|enum|record)[ \t]+(\w+)")), ("interface", _p(r"\binterface[ \t]+(\w+)")), ("method", _p(r"^[ \t]+(?:[\w<>\[\],]+[ \t]+)+(\w+)[ \t]*\([^;{]*\)[^;{]*\{"))],
-    ".rb": [("method", _p(r"^[ \t]*def[ \t]+(?:self\.)?(\w+[?!]?)")), ("class", _p(r"^[ \t]*class[ \t]+(\w+)")), ("module", _p(r"^[ \t]*module[ \t]+(\w+)"))],
-    ".php": [("function", _p(r"^function[ \t]+(\w+)")), ("method", _p(r"^[ \t]+(?:\w+[ \t]+)*function[ \t]+(\w+)")), ("class", _p(r"\bclass[ \t]+(\w+)"))],
-    ".c": [("function", _p(r"^[A-Za-z_][\w \t*]*?[ \t*](\w+)[ \t]*\([^;{]*\)\s*\{")), ("struct", _p(r"\bstruct[ \t]+(\w+)\s*\{"))],
-    ".cpp": [("function", _p(r"^[A-Za-z_][\w \t*&:<>]*?[ \t*&:](\w+)[ \t]*\([^;{]*\)[^;{]*\{")), ("class", _p(r"\bclass[ \t]+(\w+)")), ("struct", _p(r"\bstruct[ \t]+(\w+)\s*\{"))],
-    ".cs": [("class", _p(r"\bclass[ \t]+(\w+)")), ("interface", _p(r"\binterface[ \t]+(\w+)")), ("method", _p(r"^[ \t]+(?:[\w<>\[\],]+[ \t]+)+(\w+)[ \t]*\([^;{]*\)\s*\{"))],
-    ".swift": [("function", _p(r"\bfunc[ \t]+(\w+)")), ("class", _p(r"\b(?:class|struct|enum)[ \t]+(\w+)")), ("interface", _p(r"\bprotocol[ \t]+(\w+)"))],
-    ".kt": [("function", _p(r"\bfun[ \t]+(?:<[^>]*>[ \t]*)?(\w+)")), ("class", _p(r"\b(?:class|object|interface)[ \t]+(\w+)"))],
-    ".scala": [("function", _p(r"\bdef[ \t]+(\w+)")), ("class", _p(r"\bclass[ \t]+(\w+)")), ("module", _p(r"\bobject[ \t]+(\w+)")), ("interface", _p(r"\btrait[ \t]+(\w+)"))],
-    ".lua": [("function", _p(r"\bfunction[ \t]+([\w.:]+)"))],
-    ".dart": [("class", _p(r"\bclass[ \t]+(\w+)")), ("function", _p(r"^[A-Za-z_][\w<>?]*[ \t]+(\w+)[ \t]*\([^;]*\)\s*(?:async\s*)?\{"))],
-    ".ex": [("module", _p(r"\bdefmodule[ \t]+([\w.]+)")), ("function", _p(r"^[ \t]*defp?[ \t]+(\w+[?!]?)"))],
-    ".zig": [("function", _p(r"\bfn[ \t]+(\w+)"))],
-    ".sh": [("function", _p(r"^[ \t]*(?:function[ \t]+)?(\w+)[ \t]*\(\)"))],
-    ".ps1": [("function", _p(r"^[ \t]*function[ \t]+([\w-]+)", re.I))],
-    ".m": [("method", _p(r"^[-+][ \t]*\([^)]*\)[ \t]*(\w+)"))],
-    ".jl": [("function", _p(r"^[ \t]*function[ \t]+(\w+)"))],
-    **dict.fromkeys((".v", ".sv"), [("class", _p(r"^[ \t]*module[ \t]+(\w+)"))]),
-}
+SCRIPTS = (".ts", ".tsx", ".js", ".jsx")
 _CONTROL = {"if", "for", "while", "switch", "catch", "function", "return"}
 
 
@@ -114,9 +122,11 @@ def _raw(ext: str, text: str, parity: bool) -> Iterable[tuple[str, str, bool]]:
     """(written form, value or type, dynamic) of each import, in the order of the patterns."""
     constants = {m[1]: m[3] for m in _CONSTANT.finditer(text)} if PATTERNS[ext] is SCRIPT else {}
     for kind, pattern in PATTERNS[ext]:
-        for m in pattern.finditer(text):
+        for m in _matches(pattern, text):
             got = m[1]
-            if kind in ("value", "type"):
+            if kind == "export":
+                yield m[2], "type" if got else "value", False
+            elif kind in ("value", "type"):
                 yield got, kind, False
             elif kind == "template":
                 if all(h[1] in constants for h in _HOLE.finditer(got)) and not re.sub(_HOLE, "", got).count("${"):
@@ -153,63 +163,93 @@ def imports_of(ext: str, text: str, parity: bool = False) -> list[tuple[str, str
     return [(s, *e) for s, e in found.items()]
 
 
-#: Extensions whose symbols are also looked for in the comment above them.
-DOCUMENTED = [e for e in SYMBOLS if e not in (".ts", ".tsx", ".js", ".jsx")]
-_LINE_COMMENT = re.compile(r"\s*(//|#(?!\[|include|import|define|if|end|pragma)|--)")
+#: What is taken off the ends of a comment where known quirks are kept.
+_PARITY_MARKS = (re.compile(r"^(/\*\*?|//|\*)\s*"), re.compile(r"\*/$"))
+
 
+def _with_brackets(head: re.Pattern, tail: re.Pattern, text: str) -> Iterator[re.Match]:
+    """Matches of ``head``, an opening bracket at its end if its last group says so, up to the next closing one, and ``tail``.
 
-def docstring(lines: list[str], line: int) -> str | None:
-    """The comment that stands above a line, blank lines aside, without its marks: the last one of several of one line each."""
-    at = line - 2
-    while at >= 0 and not lines[at].strip():
-        at -= 1
-    if at < 0:
-        return None
-    text = lines[at].strip()
-    if text.endswith("*/"):
-        first = at
-        while first > 0 and "/*" not in lines[first]:
-            first -= 1
-        text = "\n".join(lines[first : at + 1]).strip()
-        if not text.startswith("/*"):
-            return None
-    elif not _LINE_COMMENT.match(text):
-        return None
-    return re.sub(r"\*/$", "", re.sub(r"^(/\*\*?|//|\*)\s*", "", text)).strip()
+    The next closing bracket, and whether ``tail`` follows it, is looked up
+    once for all heads before it.
+    """
+    pos, close, after = 0, -1, None
+    while m := head.search(text, pos):
+        if head.groups > 1 and m[2] is None:
+            yield m
+            pos = m.end()
+            continue
+        if close < m.end():
+            close = text.find(")", m.end())
+            if close < 0:
+                close = len(text)
+            after = tail.match(text, close + 1)
+        if after:
+            yield m
+        pos = after.end() if after else m.start() + 1
 
 
 def symbols_of(ext: str, text: str, parity: bool = False) -> list[tuple[str, str, int]]:
-    """(name, type, line) of a file, each once."""
+    """(name, type, line) of a script by patterns, each once; of other languages by the lexer."""
+    if ext not in SCRIPTS:
+        return [(x.name, x.type, x.line) for x in declarations(ext, text)]
     found: dict[tuple[str, str, int], None] = {}
-    for kind, pattern in SYMBOLS.get(ext, ()):
-        for m in pattern.finditer(text):
+    starts = [m.end() for m in re.finditer("\n", text)]
+    for kind, head, tail in _SCRIPT_SYMBOLS:
+        for m in head.finditer(text) if tail is None else _with_brackets(head, tail, text):
             if parity or not (kind == "method" and m[1] in _CONTROL):
-                found[m[1], kind, text.count("\n", 0, m.start(1) if kind == "method" else m.start()) + 1] = None
+                found[m[1], kind, bisect_right(starts, m.start(1) if kind == "method" else m.start()) + 1] = None
     return list(found)
 
 
+def _parity_docstring(comment: str | None) -> str | None:
+    return comment and _PARITY_MARKS[1].sub("", _PARITY_MARKS[0].sub("", comment)).strip()
+
+
+def all_symbols(ext: str, text: str, imported: bool, parity: bool = False, deep: bool = False) -> list[tuple]:
+    """(name, type, line, docstring, end line, scope) of a file.
+
+    Scripts have the symbols of their patterns first, then, if ``deep``, those names that only the
+    lexer finds, unless both symbols and imports were found and the language need not be gone through
+    twice.  What the lexer knows of a symbol's end and scope holds for both.
+    """
+    lexed = declarations(ext, text, raw_comments=parity)
+    doc = _parity_docstring if parity else lambda x: x
+    whole = [(x.name, x.type, x.line, doc(x.docstring), x.end_line, x.scope) for x in lexed]
+    if ext not in SCRIPTS:
+        return whole
+    at = {(x.name, x.line): x for x in reversed(lexed)}
+    out = []
+    for name, kind, line in symbols_of(ext, text, parity):
+        x = at.get((name, line))
+        out.append((name, kind, line, None, x.end_line if x else line, x.scope if x else None))
+    if deep and not (out and imported and ext not in FORCED_DEEP):
+        names = {x[0] for x in out}
+        out += list({x[0]: x for x in reversed(whole) if x[0] not in names}.values())[::-1]
+    return out
+
+
 Extractor = Callable[[str, str], tuple[list[tuple[str, str, int, str | None]], list[tuple[str, str, bool]]] | None]
 
 
-def extracted(files: DataFrame, parity: bool = False, extractor: Extractor | None = None) -> DataFrame:
+def extracted(files: DataFrame, parity: bool = False, extractor: Extractor | None = None, deep: bool = False) -> DataFrame:
     """(path, ext, imports, symbols, error) of ``files`` (path, content); one broken file does not stop the others.
 
-    ``extractor(ext, text)`` is a second pass, as by a grammar: its symbols
+    ``extractor(ext, text)`` is a pass more, as by a grammar: its symbols
     (name, type, line, docstring) and imports (source, type, dynamic) come after
-    those of the patterns, and only names and sources that are new.  None
-    stands for a language it doesn't know.
+    those of the patterns and of the lexer, and only names and sources that are new.  None
+    stands for a language it doesn't know.  The time is linear in a file's length.
     """
 
     def parsed(ext: str, text: str) -> tuple[list[dict], list[dict]]:
-        lines = text.split("\n") if ext in DOCUMENTED else []
-        symbols = [(n, t, at, docstring(lines, at) if lines else None) for n, t, at in symbols_of(ext, text, parity)]
         imports = imports_of(ext, text, parity)
+        symbols = all_symbols(ext, text, bool(imports), parity, deep)
         more = extractor(ext, text) if extractor else None
         if more is not None:
             names, sources = {x[0] for x in symbols}, {x[0] for x in imports}
-            symbols += list({x[0]: x for x in reversed(more[0]) if x[0] not in names}.values())[::-1]
+            symbols += [(*x, x[2], None) for x in list({x[0]: x for x in reversed(more[0]) if x[0] not in names}.values())[::-1]]
             imports += list({x[0]: x for x in reversed(more[1]) if x[0] not in sources}.values())[::-1]
-        return [dict(zip(("source", "type", "dynamic"), x), pos=i) for i, x in enumerate(imports)], [dict(zip(("name", "type", "line", "docstring"), x), pos=i) for i, x in enumerate(symbols)]
+        return [dict(zip(("source", "type", "dynamic"), x), pos=i) for i, x in enumerate(imports)], [dict(zip(("name", "type", "line", "docstring", "end", "scope"), x), pos=i) for i, x in enumerate(symbols)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -221,5 +261,5 @@ def extracted(files: DataFrame, parity: bool = False, extractor: Extractor | Non
                     rows.append((path, ext, [], [], str(e)[:500]))
             yield pd.DataFrame(rows, columns=["path", "ext", "imports", "symbols", "error"])
 
-    shape = "path string, ext string, imports array<struct<pos:int,source:string,type:string,dynamic:boolean>>, symbols array<struct<pos:int,name:string,type:string,line:int,docstring:string>>, error string"
+    shape = "path string, ext string, imports array<struct<pos:int,source:string,type:string,dynamic:boolean>>, symbols array<struct<pos:int,name:string,type:string,line:int,docstring:string,end:int,scope:string>>, error string"
     return files.select("path", extension(F.col("path")).alias("ext"), "content").mapInPandas(run, shape)

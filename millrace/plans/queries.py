@@ -152,6 +152,32 @@ def extract_each_language(spark, d):
     return extracted(files).select("path", F.explode("imports.source").alias("source"))
 
 
+#: For each extension a commented declaration of u{} over lines 2 to the number given, with a false one in a string or a comment, and its type.
+DECLARATIONS = [
+    (".ts", "// About it\nexport function u{}(a = ')') {{\n  return 'class No {{'\n}}\n", "function", 4), (".tsx", "// About it\nexport function u{}(a = 1) {{\n  return `class No {{`\n}}\n", "function", 4), (".js", "/* About it */\nclass u{} {{\n  // function no() {{}}\n}}", "class", 4), (".jsx", "/* About it */\nclass u{} {{\n  /* class No {{ */\n}}", "class", 4),
+    (".vue", "<template>class No</template>\n<script>const u{} = async (a) => {{\n  return `let no = 1`\n}}</script>", "variable", 4), (".svelte", "<script lang='ts'>\nlet u{} = 1\n// const no = 2\n</script>", "variable", 2), (".py", '# About it\ndef u{}(a):\n    """def no(): pass"""\n    return a\nx = 1', "function", 4), (".rs", "/// About it\npub fn u{}<'a>(x: &'a str) {{\n    // fn no() {{\n}}", "function", 4),
+    (".go", "// About it\nfunc u{}(a int) int {{\n\treturn `func No() {{`\n}}", "function", 4), (".java", '/** About it */\npublic class u{} {{\n  String s = "class No {{";\n}}', "class", 4), (".kt", "// About it\nfun u{}(a: Int) {{\n  /* fun no() /* nested */ class No */\n}}", "function", 4), (".scala", "// About it\nobject u{} {{\n  // def no = 1\n}}", "module", 4),
+    (".rb", "# About it\ndef u{}(a)\n  'def no' if a\nend", "method", 4), (".php", '// About it\nfunction u{}($a) {{\n  return "class No {{";\n}}', "function", 4), (".c", '/* About it */\nstatic int u{}(int a) {{\n  return sizeof("int no() {{");\n}}', "function", 4), (".cpp", "// About it\nstruct u{} : Base {{\n  int x; // class No {{\n}};", "struct", 4),
+    (".m", "// About it\n- (void) u{} {{\n  // - (int) no {{\n}}", "method", 4), (".cs", "// About it\ninterface u{} {{\n  // class No {{\n}}", "interface", 4), (".swift", '// About it\nfunc u{}(_ a: Int) -> Int {{\n  return "func no() {{".count\n}}', "function", 4), (".lua", "-- About it\nfunction u{}(a)\n  if a then return 'function no()' end\nend", "function", 4),
+    (".dart", "// About it\nclass u{} {{\n  var s = 'class No {{';\n}}", "class", 4), (".ex", '# About it\ndefmodule u{} do\n  @x "def no do"\nend', "module", 4), (".zig", "// About it\npub fn u{}(a: i32) void {{\n  // fn no() void {{\n}}", "function", 4), (".sh", "# About it\nu{}() {{\n  echo 'no() {{' # no2() {{\n}}", "function", 4),
+    (".ps1", "# About it\nfunction u{} {{\n  <# function no {{ #>\n}}", "function", 4), (".jl", '# About it\nfunction u{}(a)\n  "function no()"\nend', "function", 4), (".v", "// About it\nmodule u{} (input a);\n  // module no;\nendmodule", "class", 4), (".sv", "/* About it */\ninterface u{} (input a);\n  /* class no; */\nendinterface", "class", 4),
+]
+_DECLARING = ", ".join(f"'{ext}'" for ext, *_ in DECLARATIONS)
+_DECLARED_TYPES = ", ".join(f"'{kind}'" for _, _, kind, _ in DECLARATIONS)
+_DECLARED_ENDS = ", ".join(str(end) for *_, end in DECLARATIONS)
+
+
+@query(f"""SELECT 'f' || p_partkey || ext AS path, 'u' || p_size AS name, ([{_DECLARED_TYPES}])[i] AS type, 2 AS line, ([{_DECLARED_ENDS}])[i] AS end_line, CASE WHEN ext IN ('.ts', '.tsx', '.js', '.jsx', '.vue', '.svelte') THEN NULL ELSE 'About it' END AS docstring
+FROM (SELECT *, ([{_DECLARING}])[i] AS ext FROM (SELECT p_partkey, p_size, p_partkey % {len(DECLARATIONS)} + 1 AS i FROM part))""")
+def symbols_each_language(spark, d):
+    """Every part as a source file of one of the languages: what it declares, from where to where, and the comment above; patterns, which scripts go by first, take no comments."""
+    of = lambda items: F.element_at(F.array(*map(F.lit, items)), (F.col("p_partkey") % len(DECLARATIONS) + 1).cast("int"))
+    path = F.concat(F.lit("f"), "p_partkey", of([ext for ext, *_ in DECLARATIONS]))
+    text = F.replace(of([text.format("{}") for _, text, *_ in DECLARATIONS]), F.lit("u{}"), F.concat(F.lit("u"), "p_size"))
+    files = _t(spark, d, "part").select(path.alias("path"), text.alias("content"))
+    return extracted(files).select("path", F.explode("symbols").alias("s")).where("s.name like 'u%'").select("path", "s.name", "s.type", "s.line", F.col("s.end").alias("end_line"), "s.docstring")
+
+
 @query("""WITH f AS (SELECT p_partkey, replace(p_name, ' ', '/') || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '.ts' WHEN 2 THEN '.py' ELSE '/index.ts' END AS path FROM part),
 w AS (SELECT DISTINCT replace(p_name, ' ', '/') AS base, p_size FROM part),
 h AS (SELECT base, p_size, path, CASE WHEN path = base THEN 0 WHEN path = base || '.ts' THEN 6 WHEN path = base || '/index.ts' THEN 7 ELSE 30 END AS way FROM w JOIN (SELECT DISTINCT path FROM f) ON path IN (base, base || '.ts', base || '.py', base || '/index.ts'))

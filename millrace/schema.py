@@ -1,7 +1,7 @@
 """Schemas of the stored tables."""
 
 FILES = "path string, content_hash string, summary string, stale boolean, last_indexed timestamp, embedding array<float>, error string"
-SYMBOLS = "path string, name string, type string, start_line int, end_line int, docstring string"
+SYMBOLS = "path string, name string, type string, start_line int, end_line int, docstring string, scope string"
 IMPORTS = "path string, ext string, pos int, source string, type string, dynamic boolean"
 #: What imports may mean: candidates of each by rank, as paths of files or folders.
 CANDIDATES = "src string, ext string, source string, relation string, part int, rank int, key string, folder boolean"

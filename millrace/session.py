@@ -68,13 +68,13 @@ class Index:
             gone = gone.limit(0)
         tell(30, f"Parsing {work.count()} files")
         texts = scanned.join(work, "path", "left_semi")
-        parsed = materialized(extracted(texts, self.parity, self.extractor), "parsed")
+        parsed = materialized(extracted(texts, self.parity, self.extractor, deep=True), "parsed")
         fresh = parsed.join(scanned.select("path", "content_hash", F.col("error").alias("unread")), "path")
         fresh = fresh.select("path", "content_hash", gist(F.col("symbols"), F.col("imports")).alias("summary"), F.col("error").isNotNull().alias("stale"), F.current_timestamp().alias("last_indexed"), F.coalesce("error", "unread").alias("error"))
         fresh = embedded(fresh, "summary", self.embedder)
         touched = work.union(gone)
         files = materialized(ch.replaced(stored, touched, fresh), "files")
-        symbols = parsed.select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.type", F.col("s.line").alias("start_line"), F.col("s.line").alias("end_line"), "s.docstring")
+        symbols = parsed.select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.type", F.col("s.line").alias("start_line"), F.col("s.end").alias("end_line"), "s.docstring", "s.scope")
         imports = parsed.select("path", "ext", F.explode("imports").alias("i")).select("path", "ext", "i.pos", "i.source", "i.type", "i.dynamic")
         imports = materialized(ch.replaced(self.table("imports"), touched, imports), "imports")
         tell(70, "Resolving imports")

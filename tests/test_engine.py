@@ -151,7 +151,7 @@ def test_import_merge():
 def test_symbols():
     got = symbols_of(".ts", "export function f() {}\nclass C {\n  m(a) {\n    if (a) {\n}}}\nconst g = async (x) => x\n")
     assert got == [("f", "function", 1), ("C", "class", 2), ("m", "method", 3), ("g", "variable", 6)]
-    assert symbols_of(".py", "class A:\n  def f(self): pass\n") == [("f", "function", 2), ("A", "class", 1)]
+    assert symbols_of(".py", "class A:\n  def f(self): pass\n") == [("A", "class", 1), ("f", "function", 2)]
 
 
 def test_docstrings_and_a_second_extractor(spark):
@@ -162,13 +162,15 @@ def test_docstrings_and_a_second_extractor(spark):
         return ([("f", "function", 1, "again"), ("Comp", "class", 1, "A component")], [("./b", "value", False), ("./new", "type", False)]) if ext == ".vue" else None
 
     got = {r["path"]: r for r in extracted(df, extractor=grammar).collect()}
-    assert [(s["name"], s["docstring"]) for s in got["a.py"]["symbols"]] == [("add", "# Adds two numbers, and says so at some length that is more than fifty characters"), ("sub", "Block\n * more"), ("bare", None)]
+    assert [(s["name"], s["docstring"]) for s in got["a.py"]["symbols"]] == [("add", "Adds two numbers, and says so at some length that is more than fifty characters"), ("sub", None), ("bare", None)]
     assert [(s["name"], s["docstring"]) for s in got["b.ts"]["symbols"]] == [("f", None)]
     assert [s["name"] for s in got["c.vue"]["symbols"]] == ["f", "Comp"] and [i["source"] for i in got["c.vue"]["imports"]] == ["./b", "./new"]
     from millrace.functions.gist import gist
 
+    kept = extracted(df, parity=True).where("path = 'a.py'").first()["symbols"]
+    assert kept[0]["docstring"].startswith("# Adds two")
     summary = extracted(df, extractor=grammar).where("path = 'a.py'").select(gist(F.col("symbols"), F.col("imports"))).first()[0]
-    assert summary == "Key logic: add (# Adds two numbers, and says so at some length tha), sub (Block), bare."
+    assert summary == "Key logic: add (Adds two numbers, and says so at some length that ), sub, bare."
 
 
 def test_fixture_sets(spark):
