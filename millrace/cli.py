@@ -19,7 +19,7 @@ from .operators.views import match_percent, shown
 from .session import Index
 from .sources.store import materialized
 from .sources.tree import default_excludes
-from .streaming.watch import poll, polled, start
+from .streaming.watch import drained, poll, polled, start
 
 
 def workspace_root(folder: str) -> str:
@@ -131,17 +131,19 @@ def told(diff: DataFrame, dependents: DataFrame) -> None:
 
 
 def follow(index: Index, every: float, rounds: int | None) -> None:
-    """Looks at the tree again and again, and keeps the tables fresh by the stream of what changed."""
+    """Looks at the tree again and again, and keeps the tables fresh by the stream of what changed, once a file has come to rest."""
     folder = f"{index.root}/.millrace/events-{uuid.uuid4().hex}"
     seen = materialized(polled(index), "polled")
     Path(folder).mkdir(parents=True)
-    query = None
-    while rounds is None or rounds > 0:
-        time.sleep(every)
-        seen = poll(index, folder, seen)
-        query = start(index, folder, f"{folder}-checkpoint", told, once=True)
-        query.awaitTermination()
-        rounds = None if rounds is None else rounds - 1
+    query = start(index, folder, f"{folder}-checkpoint", told)
+    try:
+        while (rounds is None or rounds > 0) and query.isActive:
+            time.sleep(every)
+            seen = poll(index, folder, seen)
+            rounds = None if rounds is None else rounds - 1
+        drained(query)
+    finally:
+        query.stop()
 
 
 def markdown(pack: dict) -> str:

@@ -1,6 +1,7 @@
 """The engine over a tree on disk, its incremental refresh and its stream."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -162,7 +163,7 @@ def test_shown_lists_say_what_is_left_out(spark, capsys):
 
 
 def test_debounced_stream(spark, tmp_path):
-    """With a gap, a file's events wait for a pause and come as one."""
+    """With a gap, a file's events come as one once it is at rest, whether or not others follow."""
     root, events = tmp_path / "tree", tmp_path / "events"
     tree(root, a_ts="export function one() {}")
     events.mkdir()
@@ -171,17 +172,34 @@ def test_debounced_stream(spark, tmp_path):
     (root / "a.ts").write_text("export function two() {}")
     stamp = lambda s: f"2024-01-01T00:00:{s}Z"
     write = lambda n, rows: (events / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("path", "event", "ts"), r))) for r in rows))
-    seen = []
-    query = watch.start(index, str(events), str(tmp_path / "cp"), lambda diff, dependents: seen.extend(rows(diff)))
-    write(1, [("a.ts", "change", stamp("01.000")), ("a.ts", "change", stamp("01.100"))])
-    query.processAllAvailable()
-    assert seen == []
-    write(2, [("z.ts", "change", stamp("05.000"))])
-    query.processAllAvailable()
-    write(3, [("z.ts", "change", stamp("09.000"))])
-    query.processAllAvailable()
+    batches = []
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    query = watch.start(index, str(events), str(tmp_path / "cp"), lambda diff, dependents: batches.append(rows(diff)))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == store
+    write(1, [("a.ts", "change", stamp("01.100")), ("a.ts", "add", stamp("01.000")), ("a.md", "change", stamp("01.100"))])
+    watch.drained(query)
+    assert batches == [[("a.ts", "added", "two"), ("a.ts", "removed", "one")]]
+    (root / "a.ts").unlink()
+    write(2, [("a.ts", "unlink", stamp("05.000"))])
+    until = time.monotonic() + 60
+    while index.table("files").count() and time.monotonic() < until:
+        time.sleep(0.2)
     query.stop()
-    assert seen == [("a.ts", "added", "two"), ("a.ts", "removed", "one")]
+    assert index.table("files").count() == 0 and len(batches) == 1
+
+
+def test_a_run_of_events_is_one(spark, tmp_path):
+    """Events put off their file's timer; the last by time and then by name counts, and how many there were."""
+    events = tmp_path / "events"
+    events.mkdir()
+    (events / "1.json").write_text("\n".join(json.dumps({"path": p, "event": e, "ts": f"2024-01-01T00:00:0{t}Z"}) for p, e, t in [("a", "change", 3), ("a", "add", 1), ("b", "add", 2), ("b", "change", 2), (None, "add", 1)]))
+    got = []
+    stream = spark.readStream.schema("path string, event string, ts timestamp").json(str(events))
+    with watch._state_store(spark, watch.TIMER_STORE):
+        query = watch.settled(stream).writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, _: got.extend((r["path"], r["event"], r["n"]) for r in df.collect())).start()
+    watch.drained(query)
+    query.stop()
+    assert sorted(got) == [("a", "change", 2), ("b", "change", 2)]
 
 
 def test_watch(spark, tmp_path):
