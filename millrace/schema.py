@@ -11,3 +11,5 @@ TASKS = "id bigint, description string, type string, outcome string, notes strin
 RULES = "id bigint, name string, description string, scope_type string, scope_value string, severity string, created_at timestamp"
 EVENTS = "path string, event string, ts timestamp"
 TABLES = {"files": FILES, "symbols": SYMBOLS, "imports": IMPORTS, "candidates": CANDIDATES, "workspace": WORKSPACE, "edges": EDGES, "tasks": TASKS, "rules": RULES}
+#: The column by which rows of a table are replaced and go; other tables are written whole.
+KEYS = {"files": "path", "symbols": "path", "imports": "path", "workspace": "path", "candidates": "src", "edges": "src"}

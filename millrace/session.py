@@ -15,7 +15,7 @@ from .operators import changes as ch
 from .operators import graph, memory, rank, views
 from .operators.resolve import candidates, file_keys, folders, matched
 from .sources import tree
-from .sources.store import Store, materialized
+from .sources.store import Change, Store, materialized
 
 
 Progress = Callable[[int, str], None]
@@ -61,35 +61,52 @@ class Index:
         tell = progress or (lambda percent, what: None)
         tell(0, "Comparing")
         stored = self.table("files")
-        status = materialized(ch.changes(scanned, stored, self.embedder is not None), "changes")
+        known = stored.join(scanned.select("path"), "path", "left_semi") if partial else stored
+        status = materialized(ch.changes(scanned, known, self.embedder is not None).where("status <> 'unchanged'"), "changes")
         work = status.where(F.col("status").isin("new", "changed", "retry")).select("path")
         gone = status.where("status = 'removed'").select("path")
         if partial or self.keep_removed:
             gone = gone.limit(0)
+        touched = work.union(gone)
+        if touched.isEmpty():
+            tell(100, "Indexed")
+            return self.counts()
         tell(30, f"Parsing {work.count()} files")
         texts = scanned.join(work, "path", "left_semi")
         parsed = materialized(extracted(texts, self.parity, self.extractor, deep=True), "parsed")
         fresh = parsed.join(scanned.select("path", "content_hash", F.col("error").alias("unread")), "path")
         fresh = fresh.select("path", "content_hash", gist(F.col("symbols"), F.col("imports")).alias("summary"), F.col("error").isNotNull().alias("stale"), F.current_timestamp().alias("last_indexed"), F.coalesce("error", "unread").alias("error"))
-        fresh = embedded(fresh, "summary", self.embedder)
-        touched = work.union(gone)
-        files = materialized(ch.replaced(stored, touched, fresh), "files")
+        fresh = materialized(embedded(fresh, "summary", self.embedder), "fresh")
         symbols = parsed.select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.type", F.col("s.line").alias("start_line"), F.col("s.end").alias("end_line"), "s.docstring", "s.scope")
         imports = parsed.select("path", "ext", F.explode("imports").alias("i")).select("path", "ext", "i.pos", "i.source", "i.type", "i.dynamic")
-        imports = materialized(ch.replaced(self.table("imports"), touched, imports), "imports")
+        facts = materialized(tree.workspace(texts), "workspace")
         tell(70, "Resolving imports")
-        before = self.table("workspace")
-        workspace = materialized(ch.replaced(before, touched, tree.workspace(texts)), "workspace")
-        wanted, edges = self._resolved(files, imports, touched, status.where(F.col("status") == "new").select("path").union(gone), workspace, before.exceptAll(workspace).union(workspace.exceptAll(before)).isEmpty())
-        self.store.write(files=files, symbols=ch.replaced(self.table("symbols"), touched, symbols), imports=imports, candidates=wanted, workspace=workspace, edges=edges)
+        moved = status.where(F.col("status") == "new").select("path").union(gone)
+        self._changed(touched, moved, fresh, symbols, imports, facts)
         tell(100, "Indexed")
+        return self.counts()
+
+    def counts(self) -> dict[str, int]:
         return {t: self.table(t).count() for t in ("files", "symbols", "edges")} | {"errors": self.table("files").where("error is not null").count()}
 
-    def _resolved(self, files: DataFrame, imports: DataFrame, touched: DataFrame, moved: DataFrame, workspace: DataFrame, settled: bool) -> tuple[DataFrame, DataFrame]:
-        """Candidates and edges, where only what ``touched`` files and those that were ``moved`` in or out have to do with is new.
+    def _changed(self, touched: DataFrame, moved: DataFrame, *fresh: DataFrame) -> None:
+        """Writes what a change of the ``touched`` files means, of which some ``moved`` in or out: ``fresh`` are their new files, symbols, imports and workspace facts.
 
-        Unless the workspace is ``settled``, all is.
+        Only rows that change are written, unless there were none before.
         """
+        touched, moved = materialized(touched.distinct(), "touched"), materialized(moved, "moved")
+        changes = dict(zip(("files", "symbols", "imports", "workspace"), ((touched, x) for x in fresh)))
+        files, imports = (ch.replaced(self.table(t), *changes[t]) for t in ("files", "imports"))
+        before = self.table("workspace")
+        workspace = ch.replaced(before, *changes["workspace"])
+        settled = before.exceptAll(workspace).union(workspace.exceptAll(before)).isEmpty()
+        if self.table("files").isEmpty():
+            settled, changes = False, dict(zip(changes, fresh))
+        wanted, edges = self._resolved(files, imports, touched, moved, workspace, settled)
+        self.store.write(**changes, candidates=wanted, edges=edges)
+
+    def _resolved(self, files: DataFrame, imports: DataFrame, touched: DataFrame, moved: DataFrame, workspace: DataFrame, settled: bool) -> tuple[DataFrame | Change, DataFrame | Change]:
+        """Candidates and edges: whole tables, or the change that what ``touched`` files and those that were ``moved`` in or out have to do with makes, if the workspace is ``settled``."""
         paths = files.select("path")
         facts = tree.packages(workspace), tree.go_module(workspace), tree.crates(workspace), self.parity
         if not settled:
@@ -98,24 +115,18 @@ class Index:
         again = touched.select("path")
         if not moved.isEmpty():  # where a crate begins may depend on what folders there are
             again = again.union(imports.where("ext = '.rs'").select("path")).distinct()
-        again = materialized(again, "again")
-        kept = ch.without(self.table("candidates"), again, ("src",))
-        wanted = materialized(kept.unionByName(candidates(imports.join(again, "path", "left_semi"), paths, *facts)), "candidates")
+        again = materialized(again.withColumnRenamed("path", "src"), "again")
+        fresh = materialized(candidates(imports.join(again.withColumnRenamed("src", "path"), "path", "left_semi"), paths, *facts), "candidates")
+        wanted = self.table("candidates").join(again, "src", "left_anti").unionByName(fresh)
         keys = file_keys(moved).select(F.lower("key").alias("lc")).union(folders(moved).select(F.lower("key"))).distinct()
         met = wanted.withColumn("lc", F.lower("key")).join(keys, "lc", "left_semi").select("src")
         affected = materialized(met.union(again).distinct(), "affected")
-        edges = ch.without(self.table("edges"), affected.withColumnRenamed("src", "path"), ("src",))
-        return wanted, edges.unionByName(matched(wanted.join(affected, "src", "left_semi"), paths))
+        return (again, fresh), (affected, matched(wanted.join(affected, "src", "left_semi"), paths))
 
     def remove(self, paths: list[str] | DataFrame) -> None:
         """Files go, with their symbols, imports and edges; what imported them is resolved to what is left."""
         gone = paths if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], "path string")
-        files = materialized(ch.without(self.table("files"), gone), "files")
-        imports = materialized(ch.without(self.table("imports"), gone), "imports")
-        before = self.table("workspace")
-        workspace = materialized(ch.without(before, gone), "workspace")
-        wanted, edges = self._resolved(files, imports, gone, gone, workspace, before.count() == workspace.count())
-        self.store.write(files=files, symbols=ch.without(self.table("symbols"), gone), imports=imports, candidates=wanted, workspace=workspace, edges=edges)
+        self._changed(gone, gone, *(self.table(t).limit(0) for t in ("files", "symbols", "imports", "workspace")))
 
     def _starts(self, paths: list[str]) -> DataFrame:
         """The stored spelling of ``paths``, whatever their case."""

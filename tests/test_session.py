@@ -3,6 +3,7 @@
 import json
 import time
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from millrace.functions.vector import hashed_embedder
@@ -97,6 +98,28 @@ def test_partial_refreshes_equal_a_full_index(spark, tmp_path):
     same_as_fresh(spark, index, tmp_path / "fresh4")
 
 
+def test_a_refresh_writes_what_changed(spark, tmp_path):
+    """Of a tree of many files a change of one is written as a few rows, and the tables are those of a full index."""
+    root = tmp_path / "tree"
+    root.mkdir()
+    for i in range(300):
+        (root / f"f{i}.ts").write_text(f"import './f{i // 2}'\n" + "\n".join(f"export function name{i}x{j}() {{}}" for j in range(40)))
+    index = Index(spark, str(root), str(tmp_path / "store"), hashed_embedder())
+    index.index()
+    rows_in = lambda: sum(pq.read_metadata(p).num_rows for p in (tmp_path / "store").rglob("*.parquet"))
+    before = rows_in()
+    assert before > 300 * 43
+    (root / "f7.ts").write_text("import './f9'\nexport class Other {}")
+    watch.applied(index, spark.createDataFrame([("f7.ts", "change", 1)], "path string, event string, ts long").withColumn("ts", F.timestamp_seconds("ts")))
+    assert rows_in() - before < 60
+    assert {r["dst"] for r in index.table("edges").where("src = 'f7.ts'").collect()} == {"f9.ts"}
+    assert [r["name"] for r in index.symbols_of("F7.ts").collect()] == ["Other"] and index.table("files").count() == 300
+    before = rows_in()
+    index.index()
+    assert rows_in() == before
+    same_as_fresh(spark, index, tmp_path / "fresh")
+
+
 def test_retry_without_an_embedding(spark, tmp_path):
     root = tmp_path / "tree"
     tree(root, a_ts="export function alpha() {}")

@@ -1,6 +1,7 @@
 """Globs, guards, configuration, workspace maps and snapshots."""
 
 import json
+import random
 import re
 
 import pytest
@@ -96,6 +97,31 @@ def test_two_writers_lose_no_update(spark, tmp_path):
     assert store.pointers()["tasks"] == "elsewhere" and store.read("rules").first()["id"] == 2
 
 
+def test_changes_of_a_table(spark, tmp_path, monkeypatch):
+    """Random changes, and what becomes of many of them: segments on top of the base, fewer segments, or a new base."""
+    monkeypatch.setattr(Store, "SEGMENTS", 2)
+    rnd = random.Random(1)
+    for share, bases in ((1e9, 1), (0.0, 2)):
+        monkeypatch.setattr(Store, "SHARE", share)
+        store = Store(spark, f"file://{tmp_path}/store{bases}")
+        store.ensure()
+        edge = lambda src, n: (src, f"d{n}", "imports", 0.5, None)
+        rows = lambda held: spark.createDataFrame(held, TABLES["edges"])
+        held = {f"s{i}": [edge(f"s{i}", n) for n in range(2)] for i in range(20)}
+        store.write(edges=rows([e for es in held.values() for e in es]))
+        first, old = store.pointers()["edges"], store.read("edges")
+        for step in range(7):
+            gone = {f"s{rnd.randrange(25)}" for _ in range(3)}
+            fresh = {src: [edge(src, f"{step}-{n}") for n in range(2)] for src in sorted(gone)[:2]}
+            held = {k: v for k, v in held.items() if k not in gone} | fresh
+            store.write(edges=(spark.createDataFrame([(g,) for g in gone], "src string"), rows([e for es in fresh.values() for e in es])), tasks=store.read("tasks"))
+            assert sorted(map(tuple, store.read("edges").collect())) == sorted(e for es in held.values() for e in es)
+            segments = store.pointers()["edges"]
+            assert len(segments) <= 3 and all(s["gone"] for s in segments[1:])
+        assert (segments[0]["rows"] == first) is (bases == 1)
+        assert old.count() == 40
+
+
 def test_markdown():
     pack = {"task": "t", "strategy": "s", "read_first": [{"path": "a", "summary": "b"}], "blast_radius": ["c"], "tests_to_run": [], "rules": ["r: d"], "warnings": []}
     assert markdown(pack).splitlines() == ["# t", "", "s", "", "## Read first", "- a: b", "", "## Blast radius", "- c", "", "## Rules", "- r: d"]
