@@ -124,6 +124,10 @@ def without_ignored(files: DataFrame, held: DataFrame) -> DataFrame:
     return files.join(ignored(files.select("path"), held), "path", "left_anti")
 
 
+def _lines(spark: SparkSession, fs, path, where: str) -> list[tuple[str, int, str]]:
+    return [(where, i, line) for i, line in enumerate(read_bytes(fs, path).decode("utf-8", "replace").split("\n"))]
+
+
 def tree_rules(spark: SparkSession, root: str) -> DataFrame:
     """RULES of all ignore files of the tree under ``root``; those in directories that are left out change nothing."""
     found, depth = [], 0
@@ -132,9 +136,18 @@ def tree_rules(spark: SparkSession, root: str) -> DataFrame:
         for status in fs.globStatus(hadoop(spark, f"{below.toString()}/{NAME}")[1]) or ():
             path = status.getPath()
             folder = fs.makeQualified(hadoop(spark, root)[1]).toUri().getPath()
-            where = path.getParent().toUri().getPath().removeprefix(folder).strip("/")
-            found += [(where, i, line) for i, line in enumerate(read_bytes(fs, path).decode("utf-8", "replace").split("\n"))]
+            found += _lines(spark, fs, path, path.getParent().toUri().getPath().removeprefix(folder).strip("/"))
         depth += 1
         if not fs.globStatus(hadoop(spark, f"{below.toString()}/*")[1]):
             break
     return rules(spark.createDataFrame(found, "dir string, line int, text string"))
+
+
+def rules_above(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """RULES of the ignore files in the directories above a few ``paths``; no other directory is looked at."""
+    found = []
+    for where in sorted({"/".join(p.split("/")[:n]) for p in paths for n in range(p.count("/") + 1)}):
+        fs, path = hadoop(spark, f"{root}/{where}/{NAME}" if where else f"{root}/{NAME}")
+        if fs.exists(path):
+            found += _lines(spark, fs, path, where)
+    return rules(spark.createDataFrame(found, "dir string, line int, text string"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import BINARY, EXCLUDED, GENERATED, MARKED_EXCLUDED, MAX_BYTES, PROJECT_EXCLUDED
-from .ignore import tree_rules, without_ignored
+from .ignore import rules_above, tree_rules, without_ignored
 from .store import hadoop, materialized, read_bytes
 
 
@@ -121,6 +121,20 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
     return out.dropDuplicates(["path"])
 
 
+#: Named files up to which each is asked for by itself; for more of them the tree is listed.
+NAMED = 2000
+
+
+def stated(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """(path, length, modified) of those of a few ``paths`` that are files, without a look at any other."""
+    found = []
+    for p in paths:
+        fs, path = hadoop(spark, f"{root}/{p}")
+        if fs.exists(path) and (status := fs.getFileStatus(path)).isFile():
+            found.append((p, status.getLen(), status.getModificationTime() / 1000))
+    return spark.createDataFrame(found, "path string, length long, seconds double").select("path", "length", F.timestamp_seconds("seconds").alias("modified"))
+
+
 def _read_one_by_one(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     """(path, content, length, modified) of ``files`` that Spark does not read itself, a few at a time."""
     shape = "path string, content binary, length long, modified timestamp"
@@ -147,21 +161,27 @@ def text_of(content: Column) -> Column:
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] = (), max_bytes: int = MAX_BYTES, paths: DataFrame | None = None) -> DataFrame:
     """(path, content, length, modified, content_hash, error) of the files under ``root`` that are to be indexed, or of those among ``paths`` (path).
 
-    Paths and sizes are filtered before any content is read, those that a
+    Of a few ``paths`` nothing else of the tree is looked at but the ignore
+    files above them.  Paths and sizes are filtered before any content is read, those that a
     directory's ignore rules leave out are, too, and only
     directories that hold a file to be indexed are read.  ``error`` says
     whether a file isn't plain UTF-8.
     """
-    files = guarded(listed(spark, root), include, excluded_globs(list(exclude), ignore_lines(spark, root)), max_bytes)
-    if paths is not None:
+    named = None if paths is None else [r[0] for r in paths.select("path").distinct().limit(NAMED + 1).collect()]
+    few = named is not None and len(named) <= NAMED
+    files = guarded(stated(spark, root, named) if few else listed(spark, root), include, excluded_globs(list(exclude), ignore_lines(spark, root)), max_bytes)
+    if paths is not None and not few:
         files = files.join(paths, "path", "left_semi")
-    files = materialized(without_ignored(files, tree_rules(spark, root)), "listed")
+    files = materialized(without_ignored(files, rules_above(spark, root, named) if few else tree_rules(spark, root)), "listed")
     some = files.where("length > 0")
     hidden = F.col("path").rlike("(^|/)_[^/]*$")
     folders = [r[0] for r in some.where(~hidden).select(F.regexp_replace("path", "/?[^/]*$", "").alias("d")).distinct().collect()]  # of one tree
     raw = _read_one_by_one(spark, root, some.where(hidden))
     if folders:
-        read = spark.read.format("binaryFile").load([f"{root}/{d}" if d else root for d in folders]).where(F.col("length") <= max_bytes)
+        where = [f"{root}/{d}" if d else root for d in folders]
+        if few:  # only the files that are named
+            where = [re.sub(r"([\[\]{}*?\\])", r"\\\1", f"{root}/{r[0]}") for r in some.where(~hidden).select("path").collect()]
+        read = spark.read.format("binaryFile").load(where).where(F.col("length") <= max_bytes)
         read = read.select(relative(F.col("path"), root).alias("path"), "content", "length", F.col("modificationTime").alias("modified"))
         raw = raw.unionByName(read.join(files.select("path"), "path", "left_semi"))
     raw = raw.unionByName(files.where("length = 0").select("path", F.lit("").cast("binary").alias("content"), "length", "modified"))

@@ -69,3 +69,18 @@ def test_trees(spark, tmp_path):
     want = ["_p/r.ts", "keep.log.ts", "src/a.ts", "src/deep/gen/c.ts", "src/x.log"]
     assert sorted(r["path"] for r in index.scan().collect()) == want
     assert sorted(r["path"] for r in watch.polled(index).collect()) == want
+
+
+def test_named_files_are_asked_for_by_themselves(spark, tmp_path, monkeypatch):
+    """The tree is not listed for a few files; the ignore files above them hold, and names may have any characters."""
+    from millrace.sources import tree
+
+    files = {".gitignore": "*.log\n", "a/.gitignore": "!x.log\n/b/\n", "a/x.log": "1", "a/b/c.ts": "1", "a/[d]*? {e}.ts": "2", "_f.py": "3", "empty.ts": "", "g.log": "4"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    monkeypatch.setattr(tree, "listed", None)
+    monkeypatch.setattr(tree, "tree_rules", None)
+    asked = spark.createDataFrame([(p,) for p in [*files, "gone.ts", "a"]], "path string")
+    got = {r["path"]: r["content"] for r in tree.scan(spark, str(tmp_path), paths=asked).collect()}
+    assert got == {"a/x.log": "1", "a/[d]*? {e}.ts": "2", "_f.py": "3", "empty.ts": ""}
