@@ -30,14 +30,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back, which cuts its lineage.
 
     Unlike cached or locally checkpointed rows, the copy outlives any executor.
+    Large tables may ask for a ``compression`` of their own.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -26,6 +26,9 @@ TOP, PARTS = 2000, 64
 NUMBERED = 1_000_000
 BROADCAST_ROWS = 1_000_000
 
+#: Words whose windows a task holds before it counts them.
+TOGETHER = 1_500_000
+
 #: The end of a piece, a byte that no UTF-8 text has.
 _END = b"\xff"
 _BYTES = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + _END * 10 + b" ")
@@ -67,25 +70,32 @@ def _leads(a: np.ndarray) -> np.ndarray:
 
 
 def _numbered(numbers: dict[str, dict[bytes, int]]):
-    """(w12, w3, w4, f): the windows of a batch by the numbers of their words, each once with its count; a word without a number ends a window."""
+    """(w12, w3, w4, f): the windows of some texts by the numbers of their words, each once with its count; a word without a number ends a window."""
+
+    def once(parts: list[np.ndarray]) -> pa.RecordBatch:
+        w = _leads(np.concatenate([*parts, np.zeros(0, np.int64)]))
+        first, rest = w[:, 0] << 32 | w[:, 1], w[:, 2] << 32 | w[:, 3]
+        order = np.lexsort((rest, first))
+        first, rest = first[order], rest[order]
+        new = np.ones(len(first), bool)
+        new[1:] = (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])
+        at = np.flatnonzero(new)
+        counts = np.diff(np.append(at, len(first)))
+        first, rest = first[at], rest[at]
+        return pa.RecordBatch.from_arrays([pa.array(first), pa.array((rest >> 32).astype(np.int32)), pa.array((rest & 0xFFFFFFFF).astype(np.int32)), pa.array(counts.astype(np.int64))], names=["w12", "w3", "w4", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
-            parts = [np.zeros(0, np.int64)]
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 known = numbers.get(lang, {})
                 # Of the empty strings between blanks nothing may remain: they would part words.
                 parts.append(np.array([known.get(t, 0) for t in tokens(text.as_py()) if t] + [0], np.int64))
-            w = _leads(np.concatenate(parts))
-            first, rest = w[:, 0] << 32 | w[:, 1], w[:, 2] << 32 | w[:, 3]
-            order = np.lexsort((rest, first))
-            first, rest = first[order], rest[order]
-            new = np.ones(len(first), bool)
-            new[1:] = (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])
-            at = np.flatnonzero(new)
-            counts = np.diff(np.append(at, len(first)))
-            first, rest = first[at], rest[at]
-            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array((rest >> 32).astype(np.int32)), pa.array((rest & 0xFFFFFFFF).astype(np.int32)), pa.array(counts.astype(np.int64))], names=["w12", "w3", "w4", "f"])
+                size += len(parts[-1])
+                if size > TOGETHER:
+                    yield once(parts)
+                    parts, size = [], 0
+        yield once(parts)
 
     return run
 
@@ -150,7 +160,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
     """
     short_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    words = written(rows.mapInArrow(_counted, "lang string, word string, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f")), "words")
+    words = written(rows.mapInArrow(_counted, "lang string, word string, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f")), "words", "zstd")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = written(words.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "frequent")
     if frequent.limit(numbered + 1).count() <= numbered:
@@ -161,7 +171,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
             held.setdefault(lang, {})[word.encode()] = k
         named = docs.sparkSession.createDataFrame(pa.table({"lang": ids.column(0), "word": ids.column(1), "k": pa.array(np.arange(1, len(ids) + 1, dtype=np.int64))}))
         box = docs.sparkSession.sparkContext.broadcast(held)
-        windows = written(rows.mapInArrow(lambda batches: _numbered(box.value)(batches), "w12 bigint, w3 int, w4 int, f bigint"), "windows")
+        windows = written(rows.mapInArrow(lambda batches: _numbered(box.value)(batches), "w12 bigint, w3 int, w4 int, f bigint"), "windows", "zstd")
         sums = marginals(windows, [], least)
         parts = F.filter(F.array(F.shiftright("w12", 32), F.col("w12").bitwiseAND(0xFFFFFFFF), F.col("w3").cast("long"), F.col("w4").cast("long")), lambda w: F.coalesce(w, F.lit(0)) > 0)
         spelt = sums.select("m", "a", "w12", "w3", "w4", F.posexplode(parts).alias("i", "k"))
@@ -169,7 +179,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
         phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda w: w["word"]), " ")
         grams = spelt.groupBy("m", "w12", "w3", "w4", "a").agg(F.first("lang").alias("lang"), phrase.alias("phrase")).select("lang", "m", "phrase", F.col("a").alias("f"))
     else:
-        windows = written(rows.mapInArrow(_spelled, "lang string, w12 string, w3 string, w4 string, f bigint"), "windows")
+        windows = written(rows.mapInArrow(_spelled, "lang string, w12 string, w3 string, w4 string, f bigint"), "windows", "zstd")
         join = lambda m: F.when(m == 2, F.col("w12")).when(m == 3, F.concat_ws(" ", "w12", "w3")).otherwise(F.concat_ws(" ", "w12", "w3", "w4"))
         grams = marginals(windows, ["lang"], least).select("lang", "m", join(F.col("m")).alias("phrase"), F.col("a").alias("f"))
     return written(grams.unionByName(frequent.select("lang", F.lit(1).alias("m"), F.col("word").alias("phrase"), "f")), "grams"), totals
