@@ -63,6 +63,11 @@ def ranked(scores: DataFrame, most: int = MAX_CANDIDATES, prune: float = RELATIV
     return total.crossJoin(F.broadcast(best)).where(F.col("score") >= prune * F.col("_best")).drop("_best").orderBy(F.col("score").desc(), key).limit(most)
 
 
+def with_files(best: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
+    """The few rows that a ranking or a search has left, with what ``files`` say of them; the files are not moved."""
+    return files.join(F.broadcast(best), key)
+
+
 def matching_rules(rules: DataFrame, words: DataFrame) -> DataFrame:
     """Rules that have a keyword in their name or description, each once."""
     return rules.join(F.broadcast(words.select("kw").distinct()), _like("name", "kw") | _like("description", "kw"), "left_semi")
@@ -81,7 +86,7 @@ def context_pack(spark: SparkSession, task: str, files: DataFrame, symbols: Data
     scores = contributions(files, symbols, kw.join(idf(files, kw), "kw"))
     if semantic is not None:
         scores = scores.unionAll(semantic_contributions(semantic))
-    top = [r.asDict() for r in ranked(scores).join(F.broadcast(files.select("path", "summary", "stale")), "path").orderBy(F.col("score").desc(), "path").collect()]  # ten at most
+    top = [r.asDict() for r in with_files(ranked(scores), files.select("path", "summary", "stale")).orderBy(F.col("score").desc(), "path").collect()]  # ten at most
     if not top:
         return empty | {"strategy": "No relevant files", "warnings": ["No relevant files were found."]}
     followed = spark.createDataFrame([(i, r["path"]) for i, r in enumerate(top)], "origin int, node string").where(F.lower(extension(F.col("node"))).isin(PACK_EXTENSIONS))

@@ -646,7 +646,7 @@ def match_percents(spark, d):
 
 @query(f"SELECT e.vec_id, d.source, d.lang FROM (SELECT vec_id FROM embeddings ORDER BY list_cosine_distance(embedding::DOUBLE[], {QV}), vec_id LIMIT 10) e JOIN documents d ON d.doc_id = e.vec_id")
 def hits_with_files(spark, d):
-    return _hits(spark, d).join(_t(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select("vec_id", "source", "lang")
+    return rank.with_files(_hits(spark, d), _t(spark, d, "documents").withColumnRenamed("doc_id", "vec_id"), "vec_id").select("vec_id", "source", "lang")
 
 
 @query("""WITH x AS (SELECT o_custkey AS fixture, list(DISTINCT lower(o_orderpriority)) FILTER (o_orderstatus = 'F') AS e, list(DISTINCT lower(o_orderpriority)) FILTER (o_orderstatus = 'O') AS a, list(DISTINCT lower(o_orderpriority)) FILTER (o_orderstatus = 'P') AS b FROM orders GROUP BY 1),
