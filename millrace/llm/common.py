@@ -6,6 +6,7 @@ import tempfile
 import time
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,9 +57,27 @@ def _tidy(spark: SparkSession) -> None:
     """
     if time.monotonic() - _tidied[0] > TIDY_SECONDS:
         spark.sparkContext._jvm.System.gc()
+        give_back(spark)
         _tidied[0] = time.monotonic()
 
 
+def give_back(spark: SparkSession) -> str:
+    """Has the driver's JVM give memory outside its heap that it no longer uses back to the system; what it says.
+
+    Compiling the code of many plans leaves hundreds of MB of it with the
+    allocator.  A JVM that knows no such command says nothing and goes on.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    try:
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = gateway.new_array(jvm.Object, 4)  # no arguments of its own
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return str(invoke.invoke(server, args))
+    except Py4JError:
+        return ""
+
+
 #: Rows of a batch that texts are handed to Python in.
 BATCH_ROWS = 1000
 

@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -268,9 +269,10 @@ def _by_joins(grams: DataFrame, entries: DataFrame, width: int) -> DataFrame:
     return hits.groupBy("id", "x", "lang", "k", "at", "n").agg(F.sum(F.col("lp") * F.col("times")).alias("lp"))
 
 
-def held_tables(entries: DataFrame) -> dict[str | None, Tables]:
-    """The ``entries`` of a model as sorted arrays, by language and kind; one kind of one language is fetched at a time."""
-    out: dict[str | None, Tables] = {}
+def held_tables(entries: DataFrame) -> dict[str | None, dict[int, Broadcast]]:
+    """The ``entries`` of a model as sorted arrays for every worker, by language and kind; the driver holds one kind of one language at a time."""
+    out: dict[str | None, dict[int, Broadcast]] = {}
+    context = entries.sparkSession.sparkContext
     for lang in [r[0] for r in entries.where(F.col("kind") == UNSEEN).select("lang").collect()]:  # one row for each language
         own = entries.where(F.col("lang").eqNullSafe(F.lit(lang)))
         out[lang] = {}
@@ -279,8 +281,12 @@ def held_tables(entries: DataFrame) -> dict[str | None, Tables]:
             key, lp = (found.column(i).to_numpy() for i in (0, 1))
             del found
             order = np.argsort(key)
-            out[lang][k] = (key[order], lp[order])
-        pa.default_memory_pool().release_unused()
+            key = key[order]
+            lp = lp[order]
+            del order
+            out[lang][k] = context.broadcast((key, lp))
+            del key, lp
+            pa.default_memory_pool().release_unused()
     return out
 
 
@@ -313,13 +319,14 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     asked = rows.select("id", "x", "lang", "text", "held")
     tables = None
     if entries.count() <= MODEL_ROWS:
-        tables = spark.sparkContext.broadcast(held_tables(entries))
-        units = asked.mapInArrow(_scored(path, remembered, lambda: tables.value), f"{UNITS}, lp bigint")
+        tables = held_tables(entries)
+        units = asked.mapInArrow(_scored(path, remembered, lambda: {lang: {k: b.value for k, b in kinds.items()} for lang, kinds in tables.items()}), f"{UNITS}, lp bigint")
     else:
         units = _by_joins(written(asked.mapInArrow(_grams(path, remembered), f"{UNITS}, key bigint, times bigint").distinct(), "grams"), entries, bits(size))
     units = written(units.withColumn("perplexity", F.exp(-F.col("lp") / F.col("n") / UNIT)), "units")
-    if tables is not None:
-        tables.unpersist()
+    for kinds in (tables or {}).values():
+        for b in kinds.values():
+            b.destroy()  # the driver's copy too
     facts = rows.select("id", "x", "lang", "trusted", F.col("held").alias("held_out")).distinct()
     texts = units.where("k = 0").groupBy(F.col("id").alias("_i"), F.col("x").alias("_x"), F.col("lang").alias("_l")).agg(F.max("n").alias("tokens"), F.max("perplexity").alias("perplexity"))
     same = facts["id"].eqNullSafe(texts["_i"]) & (facts["x"] == texts["_x"]) & facts["lang"].eqNullSafe(texts["_l"])

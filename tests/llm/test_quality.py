@@ -168,3 +168,25 @@ def test_awkward_rows(spark, request, name):
     assert len(got) == (0 if name == "nothing" else 11)
     assert all(r["keep"] for r in got if r["tokens"] == 0)
     assert all(r["keep"] for r in quality.classify(request.getfixturevalue(name), labels.limit(0)).collect())
+
+
+def test_the_driver_holds_the_model_in_parts(spark, monkeypatch):
+    """No broadcast has more than one kind of entries of one language, and all are gone from the driver afterwards."""
+    docs = [(i, f"some words {i % 7} of {'one' if i % 2 else 'another'} text", ["en", "de"][i % 2]) for i in range(40)]
+    made, gone, model = [], [], []
+    context = type(spark.sparkContext)
+    broadcast, destroy, held = context.broadcast, quality.Broadcast.destroy, quality.held_tables
+    monkeypatch.setattr(context, "broadcast", lambda self, value: made.append((value, b := broadcast(self, value))) or b)
+    monkeypatch.setattr(quality.Broadcast, "destroy", lambda self, *a: gone.append(self) or destroy(self, *a))
+    monkeypatch.setattr(quality, "held_tables", lambda entries: model.append(entries.groupBy("lang", "kind").count().collect()) or held(entries))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    texts, _ = quality.perplexities(df, df.selectExpr("doc_id", "1 quality", "0 toxic"))
+    assert texts.where("perplexity > 0").count() == 40
+    assert sorted(len(key) for (key, _), _ in made) == sorted(r["count"] for r in model[0]) and len(made) == 12
+    assert {id(b) for _, b in made} == {id(b) for b in gone}
+
+
+def test_the_driver_gives_memory_back(spark):
+    from millrace.llm.common import give_back
+
+    assert "Trim native heap" in give_back(spark)
