@@ -89,7 +89,7 @@ def within(a: str, b: str, most: int) -> bool:
         hi += 1
     a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
     m = len(a)
-    if not a or not b or not most:
+    if not a or not b or most < 2:  # one edit is all that is left, if these are one
         return max(m, len(b)) <= most
     peq: dict[str, int] = {}
     for i, c in enumerate(a):
@@ -104,6 +104,8 @@ def within(a: str, b: str, most: int) -> bool:
         hp, hn = (vn | ~(d0 | vp)) & mask, d0 & vp
         if j <= m - most:  # along the lowest diagonal
             score += not d0 & last
+            if score > most + most - m + len(b):  # the last row is so far along the other diagonal
+                return False
         else:  # along the last row
             row = 1 << m - j + most
             score += bool(hp & row) - bool(hn & row)
@@ -137,9 +139,14 @@ def _distinct_lines(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[d
         yield found
 
 
-def _line_texts(rule: Rule):
+def _line_texts(rule: Rule, asked: np.ndarray | None = None):
+    """(h, g, line) of the lines, only those whose h is ``asked`` for if given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _distinct_lines(rule, batches):
+            if asked is not None:
+                there = np.isin(np.array([x[0] for x in found.values()], np.int64), asked)
+                found = {line: x for (line, x), y in zip(found.items(), there.tolist()) if y}
             yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in found.values()], pa.int64()) for k in (0, 1)), pa.array(found.keys(), pa.string())], names=["h", "g", "line"])
 
     return run
@@ -170,16 +177,15 @@ def part_of(longer: int, i: int, shift: int) -> int:
     return (longer << 8 | i) << 8 | shift + 128
 
 
-def _keys(rule: Rule, shared: np.ndarray | None = None, whole: bool = False):
-    """Keys (key, h, part) of all lines, with the second half g of their hashes if ``whole``, and only ``shared`` ones if given."""
+def _line_keys(rule: Rule):
+    """(h, g, n, keys): hash and length of the lines, and the keys of all that ``looks`` says, of 8 bytes each, one after another."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for found in _distinct_lines(rule, batches):
             keys: list[int] = []
-            parts: list[int] = []
-            sizes = []
+            sizes = [0]
             for line in found:
                 asked, _ = looks(rule, len(line))
                 data = line.encode("utf-8", "surrogatepass")
@@ -187,17 +193,39 @@ def _keys(rule: Rule, shared: np.ndarray | None = None, whole: bool = False):
                     keys += [digest(data[a:b], seed) for a, b, seed, _ in asked]
                 else:
                     keys += [digest(line[a:b].encode("utf-8", "surrogatepass"), seed) for a, b, seed, _ in asked]
-                parts += [p for *_, p in asked]
-                sizes.append(len(asked))
-            key = np.array(keys, np.uint64).view(np.int64)
-            of = np.repeat(np.arange(len(sizes)), np.array(sizes, np.int64))
-            part = np.array(parts, np.int32)
+                sizes.append(8 * len(asked))
+            ends = np.cumsum(sizes, dtype=np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(np.array(keys, np.uint64))])
             hashes = np.array(list(found.values()), np.int64).reshape(-1, 2)
+            cols = [pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(list(map(len, found)), pa.int32()), packed]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "g", "n", "keys"])
+
+    return run
+
+
+@lru_cache(1 << 14)
+def _parts_of(rule: Rule, length: int) -> np.ndarray:
+    return np.array([p for *_, p in looks(rule, length)[0]], np.int32)
+
+
+def _keys(rule: Rule, shared: np.ndarray | None = None, whole: bool = False):
+    """Keys (key, h, part) of lines as ``_line_keys`` gives them, with the second half g of their hashes if ``whole``, and only ``shared`` ones if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, g, n = (batch.column(c).to_numpy() for c in range(3))
+            _, ends, data = batch.column(3).buffers()
+            ends = np.frombuffer(ends, np.int32)[batch.column(3).offset :][: len(h) + 1]
+            key = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].view(np.int64)
+            of = np.repeat(np.arange(len(h)), np.diff(ends) // 8)
+            part = np.concatenate([_parts_of(rule, x) for x in n.tolist()])
             if shared is not None:
                 at = np.minimum(np.searchsorted(shared, key), max(0, len(shared) - 1))
                 there = shared[at] == key if len(shared) else np.zeros(len(key), bool)
                 key, of, part = key[there], of[there], part[there]
-            cols = [pa.array(key), pa.array(hashes[of, 0]), *([pa.array(hashes[of, 1])] if whole else []), pa.array(part)]
+            cols = [pa.array(key), pa.array(h[of]), *([pa.array(g[of])] if whole else []), pa.array(part)]
             yield pa.RecordBatch.from_arrays(cols, names=["key", "h", *(["g"] if whole else []), "part"])
 
     return run
@@ -348,19 +376,24 @@ def near_lines(docs: DataFrame, first: DataFrame, rule: Rule = RULE) -> DataFram
     left to differ in.
     """
     spark = docs.sparkSession
-    keys = docs.mapInArrow(_keys(rule), "key bigint, h bigint, part int")
+    hashed = written(docs.mapInArrow(_line_keys(rule), "h bigint, g bigint, n int, keys binary"), "keys")
+    keys = hashed.mapInArrow(_keys(rule), "key bigint, h bigint, part int")
     own = F.col("part").bitwiseAND(0xFF00FF) == 128
     kinds = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.max(own.cast("int")).alias("own"))
     shared = written(kinds.where("a <> b and own = 1").select("key"), "shared")
     if shared.count() <= SHARED_KEYS:
         held = np.sort(shared.toArrow().column(0).to_numpy()) if shared.limit(1).count() else np.zeros(0, np.int64)
         box = spark.sparkContext.broadcast(held)
-        parts = docs.mapInArrow(lambda batches: _keys(rule, box.value, True)(batches), "key bigint, h bigint, g bigint, part int")
+        parts = hashed.mapInArrow(lambda batches: _keys(rule, box.value, True)(batches), "key bigint, h bigint, g bigint, part int")
     else:
-        parts = docs.mapInArrow(_keys(rule, whole=True), "key bigint, h bigint, g bigint, part int").join(shared, "key")
+        parts = hashed.mapInArrow(_keys(rule, whole=True), "key bigint, h bigint, g bigint, part int").join(shared, "key")
     parts = written(parts.distinct(), "parts")
-    lines = small(parts.select("h", "g").distinct(), BROADCAST_ROWS)
-    texts = docs.mapInArrow(_line_texts(rule), "h bigint, g bigint, line string").join(lines, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("line").alias("line"))
+    lines = written(parts.select("h", "g").distinct(), "lines")
+    asked = None
+    if lines.count() <= BROADCAST_ROWS:
+        asked = spark.sparkContext.broadcast(lines.select("h").toArrow().column(0).to_numpy() if lines.limit(1).count() else np.zeros(0, np.int64))
+        lines = F.broadcast(lines)
+    texts = docs.mapInArrow(lambda batches: _line_texts(rule, asked and asked.value)(batches), "h bigint, g bigint, line string").join(lines, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("line").alias("line"))
     state = parts.join(texts, ["h", "g"]).join(first, ["h", "g"]).select("key", "h", "g", "d", "x", "i", "part", "line").mapInArrow(_opened(rule), STATE)
     found = []
     for _ in range(60):
