@@ -77,32 +77,44 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text; null is taken as empty."""
         known = self.words.get
-        split: list[list[str] | None] = []
-        found: list[list[bytes | None] | None] = []
+        heads: list[str] = []
+        wholes: list[str] = []
+        # Of each text its ids behind the first word, None if it goes whole; or its words, their ids as far as they are known, and where they are not.
+        found: list[bytes | None | tuple[list[str], list[bytes | None], list[int]]] = []
         new: set[str] = set()
         for t in texts:
-            words = [""] if not t else None if "<|" in t or _RUN.search(t) else t.split(" ")
-            split.append(words)
-            if words is None:
+            if not t:
+                heads.append("")
+                found.append(b"")
+            elif "<|" in t or _RUN.search(t):
+                wholes.append(t)
                 found.append(None)
-                continue
-            ids = list(map(known, words))
-            ids[0] = b""
-            if None in ids:
-                new.update([w for w, i in zip(words, ids) if i is None])
-            found.append(ids)
+            else:
+                words = t.split(" ")
+                ids = list(map(known, words))
+                ids[0] = b""
+                heads.append(words[0])
+                try:
+                    found.append(b"".join(ids))
+                except TypeError:  # some are None; this tells sooner than a look at each
+                    missing = [k for k, i in enumerate(ids) if i is None]
+                    new.update([words[k] for k in missing])
+                    found.append((words, ids, missing))
         fresh = self._learn(new) if new else {}
-        heads = iter(self._whole([w[0] for w in split if w]))
-        wholes = iter(self._whole([t for t, w in zip(texts, split) if w is None]))
+        head = iter(self._whole(heads))
+        whole = iter(self._whole(wholes))
         out = []
-        for words, ids in zip(split, found):
-            if words is None:
-                out.append(next(wholes))
-                continue
-            if None in ids:
-                ids = [fresh[w] if i is None else i for w, i in zip(words, ids)]
-            ids[0] = next(heads)
-            out.append(b"".join(ids))
+        for x in found:
+            if x is None:
+                out.append(next(whole))
+            elif isinstance(x, bytes):
+                out.append(next(head) + x)
+            else:
+                words, ids, missing = x
+                for k in missing:
+                    ids[k] = fresh[words[k]]
+                ids[0] = next(head)
+                out.append(b"".join(ids))
         return out
 
 
