@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from .common import short_batches, small, table, written
 
 
-
 class Rule(NamedTuple):
     """Which lines are near: up to ``most`` edits, of which the shorter line allows one for every ``chars`` characters.
 
@@ -35,6 +34,8 @@ class Rule(NamedTuple):
 RULE = Rule()
 #: Groups of lines with segments in common are compared pair by pair up to this size, and split further beyond; rows compared in one call, about.
 PAIRWISE, TOGETHER = 64, 4096
+#: Groups up to this size are split within a task, larger ones by a round of jobs.
+INSIDE = 1024
 BROADCAST_ROWS = 500_000
 #: Keys, of 8 bytes each, up to which every worker holds those that are shared.
 SHARED_KEYS = 4_000_000
@@ -232,7 +233,7 @@ def _keys(rule: Rule, shared: np.ndarray | None = None, whole: bool = False):
 
 
 Piece = tuple[str, int, int]  # what is left of a line on one side, edits it may have, and how much longer the other line's is
-STATE = "key bigint, h bigint, g bigint, d bigint, x bigint, i int, role int, pieces array<struct<t:string,e:int,s:int>>"
+STATE = "key bigint, h bigint, g bigint, d bigint, x bigint, i int, role int, pieces array<struct<t:string,e:int,s:int>>, way int"
 
 
 def _next(key: int, *what: int | str) -> int:
@@ -309,10 +310,16 @@ def divided(key: int, role: int, pieces: list[Piece]) -> list[tuple[int, int, li
     return out
 
 
+def _way(role: int, pieces: list[Piece]) -> int:
+    """1 where a group's lines are all near, 2 where they must be compared as they are, else 0."""
+    return 1 if settled(pieces, role) else 0 if any(shorter_of(p, role) > p[1] for p in pieces) else 2
+
+
 def _state(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * 8
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.list_(pa.struct([("t", pa.string()), ("e", pa.int32()), ("s", pa.int32())]))]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "h", "g", "d", "x", "i", "role", "pieces"])
+    """Rows of lines in groups; made and told their ``way`` in one pass, as each further one takes another Python worker of every task."""
+    cols = list(zip(*((*r[:7], _named(r[7]), _way(r[6], r[7])) for r in rows))) if rows else [()] * 9
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.list_(pa.struct([("t", pa.string()), ("e", pa.int32()), ("s", pa.int32())])), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "h", "g", "d", "x", "i", "role", "pieces", "way"])
 
 
 def _named(pieces: list[Piece]) -> list[dict]:
@@ -322,7 +329,7 @@ def _named(pieces: list[Piece]) -> list[dict]:
 def _opened(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _state([(key, h, g, d, x, i, role, _named(pieces)) for at, h, g, d, x, i, part, line in zip(*(c.to_pylist() for c in batch.columns)) for key, role, pieces in opened(rule, at, part, line)])
+            yield _state([(key, h, g, d, x, i, role, pieces) for at, h, g, d, x, i, part, line in zip(*(c.to_pylist() for c in batch.columns)) for key, role, pieces in opened(rule, at, part, line)])
 
     return run
 
@@ -332,36 +339,57 @@ def _divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for at, h, g, d, x, i, role, pieces in zip(*(c.to_pylist() for c in batch.columns)):
             for key, own, left in divided(at, role, [(p["t"], p["e"], p["s"]) for p in pieces]) or []:
-                rows.append((key, h, g, d, x, i, own, _named(left)))
+                rows.append((key, h, g, d, x, i, own, left))
         yield _state(rows)
 
 
-def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """With ``way``: 1 where a group's lines are all near, 2 where they must be compared as they are, else 0."""
-    for batch in batches:
-        way = []
-        for role, pieces in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist()):
-            held = [(p["t"], p["e"], p["s"]) for p in pieces]
-            way.append(1 if settled(held, role) else 0 if any(shorter_of(p, role) > p[1] for p in held) else 2)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(way, pa.int32())], names=[*batch.schema.names, "way"])
+Member = tuple[tuple[int, int, int, int, int], int, list[Piece]]  # a line's (d, x, i, h, g), and its role and pieces
 
 
-def _compared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Lines that have an earlier one in their group whose pieces are all near."""
-    late = set()
-    rows = rows.sort_values(["key", "d", "x", "i", "h", "g"], kind="stable")
-    items = list(zip(rows["key"].tolist(), rows["h"].tolist(), rows["g"].tolist(), rows["role"].tolist(), rows["pieces"].tolist()))
-    begin = 0
-    for k, (key, h, g, role, pieces) in enumerate(items):
-        if items[begin][0] != key:
-            begin = k
-        if (h, g) in late:
+def _search(key: int, members: list[Member], late: set[tuple[int, int]], pairwise: int) -> None:
+    """Adds to ``late`` the lines (h, g) of a group that have an earlier one whose pieces are all near; a group of more than ``pairwise`` is divided first."""
+    groups = [(key, members)]
+    while groups:
+        key, members = groups.pop()
+        members.sort(key=lambda m: m[0])
+        roles = {role for _, role, _ in members}
+        # Only lines behind the first one can be late, and those that are need no further look.
+        if all(o[3:] in late or o[3:] == members[0][0][3:] for o, *_ in members) or len(roles) == 1 and SAME not in roles:
             continue
-        for _, h2, g2, role2, pieces2 in items[begin:k]:
-            if (h, g) != (h2, g2) and (role == role2 == SAME or role != role2) and all(within(p["t"], q["t"], p["e"]) for p, q in zip(pieces, pieces2)):
-                late.add((h, g))
-                break
-    return pd.DataFrame(list(late), columns=["h", "g"]).astype("int64")
+        way = _way(*members[0][1:])
+        if way == 1:
+            least: dict[int, tuple] = {}
+            for o, role, _ in members:
+                least.setdefault(role, o)
+            for o, role, _ in members:
+                other = least.get(role if role == SAME else LONGER if role == SHORTER else SHORTER)
+                if other is not None and other < o and other[3:] != o[3:]:
+                    late.add(o[3:])
+        elif way == 2 or len(members) <= pairwise:
+            for k, (o, role, pieces) in enumerate(members):
+                if o[3:] not in late and any(o2[3:] != o[3:] and (role == role2 == SAME or role != role2) and all(within(p[0], q[0], p[1]) for p, q in zip(pieces, pieces2)) for o2, role2, pieces2 in members[:k]):
+                    late.add(o[3:])
+        else:
+            parts: dict[int, list[Member]] = {}
+            for o, role, pieces in members:
+                for at, own, left in divided(key, role, pieces) or []:
+                    parts.setdefault(at, []).append((o, own, left))
+            groups += [(at, held) for at, held in parts.items() if len(held) > 1]
+
+
+def _compared(pairwise: int):
+    """Lines that have an earlier one in their group whose pieces are all near."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        groups: dict[int, list[Member]] = {}
+        for key, *o, role, pieces in zip(*(rows[c].tolist() for c in ("key", "d", "x", "i", "h", "g", "role", "pieces"))):
+            groups.setdefault(key, []).append((tuple(o), role, [(p["t"], p["e"], p["s"]) for p in pieces]))
+        late: set[tuple[int, int]] = set()
+        for key, members in groups.items():
+            _search(key, members, late, pairwise)
+        return pd.DataFrame(list(late), columns=["h", "g"]).astype("int64")
+
+    return run
 
 
 def near_lines(docs: DataFrame, first: DataFrame, rule: Rule = RULE) -> DataFrame:
@@ -373,7 +401,8 @@ def near_lines(docs: DataFrame, first: DataFrame, rule: Rule = RULE) -> DataFram
     what is left on each side of the segment must be within the edits left for
     it.  In larger groups what is left is split into segments again, and the
     group divides by the next one in common, until it is small, or nothing is
-    left to differ in.
+    left to differ in: within one task as soon as it has ``INSIDE`` lines at
+    most, as every further round costs jobs over all groups.
     """
     spark = docs.sparkSession
     hashed = written(docs.mapInArrow(_line_keys(rule), "h bigint, g bigint, n int, keys binary"), "keys")
@@ -397,7 +426,7 @@ def near_lines(docs: DataFrame, first: DataFrame, rule: Rule = RULE) -> DataFram
     state = parts.join(texts, ["h", "g"]).join(first, ["h", "g"]).select("key", "h", "g", "d", "x", "i", "part", "line").mapInArrow(_opened(rule), STATE)
     found = []
     for _ in range(60):
-        state = written(state.distinct().mapInArrow(_kinds, f"{STATE}, way int"), "state")
+        state = written(state, "state")
         o = F.struct("d", "x", "i", "h", "g")
         sizes = state.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("h", "g")).alias("a"), F.max(F.struct("h", "g")).alias("b"), F.min("role").alias("r"), F.max("role").alias("s"), F.min(F.when(F.col("role") != LONGER, o)).alias("short"), F.min(F.when(F.col("role") != SHORTER, o)).alias("long"))
         pairs = F.col("a") != F.col("b")
@@ -405,10 +434,12 @@ def near_lines(docs: DataFrame, first: DataFrame, rule: Rule = RULE) -> DataFram
         state = written(state.join(sizes.where(pairs).select("key", "n", "short", "long"), "key"), "groups")
         late = F.when(F.col("role") == SHORTER, F.col("long")).otherwise(F.col("short")) < o
         found.append(state.where(F.col("way") == 1).where(late).select("h", "g"))
-        little = state.where((F.col("way") == 2) | ((F.col("way") == 0) & (F.col("n") <= PAIRWISE))).select("key", "h", "g", "d", "x", "i", "role", "pieces")
+        little = state.where((F.col("way") == 2) | ((F.col("way") == 0) & (F.col("n") <= INSIDE)))
         number = max(1, little.count() // TOGETHER)
-        found.append(little.groupBy(F.pmod(F.xxhash64("key"), F.lit(number)).alias("b")).applyInPandas(_compared, "h bigint, g bigint"))
-        more = state.where((F.col("way") == 0) & (F.col("n") > PAIRWISE)).select("key", "h", "g", "d", "x", "i", "role", "pieces")
+        # A group that is to be split goes by itself, as it is more work than its rows tell.
+        together = F.when((F.col("way") == 0) & (F.col("n") > PAIRWISE), F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(number)))
+        found.append(little.select("key", "h", "g", "d", "x", "i", "role", "pieces", together.alias("b")).groupBy("b").applyInPandas(_compared(PAIRWISE), "h bigint, g bigint"))
+        more = state.where((F.col("way") == 0) & (F.col("n") > INSIDE)).select("key", "h", "g", "d", "x", "i", "role", "pieces")
         if more.isEmpty():
             break
         state = more.mapInArrow(_divided, STATE)

@@ -1,5 +1,9 @@
 """Lines of every length."""
 
+import random
+
+import pytest
+
 from millrace.llm import lines
 
 
@@ -68,3 +72,49 @@ def test_comparisons_end_when_lines_are_told_apart():
         assert [lines.within(a, b, k) for k in range(5)] == [d <= k for k in range(5)], (a, b)
     assert not lines.within("a" * 1000, Read("b" * 1000), 2) and Read.n < 20
     assert not lines.within("a" * 1000, Read("b" * 1000), 1) and Read.n < 20
+
+
+def near_copies(n):
+    """One text with three edits each, so that two of the copies are hardly ever near, and some of them with one edit more."""
+    rnd = random.Random(5)
+    base = "".join(rnd.choices("abcdefghij  ", k=150))
+    out = []
+    for _ in range(n):
+        s = list(out[-1] if out and rnd.random() < 0.2 else base)
+        for _ in range(1 if "".join(s) != base else 3):
+            p = rnd.randrange(1, 149)
+            s[p : p + rnd.randint(0, 1)] = rnd.choice("klm")
+        out.append("".join(s))
+    return list(dict.fromkeys(out))
+
+
+def late_of(texts):
+    return {i for i, t in enumerate(texts) if any(lines.within(t, u, lines.RULE.edits(min(len(t), len(u)))) for u in texts[:i])}
+
+
+@pytest.mark.parametrize(("inside", "rounds"), [(lines.INSIDE, 1), (64, None)])
+def test_groups_of_near_copies_divide_within_a_task(spark, monkeypatch, inside, rounds):
+    """They need one round of jobs; those that are too large for a task need more, and give the same rows."""
+    names = []
+    monkeypatch.setattr(lines, "INSIDE", inside)
+    monkeypatch.setattr(lines, "written", lambda df, name, *a, f=lines.written: (names.append(name), f(df, name, *a))[1])
+    texts = near_copies(400)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    late = {r["doc_id"] for r in lines.dedup_lines(df).where("n_near > 0").select("row.doc_id").collect()}
+    assert late == late_of(texts) and 30 < len(late) < len(texts) / 2
+    assert names.count("groups") == rounds if rounds else names.count("groups") > 1
+
+
+@pytest.mark.parametrize("pairwise", [1, 3, 64, 1000])
+def test_groups_in_a_task_are_searched_whole(pairwise):
+    """However far they divide before lines are compared; lines that are shorter and longer by an edit or two among them."""
+    texts = near_copies(120) + [f"The page that you have asked for is {i:03d}." for i in range(0, 300, 7)] + [f"The page that you have asked for is {i}!" for i in range(0, 40, 3)]
+    groups = {}
+    for i, t in enumerate(texts):
+        for a, b, seed, part in lines.looks(lines.RULE, len(t))[0]:
+            for key, role, pieces in lines.opened(lines.RULE, hash((t[a:b], seed)) >> 1, part, t):
+                groups.setdefault(key, []).append(((i, 0, 0, i, i), role, pieces))
+    late = set()
+    for key, members in groups.items():
+        lines._search(key, members, late, pairwise)
+    assert {h for h, _ in late} == late_of(texts)
