@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,26 +33,26 @@ END = 2
 CHUNK_SCHEMA = "part int, chunk int, start bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, block_starts array<bigint>, payload binary"
 
 
+@cache
+def _places(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of 64 values below 2^width the word it begins in and the bit there; which ones go on in the next word; the first value of every word."""
+    word, bit = np.divmod(np.arange(64) * width, 64)
+    return word, bit.astype(np.uint64)[:, None], np.flatnonzero(bit + width > 64), np.searchsorted(word, np.arange(width))
+
+
 def _pack(v: np.ndarray, width: int) -> np.ndarray:
     """(blocks, 64, LANES) values below 2^width to (blocks, width, LANES) words."""
-    out = np.zeros((len(v), width, LANES), np.uint64)
-    for r in range(64):
-        word, bit = divmod(r * width, 64)
-        out[:, word] |= v[:, r] << np.uint64(bit)
-        if bit + width > 64:
-            out[:, word + 1] |= v[:, r] >> np.uint64(64 - bit)
+    word, bit, on, first = _places(width)
+    out = np.bitwise_or.reduceat(v << bit, first, axis=1)
+    out[:, word[on] + 1] |= v[:, on] >> (np.uint64(64) - bit[on])
     return out
 
 
 def _unpack(words: np.ndarray, width: int) -> np.ndarray:
-    v = np.empty((len(words), 64, LANES), np.uint64)
-    mask = np.uint64((1 << width) - 1)
-    for r in range(64):
-        word, bit = divmod(r * width, 64)
-        x = words[:, word] >> np.uint64(bit)
-        if bit + width > 64:
-            x = x | (words[:, word + 1] << np.uint64(64 - bit))
-        v[:, r] = x & mask
+    word, bit, on, _ = _places(width)
+    v = words[:, word] >> bit
+    v[:, on] |= words[:, word[on] + 1] << (np.uint64(64) - bit[on])
+    v &= np.uint64((1 << width) - 1)
     return v
 
 

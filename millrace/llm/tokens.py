@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from functools import cache
 
 import numpy as np
@@ -11,9 +12,12 @@ import numpy as np
 TOKENIZER = "byte_bpe_50k.json"
 #: Words a Python worker remembers; later ones are encoded each time they come.
 REMEMBERED = 1_000_000
-#: A run of white space is cut differently by the tokenizer than at each space; such texts go to it whole.
-_RUN = re.compile(r"\s\s")
-_TAIL = ",.;:!?"
+#: Texts whose words are held at once; those of few stay in a processor's cache.
+TOGETHER = 16
+#: A run of white space is cut differently by the tokenizer than at each space; texts that have one, or words that may be beside one, go to it whole.
+_RUN = re.compile(r"\s\s|^[^\S\n]|\s\Z")
+#: Marks behind a word that are one piece of their own, whichever they are.
+_TAIL = string.punctuation
 #: Byte-level vocabularies write a byte that is no visible Latin-1 character as one from 256 on, in order.
 _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
@@ -30,7 +34,9 @@ class Encoder:
 
     The tokenizer cuts every text where a space follows a character that is not
     white space, and encodes the pieces one by one.  So a word with the space
-    before it has the same ids wherever it stands, and is encoded once.
+    before it has the same ids wherever it stands, and is encoded once.  A line
+    feed is a piece of its own where no other white space is beside it; a word
+    behind one is kept with it, as it has no space.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -47,35 +53,46 @@ class Encoder:
         self.packed = [i.to_bytes(4, "little") for i in range(self.size)]
         self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.feed = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of ``new`` words, each with a space before it."""
-        out, rest, known, tokenize = {}, [], self.words, self.library.model.tokenize
+        """Ids of ``new`` words, each with a space before it, or with the line feed that it begins with; none of those with ``_RUN``."""
+        out, rest, known, packed, tokenize = {}, [], self.words, self.packed, self.library.model.tokenize
         for w in new:
             stem = w.rstrip(_TAIL)
-            if not stem.isalpha():
-                rest.append(w)
+            feed = stem[:1] == "\n"
+            letters = stem[1:] if feed else stem
+            if not letters.isalpha():
+                if not _RUN.search(w):
+                    rest.append(w)
                 continue
-            # A space and letters are one piece, and the marks after them another.
+            # A space and letters are one piece, or letters behind a line feed, and the marks after them another.
             ids = known.get(stem) or out.get(stem)
             if ids is None:
-                piece = "Ġ" + stem if stem.isascii() else "Ġ" + stem.encode().decode("latin-1").translate(_BYTES)
-                out[stem] = ids = b"".join([self.packed[t.id] for t in tokenize(piece)])
+                piece = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTES)
+                ids = b"".join([packed[t.id] for t in tokenize(piece if feed else "Ġ" + piece)])
+                out[stem] = ids = self.feed + ids if feed else ids
             if len(stem) < len(w):
                 tail = w[len(stem) :]
-                if tail not in self.tails:
-                    self.tails[tail] = self._whole([tail])[0]
-                out[w] = ids + self.tails[tail]
-        out.update(zip(rest, self._whole([" " + w for w in rest])))
+                marks = self.tails.get(tail)
+                if marks is None:
+                    marks = self._whole([tail])[0]
+                    if len(self.tails) < self.remembered:
+                        self.tails[tail] = marks
+                out[w] = ids + marks
+        out.update(zip(rest, self._whole([w if w[:1] == "\n" else " " + w for w in rest])))
         if len(known) < self.remembered:
             known.update(out)
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text; null is taken as empty."""
+        return [ids for lo in range(0, len(texts), TOGETHER) for ids in self._together(texts[lo : lo + TOGETHER])]
+
+    def _together(self, texts: list[str | None]) -> list[bytes]:
         known = self.words.get
         heads: list[str] = []
         wholes: list[str] = []
@@ -86,25 +103,27 @@ class Encoder:
             if not t:
                 heads.append("")
                 found.append(b"")
-            elif "<|" in t or _RUN.search(t):
+                continue
+            words = t.replace("\n", " \n").split(" ")
+            # Spaces and line feeds beside each other show here, other white space in the words themselves.
+            if "" in words or "\n" in words or "<|" in t or _RUN.search(words[0]):
                 wholes.append(t)
                 found.append(None)
-            else:
-                words = t.split(" ")
-                ids = list(map(known, words))
-                ids[0] = b""
-                heads.append(words[0])
-                try:
-                    found.append(b"".join(ids))
-                except TypeError:  # some are None; this tells sooner than a look at each
-                    missing = [k for k, i in enumerate(ids) if i is None]
-                    new.update([words[k] for k in missing])
-                    found.append((words, ids, missing))
-        fresh = self._learn(new) if new else {}
+                continue
+            ids = list(map(known, words))
+            ids[0] = b""
+            heads.append(words[0])
+            try:
+                found.append(b"".join(ids))
+            except TypeError:  # some are None; this tells sooner than a look at each
+                missing = [k for k, i in enumerate(ids) if i is None]
+                new.update([words[k] for k in missing])
+                found.append((words, ids, missing))
+        fresh = self._learn(new).get if new else None
         head = iter(self._whole(heads))
         whole = iter(self._whole(wholes))
         out = []
-        for x in found:
+        for t, x in zip(texts, found):
             if x is None:
                 out.append(next(whole))
             elif isinstance(x, bytes):
@@ -112,9 +131,12 @@ class Encoder:
             else:
                 words, ids, missing = x
                 for k in missing:
-                    ids[k] = fresh[words[k]]
+                    ids[k] = fresh(words[k])
                 ids[0] = next(head)
-                out.append(b"".join(ids))
+                try:
+                    out.append(b"".join(ids))
+                except TypeError:  # a word that has no ids of its own
+                    out += self._whole([t])
         return out
 
 
