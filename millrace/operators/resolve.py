@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CONFIDENCE, ENTRIES, SUFFIXES
+from ..sources.store import materialized
 from ..sources.tree import extension
+from .pairs import pairs
 
 _SCRIPT = [".ts", ".tsx", ".js", ".jsx"]
 #: Room between two candidates for the ways to complete a path, and between two attempts for the candidates of each.
@@ -148,11 +150,17 @@ def matched(wanted: DataFrame, files: DataFrame) -> DataFrame:
     rank = F.col("rank") + F.col("way") + F.when(F.col("key") == F.col("written"), 0).otherwise(_OTHER_CASE)
     hits = wanted.withColumn("lc", F.lower("key")).join(keys, ["lc", "folder"]).select("src", "ext", "source", "relation", "part", rank.alias("rank"), "target", "folder")
     best = hits.groupBy("src", "ext", "source", "relation", "part").agg(F.min_by(F.struct("target", "folder"), F.struct("rank", "target")).alias("b"))
-    found = best.where("not b.folder").select("src", F.col("b.target").alias("dst"), "relation")
+    best = materialized(best.where("not b.folder or ext = '.go'").select("src", "ext", "relation", "b.target", "b.folder"), "matched")
+    found = distinct_links(best.where("not folder").select("src", F.col("target").alias("dst"), "relation"))
     # A package of Go is a directory: an import of it depends on every file in there.
-    inside = files.where(F.col("path").endswith(".go")).select(folder_of(F.col("path")).alias("dir"), F.col("path").alias("dst"))
-    fan = best.where("b.folder and ext = '.go'").select("src", F.col("b.target").alias("dir"), "relation").join(inside, "dir").select("src", "dst", "relation")
-    return as_edges(found.unionByName(fan))
+    packages = best.where("folder").select("src", F.col("target").alias("dir"), "relation").distinct()
+    if packages.isEmpty():
+        return described(found)
+    # The files of a directory differ, so pairs with them are distinct as they are made; only files imported by name as well are told apart, before that.
+    inside = files.where(F.col("path").endswith(".go")).select(folder_of(F.col("path")).alias("dir"), F.col("path").alias("dst")).distinct()
+    alone = found.withColumn("dir", F.when(F.col("dst").endswith(".go"), folder_of(F.col("dst")))).join(packages, ["src", "dir", "relation"], "left_anti").select("src", "dst", "relation")
+    fan = pairs(packages, inside, "dir").where("src <> dst").select("src", "dst", "relation")
+    return described(alone.unionByName(fan))
 
 
 def resolved(imports: DataFrame, files: DataFrame, packages: DataFrame | None = None, module: str | None = None, crates: DataFrame | None = None, parity: bool = False) -> DataFrame:
@@ -160,8 +168,18 @@ def resolved(imports: DataFrame, files: DataFrame, packages: DataFrame | None =
     return matched(candidates(imports, files, packages, module, crates, parity), files)
 
 
-def as_edges(links: DataFrame) -> DataFrame:
-    """Distinct edges (src, dst, relation) between different files, with confidence and provenance."""
+def distinct_links(links: DataFrame) -> DataFrame:
+    """(src, dst, relation) of ``links`` between different files, each once."""
+    return links.where("src <> dst").select("src", "dst", "relation").distinct()
+
+
+def described(links: DataFrame) -> DataFrame:
+    """Edges of distinct ``links`` (src, dst, relation), with confidence and provenance."""
     confidence = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.col("relation"))
     provenance = F.when(F.col("relation") == "imports:dynamic", "dynamic_analysis").otherwise("static_analysis")
-    return links.where("src <> dst").select("src", "dst", "relation").distinct().withColumn("confidence", confidence).withColumn("provenance", provenance)
+    return links.withColumn("confidence", confidence).withColumn("provenance", provenance)
+
+
+def as_edges(links: DataFrame) -> DataFrame:
+    """Distinct edges (src, dst, relation) between different files, with confidence and provenance."""
+    return described(distinct_links(links))
