@@ -12,6 +12,7 @@ from ..functions.extract import extracted
 from ..functions.gist import gist, shortened
 from ..functions.vector import cosine_distance, nearest
 from ..operators import changes, graph, memory, rank, views
+from ..operators.pairs import pairs
 from ..operators.resolve import as_edges, folders, normalized, resolved
 from ..sources import ignore, tree
 from ..sources.store import materialized
@@ -316,8 +317,8 @@ def _part_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     files = _t(spark, d, "supplier").select(F.concat(F.lit("s/"), F.col("s_suppkey")).alias("path"), F.col("s_name").alias("summary"), (F.col("s_acctbal") < 0).alias("stale"))
     kind = F.when(F.col("l_quantity") < 10, "function").when(F.col("l_quantity") < 20, "class").when(F.col("l_quantity") < 30, "const").otherwise("other")
     symbols = _t(spark, d, "lineitem").select(F.concat(F.lit("s/"), F.col("l_suppkey")).alias("path"), kind.alias("type"))
-    s = _t(spark, d, "supplier")
-    edges = s.join(s.select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("to")), F.col("s_nationkey") + 1 == F.col("n")).select(F.concat(F.lit("s/"), "s_suppkey").alias("src"), F.concat(F.lit("s/"), "to").alias("dst"), F.lit("imports").alias("relation"))
+    s = _t(spark, d, "supplier").select("s_nationkey", F.concat(F.lit("s/"), "s_suppkey").alias("path"))
+    edges = pairs(s.select((F.col("s_nationkey") + 1).alias("n"), F.col("path").alias("src")), s.select(F.col("s_nationkey").alias("n"), F.col("path").alias("dst")), "n").withColumn("relation", F.lit("imports"))
     return files, symbols, edges
 
 

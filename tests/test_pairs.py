@@ -38,7 +38,7 @@ def two_nations(spark, tmp_path, monkeypatch):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["resolve_go"])
+@pytest.mark.parametrize("name", ["graph_links", "resolve_go"])
 def test_large_groups_are_shared_out(spark, two_nations, name):
     """No task makes all pairs of one nation, and the rows stay those of the SQL."""
     df = QUERIES[name](spark, two_nations)
